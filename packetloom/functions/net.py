@@ -1,7 +1,4 @@
 """Address and endpoint expressions."""
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,37 +13,15 @@ def is_ipv4(ip: Column) -> Column:
     return F.coalesce(ip.rlike(IPV4), F.lit(False))
 
 
-def ipv4_number(ip: Column) -> Column:
-    """32-bit value of IPv4 text, NULL for anything else."""
-    part = F.split(ip, r"\.")
-    value = F.lit(0).cast("long")
-    for i in range(4):
-        value = value * 256 + F.try_element_at(part, F.lit(i + 1)).try_cast("long")
-    return F.when(is_ipv4(ip), value)
-
-
-def _number(text: str) -> int:
-    return reduce(lambda acc, octet: acc * 256 + int(octet), text.split("."), 0)
-
-
-def private_ranges() -> list[tuple[int, int]]:
-    """(first, last) addresses of the non-routable ranges."""
-    spans = []
-    for net, bits in fixed.PRIVATE_NETS:
-        first = _number(net)
-        spans.append((first, first + 2 ** (32 - bits) - 1))
-    return spans
-
-
 def is_private(ip: Column) -> Column:
-    n = ipv4_number(ip)
-    inside = reduce(or_, [n.between(a, b) for a, b in private_ranges()])
-    return inside & ~n.isin([_number(x) for x in fixed.PRIVATE_EXCEPT])
+    """IPv4 text in a range that is not globally routable."""
+    return is_ipv4(ip) & ip.rlike(fixed.PRIVATE_PATTERN)
 
 
 def is_enrichable(ip: Column) -> Column:
     """Public IPv4 that is not one of the excluded hosts."""
-    return is_ipv4(ip) & ~ip.isin(fixed.EXCLUDED_HOSTS) & ~F.coalesce(is_private(ip), F.lit(True))
+    public = ip.rlike(IPV4) & ~ip.isin(fixed.EXCLUDED_HOSTS) & ~ip.rlike(fixed.PRIVATE_PATTERN)
+    return F.coalesce(public, F.lit(False))
 
 
 def is_ipv6(ip: Column) -> Column:
