@@ -205,7 +205,7 @@ def family_confusion(rows: DataFrame, classes: list[str]) -> DataFrame:
     Every class has a row and a column, also when it does not occur.
     """
     base = rows.sparkSession.createDataFrame([(c,) for c in classes], "family string")
-    counts = rows.groupBy("family").pivot("pred", classes).agg(F.count("*"))
+    counts = rows.groupBy("family").pivot("pred", classes).agg(F.count(F.lit(1)))
     return base.join(counts, "family", "left").fillna(0, classes)
 
 

@@ -70,11 +70,11 @@ def build_flows(packets: DataFrame, idle_s: float = fixed.IDLE_S, active_s: floa
         "key", "us", "seq", "clock", "from_lo", "payload_len", "syn", "rst", "fin", "ack")
     heavy = chain.hot_keys(rows, group_rows)
     if heavy is None:
-        return _shape(_fold(rows, idle, active))
+        return shape(_fold(rows, idle, active))
     cold = _fold(rows.join(heavy, "key", "left_anti"), idle, active)
     hot = _chained(rows.join(heavy, "key", "left_semi"), idle, active,
                    int(slice_s * 1e6) if slice_s else None)
-    return _shape(cold.unionByName(hot))
+    return shape(cold.unionByName(hot))
 
 
 def _fold(rows: DataFrame, idle: int, active: int) -> DataFrame:
@@ -145,7 +145,7 @@ def _chained(rows: DataFrame, idle: int, active: int, slice_us: int | None = Non
              "syn", "rst", "fin", "ack")
 
 
-def _shape(flows: DataFrame) -> DataFrame:
+def shape(flows: DataFrame) -> DataFrame:
     a = F.when(F.col("lo_first"), F.col("key.lo")).otherwise(F.col("key.hi"))
     b = F.when(F.col("lo_first"), F.col("key.hi")).otherwise(F.col("key.lo"))
     return flows.select(

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions import numeric, text
+from ..session import cut
 
 CONTEXT_FIELDS = [
     "id", "cnn_verdict", "cnn_confidence", "attack_family", "technique_id", "technique_name",
@@ -106,12 +107,19 @@ def delta(detections: DataFrame, indexed: DataFrame) -> tuple[DataFrame, bool]:
     """Rows still to index, and whether the index must be rebuilt.
 
     `indexed` is the document table. The index is rebuilt when the table shrank or
-    its highest id went back; otherwise only rows above the high-water mark come.
+    its highest id went back. Otherwise rows above the high-water mark come, or, when
+    the counts show that rows were added below it, all rows the index lacks.
     """
-    old = indexed.agg(F.count("*").alias("n"), F.coalesce(F.max("doc_id"), F.lit(0)).alias("top")).first()
-    new = detections.agg(F.count("*").alias("n"), F.coalesce(F.max("id"), F.lit(0)).alias("top")).first()
-    rebuild = new["top"] < old["top"] or new["n"] < old["n"]
-    return detections.filter(F.col("id") > (0 if rebuild else old["top"])), rebuild
+    old = indexed.agg(F.count("*").alias("n"), F.max("doc_id").alias("top")).first()
+    if old["n"] == 0:
+        return detections, False
+    above = F.col("id") > old["top"]
+    new = detections.agg(F.count("*").alias("n"), F.max("id").alias("top"), F.count_if(above).alias("above")).first()
+    if new["n"] < old["n"] or new["top"] is None or new["top"] < old["top"]:
+        return detections, True
+    if old["n"] + new["above"] == new["n"]:
+        return detections.filter(above), False
+    return detections.join(indexed.select(F.col("doc_id").alias("id")), "id", "left_anti"), False
 
 
 def sync(detections: DataFrame, index_path: str, docs_path: str) -> int:
@@ -121,11 +129,12 @@ def sync(detections: DataFrame, index_path: str, docs_path: str) -> int:
     known = (spark.read.parquet(docs_path) if exists(spark, docs_path)
              else spark.createDataFrame([], "doc_id long, length long"))
     fresh, rebuild = delta(detections, known)
-    docs = incident_documents(fresh)
+    docs = cut(incident_documents(fresh))
     mode = "overwrite" if rebuild else "append"
     postings(docs).write.mode(mode).parquet(index_path)
+    # The document table is written last: it is what the next delta is taken from.
     document_table(docs).write.mode(mode).parquet(docs_path)
-    return fresh.count()
+    return docs.count()
 
 
 def context(hits: DataFrame, detections: DataFrame) -> DataFrame:

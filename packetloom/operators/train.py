@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed
+from ..session import cut
 from . import evaluate, prepare
 
 
@@ -73,7 +74,7 @@ def evaluate_split(parts: DataFrame, points: dict[str, tuple[float, float]], lea
         alpha, threshold = points[model]
         rows = gate_probability(fit_gate(train, alpha, make(), stages, label), test)
         rows = evaluate.decided(rows.withColumnRenamed(label, "label") if label != "label" else rows, threshold)
-        rows = rows.select("label", "y", "p", "pred", "mult")
+        rows = cut(rows.select("label", "y", "p", "pred", "mult"))
         line = (evaluate.binary_scores(rows).crossJoin(evaluate.benign_fpr(rows)).crossJoin(evaluate.confusion(rows))
                 .crossJoin(evaluate.recall_averages(evaluate.class_recall(rows)))
                 .select(F.lit(name).alias("split"), F.lit(model).alias("model"), F.lit(alpha).alias("alpha"),
@@ -85,12 +86,16 @@ def evaluate_split(parts: DataFrame, points: dict[str, tuple[float, float]], lea
 def split_report(raw: DataFrame, points: dict[str, tuple[float, float]], learners: Learners,
                  row_id: str = "row_id", seed: int = 42) -> DataFrame:
     """The three evaluations: deduplicated, random with duplicates, whole sources held out."""
-    rows = prepare.balanced(prepare.multiplicity(prepare.prepared(raw)), row_id=row_id, seed=seed)
-    unique = prepare.unique_shapes(rows, ["y"], row_id, seed)
-    dedup = prepare.stratified_split(unique, "y", row_id, seed)
-    out = evaluate_split(dedup, points, learners, "dedup")
-    out = out.unionByName(evaluate_split(prepare.random_split(rows, "y", row_id, seed), points, learners, "random"))
-    return out.unionByName(evaluate_split(prepare.group_split(rows, seed=seed), points, learners, "group"))
+    rows = cut(prepare.balanced(prepare.multiplicity(prepare.prepared(raw)), row_id=row_id, seed=seed))
+    parts = {
+        "dedup": prepare.stratified_split(prepare.unique_shapes(rows, ["y"], row_id, seed), "y", row_id, seed),
+        "random": prepare.random_split(rows, "y", row_id, seed),
+        "group": prepare.group_split(rows, seed=seed)}
+    out = None
+    for name, split in parts.items():
+        lines = evaluate_split(cut(split), points, learners, name)
+        out = lines if out is None else out.unionByName(lines)
+    return out
 
 
 def leakage_check(rows: DataFrame, seed: int = 42) -> DataFrame:

@@ -230,7 +230,17 @@ def counter_growth(spark, sf):
     return monitor.growth_events(rows, interval_s=3600)
 
 
-@query("login_bursts")
+LOGINS = f"""attempts AS (SELECT {v.client('user_id')} AS address, epoch_us(ts) AS us, event_id AS seq, event_type = 'purchase' AS success,
+    row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events WHERE event_type IN ('error', 'view', 'purchase')),
+fold AS (
+  SELECT *, false AS blocked, CASE WHEN success THEN []::BIGINT[] ELSE [us] END AS live FROM attempts WHERE rn = 1
+  UNION ALL
+  SELECT address, us, seq, success, rn, len(kept) >= 5, CASE WHEN len(kept) >= 5 THEN kept WHEN success THEN []::BIGINT[] ELSE list_append(kept, us) END
+  FROM (SELECT a.*, list_filter(f.live, lambda t: a.us - t <= {5 * 86_400_000_000}) AS kept
+        FROM fold f JOIN attempts a ON a.address = f.address AND a.rn = f.rn + 1))"""
+
+
+@query("login_bursts", f"WITH RECURSIVE {LOGINS} SELECT address, seq, success, blocked FROM fold")
 def login_bursts(spark, sf):
     ev = views.table(spark, sf, "events").filter("event_type in ('error', 'view', 'purchase')")
     rows = ev.select(views.client_ip(F.col("user_id")).alias("address"),

@@ -183,8 +183,10 @@ METRICS = """metrics AS (
 LABEL_LIST = ("['BENIGN', 'PortScan', 'DoS Hulk', 'DDoS', 'FTP-Patator', 'Bot', 'Web Attack – Brute Force', "
               "'Web Attack – XSS', 'Infiltration', 'Unlisted Thing']")
 
+LINE_ID = "(((l_orderkey * 8 + l_linenumber) * 20000 + l_partkey) * 1000 + l_suppkey)"
+
 LABELLED = f"""labelled_raw AS (
-  SELECT l_orderkey * 10 + l_linenumber AS row_id, CAST((l_partkey % 12) * 400000 - 400000 AS DOUBLE) AS dur_us,
+  SELECT {LINE_ID} AS row_id, CAST((l_partkey % 12) * 400000 - 400000 AS DOUBLE) AS dur_us,
     CASE WHEN l_linenumber % 3 = 0 THEN 'UDP' WHEN l_linenumber = 7 THEN 'icmp' ELSE 'tcp' END AS protocol,
     CAST(l_partkey % 7 + 1 AS DOUBLE) AS fp, CAST(l_suppkey % 5 AS DOUBLE) AS bp,
     CASE WHEN l_partkey % 97 = 0 THEN CAST('inf' AS DOUBLE) ELSE CAST((l_partkey % 7) * 40 AS DOUBLE) END AS fb,
@@ -200,14 +202,14 @@ labelled AS (
   FROM labelled_raw)"""
 
 SCORES = f"""scores AS (
-  SELECT l_orderkey * 10 + l_linenumber AS row_id, {LABEL_LIST}[pick + 1] AS label, CASE WHEN pick = 0 THEN 0 ELSE 1 END AS y,
+  SELECT {LINE_ID} AS row_id, {LABEL_LIST}[pick + 1] AS label, CASE WHEN pick = 0 THEN 0 ELSE 1 END AS y,
     CASE WHEN pick = 0 THEN noise * CAST(0.00096 AS DOUBLE) ELSE CAST(0.3 AS DOUBLE) + noise * CAST(0.0007 AS DOUBLE) END AS p,
     CAST(l_partkey % 4 + 1 AS DOUBLE) AS mult, CAST(l_partkey % 10 AS INTEGER) AS fold
   FROM (SELECT *, CASE WHEN l_partkey % 3 <> 0 THEN 0 ELSE (l_partkey // 3) % 10 END AS pick,
           (l_orderkey * 13 + l_suppkey * 7 + l_linenumber * 101) % 1000 AS noise FROM lineitem))"""
 
 FAMILY_SCORES = f"""family_scores AS (
-  SELECT l_orderkey * 10 + l_linenumber AS row_id, {FAMILY_LIST}[l_partkey % 7 + 1] AS family,
+  SELECT {LINE_ID} AS row_id, {FAMILY_LIST}[l_partkey % 7 + 1] AS family,
     {FAMILY_LIST}[CASE WHEN l_orderkey % 5 = 0 THEN (l_partkey + l_suppkey) % 7 ELSE l_partkey % 7 END + 1] AS pred,
     (20 + (l_orderkey * 3 + l_suppkey) % 80) / 100.0 AS conf
   FROM lineitem)"""

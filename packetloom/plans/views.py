@@ -173,6 +173,12 @@ LABELS = [
 ]
 
 
+def line_id() -> Column:
+    """Number of a lineitem row; order and line number alone do not identify one."""
+    line = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    return (line * 20000 + F.col("l_partkey")) * 1000 + F.col("l_suppkey")
+
+
 def labelled_raw(spark: SparkSession, sf: str) -> DataFrame:
     """lineitem as labelled flow rows; row_id orders them."""
     li = table(spark, sf, "lineitem")
@@ -180,7 +186,7 @@ def labelled_raw(spark: SparkSession, sf: str) -> DataFrame:
     pick = F.when(pk % 3 != 0, 0).otherwise((F.floor(pk / 3) * F.floor(pk / 5)) % 10).cast("int")
     label = F.element_at(F.array(*[F.lit(x) for x in LABELS]), pick + 1)
     return li.select(
-        (F.col("l_orderkey") * 10 + ln).alias("row_id"),
+        line_id().alias("row_id"),
         ((pk % 12) * 400000 - 400000).cast("double").alias("Flow Duration"),
         F.when(ln % 3 == 0, "UDP").when(ln == 7, "icmp").otherwise("tcp").alias("protocol"),
         (pk % 7 + 1).cast("double").alias("Total Fwd Packets"), (sk % 5).cast("double").alias("Total Backward Packets"),
@@ -196,7 +202,7 @@ def scored_rows(spark: SparkSession, sf: str) -> DataFrame:
     pick = F.when(pk % 3 != 0, 0).otherwise(F.floor(pk / 3) % 10).cast("int")
     noise = (ok * 13 + sk * 7 + F.col("l_linenumber") * 101) % 1000
     return li.select(
-        (ok * 10 + F.col("l_linenumber")).alias("row_id"),
+        line_id().alias("row_id"),
         F.element_at(F.array(*[F.lit(x) for x in LABELS]), pick + 1).alias("label"),
         F.when(pick == 0, 0).otherwise(1).alias("y"),
         (F.when(pick == 0, noise * 0.00096).otherwise(0.3 + noise * 0.0007)).alias("p"),
@@ -212,6 +218,6 @@ def family_scores(spark: SparkSession, sf: str) -> DataFrame:
     top = (20 + (ok * 3 + sk) % 80) / 100.0
     names = F.array(*[F.lit(x) for x in FAMILIES])
     return li.select(
-        (ok * 10 + F.col("l_linenumber")).alias("row_id"), F.element_at(names, true + 1).alias("family"),
+        line_id().alias("row_id"), F.element_at(names, true + 1).alias("family"),
         F.transform(F.sequence(F.lit(0), F.lit(6)),
                     lambda i: F.when(i == pick, top).otherwise((1 - top) / 6)).alias("family_probs"))
