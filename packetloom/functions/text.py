@@ -10,9 +10,7 @@ DASH = "—"
 def tokens(text: Column) -> Column:
     """Search terms of a text: dotted quads whole, words lower-case, stopwords out."""
     found = F.regexp_extract_all(F.lower(text), F.lit(f"({fixed.TOKEN_PATTERN})"), F.lit(1))
-    stop = F.array(*[F.lit(w) for w in fixed.STOPWORDS])
-    return F.filter(F.coalesce(found, F.array().cast("array<string>")),
-                    lambda t: ~F.array_contains(stop, t))
+    return F.filter(F.coalesce(found, F.array().cast("array<string>")), lambda t: ~t.isin(fixed.STOPWORDS))
 
 
 def incident_text() -> Column:

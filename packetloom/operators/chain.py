@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..session import cut
 
 # Rows of one key that may be gathered in one array.
-GROUP_ROWS = 20_000
+GROUP_ROWS = 50_000
 POSITION = ("clock", "seq")
 
 

@@ -138,7 +138,7 @@ def operating_point(front: DataFrame, by: str = "model") -> DataFrame:
     default = (F.col("alpha") == 0.0) & (F.col("threshold") == 0.5)
     row = F.struct("alpha", "threshold", "macro_recall", "per_flow_benign_fpr")
     order = F.struct(-F.col("macro_recall"), ~default, "per_flow_benign_fpr", "alpha", "threshold")
-    fits = F.col("meets_fpr_budget")
+    fits = F.col("meets_fpr_budget") & F.col("macro_recall").isNotNull()
     picked = front.groupBy(by).agg(
         F.min_by(row, F.when(fits, order)).alias("best"), F.min_by(row, F.when(default, order)).alias("fallback"))
     best = F.coalesce("best", "fallback")

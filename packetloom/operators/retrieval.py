@@ -16,6 +16,8 @@ CITATION_FIELDS = ["id", "technique_id", "technique_name", "src_ip", "country",
 BROADCAST_TERMS = 100_000
 # Shares into which each query term is split in the shuffled join.
 SALT = 32
+# Units of a score in the whole-number sums.
+UNITS = 1e12
 
 
 def incident_documents(detections: DataFrame) -> DataFrame:
@@ -28,10 +30,15 @@ def tokenized(docs: DataFrame) -> DataFrame:
     return rows.withColumn("length", F.size("tokens").cast("long"))
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """(doc_id, term, tf, length): the stored index."""
+def postings(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """(doc_id, term, tf, length): the stored index.
+
+    With `terms` (a small table of words) only their postings, pruned before the shuffle.
+    """
     rows = tokenized(docs).select("doc_id", "length", F.explode("tokens").alias("term"))
-    return rows.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+    if terms is not None:
+        rows = rows.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi")
+    return rows.groupBy("doc_id", "length", "term").agg(F.count("*").alias("tf")).select("doc_id", "term", "tf", "length")
 
 
 def document_table(docs: DataFrame) -> DataFrame:
@@ -61,8 +68,8 @@ def search(index: DataFrame, doc_table: DataFrame, queries: DataFrame, k: int =
 
     Only postings of query terms take part. Their side is broadcast when it is
     counted small; otherwise terms are salted, so a word that stands in a third of
-    all documents is spread over tasks. Sums are decimal, so that equal documents
-    tie exactly however the rows are split, and ties go to the smaller id.
+    all documents is spread over tasks. Sums are whole numbers of 1e-12, so equal
+    documents tie exactly however the rows are split, and ties go to the smaller id.
     """
     terms = query_terms(queries)
     matched, all_terms = _of_queries(index, terms, broadcast_terms)
@@ -70,13 +77,13 @@ def search(index: DataFrame, doc_table: DataFrame, queries: DataFrame, k: int =
     weights = df.crossJoin(F.broadcast(corpus_stats(doc_table))).select(
         "term", "mean_length", numeric.bm25_idf(F.col("docs"), F.col("df")).alias("idf"))
     side = terms.join(weights, "term")
-    part = (F.col("idf") * numeric.bm25_weight(F.col("tf"), F.col("length"), F.col("mean_length"))
-            * F.col("repeats")).cast("decimal(24,15)")
+    part = F.floor(F.col("idf") * numeric.bm25_weight(F.col("tf"), F.col("length"), F.col("mean_length"))
+                   * F.col("repeats") * UNITS)
     scored = _join_terms(matched, side, broadcast_terms).select("query_id", "doc_id", part.alias("part"))
     summed = scored.groupBy("query_id", "doc_id").agg(F.sum("part").alias("s")).filter("s > 0")
     best = Window.partitionBy("query_id").orderBy(F.col("s").desc(), "doc_id")
     return summed.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select(
-        "query_id", "doc_id", F.bround(F.col("s").cast("double"), 4).alias("score"), "rank")
+        "query_id", "doc_id", F.bround(F.col("s") / UNITS, 4).alias("score"), "rank")
 
 
 def _small(terms: DataFrame, bound: int) -> bool:
@@ -98,9 +105,12 @@ def _join_terms(matched: DataFrame, side: DataFrame, bound: int) -> DataFrame:
     return salted.join(copies, ["term", "salt"])
 
 
-def search_text(docs: DataFrame, queries: DataFrame, k: int = fixed.TOP_K) -> DataFrame:
+def search_text(docs: DataFrame, queries: DataFrame, k: int = fixed.TOP_K,
+                broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
     """Search without a stored index: the index is derived, pruned to the query terms."""
-    return search(postings(docs), document_table(docs), queries, k)
+    terms = query_terms(queries)
+    few = terms if _small(terms, broadcast_terms) else None
+    return search(postings(docs, few), document_table(docs), queries, k, broadcast_terms)
 
 
 def delta(detections: DataFrame, indexed: DataFrame) -> tuple[DataFrame, bool]:

@@ -24,10 +24,10 @@ stats AS (SELECT count(*) AS n, CASE WHEN sum(len(toks)) > 0 THEN sum(len(toks))
 posts AS (SELECT doc_id, term, count(*) AS tf, any_value(len) AS len FROM (SELECT doc_id, len(toks) AS len, unnest(toks) AS term FROM toks) GROUP BY 1, 2),
 dfs AS (SELECT term, count(*) AS df FROM posts GROUP BY 1),
 qt AS (SELECT query_id, term, count(*) AS reps FROM (SELECT query_id, unnest({terms_sql('text')}) AS term FROM ({queries})) GROUP BY 1, 2),
-parts AS (SELECT query_id, doc_id, CAST(ln(1.0::DOUBLE + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE))
-    * (tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / avgdl))) * reps AS DECIMAL(24, 15)) AS part
+parts AS (SELECT query_id, doc_id, CAST(floor(ln(1.0::DOUBLE + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE))
+    * (tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / avgdl))) * reps * 1e12::DOUBLE) AS BIGINT) AS part
   FROM qt JOIN posts USING (term) JOIN dfs USING (term), stats),
-ranked AS (SELECT query_id, doc_id, round_even(CAST(s AS DOUBLE), 4) AS score, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id) AS rank
+ranked AS (SELECT query_id, doc_id, round_even(CAST(s AS DOUBLE) / 1e12::DOUBLE, 4) AS score, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id) AS rank
   FROM (SELECT query_id, doc_id, sum(part) AS s FROM parts GROUP BY 1, 2) WHERE s > 0 QUALIFY rank <= {k})"""
 
 

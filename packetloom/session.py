@@ -43,6 +43,12 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write the rows to the reliable checkpoint folder and drop their lineage."""
-    work_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write the rows to the shared folder and read them back, without their lineage.
+
+    A written table outlives executors and, unlike a checkpointed RDD, has a known
+    size, so later joins with a small one need no shuffle.
+    """
+    spark = df.sparkSession
+    path = scratch(spark, "cut")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

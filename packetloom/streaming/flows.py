@@ -1,6 +1,5 @@
 """Flows from a packet stream: keyed state with event-time timers."""
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -23,14 +22,15 @@ def keyed_stream(packets: DataFrame, delay: str = "10 seconds") -> DataFrame:
     lo = F.struct(F.col("src_ip").alias("ip"), F.col("src_port").alias("port")) == F.col("key.lo")
     return rows.select(
         F.col("key.lo.ip").alias("lo_ip"), F.col("key.lo.port").alias("lo_port"), F.col("key.hi.ip").alias("hi_ip"),
-        F.col("key.hi.port").alias("hi_port"), "proto", "seq", "ts", lo.alias("from_lo"), "payload_len",
+        F.col("key.hi.port").alias("hi_port"), "proto", "seq", "ts", F.unix_micros("ts").alias("us"), lo.alias("from_lo"), "payload_len",
         "syn", "rst", "fin", "ack").withWatermark("ts", delay)
 
 
 class FlowBuilder(StatefulProcessor):
     """One open flow per key. A timer at the earlier of idle and active limit closes it.
 
-    Packets of one batch are taken in (ts, seq) order. A late packet that still passes
+    A key has at most one timer. When it fires too early, because packets have moved
+    the limit since, it is set again. Packets of one batch are taken in (ts, seq) order. A late packet that still passes
     the watermark joins the open flow; it never moves first or last back.
     """
 
@@ -40,60 +40,72 @@ class FlowBuilder(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.open = handle.getValueState("flow", STATE)
+        self.timer = handle.getValueState("timer", "at long")
+
+    def _limit_ms(self, flow) -> int:
+        return -(-min(flow[3] + self.idle, flow[2] + self.active) // 1000)
 
     def handleInputRows(self, key, rows, timerValues):
         flow = list(self.open.get()) if self.open.exists() else None
+        before = flow is not None
         done = []
-        packets = pd.concat(list(rows)).sort_values(["ts", "seq"])
-        stamps = packets["ts"].astype("datetime64[us]").astype("int64")
-        columns = (packets[c] for c in ("seq", "from_lo", "payload_len", "syn", "rst", "fin", "ack"))
-        for us, seq, lo, size, syn, rst, fin, ack in zip(stamps, *columns):
+        packets = sorted((r.us, r.seq, r.from_lo, r.payload_len, r.syn, r.rst, r.fin, r.ack) for r in rows)
+        for us, seq, lo, size, syn, rst, fin, ack in packets:
             if flow is not None and (us - flow[3] >= self.idle or us - flow[2] >= self.active):
                 done.append(flow)
                 flow = None
             if flow is None:
-                flow = [int(seq), bool(lo), int(us), int(us), 0, 0, 0, 0, 0, 0, 0, 0, False, False]
-            forward = bool(lo) == flow[1]
+                flow = [seq, lo, us, us, 0, 0, 0, 0, 0, 0, 0, 0, False, False]
+            forward = lo == flow[1]
             flow[4 if forward else 5] += 1
-            flow[6 if forward else 7] += int(size)
-            flow[8] += int(syn)
-            flow[9] += int(rst)
-            flow[10] += int(fin)
-            flow[11] += int(ack)
-            flow[12] = flow[12] or (bool(fin) and forward)
-            flow[13] = flow[13] or (bool(fin) and not forward)
-            flow[3] = max(flow[3], int(us))
+            flow[6 if forward else 7] += size
+            flow[8] += syn
+            flow[9] += rst
+            flow[10] += fin
+            flow[11] += ack
+            flow[12] = flow[12] or (fin and forward)
+            flow[13] = flow[13] or (fin and not forward)
+            flow[3] = max(flow[3], us)
             if key[4] == 6 and (flow[9] > 0 or (flow[12] and flow[13])):
                 done.append(flow)
                 flow = None
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if flow is None:
-            self.open.clear()
-        else:
+        if flow is not None:
             self.open.update(tuple(flow))
-            limit = min(flow[3] + self.idle, flow[2] + self.active)
-            self.handle.registerTimer(-(-limit // 1000))
-        yield self._rows(key, done)
+            if not self.timer.exists():
+                self._set_timer(flow)
+        elif before:
+            self.open.clear()
+        return self._rows(key, done)
+
+    def _set_timer(self, flow) -> None:
+        at = self._limit_ms(flow)
+        self.handle.registerTimer(at)
+        self.timer.update((at,))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        done = [list(self.open.get())] if self.open.exists() else []
-        self.open.clear()
-        yield self._rows(key, done)
+        self.timer.clear()
+        done = []
+        if self.open.exists():
+            flow = self.open.get()
+            if timerValues.getCurrentWatermarkInMs() >= self._limit_ms(flow):
+                done.append(flow)
+                self.open.clear()
+            else:
+                self._set_timer(flow)
+        return self._rows(key, done)
 
     def close(self) -> None:
         pass
 
     def _rows(self, key, done):
-        rows = [(*key, *flow) for flow in done]
-        return pd.DataFrame(rows, columns=[*KEY_FIELDS, *FIELDS])
+        return iter([Row(**dict(zip([*KEY_FIELDS, *FIELDS], (*key, *flow)))) for flow in done])
 
 
 def completed(packets: DataFrame, idle_s: float = fixed.IDLE_S, active_s: float = fixed.ACTIVE_S,
               delay: str = "10 seconds") -> DataFrame:
     """Stream of flat flow rows, each when it closes or expires."""
     rows = keyed_stream(packets, delay)
-    return rows.groupBy(*KEY_FIELDS).transformWithStateInPandas(
+    return rows.groupBy(*KEY_FIELDS).transformWithState(
         FlowBuilder(int(idle_s * 1e6), int(active_s * 1e6)), OUTPUT, outputMode="Append", timeMode="EventTime")
 
 
