@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from .. import fixed
 from ..functions import numeric, text
 from . import chain
+from .joins import bounded
 
 # Alert input: ts, id, verdict, confidence, src_ip, technique_id, technique_name,
 # tactic, abuse_score, rep_source, summary.
@@ -36,7 +37,7 @@ def triggers(rows: DataFrame) -> DataFrame:
     technique. So first sight does not depend on the throttle.
     """
     firsts = first_sights(rows).select("id", F.lit(True).alias("is_first"))
-    marked = rows.filter("verdict = 'suspicious'").join(F.broadcast(firsts), "id", "left")
+    marked = rows.filter("verdict = 'suspicious'").join(bounded(firsts), "id", "left")
     why = (F.when(corroborated(), "corroborated").when(F.col("is_first"), "new-technique"))
     return marked.withColumn("trigger", why).filter("trigger is not null").drop("is_first")
 

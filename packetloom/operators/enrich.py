@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from .. import fixed
 from ..functions import net, numeric
 from . import chain
+from .joins import lookup
 
 
 # --- raw answers to records ---------------------------------------------------
@@ -55,14 +56,14 @@ def count_source(raw: DataFrame) -> DataFrame:
 
 
 # --- joins --------------------------------------------------------------------
-# The dimensions have one row per address. They get no broadcast hint: Spark
-# broadcasts one that is measured small and AQE splits a hot address otherwise.
+# The dimensions have one row per address; their size is counted before a broadcast,
+# and a hot address never meets them in one task.
 def with_geo(rows: DataFrame, geo: DataFrame, ip: str = "src_ip") -> DataFrame:
     """Add country, lat, lon of an address."""
     g = geo.select(F.col("ip").alias(ip), F.col("country").alias("_c"), F.col("lat").alias("_lat"),
                    F.col("lon").alias("_lon"))
     public = net.is_enrichable(F.col(ip))
-    out = rows.join(g, ip, "left")
+    out = lookup(rows, g, ip)
     return out.withColumns({
         "country": F.when(~public, fixed.PRIVATE_LABEL).otherwise(
             F.coalesce("_c", F.lit(fixed.FAILED_LABEL))),
@@ -73,10 +74,13 @@ def with_geo(rows: DataFrame, geo: DataFrame, ip: str = "src_ip") -> DataFrame:
 def with_reputation(rows: DataFrame, scored: DataFrame | None, counted: DataFrame | None,
                     ip: str = "src_ip") -> DataFrame:
     """Add rep: scored source, else counting source, else unknown; none if not looked up."""
-    answers = []
-    for i, side in enumerate(s for s in (scored, counted) if s is not None):
-        rows = rows.join(side.select(F.col("ip").alias(ip), F.col("rep").alias(f"_r{i}")), ip, "left")
-        answers.append(f"_r{i}")
+    sides = [s.select(F.col("ip").alias(ip), F.col("rep").alias(f"_r{i}"))
+             for i, s in enumerate(x for x in (scored, counted) if x is not None)]
+    answers = [s.columns[1] for s in sides]
+    if sides:
+        # The sources are put side by side first: the rows are joined, and moved, once.
+        both = sides[0] if len(sides) == 1 else sides[0].join(sides[1], ip, "full")
+        rows = lookup(rows, both, ip)
     looked = F.coalesce(*[F.col(a) for a in answers], empty_record("unknown"))
     return rows.withColumn("rep", F.when(net.is_enrichable(F.col(ip)), looked)
                            .otherwise(empty_record("none"))).drop(*answers)

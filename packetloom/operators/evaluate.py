@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from .. import fixed
 from ..functions.numeric import share
 
-SLICES = 64
+SLICES = 256
 
 
 def is_benign(label: str = "label") -> Column:

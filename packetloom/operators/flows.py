@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from .. import fixed
 from ..functions import net, numeric
 from . import chain
+from .joins import bounded
 
 FLOW_COLUMNS = [
     "flow_id", "src_ip", "dst_ip", "src_port", "dst_port", "proto", "first_ts", "last_ts",
@@ -71,6 +72,7 @@ def build_flows(packets: DataFrame, idle_s: float = fixed.IDLE_S, active_s: floa
     heavy = chain.hot_keys(rows, group_rows)
     if heavy is None:
         return shape(_fold(rows, idle, active))
+    heavy = bounded(heavy)
     cold = _fold(rows.join(heavy, "key", "left_anti"), idle, active)
     hot = _chained(rows.join(heavy, "key", "left_semi"), idle, active,
                    int(slice_s * 1e6) if slice_s else None)

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions import numeric, text
+from .joins import bounded
 
 BUCKET_BITS = 12
 
@@ -81,7 +82,7 @@ def cutoffs(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     upto = Window.partitionBy("g").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
     hist = hist.withColumn("hi", F.sum("n").over(upto)).withColumn("lo", F.col("hi") - F.col("n"))
     hit = hist.join(wanted, "g").filter((F.col("lo") < F.col("k")) & (F.col("k") <= F.col("hi")))
-    hit = hit.select("g", "b", "mark", (F.col("k") - F.col("lo")).alias("nth"))
+    hit = bounded(hit.select("g", "b", "mark", (F.col("k") - F.col("lo")).alias("nth")))
     inside = rows.withColumn("b", F.shiftright("h", 60 - BUCKET_BITS)).join(hit, ["g", "b"])
     place = F.row_number().over(Window.partitionBy("g", "b", "mark").orderBy("h", "id"))
     return inside.withColumn("place", place).filter(F.col("place") == F.col("nth")).select(
@@ -100,7 +101,7 @@ def stratified_split(rows: DataFrame, stratum: str, row_id: str = "row_id", seed
         F.struct(F.lit("val").alias("mark"), (test + val).alias("k")))).alias("w")).select("g", "w.*")
     cuts = cutoffs(slim, wanted).groupBy("g").pivot("mark", ["test", "val"]).agg(F.first("cut"))
     me = F.struct(h.alias("h"), F.col(row_id).alias("id"))
-    out = rows.withColumn("_me", me).join(cuts.withColumnRenamed("g", stratum), stratum, "left")
+    out = rows.withColumn("_me", me).join(bounded(cuts.withColumnRenamed("g", stratum)), stratum, "left")
     part = F.when(F.col("_me") <= F.col("test"), "test").when(F.col("_me") <= F.col("val"), "val").otherwise("train")
     return out.withColumn("part", part).drop("_me", "test", "val")
 
@@ -198,4 +199,4 @@ def weighted(rows: DataFrame, column: str, alpha: float) -> DataFrame:
     """Add `weight` per row; alpha 0 is exactly 1 everywhere."""
     if alpha == 0:
         return rows.withColumn("weight", F.lit(1.0))
-    return rows.join(class_weights(rows, column, alpha).drop("n"), column)
+    return rows.join(bounded(class_weights(rows, column, alpha).drop("n")), column)
