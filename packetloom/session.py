@@ -37,9 +37,24 @@ def work_folder(spark: SparkSession) -> str:
     return shared or os.path.dirname(sc.getCheckpointDir())
 
 
+_scratch: dict[str, list[str]] = {}
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new, unused folder path below the work folder."""
-    return f"{work_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{work_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _scratch.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete the scratch tables of this session, once nothing reads them any more."""
+    paths = _scratch.pop(spark.sparkContext.applicationId, [])
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+    return len(paths)
 
 
 def cut(df: DataFrame) -> DataFrame:
