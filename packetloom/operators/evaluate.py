@@ -67,13 +67,14 @@ def rank_auc(values: DataFrame) -> DataFrame:
         F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg"))
     marks = F.array(*[F.lit(i / SLICES) for i in range(1, SLICES)])
     bounds = counts.groupBy("feature").agg(F.percentile_approx("value", marks, 1000).alias("bounds"))
-    placed = counts.join(bounds, "feature").withColumn(
+    # One row per feature, and one per feature and range: both are bounded by construction.
+    placed = counts.join(F.broadcast(bounds), "feature").withColumn(
         "slice", F.size(F.filter("bounds", lambda b: b < F.col("value")))).drop("bounds")
     sums = placed.groupBy("feature", "slice").agg(F.sum("neg").alias("n"))
     below = Window.partitionBy("feature").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("feature", "slice", F.coalesce(F.sum("n").over(below), F.lit(0)).alias("offset"))
     inside = Window.partitionBy("feature", "slice").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = placed.join(offsets, ["feature", "slice"]).withColumn(
+    ranked = placed.join(F.broadcast(offsets), ["feature", "slice"]).withColumn(
         "lower", F.col("offset") + F.coalesce(F.sum("neg").over(inside), F.lit(0)))
     wins = F.sum(F.col("pos").cast("double") * (F.col("lower") + F.col("neg") / 2.0))
     pairs = F.sum("pos").cast("double") * F.sum("neg").cast("double")

@@ -107,10 +107,13 @@ def _join_terms(matched: DataFrame, side: DataFrame, bound: int) -> DataFrame:
 
 def search_text(docs: DataFrame, queries: DataFrame, k: int = fixed.TOP_K,
                 broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
-    """Search without a stored index: the index is derived, pruned to the query terms."""
+    """Search without a stored index: the index is derived, pruned to the query terms.
+
+    It is written once, since document frequencies and scores both read it.
+    """
     terms = query_terms(queries)
     few = terms if _small(terms, broadcast_terms) else None
-    return search(postings(docs, few), document_table(docs), queries, k, broadcast_terms)
+    return search(cut(postings(docs, few)), document_table(docs), queries, k, broadcast_terms)
 
 
 def delta(detections: DataFrame, indexed: DataFrame) -> tuple[DataFrame, bool]:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed
+from ..session import cut
 
 Scorer = Callable[[DataFrame], DataFrame]
 
@@ -70,14 +71,16 @@ def classify(flows: DataFrame, gate: Scorer, attributor: Scorer | None, classes:
              family_threshold: float = fixed.ATTRIBUTION_THRESHOLD) -> DataFrame:
     """Two stages: `gate` adds probability; `attributor` adds family_probs.
 
-    The attributor sees only the rows the gate flagged; it works row by row, so its
-    result for the other rows is dropped before it is computed.
+    The attributor sees only the rows the gate flagged. The judged rows, far fewer than
+    the packets they come from, are written once, so that the two halves are not built
+    twice.
     """
     judged = judge(gate(flows), threshold=threshold)
     if attributor is None:
         blank = F.lit(None).cast("array<double>")
         return attribute(judged.withColumn("family_probs", blank), classes,
                          threshold=family_threshold)
+    judged = cut(judged)
     flagged = attributor(judged.filter("cnn_verdict = 'suspicious'"))
     rest = judged.filter("cnn_verdict <> 'suspicious'").withColumn(
         "family_probs", F.lit(None).cast("array<double>"))
