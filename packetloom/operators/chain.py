@@ -136,7 +136,7 @@ def fires(rows: DataFrame, gap_us: int, limit: int = GROUP_ROWS) -> DataFrame:
     """
     rows = rows.select("key", "us", "seq")
     heavy = hot_keys(rows, limit)
-    heavy = heavy if heavy is None else bounded(heavy)
+    heavy = heavy if heavy is None else bounded(heavy, made=True)
     cold = rows if heavy is None else rows.join(heavy, "key", "left_anti")
     # Rows of the same instant can never be kept together: one of them is enough.
     first = cold.groupBy("key", "us").agg(F.min("seq").alias("seq"))

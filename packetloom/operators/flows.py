@@ -72,7 +72,7 @@ def build_flows(packets: DataFrame, idle_s: float = fixed.IDLE_S, active_s: floa
     heavy = chain.hot_keys(rows, group_rows)
     if heavy is None:
         return shape(_fold(rows, idle, active))
-    heavy = bounded(heavy)
+    heavy = bounded(heavy, made=True)
     cold = _fold(rows.join(heavy, "key", "left_anti"), idle, active)
     hot = _chained(rows.join(heavy, "key", "left_semi"), idle, active,
                    int(slice_s * 1e6) if slice_s else None)

@@ -15,8 +15,13 @@ def is_small(df: DataFrame, rows: int = SMALL_ROWS) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def bounded(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
-    """The table with a broadcast hint if it is counted small, else as it is."""
+def bounded(df: DataFrame, rows: int = SMALL_ROWS, made: bool = False) -> DataFrame:
+    """The table with a broadcast hint if it is counted small, else as it is.
+
+    It is written first, so that counting does not compute it twice; `made` says that
+    it is a written table already.
+    """
+    df = df if made else cut(df)
     return F.broadcast(df) if is_small(df, rows) else df
 
 
@@ -36,7 +41,7 @@ def lookup(rows: DataFrame, table: DataFrame, on: str, heavy_rows: int = HEAVY_R
     heavy = cut(heavy)
     if heavy.isEmpty():
         return rows.join(table, on, "left")
-    heavy = bounded(heavy, small_rows)
+    heavy = bounded(heavy, small_rows, made=True)
     hot = rows.join(heavy, on, "left_semi")
     cold = rows.join(heavy, on, "left_anti")
     hot_table = bounded(table.join(heavy, on, "left_semi"), small_rows)
