@@ -133,7 +133,7 @@ def simulate(rows, idle, active, tracker=False):
 
 
 @pytest.mark.parametrize("mode", ["per_flow", "tracker"])
-@pytest.mark.parametrize("path", [{}, {"group_rows": 0}, {"group_rows": 40}, {"group_rows": 0, "slice_s": 3.0}])
+@pytest.mark.parametrize("path", [{}, {"group_rows": 40}, {"group_rows": 0, "slice_s": 3.0}])
 def test_against_simulation(spark, mode, path):
     rng, rows, t = random.Random(5), [], 0.0
     for seq in range(600):
