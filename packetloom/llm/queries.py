@@ -3,7 +3,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import LEAKS_SQL, leaks
 from .jaccard_join import jaccard_groups
+from .language import predict
+from .mixing import MIX_SQL, mix_plan
+from .sharding import placements
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -21,3 +25,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query
 def op1_ngram_jaccard_join(spark, sf_dir):
     return jaccard_groups(table(spark, sf_dir, "documents"), 3, 90, 100)
+
+
+@query
+def op2_source_mixing(spark, sf_dir):
+    return mix_plan(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_benchmark_decontamination(spark, sf_dir):
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op7_sharding(spark, sf_dir):
+    return placements(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_language_id(spark, sf_dir):
+    return predict(table(spark, sf_dir, "documents"))
+
+
+SQL["op2_source_mixing"] = MIX_SQL
+SQL["op6_benchmark_decontamination"] = LEAKS_SQL
