@@ -1,6 +1,5 @@
 """Helpers that several operators of this package use."""
 import numpy as np
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,28 +14,15 @@ SPACE = "[\\x20\\x09-\\x0D]+"
 ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
 
-class WordIds(dict):
-    """64-bit hash of a word. It remembers up to `limit` words, so memory is bounded."""
-
-    def __init__(self, limit: int = 1 << 19):
-        super().__init__()
-        self.limit = limit
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        self[word] = found = xxhash.xxh64_intdigest(word)
-        return found
-
-
-def words(text: str | None) -> list[bytes]:
-    """Lower-cased (A-Z) runs of anything but ASCII white space."""
-    return text.encode().lower().split() if text else []
-
-
-def word_hashes(text: str | None, ids: WordIds) -> np.ndarray:
-    found = words(text)
-    return np.fromiter(map(ids.__getitem__, found), np.uint64, len(found))
+# Bytes hashed at a time.
+CHUNK = 1 << 20
+_BASE = np.uint64(0x9E6C63D0876A9A47)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
+_LETTER = np.random.Generator(np.random.PCG64(20)).integers(1, 1 << 63, 256, np.uint64)[_FOLD]
+_IS_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_POWERS: list[np.ndarray] = []
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -46,16 +32,96 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_set(text: str | None, ids: WordIds, width: int) -> np.ndarray:
-    """Sorted distinct hashes of `width` words in a row; with fewer words, the whole sequence is one."""
-    hashes = word_hashes(text, ids)
-    if not len(hashes):
-        return hashes
-    span = min(width, len(hashes))
-    rolled = np.full(len(hashes) - span + 1, span, np.uint64)
-    for k in range(span):
-        rolled = mixed(rolled * ODD[0] + hashes[k:len(hashes) - span + 1 + k])
-    return np.unique(rolled)
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse, for `n` places."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        _POWERS[:] = [np.cumprod(np.full(max(n, CHUNK), x)) for x in (_BASE, _INVERSE)]
+    return _POWERS
+
+
+def _hash_words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(start, hash) of each word: a polynomial in its bytes, A-Z as a-z, from prefix sums over all of data."""
+    raw = np.frombuffer(data, np.uint8)
+    space = np.concatenate(([True], _IS_SPACE[raw], [True]))
+    edges = np.flatnonzero(space[1:] != space[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    power, inverse = _powers(len(raw) + 1)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_LETTER[raw] * power[: len(raw)])))
+    return starts, mixed((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * ODD[1])
+
+
+def _pieces(data: bytes) -> list[bytes]:
+    """A long text in pieces of about CHUNK bytes, cut before white space."""
+    out, at = [], 0
+    while len(data) - at > 2 * CHUNK:
+        cut_at = next((k for k in range(at + CHUNK, len(data)) if _IS_SPACE[data[k]]), len(data))
+        out.append(data[at:cut_at])
+        at = cut_at
+    return [*out, data[at:]]
+
+
+def word_hashes(texts) -> list[np.ndarray]:
+    """For each text the 64-bit hashes of its words: runs of anything but ASCII white space, A-Z as a-z. Null: none."""
+    out: list[np.ndarray] = []
+    held: list[bytes] = []
+
+    def flush() -> None:
+        lengths = np.fromiter(map(len, held), np.int64, len(held)) + 1
+        starts, hashes = _hash_words(b" ".join(held))
+        out.extend(np.split(hashes, np.searchsorted(starts, np.cumsum(lengths)[:-1])) if held else [])
+        held.clear()
+
+    size = 0
+    for text in texts:
+        data = text.encode() if text else b""
+        if len(data) > 2 * CHUNK:
+            flush()
+            out.append(np.concatenate([_hash_words(x)[1] for x in _pieces(data)]))
+            size = 0
+            continue
+        held.append(data)
+        size += len(data) + 1
+        if size > CHUNK:
+            flush()
+            size = 0
+    flush()
+    return out
+
+
+def shingle_sets(texts, width: int) -> list[np.ndarray]:
+    """For each text the sorted distinct hashes of `width` words in a row; with fewer words, the whole sequence is one."""
+    out: list[np.ndarray] = []
+    for part in slices(list(texts), 256):
+        found = word_hashes(part)
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.concatenate(found) if found else np.empty(0, np.uint64)
+        rolled = _rolled(flat, width)
+        ends = np.cumsum(counts)
+        for n, end in zip(counts.tolist(), ends.tolist()):
+            if n >= width:
+                own = np.sort(rolled[end - n:end - width + 1])
+                new = np.empty(len(own), bool)
+                new[0] = True
+                np.not_equal(own[1:], own[:-1], out=new[1:])
+                out.append(own[new])
+            else:
+                out.append(_rolled(flat[end - n:end], n) if n else np.empty(0, np.uint64))
+    return out
+
+
+def _rolled(hashes: np.ndarray, width: int) -> np.ndarray:
+    if len(hashes) < width:
+        return np.empty(0, np.uint64)
+    out = np.full(len(hashes) - width + 1, width, np.uint64)
+    for k in range(width):
+        out = out * ODD[0] + hashes[k:len(hashes) - width + 1 + k]
+        out ^= out >> np.uint64(29)
+    return mixed(out)
+
+
+def slices(items, size: int):
+    for k in range(0, len(items), size):
+        yield items[k:k + size]
 
 
 def remainder(doc_id: str | Column, by: int) -> Column:

@@ -11,11 +11,13 @@ from pyspark.sql.functions import pandas_udf
 
 from ..operators.joins import lookup
 from ..session import cut
-from .common import WordIds, keep_ids, shingle_set
+from .common import keep_ids, shingle_sets, slices
 from .graph import components
 
-# Long words of the parity bitmap of a set.
-BITS = 8
+# Places of the sketches of a set, a multiple of 64.
+SPOTS = 512
+# Sets above this size are also sketched by counts, as parities fill up.
+LARGE = 500
 # Share of the shingles, by hash, that come first in the global order and whose document counts are taken.
 COUNTED = 0.25
 # Most shingles that are put last in the order as frequent; it bounds what is broadcast to 16 bytes each.
@@ -23,7 +25,7 @@ FREQUENT = 1_000_000
 # Subsets are tried as the way for sets of up to this size.
 LARGEST_SMALL = 39
 # Shingles of a component's texts that one task compares with each other; larger components are cut into blocks.
-BLOCK = 4_000_000
+BLOCK = 1_000_000
 
 
 class Threshold:
@@ -64,31 +66,34 @@ def boundary(sizes: dict[int, int], at: Threshold, list_cost: float = 4.0) -> in
     return min(range(LARGEST_SMALL + 1), key=lambda x: (cost(x), x))
 
 
-def _signed(x) -> np.ndarray:
-    return np.asarray(x, np.uint64).view(np.int64)
-
-
 def _node(found: np.ndarray) -> int:
-    return int(_signed([xxhash.xxh64_intdigest(found.tobytes())])[0])
+    return xxhash.xxh64_intdigest(found.tobytes()) - (1 << 63)
 
 
-def _described(texts: pd.Series, width: int, ids: WordIds) -> pd.DataFrame:
-    rows = []
-    for text in texts:
-        found = shingle_set(text, ids, width)
-        parity = np.packbits(np.bincount((found >> np.uint64(7)) % np.uint64(64 * BITS), minlength=64 * BITS) & 1)
-        rows.append((len(found), _node(found), *parity.view(np.int64).tolist()))
-    return pd.DataFrame(rows, columns=["n", "node", *[f"b{k}" for k in range(BITS)]])
+def _described(texts, width: int) -> pd.DataFrame:
+    out = []
+    for part in slices(list(texts), 256):
+        sets = shingle_sets(part, width)
+        sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+        spots = (np.concatenate(sets) >> np.uint64(7)).astype(np.int64) % SPOTS + np.repeat(np.arange(len(sets)) * SPOTS, sizes)
+        counts = np.bincount(spots, minlength=len(sets) * SPOTS).reshape(len(sets), SPOTS)
+        frame = pd.DataFrame(np.packbits(counts & 1, axis=1).view(np.int64), columns=[f"b{k}" for k in range(SPOTS // 64)])
+        frame.insert(0, "node", np.array([_node(x) for x in sets], np.int64))
+        frame.insert(0, "n", sizes.astype(np.int32))
+        counts = np.minimum(counts, 65535).astype(np.uint16)
+        frame["spread"] = [counts[k].tobytes() if n > LARGE else None for k, n in enumerate(sizes.tolist())]
+        out.append(frame)
+    return pd.concat(out)
 
 
 def describe(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n, node, b0...): size, hash and parity bitmap of each row's set. Equal sets have equal nodes."""
-    fields = ", ".join(["n int", "node long", *[f"b{k} long" for k in range(BITS)]])
-    ids = WordIds()
+    """(doc_id, n, node, b0..., spread): size and hash of each row's set, and sketches of it. Equal sets have equal nodes.
 
-    @pandas_udf(fields)
+    The elements are counted by hash in SPOTS places: b0... hold the parities, spread the counts, for large sets only.
+    """
+    @pandas_udf(", ".join(["n int", "node long", *[f"b{k} long" for k in range(SPOTS // 64)], "spread binary"]))
     def described(texts: pd.Series) -> pd.DataFrame:
-        return _described(texts, width, ids)
+        return _described(texts, width)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), described(F.col(text_col).cast("string")).alias("d")).select("doc_id", "d.*")
 
@@ -100,11 +105,11 @@ def frequent(docs: DataFrame, width: int, total: int, text_col: str) -> np.ndarr
     limit = np.uint64(int(COUNTED * 2**64))
 
     def counted(batches):
-        ids = WordIds()
         for batch in batches:
-            parts = [(found := shingle_set(t, ids, width))[: np.searchsorted(found, limit)] for t in batch.t]
-            found, n = np.unique(np.concatenate(parts), return_counts=True)
-            yield pd.DataFrame({"token": _signed(found), "n": n})
+            for part in slices(batch.t, 2048):
+                found = np.sort(np.concatenate([x[: np.searchsorted(x, limit)] for x in shingle_sets(part, width)]))
+                new = np.flatnonzero(np.concatenate(([True], found[1:] != found[:-1]))[: len(found)])
+                yield pd.DataFrame({"token": found[new].view(np.int64), "n": np.diff(np.append(new, len(found)))})
 
     counts = (docs.select(F.col(text_col).cast("string").alias("t")).mapInPandas(counted, "token long, n long")
               .groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") > above))
@@ -112,46 +117,49 @@ def frequent(docs: DataFrame, width: int, total: int, text_col: str) -> np.ndarr
     return top.token.to_numpy(np.int64).view(np.uint64)
 
 
-def keys(docs: DataFrame, width: int, at: Threshold, most: int, last: np.ndarray, text_col: str) -> DataFrame:
-    """(c, key, node, n). c = 0: the set's first shingles in the common order. c > 0: hashes of its subsets of c.
+def _first(found: np.ndarray, size: int, tokens: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The first elements in the common order: by hash, but the frequent ones last, rarest first."""
+    if not len(tokens):
+        return found[:size]
+    for end in (2 * size, len(found)):
+        head = found[:end]
+        at = np.minimum(np.searchsorted(tokens, head), len(tokens) - 1)
+        late = tokens[at] == head
+        early = head[~late]
+        if len(early) >= size:
+            return early[:size]
+    return np.concatenate((early, head[late][np.argsort(place[at[late]])]))[:size]
 
-    The order: the counted share by hash, then the others by hash, then the frequent ones, rarest first.
-    """
+
+def keys(docs: DataFrame, width: int, at: Threshold, most: int, last: np.ndarray, text_col: str) -> DataFrame:
+    """(c, key, node, n). c = 0: the set's first shingles in the common order. c > 0: hashes of its subsets of c."""
     rank = np.argsort(last)
     held = docs.sparkSession.sparkContext.broadcast((last[rank], rank))
 
-    def first(found: np.ndarray, size: int) -> np.ndarray:
-        tokens, place = held.value
-        if len(tokens) and len(found) > 1:
-            at_ = np.minimum(np.searchsorted(tokens, found), len(tokens) - 1)
-            late = np.where(tokens[at_] == found, place[at_] + 1, 0)
-            found = found[np.lexsort((found, late))]
-        return found[:size]
-
     def made(batches):
-        ids = WordIds()
+        tokens, place = held.value
         for batch in batches:
-            seen, out = set(), []
-            for text in batch.t:
-                found = shingle_set(text, ids, width)
-                n = len(found)
-                if not n or (node := _node(found)) in seen:
-                    continue
-                seen.add(node)
-                if n >= at.least(most + 1):
-                    out.append((0, first(found, at.prefix(n)), node, n))
-                if n <= most:
-                    spread = found * np.uint64(0xD6E8FEB86659FD93)
-                    for c in at.subset_sizes(n, most):
+            for part in slices(batch.t, 512):
+                seen, out = set(), []
+                for found in shingle_sets(part, width):
+                    n = len(found)
+                    if not n or (node := _node(found)) in seen:
+                        continue
+                    seen.add(node)
+                    if n >= at.least(most + 1):
+                        out.append((0, _first(found, at.prefix(n), tokens, place), node, n))
+                    if n <= most:
+                        spread = found * np.uint64(0xD6E8FEB86659FD93)
                         whole = spread.sum(dtype=np.uint64)
-                        gone = np.array(list(combinations(range(n), n - c)), np.int64).reshape(comb(n, c), n - c)
-                        out.append((c, np.unique(whole - spread[gone].sum(axis=1, dtype=np.uint64)), node, n))
-            lengths = [len(x[1]) for x in out]
-            yield pd.DataFrame({
-                "c": np.repeat(np.array([x[0] for x in out], np.int32), lengths),
-                "key": _signed(np.concatenate([x[1] for x in out])) if out else np.empty(0, np.int64),
-                "node": np.repeat(np.array([x[2] for x in out], np.int64), lengths),
-                "n": np.repeat(np.array([x[3] for x in out], np.int32), lengths)})
+                        for c in at.subset_sizes(n, most):
+                            gone = np.array(list(combinations(range(n), n - c)), np.int64).reshape(comb(n, c), n - c)
+                            out.append((c, np.unique(whole - spread[gone].sum(axis=1, dtype=np.uint64)), node, n))
+                lengths = [len(x[1]) for x in out]
+                yield pd.DataFrame({
+                    "c": np.repeat(np.array([x[0] for x in out], np.int32), lengths),
+                    "key": np.concatenate([x[1] for x in out]).view(np.int64) if out else np.empty(0, np.int64),
+                    "node": np.repeat(np.array([x[2] for x in out], np.int64), lengths),
+                    "n": np.repeat(np.array([x[3] for x in out], np.int32), lengths)})
 
     return docs.select(F.col(text_col).cast("string").alias("t")).mapInPandas(made, "c int, key long, node long, n int")
 
@@ -170,7 +178,7 @@ def candidates(found: DataFrame, classes: DataFrame, at: Threshold) -> DataFrame
     linked = at.num * (F.col("n") + F.col("hub.n")) <= (at.num + at.den) * F.col("c")
     stars = (small.join(hub, ["c", "key"]).filter((F.col("node") != F.col("hub.node")) & linked)
              .select(F.col("hub.node").alias("a"), F.col("node").alias("b")))
-    bits = [f"b{k}" for k in range(BITS)]
+    bits = [f"b{k}" for k in range(SPOTS // 64)]
     listed = found.filter("c = 0").select("key", "node", "n").join(classes.select("node", *bits), "node")
     a, b = listed.alias("l"), listed.alias("r")
     l, r = (lambda c: F.col(f"l.{c}")), (lambda c: F.col(f"r.{c}"))
@@ -178,21 +186,39 @@ def candidates(found: DataFrame, classes: DataFrame, at: Threshold) -> DataFrame
     both = l("n") + r("n")
     # a + b - 2 * overlap elements differ at most; overlap >= num * (a + b) / (num + den)
     near = (differ * (at.num + at.den) <= both * (at.den - at.num)) & (at.num * F.greatest(l("n"), r("n")) <= at.den * F.least(l("n"), r("n")))
-    pairs = a.join(b, (l("key") == r("key")) & (l("node") < r("node")) & near).select(l("node").alias("a"), r("node").alias("b"))
-    return pairs.unionByName(stars).distinct()
+    pairs = a.join(b, (l("key") == r("key")) & (l("node") < r("node")) & near).select(
+        l("node").alias("a"), r("node").alias("b"), (F.least(l("n"), r("n")) > LARGE).alias("large")).distinct()
+    pairs = cut(pairs)
+    return pairs.filter("not large").select("a", "b").unionByName(_closer(pairs.filter("large"), classes, at)).unionByName(stars)
+
+
+def _closer(pairs: DataFrame, classes: DataFrame, at: Threshold) -> DataFrame:
+    """Of pairs of large sets those whose counts by place differ by no more than linked sets can; elements that differ
+    change one count each, so no linked pair is lost."""
+    side = classes.filter("spread is not null").select("node", "n", "spread")
+
+    @pandas_udf("boolean")
+    def close(x: pd.Series, y: pd.Series, both: pd.Series) -> pd.Series:
+        ok = [np.abs(np.frombuffer(p, np.uint16).astype(np.int32) - np.frombuffer(q, np.uint16)).sum() for p, q in zip(x, y)]
+        return pd.Series((at.num + at.den) * np.array(ok, np.int64) <= (at.den - at.num) * both.to_numpy(np.int64))
+
+    left = side.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("spread").alias("sa"))
+    right = side.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("spread").alias("sb"))
+    return pairs.join(left, "a").join(right, "b").filter(close("sa", "sb", F.col("na") + F.col("nb"))).select("a", "b")
 
 
 def _verified(group: pd.DataFrame, width: int, at: Threshold) -> pd.DataFrame:
     """Of one block pair (i, j) of a component: edges of a spanning forest, and each set's links weighted by copies."""
     i, j = int(group.i.iloc[0]), int(group.j.iloc[0])
     group = group.drop_duplicates("node").reset_index(drop=True)
-    ids = WordIds()
-    sets = [shingle_set(t, ids, width) for t in group.t]
+    sets = shingle_sets(group.t, width)
     sizes = np.array([len(x) for x in sets])
     ends = np.cumsum(sizes)
     starts = ends - sizes
-    _, tokens = np.unique(np.concatenate(sets), return_inverse=True)
-    mark = np.zeros(tokens.max() + 1, np.int32)
+    # inverted lists: of each distinct shingle, the sets that have it
+    _, tokens, lengths = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owners = np.repeat(np.arange(len(sets)), sizes)[np.argsort(tokens, kind="stable")]
+    begins = np.cumsum(lengths) - lengths
     nodes, copies, block = group.node.to_numpy(), group.copies.to_numpy(), group.block.to_numpy()
     links, parent, edges = np.zeros(len(sets), np.int64), list(range(len(sets))), []
 
@@ -207,9 +233,9 @@ def _verified(group: pd.DataFrame, width: int, at: Threshold) -> pd.DataFrame:
         if not len(others):
             continue
         mine = tokens[starts[x]:ends[x]]
-        mark[mine] = 1
-        common = np.add.reduceat(mark[tokens], starts)[others]
-        mark[mine] = 0
+        long = lengths[mine]
+        steps = np.arange(long.sum()) - np.repeat(np.cumsum(long) - long - begins[mine], long)
+        common = np.bincount(owners[steps], minlength=len(sets))[others]
         linked = others[at.den * common >= at.num * (sizes[x] + sizes[others] - common)]
         links[x] += copies[linked].sum()
         np.add.at(links, linked, copies[x])
@@ -235,9 +261,9 @@ def jaccard_groups(docs: DataFrame, width: int = 3, num: int = 90, den: int = 10
     """
     at = Threshold(num, den)
     rows = cut(describe(docs, width, id_col, text_col))
-    bits = [f"b{k}" for k in range(BITS)]
+    sketches = [*[f"b{k}" for k in range(SPOTS // 64)], "spread"]
     classes = cut(rows.filter("n > 0").groupBy("node").agg(
-        F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), *[F.first(b).alias(b) for b in bits]))
+        F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), *[F.first(b).alias(b) for b in sketches]))
     total = rows.agg(F.sum("n")).first()[0] or 0
     sizes = {r["n"]: r["count"] for r in classes.filter(F.col("n") <= LARGEST_SMALL).groupBy("n").count().collect()}
     most = boundary(sizes, at)
