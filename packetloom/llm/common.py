@@ -144,6 +144,11 @@ def keep_ids(rows: DataFrame, ids: DataFrame, how: str = "left_semi", on: str =
     return rows.join(F.broadcast(ids) if is_small(ids, BROADCAST_IDS) else ids, on, how)
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with the value computed once for a row however often `use` names it, also inside lambdas."""
+    return F.transform(F.array(value), use)[0]
+
+
 def fresh(taken: list[str], name: str) -> str:
     """A column name that none of the taken ones equals, whatever its case."""
     used = {c.lower() for c in taken}

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators.joins import bounded
 from ..session import cut
-from .common import keep_ids
+from .common import keep_ids, let
 
 # Template words in a window.
 WIDTH = 5
@@ -44,9 +44,10 @@ def template(text: Column) -> Column:
 
 def hashes(words: Column) -> Column:
     """Hash of each window; [] with fewer words than a window has."""
-    last = F.size(words) - WIDTH
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(0)) + 1), lambda i: F.xxhash64(F.slice(words, i, WIDTH)))
-                  ).otherwise(F.array().cast("array<bigint>"))
+    def all_of(w: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(w) - WIDTH + 1, F.lit(1)))
+        return F.filter(F.transform(starts, lambda i: F.when(F.size(w) >= WIDTH, F.xxhash64(F.slice(w, i, WIDTH)))), lambda h: h.isNotNull())
+    return let(words, all_of)
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
@@ -82,7 +83,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     met = None
     for exact, form in ways:
         side = bounded(evidence.filter(F.col("exact") == exact).select("item_id", "ip", "h", "windows"))
-        own = docs.filter("doc_id is not null").select("doc_id", form(F.col("text")).alias("w")).select("doc_id", hashes(F.col("w")).alias("hs"))
+        own = docs.filter("doc_id is not null").select("doc_id", hashes(form(F.col("text"))).alias("hs"))
         found = own.select("doc_id", F.posexplode("hs").alias("dp", "h")).join(side, "h").select("doc_id", "item_id", "dp", "ip", "windows")
         met = found if met is None else met.unionByName(found)
     met = cut(met.dropDuplicates())
@@ -119,7 +120,7 @@ def _sql_marked(text: str) -> str:
 
 
 def _sql_windows(form: str) -> str:
-    return f"list_transform(range(0, len({form}) - {WIDTH} + 1), lambda i: array_to_string({form}[i + 1:i + {WIDTH}], ' '))"
+    return f"list_zip({', '.join(f'{form}[{k + 1}:]' for k in range(WIDTH))}, true)"
 
 
 _SLOT = f"regexp_matches(x, '^[{MARKS}]')"

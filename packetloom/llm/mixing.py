@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators.joins import lookup
 from ..session import cut
-from .common import fresh, unit
+from .common import fresh, let, unit
 from .ranks import gapless
 
 SEED = "mix-1"
@@ -55,8 +55,7 @@ def rates(docs: DataFrame, source: str = "source", weights: DataFrame | None = N
 def copies(doc_id: Column, parts: Column, cdf: Column) -> Column:
     """A Poisson number by inversion of a draw from (SEED, doc_id), for each part."""
     def one(part: Column) -> Column:
-        # the array holds the draw, so that it is hashed once and not for each number compared
-        return F.transform(F.array(unit(F.lit(SEED), doc_id, part)), lambda u: F.size(F.filter(cdf, lambda c: c <= u)))[0]
+        return let(unit(F.lit(SEED), doc_id, part), lambda u: F.size(F.filter(cdf, lambda c: c <= u)))
     return F.aggregate(F.sequence(F.lit(1), parts), F.lit(0).cast("long"), lambda n, part: n + one(part))
 
 

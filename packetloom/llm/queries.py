@@ -6,8 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontaminate import LEAKS_SQL, leaks
 from .jaccard_join import jaccard_groups
 from .language import predict
+from .licenses import scan_licenses
 from .mixing import MIX_SQL, mix_plan
+from .personal import find
+from .ppm import score_texts
+from .quality import judged, trusted_ids
 from .sharding import placements
+from .tokens import section_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -32,6 +37,21 @@ def op2_source_mixing(spark, sf_dir):
     return mix_plan(table(spark, sf_dir, "documents"))
 
 
+@query
+def op3_personal_data(spark, sf_dir):
+    return find(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_quality_rules(spark, sf_dir):
+    return judged(table(spark, sf_dir, "documents"), trusted_ids(table(spark, sf_dir, "labels")))
+
+
+@query
+def op5_license_scan(spark, sf_dir):
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 @query
 def op6_benchmark_decontamination(spark, sf_dir):
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -47,5 +67,15 @@ def op8_language_id(spark, sf_dir):
     return predict(table(spark, sf_dir, "documents"))
 
 
+@query
+def op9_token_counts(spark, sf_dir):
+    return section_tokens(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_lm_scoring(spark, sf_dir):
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 SQL["op2_source_mixing"] = MIX_SQL
 SQL["op6_benchmark_decontamination"] = LEAKS_SQL
