@@ -66,14 +66,15 @@ def replicated(docs: DataFrame, rated: DataFrame, source: str = "source") -> Dat
     to lower weights does. An empty table gives an empty one.
     """
     names = docs.columns
-    mix, key = fresh(names, "mix"), "mix_key"
-    n, b, k = (fresh(names, x) for x in ("mix_n", "mix_block", "mix_copy"))
-    rows = lookup(docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), _key(source).alias(key)), rated, key)
-    rows = rows.select("row", "rate", copies(F.col("row.doc_id"), F.col("parts"), F.col("cdf")).alias(n)).filter(F.col(n) > 0)
-    rows = rows.withColumn(b, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(n) - 1) / STEP))))
-    rows = rows.withColumn(k, F.explode(F.sequence(F.col(b) * STEP + 1, F.least(F.col(n), (F.col(b) + 1) * STEP))))
-    return rows.select("row.*", F.struct(F.col(k).alias("copy"), F.col(n).alias("copies"), "rate",
-                                         unit(F.lit(SEED), F.col("row.doc_id"), F.col(k), "place").alias("draw")).alias(mix))
+    key, rate, parts, cdf, n, block, copy = (fresh(names, f"mix_{x}") for x in ("key", "rate", "parts", "cdf", "copies", "block", "copy"))
+    side = rated.select(F.col("mix_key").alias(key), F.col("rate").alias(rate), F.col("parts").alias(parts), F.col("cdf").alias(cdf))
+    rows = lookup(docs.withColumn(key, _key(source)), side, key)
+    rows = rows.withColumn(n, copies(F.col("doc_id"), F.col(parts), F.col(cdf))).drop(key, parts, cdf).filter(F.col(n) > 0)
+    rows = rows.withColumn(block, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(n) - 1) / STEP))))
+    rows = rows.withColumn(copy, F.explode(F.sequence(F.col(block) * STEP + 1, F.least(F.col(n), (F.col(block) + 1) * STEP))))
+    return rows.select(*[F.col(f"`{c}`") for c in names], F.struct(
+        F.col(copy).alias("copy"), F.col(n).alias("copies"), F.col(rate).alias("rate"),
+        unit(F.lit(SEED), F.col("doc_id"), F.col(copy), "place").alias("draw")).alias(fresh(names, "mix")))
 
 
 def mixed_rows(docs: DataFrame, source: str = "source", weights: DataFrame | None = None, total: int | None = None) -> DataFrame:

@@ -47,13 +47,17 @@ def descend(key: Column, leaves: tuple[Leaf, ...]) -> Column:
         children = F.array(*[F.array(*[F.struct(F.lit(c).alias("id"), F.lit(w).alias("w")) for c, w in sorted(weights.get(k, {}).items())])
                              if k in weights else F.array().cast("array<struct<id:int,w:double>>") for k in range(max(weights) + 1)])
 
-        def drawn(c: Column, level: str = level) -> Column:
-            u = unit(key, F.concat(F.lit(level), c["id"].cast("string")))
-            return F.struct((-F.log(u + 2.0**-53) / c["w"]).alias("draw"), c["id"].alias("id"))
-        node = F.array_min(F.transform(F.element_at(children, node + 1), drawn))["id"]
+        node = F.array_min(F.transform(F.element_at(children, node + 1), _drawn(key, level)))["id"]
     return node
 
 
+def _drawn(key: Column, level: str):
+    def drawn(child: Column) -> Column:
+        u = unit(key, F.concat(F.lit(level), child["id"].cast("string")))
+        return F.struct((-F.log(u + 2.0**-53) / child["w"]).alias("draw"), child["id"].alias("id"))
+    return drawn
+
+
 def assigned(docs: DataFrame, leaves: tuple[Leaf, ...] | None = None) -> DataFrame:
     """docs with a column `shard`, or `_shard` where docs has that name. No row is moved to find it."""
     return docs.withColumn(fresh(docs.columns, "shard"), descend(F.col("doc_id"), leaves or tree()))
