@@ -5,7 +5,7 @@ from math import comb
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -17,7 +17,7 @@ from .graph import components
 # Places of the sketches of a set, a multiple of 64.
 SPOTS = 512
 # Sets above this size are also sketched by counts, as parities fill up.
-LARGE = 500
+LARGE = 1000
 # Share of the shingles, by hash, that come first in the global order and whose document counts are taken.
 COUNTED = 0.25
 # Most shingles that are put last in the order as frequent; it bounds what is broadcast to 16 bytes each.
@@ -25,7 +25,7 @@ FREQUENT = 1_000_000
 # Subsets are tried as the way for sets of up to this size.
 LARGEST_SMALL = 39
 # Shingles of a component's texts that one task compares with each other; larger components are cut into blocks.
-BLOCK = 1_000_000
+BLOCK = 300_000
 
 
 class Threshold:
@@ -70,7 +70,7 @@ def _node(found: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(found.tobytes()) - (1 << 63)
 
 
-def _described(texts, width: int) -> pd.DataFrame:
+def _described(texts, width: int, spread_from: int) -> pd.DataFrame:
     out = []
     for part in slices(list(texts), 256):
         sets = shingle_sets(part, width)
@@ -80,20 +80,21 @@ def _described(texts, width: int) -> pd.DataFrame:
         frame = pd.DataFrame(np.packbits(counts & 1, axis=1).view(np.int64), columns=[f"b{k}" for k in range(SPOTS // 64)])
         frame.insert(0, "node", np.array([_node(x) for x in sets], np.int64))
         frame.insert(0, "n", sizes.astype(np.int32))
-        counts = np.minimum(counts, 65535).astype(np.uint16)
-        frame["spread"] = [counts[k].tobytes() if n > LARGE else None for k, n in enumerate(sizes.tolist())]
+        # cut off counts differ no more than the counts do
+        counts = np.minimum(counts, 32767).astype(np.int16)
+        frame["spread"] = [counts[k] if n >= spread_from else None for k, n in enumerate(sizes.tolist())]
         out.append(frame)
     return pd.concat(out)
 
 
-def describe(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def describe(docs: DataFrame, width: int, at: Threshold, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n, node, b0..., spread): size and hash of each row's set, and sketches of it. Equal sets have equal nodes.
 
     The elements are counted by hash in SPOTS places: b0... hold the parities, spread the counts, for large sets only.
     """
-    @pandas_udf(", ".join(["n int", "node long", *[f"b{k} long" for k in range(SPOTS // 64)], "spread binary"]))
+    @pandas_udf(", ".join(["n int", "node long", *[f"b{k} long" for k in range(SPOTS // 64)], "spread array<smallint>"]))
     def described(texts: pd.Series) -> pd.DataFrame:
-        return _described(texts, width)
+        return _described(texts, width, at.least(LARGE + 1))
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), described(F.col(text_col).cast("string")).alias("d")).select("doc_id", "d.*")
 
@@ -165,11 +166,12 @@ def keys(docs: DataFrame, width: int, at: Threshold, most: int, last: np.ndarray
 
 
 def candidates(found: DataFrame, classes: DataFrame, at: Threshold) -> DataFrame:
-    """Edges (a, b) between sets that may link, without all pairs of a subset's group.
+    """Edges (a, b) that tie all sets together that may link; no more edges than keys, whatever the size of a group.
 
     Small sets: whoever shares a subset of c and links with another of the group also links with the smallest of the
-    group, so each is tied to that one. Large sets: pairs of an inverted list, within the join checked for size and for
-    the parity bitmap: bits that differ are at most the elements that differ, so no linked pair is lost.
+    group, so each is tied to that one. Large sets: those that some other set of an inverted list is near to, by size and
+    sketches, are tied to the first of these. An element that differs changes one parity, and one count by one, so no
+    linked pair is lost.
     """
     shared = found.groupBy("c", "key").agg(F.min("node").alias("x"), F.max("node").alias("y")).filter("x <> y").select("c", "key")
     found = cut(found.join(shared, ["c", "key"], "left_semi").dropDuplicates(["c", "key", "node"]))
@@ -179,32 +181,31 @@ def candidates(found: DataFrame, classes: DataFrame, at: Threshold) -> DataFrame
     stars = (small.join(hub, ["c", "key"]).filter((F.col("node") != F.col("hub.node")) & linked)
              .select(F.col("hub.node").alias("a"), F.col("node").alias("b")))
     bits = [f"b{k}" for k in range(SPOTS // 64)]
-    listed = found.filter("c = 0").select("key", "node", "n").join(classes.select("node", *bits), "node")
-    a, b = listed.alias("l"), listed.alias("r")
-    l, r = (lambda c: F.col(f"l.{c}")), (lambda c: F.col(f"r.{c}"))
-    differ = sum((F.bit_count(l(k).bitwiseXOR(r(k))) for k in bits[1:]), F.bit_count(l(bits[0]).bitwiseXOR(r(bits[0]))))
-    both = l("n") + r("n")
-    # a + b - 2 * overlap elements differ at most; overlap >= num * (a + b) / (num + den)
-    near = (differ * (at.num + at.den) <= both * (at.den - at.num)) & (at.num * F.greatest(l("n"), r("n")) <= at.den * F.least(l("n"), r("n")))
-    pairs = a.join(b, (l("key") == r("key")) & (l("node") < r("node")) & near).select(
-        l("node").alias("a"), r("node").alias("b"), (F.least(l("n"), r("n")) > LARGE).alias("large")).distinct()
-    pairs = cut(pairs)
-    return pairs.filter("not large").select("a", "b").unionByName(_closer(pairs.filter("large"), classes, at)).unionByName(stars)
-
-
-def _closer(pairs: DataFrame, classes: DataFrame, at: Threshold) -> DataFrame:
-    """Of pairs of large sets those whose counts by place differ by no more than linked sets can; elements that differ
-    change one count each, so no linked pair is lost."""
-    side = classes.filter("spread is not null").select("node", "n", "spread")
-
-    @pandas_udf("boolean")
-    def close(x: pd.Series, y: pd.Series, both: pd.Series) -> pd.Series:
-        ok = [np.abs(np.frombuffer(p, np.uint16).astype(np.int32) - np.frombuffer(q, np.uint16)).sum() for p, q in zip(x, y)]
-        return pd.Series((at.num + at.den) * np.array(ok, np.int64) <= (at.den - at.num) * both.to_numpy(np.int64))
-
-    left = side.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("spread").alias("sa"))
-    right = side.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("spread").alias("sb"))
-    return pairs.join(left, "a").join(right, "b").filter(close("sa", "sb", F.col("na") + F.col("nb"))).select("a", "b")
+    listed = found.filter("c = 0").select("key", "node", "n")
+    usual = listed.filter(F.col("n") <= LARGE).join(classes.select("node", *bits), "node")
+    large = listed.filter(F.col("n") >= at.least(LARGE + 1)).join(classes.select("node", *bits, "spread"), "node")
+
+    def near(l: str, r: str) -> Column:
+        def of(c: str) -> tuple[Column, Column]:
+            return F.col(f"{l}.{c}"), F.col(f"{r}.{c}")
+        (x, y), (m, n) = of("node"), of("n")
+        sizes = at.num * F.greatest(m, n) <= at.den * F.least(m, n)
+        differ = sum((F.bit_count(p.bitwiseXOR(q)) for p, q in map(of, bits[1:])), F.bit_count(of(bits[0])[0].bitwiseXOR(of(bits[0])[1])))
+        # m + n - 2 * overlap elements differ at most, and overlap >= num * (m + n) / (num + den)
+        return (x != y) & sizes & (differ * (at.num + at.den) <= (m + n) * (at.den - at.num))
+
+    def close(l: str, r: str) -> Column:
+        m, n, p, q = (F.col(f"{t}.{c}") for c in ("n", "spread") for t in (l, r))
+        apart = F.aggregate(F.zip_with(p, q, lambda x, y: F.abs(x.cast("int") - y)), F.lit(0), lambda a, x: a + x)
+        return near(l, r) & (F.greatest(m, n) > LARGE) & (apart * (at.num + at.den) <= (m + n) * (at.den - at.num))
+
+    tied = None
+    for rows, test in ((usual, near), (large, close)):
+        some = rows.alias("l").join(rows.alias("r"), (F.col("l.key") == F.col("r.key")) & test("l", "r"), "left_semi").select("key", "node")
+        tied = some if tied is None else tied.unionByName(some)
+    tied = cut(tied.distinct())
+    first = tied.groupBy("key").agg(F.min("node").alias("a"))
+    return tied.join(first, "key").filter("a <> node").select("a", F.col("node").alias("b")).unionByName(stars).distinct()
 
 
 def _verified(group: pd.DataFrame, width: int, at: Threshold) -> pd.DataFrame:
@@ -260,7 +261,7 @@ def jaccard_groups(docs: DataFrame, width: int = 3, num: int = 90, den: int = 10
     but where all are null. Further columns are ignored, whatever their names. An empty table gives an empty one.
     """
     at = Threshold(num, den)
-    rows = cut(describe(docs, width, id_col, text_col))
+    rows = cut(describe(docs, width, at, id_col, text_col))
     sketches = [*[f"b{k}" for k in range(SPOTS // 64)], "spread"]
     classes = cut(rows.filter("n > 0").groupBy("node").agg(
         F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), *[F.first(b).alias(b) for b in sketches]))
