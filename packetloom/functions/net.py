@@ -41,6 +41,11 @@ def is_ip(ip: Column) -> Column:
     return is_ipv4(ip) | is_ipv6(ip)
 
 
+def admitted() -> Column:
+    """TCP or UDP over IPv4."""
+    return F.coalesce(F.col("proto").isin(6, 17) & is_ipv4(F.col("src_ip")) & is_ipv4(F.col("dst_ip")), F.lit(False))
+
+
 def first_ipv4(message: Column) -> Column:
     """First IPv4-like text in a message, or NULL."""
     hit = F.regexp_extract(message, r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b", 0)

@@ -12,8 +12,8 @@ in a distributed way:
 * every other row gets a pointer to the start that would follow it, and the rows
   reachable from the heads are found by pointer doubling, in log2(chain) rounds.
 
-Input columns: key (struct), us (long), seq (long, unique in the key), clock (long,
-not decreasing with seq), and booleans closes, fin_a, fin_b.
+Input columns: key (struct), us (long), seq (long, unique in the key), clock (long, not
+decreasing in the order of us and seq), and booleans closes, fin_a, fin_b.
 """
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,8 +22,8 @@ from ..session import cut
 from .joins import bounded
 
 # Rows of one key that may be gathered in one array.
-GROUP_ROWS = 50_000
-POSITION = ("clock", "seq")
+GROUP_ROWS = 5_000
+POSITION = ("us", "seq")
 
 
 def hot_keys(rows: DataFrame, limit: int = GROUP_ROWS) -> DataFrame | None:
@@ -84,7 +84,7 @@ def segments(rows: DataFrame, idle_us: int, active_us: int, slice_us: int | None
     if "tag" not in rows.columns:
         rows = rows.withColumn("tag", F.lit(None).cast("boolean"))
     rows = rows.withColumn("slice", F.floor(F.col("clock") / F.lit(width)).cast("long"))
-    at = F.struct("clock", "seq")
+    at = F.struct(*POSITION)
     rows = carry(rows, {"prev": (F.struct("us", "closes"), False)})
     rows = rows.withColumn(
         "hard", F.col("prev").isNull() | F.col("prev.closes")
@@ -96,8 +96,8 @@ def segments(rows: DataFrame, idle_us: int, active_us: int, slice_us: int | None
     candidates = []
     if teardown:
         rows = carry(rows, {
-            "end_a": (F.when(F.col("fin_a"), F.struct("clock", "seq", "succ")), True),
-            "end_b": (F.when(F.col("fin_b"), F.struct("clock", "seq", "succ")), True),
+            "end_a": (F.when(F.col("fin_a"), F.struct(*POSITION, "succ")), True),
+            "end_b": (F.when(F.col("fin_b"), F.struct(*POSITION, "succ")), True),
         }, backward=True)
         candidates.append(F.when(F.col("end_a").isNotNull() & F.col("end_b").isNotNull(),
                                  F.greatest("end_a", "end_b")["succ"]))
@@ -117,15 +117,15 @@ def segments(rows: DataFrame, idle_us: int, active_us: int, slice_us: int | None
 
 def _first_at(rows: DataFrame, active_us: int, width: int) -> DataFrame:
     """(key, seq, to_active): first row whose clock is >= the row's us + active_us."""
-    real = rows.select("key", "clock", "seq", F.lit(1).alias("is_row"),
-                       F.struct("clock", "seq").alias("here"), F.lit(None).cast("long").alias("asks"))
-    probe = rows.select("key", (F.col("us") + active_us).alias("clock"), "seq", F.lit(0).alias("is_row"),
-                        F.lit(None).cast("struct<clock:long,seq:long>").alias("here"),
+    real = rows.select("key", "clock", *POSITION, F.lit(1).alias("is_row"),
+                       F.struct(*POSITION).alias("here"), F.lit(None).cast("long").alias("asks"))
+    probe = rows.select("key", (F.col("us") + active_us).alias("clock"), *POSITION, F.lit(0).alias("is_row"),
+                        F.lit(None).cast("struct<us:long,seq:long>").alias("here"),
                         F.col("seq").alias("asks"))
     both = real.unionByName(probe).withColumn(
         "slice", F.floor(F.col("clock") / F.lit(width)).cast("long"))
     both = carry(both, {"to_active": (F.col("here"), True)}, backward=True,
-                 order=("clock", "is_row", "seq"))
+                 order=("clock", "is_row", *POSITION))
     return both.filter("asks is not null").select("key", F.col("asks").alias("seq"), "to_active")
 
 

@@ -13,10 +13,21 @@ def geo_records(raw: DataFrame) -> DataFrame:
     """ip, country text, lat, lon from raw geo answers."""
     def part(name: str) -> Column:
         return F.coalesce(F.nullif(F.col(name), F.lit("")), F.lit("Unknown"))
-    return raw.select(
-        "ip", F.concat_ws(", ", part("country_name"), part("city"), part("state")).alias("country"),
+    place = F.struct(
+        F.concat_ws(", ", part("country_name"), part("city"), part("state")).alias("country"),
         numeric.coordinate(F.col("latitude")).alias("lat"),
         numeric.coordinate(F.col("longitude")).alias("lon"))
+    return newest_answer(raw, place, "place").select("ip", "place.*")
+
+
+def newest_answer(raw: DataFrame, record: Column, name: str) -> DataFrame:
+    """(ip, name): one row for each address, of its last answer by `ts` where there is one.
+
+    Answers of one time are told apart by what they say, so a rerun takes the same.
+    """
+    at = F.col("ts") if "ts" in raw.columns else F.lit(None).cast("timestamp")
+    last = raw.groupBy("ip").agg(F.max(F.struct(at.alias("at"), record.alias("record"))).alias("last"))
+    return last.select("ip", F.col("last.record").alias(name))
 
 
 def reputation_record(blacklisted, attacks, reports, score, usage, isp, source) -> Column:
@@ -39,10 +50,10 @@ def _count(body: str, path: str) -> Column:
 def scored_source(raw: DataFrame) -> DataFrame:
     """ip, rep of the scored source; answers other than 200 are no answers."""
     score = _count("body", "$.data.abuseConfidenceScore")
-    return raw.filter("status = 200").select("ip", reputation_record(
+    return newest_answer(raw.filter("status = 200"), reputation_record(
         score >= fixed.FLAG_SCORE, F.lit(0), _count("body", "$.data.totalReports"), score,
         F.get_json_object("body", "$.data.usageType"), F.get_json_object("body", "$.data.isp"),
-        "abuseipdb").alias("rep"))
+        "abuseipdb"), "rep")
 
 
 def count_source(raw: DataFrame) -> DataFrame:
@@ -51,8 +62,7 @@ def count_source(raw: DataFrame) -> DataFrame:
     none = F.lit(None)
     known = reputation_record(attacks > 0, attacks, _count("body", "$.reports"), none, none, none,
                               "blocklist.de")
-    return raw.select("ip", F.when(F.col("status") == 200, known)
-                      .otherwise(empty_record("unknown")).alias("rep"))
+    return newest_answer(raw, F.when(F.col("status") == 200, known).otherwise(empty_record("unknown")), "rep")
 
 
 # --- joins --------------------------------------------------------------------
@@ -144,7 +154,7 @@ def reputation_note(ip: Column, rep: Column) -> Column:
 def telemetry_rows(packets: DataFrame, geo: DataFrame, scored: DataFrame | None,
                    counted: DataFrame | None) -> DataFrame:
     """One telemetry row per admitted packet, for its source address."""
-    rows = packets.select(
+    rows = packets.filter(net.admitted()).select(
         F.col("seq").alias("id"), F.col("src_ip").alias("ip"), F.col("ts").alias("timestamp"),
         F.concat(F.lit("IP / "), F.when(F.col("proto") == 6, "TCP").otherwise("UDP"), F.lit(" "),
                  F.col("src_ip"), F.lit(":"), F.col("src_port").cast("string"), F.lit(" > "),

@@ -16,19 +16,14 @@ FLOW_COLUMNS = [
 
 def admit(packets: DataFrame) -> DataFrame:
     """IPv4 TCP and UDP packets only."""
-    return packets.filter(admitted())
-
-
-def admitted() -> Column:
-    return F.coalesce(F.col("proto").isin(6, 17) & net.is_ipv4(F.col("src_ip"))
-                      & net.is_ipv4(F.col("dst_ip")), F.lit(False))
+    return packets.filter(net.admitted())
 
 
 def admission_counts(packets: DataFrame) -> DataFrame:
     """Packets read, admitted and ignored."""
     return packets.agg(F.count("*").alias("packets_read"),
-                       F.count_if(admitted()).alias("admitted"),
-                       F.count_if(~admitted()).alias("ignored"))
+                       F.count_if(net.admitted()).alias("admitted"),
+                       F.count_if(~net.admitted()).alias("ignored"))
 
 
 def keyed(packets: DataFrame, mode: str = "per_flow", tracker: str | None = None) -> DataFrame:
@@ -51,7 +46,7 @@ def keyed(packets: DataFrame, mode: str = "per_flow", tracker: str | None = None
     flow = F.col("key")
     rows = rows.withColumns({"flow_key": flow, "key": F.struct(own.alias("tracker")),
                              "slice": F.floor(us / F.lit(60_000_000)).cast("long")})
-    rows = chain.carry(rows, {"clock": (F.col("us"), False)}, order=("us", "seq"))
+    rows = chain.carry(rows, {"clock": (F.col("us"), False)})
     return (rows.withColumn("key", F.struct(F.col("flow_key.lo").alias("lo"), F.col("flow_key.hi").alias("hi"),
                                      F.col("flow_key.proto").alias("proto"),
                                      F.col("key.tracker").alias("tracker")))
@@ -81,7 +76,7 @@ def build_flows(packets: DataFrame, idle_s: float = fixed.IDLE_S, active_s: floa
 
 def _fold(rows: DataFrame, idle: int, active: int) -> DataFrame:
     """Flows of keys whose packets fit one array: sort, then one JVM-side fold."""
-    packet = F.struct("clock", "seq", "us", "from_lo", "payload_len", "syn", "rst", "fin", "ack")
+    packet = F.struct("us", "seq", "clock", "from_lo", "payload_len", "syn", "rst", "fin", "ack")
     gathered = rows.groupBy("key").agg(F.sort_array(F.collect_list(packet)).alias("p"))
     gathered = gathered.withColumn("tcp", F.col("key.proto") == 6)
     flow_type = ("struct<seq:long,lo_first:boolean,first:long,last:long,fp:long,bp:long,fb:long,bb:long,"

@@ -46,14 +46,6 @@ def pending(spark: SparkSession, ledger: DataFrame) -> DataFrame:
     return steps.join(ledger.select("name"), "name", "left_anti").orderBy("place")
 
 
-def upgraded(detections: DataFrame, steps: list[str]) -> DataFrame:
-    """Detections with the columns of the given steps."""
-    for step in steps:
-        if step in schema.DETECTION_ADDED:
-            detections = add_columns(detections, schema.DETECTION_ADDED[step])
-    return detections
-
-
 def migrate(spark: SparkSession, root: str) -> list[str]:
     """Bring the tables below `root` up to date; gives the steps that ran.
 

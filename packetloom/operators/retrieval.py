@@ -1,5 +1,5 @@
 """BM25 search over incidents or any text table."""
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import fixed
@@ -135,18 +135,26 @@ def delta(detections: DataFrame, indexed: DataFrame) -> tuple[DataFrame, bool]:
     return detections.join(indexed.select(F.col("doc_id").alias("id")), "id", "left_anti"), False
 
 
+def stored(spark: SparkSession, path: str) -> DataFrame:
+    """A stored index or document table."""
+    return spark.read.parquet(path).drop("sync")
+
+
 def sync(detections: DataFrame, index_path: str, docs_path: str) -> int:
-    """Bring a stored index up to date; gives the number of rows indexed."""
+    """Bring a stored index up to date; gives the number of rows indexed.
+
+    What a run adds lies in one folder, named by the state that it started from. A run that died is run again from the same
+    state, so it overwrites what was left. The document table is written last: the next delta is taken from it.
+    """
     from ..sources.sinks import exists
     spark = detections.sparkSession
-    known = (spark.read.parquet(docs_path) if exists(spark, docs_path)
-             else spark.createDataFrame([], "doc_id long, length long"))
+    known = stored(spark, docs_path) if exists(spark, docs_path) else spark.createDataFrame([], "doc_id long, length long")
+    state = known.agg(F.count("*").alias("n"), F.max("doc_id").alias("top")).first()
     fresh, rebuild = delta(detections, known)
     docs = cut(incident_documents(fresh))
-    mode = "overwrite" if rebuild else "append"
-    postings(docs).write.mode(mode).parquet(index_path)
-    # The document table is written last: it is what the next delta is taken from.
-    document_table(docs).write.mode(mode).parquet(docs_path)
+    for rows, path in ((postings(docs), index_path), (document_table(docs), docs_path)):
+        (rows.withColumn("sync", F.lit(f"from-{state['n']}-{state['top']}")).write.mode("overwrite")
+         .option("partitionOverwriteMode", "static" if rebuild else "dynamic").partitionBy("sync").parquet(path))
     return docs.count()
 
 

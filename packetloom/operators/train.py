@@ -27,6 +27,12 @@ def scaler(train: DataFrame) -> list:
             VectorAssembler(inputCols=[f"z_{c}" for c in fixed.FEATURES], outputCol="features")]
 
 
+def packed(rows: DataFrame, per_part: int = 50_000) -> DataFrame:
+    """Rows written once and read in as many partitions as they fill; each round of a fit reads them all."""
+    held = cut(rows)
+    return held.repartition(max(1, held.count() // per_part)).persist()
+
+
 def boosted(rounds: int = 200, seed: int = 42):
     return GBTClassifier(labelCol="y", weightCol="weight", maxIter=rounds, maxDepth=5, stepSize=0.1, seed=seed,
                          checkpointInterval=10)
@@ -55,6 +61,7 @@ Learners = dict[str, Callable[[], object]]
 def sweep(train: DataFrame, val: DataFrame, learners: Learners, alphas: list[float] | None = None,
           label: str = fixed.LABEL_COLUMN) -> tuple[DataFrame, dict]:
     """One fit per (model, alpha); the frontier of all of them on the validation rows."""
+    train = packed(train)
     stages, scored, fitted = scaler(train), None, {}
     for name, make in learners.items():
         for alpha in alphas or fixed.GATE_ALPHAS:
@@ -62,13 +69,14 @@ def sweep(train: DataFrame, val: DataFrame, learners: Learners, alphas: list[flo
             part = gate_probability(fitted[name, alpha], val).select(
                 F.lit(name).alias("model"), F.lit(alpha).alias("alpha"), F.col(label).alias("label"), "y", "p", "mult")
             scored = part if scored is None else scored.unionByName(part)
+    train.unpersist()
     return evaluate.frontier(scored), fitted
 
 
 def evaluate_split(parts: DataFrame, points: dict[str, tuple[float, float]], learners: Learners,
                    name: str, label: str = fixed.LABEL_COLUMN) -> DataFrame:
     """Fit every model on the train part at its own point; one row of test numbers each."""
-    train, test = parts.filter("part = 'train'"), parts.filter("part = 'test'")
+    train, test = packed(parts.filter("part = 'train'")), parts.filter("part = 'test'")
     stages, out = scaler(train), None
     for model, make in learners.items():
         alpha, threshold = points[model]
@@ -80,6 +88,7 @@ def evaluate_split(parts: DataFrame, points: dict[str, tuple[float, float]], lea
                 .select(F.lit(name).alias("split"), F.lit(model).alias("model"), F.lit(alpha).alias("alpha"),
                         F.lit(threshold).alias("threshold"), "*"))
         out = line if out is None else out.unionByName(line)
+    train.unpersist()
     return out
 
 
@@ -134,11 +143,13 @@ def family_scores(model: PipelineModel, rows: DataFrame) -> DataFrame:
 
 def alpha_sweep(train: DataFrame, val: DataFrame, make: Callable[[], object], alphas: list[float] | None = None):
     """Fit per alpha; macro F1 on the validation rows, and the fitted models."""
+    train = packed(train)
     stages, scored, fitted = scaler(train), None, {}
     for alpha in alphas or fixed.FAMILY_ALPHAS:
         fitted[alpha] = fit_attributor(train, alpha, make(), stages)
         part = family_scores(fitted[alpha], val).select(F.lit(alpha).alias("alpha"), "family", "pred", "conf")
         scored = part if scored is None else scored.unionByName(part)
+    train.unpersist()
     return evaluate.macro_f1(scored, ("alpha",)), scored, fitted
 
 

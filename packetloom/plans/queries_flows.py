@@ -1,6 +1,7 @@
 """Queries on packets, flows, verdicts and enrichment."""
 from pyspark.sql import functions as F
 
+from .. import schema
 from ..functions import net, text
 from ..operators import chain, enrich, flows, scoring
 from ..session import scratch
@@ -259,13 +260,12 @@ def missing_geo_labels(spark, sf):
 
 
 @query("reputation_as_of", v.over("flows") + f""",
-hist AS (SELECT {v.client('user_id')} AS ip, epoch_us(ts) AS us, CAST(floor(value) AS INTEGER) % 101 AS score
-         FROM events WHERE event_type = 'view')
+hist AS (SELECT {v.client('user_id')} AS ip, epoch_us(ts) AS us, max(CAST(floor(value) AS INTEGER) % 101) AS score
+         FROM events GROUP BY ALL)
 SELECT f.flow_id, f.src_ip, strftime(make_timestamp(h.us), '%Y-%m-%d %H:%M:%S') AS seen_at, CAST(h.score AS DOUBLE) AS abuse_score
 FROM flows f ASOF LEFT JOIN hist h ON f.src_ip = h.ip AND f.first_us >= h.us""")
 def reputation_as_of(spark, sf):
-    ev = views.table(spark, sf, "events").filter("event_type = 'view'")
-    history = ev.select(views.client_ip(F.col("user_id")).alias("ip"), F.col("ts").cast("timestamp").alias("seen_at"),
+    history = views.table(spark, sf, "events").select(views.client_ip(F.col("user_id")).alias("ip"), F.col("ts").cast("timestamp").alias("seen_at"),
                         (F.floor("value").cast("int") % 101).alias("abuse_score"))
     rows = enrich.reputation_as_of(views.flow_rows(spark, sf).select("flow_id", "src_ip", "first_ts"), history)
     return stamped(rows.select("flow_id", "src_ip", "seen_at", F.col("abuse_score").cast("double").alias("abuse_score")), "seen_at")
@@ -344,21 +344,24 @@ def log_and_metric_sinks(spark, sf):
     return out
 
 
+ROUTED = [f.rsplit(" ", 1)[0] for f in schema.TELEMETRY.split(", ")]
+
+
 @query("routed_batch_sink", v.over("telemetry", "detections") + """
-SELECT 'telemetry' AS target, count(*) AS written, CAST(sum(id) AS BIGINT) AS id_sum FROM telemetry
-UNION ALL SELECT 'detections', count(*), CAST(sum(id) AS BIGINT) FROM detections""")
+SELECT 'telemetry' AS target, id, ip, country, lat, lon, summary, blacklisted, attacks, reports, epoch_us(timestamp) AS us, abuse_score, rep_source FROM telemetry
+UNION ALL SELECT 'detections', id, src_ip, country, lat, lon, summary, cnn_verdict, fwd_packets, rep_reports, epoch_us(timestamp), abuse_score, rep_source
+FROM detections""")
 def routed_batch_sink(spark, sf):
-    """One mixed batch, one write per target table."""
+    """One mixed batch, one write per target table, all rows read back."""
     mixed = sinks.as_routed(views.telemetry(spark, sf), "telemetry").unionByName(
         sinks.as_routed(views.detections(spark, sf), "detections"))
     targets = {t: scratch(spark, f"routed-{t}") for t in ("telemetry", "detections")}
     sinks.route(mixed, targets)
-    out = None
-    for name, path in targets.items():
-        part = sinks.read_fact(spark, path).agg(F.count("*").alias("written"), F.sum("id").alias("id_sum")).select(
-            F.lit(name).alias("target"), "*")
-        out = part if out is None else out.unionByName(part)
-    return out
+    detections = sinks.read_fact(spark, targets["detections"]).withColumnsRenamed(
+        {"src_ip": "ip", "cnn_verdict": "blacklisted", "fwd_packets": "attacks", "rep_reports": "reports"})
+    both = sinks.read_fact(spark, targets["telemetry"]).select(F.lit("telemetry").alias("target"), *ROUTED).unionByName(
+        detections.select(F.lit("detections").alias("target"), *ROUTED))
+    return both.withColumn("us", F.unix_micros("timestamp")).drop("timestamp")
 
 
 @query("annotation_upsert", v.over("detections") + """
@@ -377,13 +380,14 @@ def annotation_upsert(spark, sf):
 
 @query("job_counters", v.over("packets", "flows", extra=fires_sql(
     f"SELECT src_ip AS k, us, seq FROM packets WHERE {v.enrichable('src_ip')}", 900_000_000)) + """
-SELECT (SELECT count(*) FROM packets) AS packets_read, (SELECT count(*) FROM flows) AS flows_built,
+SELECT (SELECT count(*) FROM packets) AS packets_read, (SELECT count(*) FROM packets WHERE proto IN (6, 17)) AS admitted,
+  (SELECT count(*) FROM packets WHERE proto NOT IN (6, 17)) AS ignored, (SELECT count(*) FROM flows) AS flows_built,
   (SELECT count(*) FILTER (WHERE fire) FROM hop) AS lookup_misses, (SELECT count(*) FILTER (WHERE NOT fire) FROM hop) AS lookup_hits""")
 def job_counters(spark, sf):
     p = views.packets(spark, sf)
     lookups = enrich.lookup_demand(p, 900, "src_ip").agg(F.sum("misses").alias("lookup_misses"), F.sum("hits").alias("lookup_hits"))
-    return p.agg(F.count("*").alias("packets_read")).crossJoin(
-        views.flow_rows(spark, sf).agg(F.count("*").alias("flows_built"))).crossJoin(lookups)
+    built = views.flow_rows(spark, sf).agg(F.count("*").alias("flows_built"))
+    return flows.admission_counts(p).crossJoin(F.broadcast(built)).crossJoin(F.broadcast(lookups))
 
 
 # --- texts --------------------------------------------------------------------

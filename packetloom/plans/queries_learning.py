@@ -272,7 +272,7 @@ FAM = v.over("family_scores")
 
 def _families(spark, sf):
     rows = views.family_scores(spark, sf)
-    return rows.select("row_id", "family", scoring.best_family(F.col("family_probs"), views.FAMILIES).alias("pred"),
+    return rows.select("row_id", "turn", "family", scoring.best_family(F.col("family_probs"), views.FAMILIES).alias("pred"),
                        F.array_max("family_probs").alias("conf"))
 
 
@@ -285,7 +285,7 @@ asweep AS (SELECT threshold, round_even(count(*) FILTER (WHERE a) / count(*), 4)
 
 @query("family_argmax", FAM + "SELECT row_id, family, pred, conf FROM family_scores")
 def family_argmax(spark, sf):
-    return _families(spark, sf)
+    return _families(spark, sf).drop("turn")
 
 
 @query("attribution_sweep", v.over("family_scores", extra=SWEEP) + "SELECT * FROM asweep")
@@ -324,18 +324,18 @@ def macro_f1(spark, sf):
 
 @query("best_alpha", FAM + """, f AS (SELECT alpha, round_even(avg(2.0 * tp / (t + p)), 4) AS macro_f1 FROM (
   SELECT alpha, c, count(*) FILTER (WHERE family = c AND pred = c) AS tp, count(*) FILTER (WHERE family = c) AS t, count(*) FILTER (WHERE pred = c) AS p
-  FROM (SELECT [0.0, 0.25, 0.5, 0.75, 1.0][row_id % 5 + 1]::DOUBLE AS alpha, * FROM family_scores), (SELECT DISTINCT family AS c FROM family_scores)
+  FROM (SELECT [0.0, 0.25, 0.5, 0.75, 1.0][turn % 5 + 1]::DOUBLE AS alpha, * FROM family_scores), (SELECT DISTINCT family AS c FROM family_scores)
   GROUP BY 1, 2) WHERE t + p > 0 GROUP BY 1)
 SELECT alpha, macro_f1 FROM f ORDER BY macro_f1 DESC, alpha LIMIT 1""")
 def best_alpha(spark, sf):
     alphas = F.array(*[F.lit(a) for a in fixed.FAMILY_ALPHAS])
-    rows = _families(spark, sf).withColumn("alpha", F.element_at(alphas, (F.col("row_id") % 5 + 1).cast("int")))
+    rows = _families(spark, sf).withColumn("alpha", F.element_at(alphas, (F.col("turn") % 5 + 1).cast("int")))
     return evaluate.best_alpha(evaluate.macro_f1(rows, ("alpha",)))
 
 
 # --- training -----------------------------------------------------------------
-# Fits depend on Spark's learners, so these have no SQL; few rounds keep them short.
-LEARNERS = {"trees": lambda: train.boosted(4), "linear": lambda: train.linear(10)}
+# Fits depend on Spark's learners, so these have no SQL; tests/test_learning.py holds them against what must be true of any.
+LEARNERS = {"trees": train.boosted, "linear": train.linear}
 
 
 def _training_rows(spark, sf):
@@ -358,7 +358,7 @@ def standardised_features(spark, sf):
 def gate_training(spark, sf):
     """Boosted trees on the train part, through a saved model, scored on the test part."""
     parts = _training_rows(spark, sf)
-    model = train.fit_gate(parts.filter("part = 'train'"), 0.5, train.boosted(4))
+    model = train.fit_gate(train.packed(parts.filter("part = 'train'")), 0.5, train.boosted())
     path = scratch(spark, "gate")
     sinks.save_model(model, path)
     rows = train.gate_probability(sinks.load_model(path), parts.filter("part = 'test'"))
@@ -367,9 +367,9 @@ def gate_training(spark, sf):
 
 @query("frontier_training")
 def frontier_training(spark, sf):
-    """Both models over two alphas and the whole threshold grid, on the validation part."""
+    """Both models over all alphas and the whole threshold grid, on the validation part."""
     parts = _training_rows(spark, sf)
-    front, _ = train.sweep(parts.filter("part = 'train'"), parts.filter("part = 'val'"), LEARNERS, [0.0, 0.5])
+    front, _ = train.sweep(parts.filter("part = 'train'"), parts.filter("part = 'val'"), LEARNERS)
     return front.drop("per_class_recall")
 
 
@@ -387,7 +387,7 @@ def leakage_check(spark, sf):
 def attributor_training(spark, sf):
     """Family forest per alpha, macro F1 on the validation part."""
     rows = cut(prepare.stratified_split(prepare.families(_prepared(spark, sf).filter("y = 1")), "family"))
-    scores, _, _ = train.alpha_sweep(rows.filter("part = 'train'"), rows.filter("part = 'val'"), lambda: train.forest(8), [0.0, 1.0])
+    scores, _, _ = train.alpha_sweep(rows.filter("part = 'train'"), rows.filter("part = 'val'"), train.forest)
     return scores
 
 
@@ -401,8 +401,9 @@ def train_serve_agreement(spark, sf):
     """
     rows = _prepared(spark, sf).filter(prepare.replay_safe() & (
         (F.col("duration_s") == 0) | (F.col("fwd_packets") + F.col("bwd_packets") > 1)))
-    rows = rows.withColumn("flow_id", F.col("row_id")).distinct()
-    model = train.fit_gate(rows, 0.0, train.linear(5))
+    # written once, so that the numbers stay as they are
+    rows = cut(rows.distinct().withColumn("flow_id", F.monotonically_increasing_id()))
+    model = train.fit_gate(train.packed(rows), 0.0, train.linear())
     n = F.col("flow_id")
     as_flows = rows.withColumns({
         "src_ip": F.concat_ws(".", F.lit("100"), *[(F.floor(n / d) % 256).cast("string") for d in (65536, 256, 1)]),

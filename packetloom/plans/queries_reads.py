@@ -231,7 +231,7 @@ def counter_growth(spark, sf):
 
 
 LOGINS = f"""attempts AS (SELECT {v.client('user_id')} AS address, epoch_us(ts) AS us, event_id AS seq, event_type = 'purchase' AS success,
-    row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events WHERE event_type IN ('error', 'view', 'purchase')),
+    row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
 fold AS (
   SELECT *, false AS blocked, CASE WHEN success THEN []::BIGINT[] ELSE [us] END AS live FROM attempts WHERE rn = 1
   UNION ALL
@@ -242,8 +242,7 @@ fold AS (
 
 @query("login_bursts", f"WITH RECURSIVE {LOGINS} SELECT address, seq, success, blocked FROM fold")
 def login_bursts(spark, sf):
-    ev = views.table(spark, sf, "events").filter("event_type in ('error', 'view', 'purchase')")
-    rows = ev.select(views.client_ip(F.col("user_id")).alias("address"),
+    rows = views.table(spark, sf, "events").select(views.client_ip(F.col("user_id")).alias("address"),
                      F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.col("event_id").alias("seq"),
                      (F.col("event_type") == "purchase").alias("success"))
     return monitor.login_attempts(rows, window_s=5 * 86_400).select("address", "seq", "success", "blocked")

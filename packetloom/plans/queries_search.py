@@ -131,19 +131,22 @@ def grounded_citations(spark, sf):
     return got.select("query_id", joined(retrieval.grounded(said, F.col("got"))).alias("cited"))
 
 
-@query("index_delta", v.over("detections") + """SELECT count(*) FILTER (WHERE id > h) AS to_index, count(*) FILTER (WHERE id <= h) AS indexed,
-  count(*) FILTER (WHERE id > h) AS added, false AS rebuilt FROM detections, (SELECT max(id) * 7 // 10 AS h FROM detections)""")
+@query("index_delta", v.over("detections") + """, h AS (SELECT max(id) * 7 // 10 AS h FROM detections),
+n AS (SELECT count(*) FILTER (WHERE id <= h) AS low, count(*) AS n FROM detections, h)
+SELECT 'part' AS step, 0 AS before, low AS after, false AS rebuilt FROM n UNION ALL SELECT 'rest', low, n, false FROM n
+UNION ALL SELECT 'again', n, n, false FROM n UNION ALL SELECT 'shrunk', n, low, true FROM n""")
 def index_delta(spark, sf):
-    """Index the older part, then bring the stored index up to date."""
+    """Index the older part, then all, then all again, then a table whose ids went back: that index is built anew."""
     d = views.detections(spark, sf)
-    high = d.agg(F.max("id")).first()[0] * 7 // 10
+    low = d.filter(F.col("id") <= d.agg(F.max("id")).first()[0] * 7 // 10)
     index, docs = scratch(spark, "index"), scratch(spark, "docs")
-    retrieval.sync(d.filter(F.col("id") <= high), index, docs)
-    before = spark.read.parquet(docs)
-    fresh, rebuilt = retrieval.delta(d, before)
-    counted = fresh.agg(F.count("*").alias("to_index")).crossJoin(before.agg(F.count("*").alias("indexed")))
-    first = counted.collect()[0]
-    added = retrieval.sync(d, index, docs)
-    return spark.read.parquet(docs).agg(
-        F.lit(first["to_index"]).alias("to_index"), F.lit(first["indexed"]).alias("indexed"),
-        (F.count("*") - F.lit(first["indexed"])).alias("added"), F.lit(rebuilt).alias("rebuilt")).filter(F.lit(added >= 0))
+    steps, before = [], 0
+    for step, rows in (("part", low), ("rest", d), ("again", d), ("shrunk", low)):
+        rebuilt = before > 0 and retrieval.delta(rows, retrieval.stored(spark, docs))[1]
+        retrieval.sync(rows, index, docs)
+        after = retrieval.stored(spark, docs)
+        if retrieval.stored(spark, index).select("doc_id").distinct().count() != after.count():
+            raise ValueError("postings and documents differ")
+        steps.append((step, before, after.count(), bool(rebuilt)))
+        before = steps[-1][2]
+    return spark.createDataFrame(steps, "step string, before long, after long, rebuilt boolean")

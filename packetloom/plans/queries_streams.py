@@ -10,7 +10,7 @@ from . import view_sql as v
 from . import views
 from .catalog import query
 from .queries_flows import FLOW_SQL, _timed
-from .queries_reads import STAMP, TRIGGERED, WEEK, fires_sql
+from .queries_reads import SENT, STAMP, TRIGGERED, WEEK
 
 
 def _event_stream(spark, sf):
@@ -100,19 +100,17 @@ def _alert_rows(spark, sf):
     return alerts.alert_input(views.detections(spark, sf))
 
 
-CORROBORATED = TRIGGERED + ",\n" + fires_sql(
-    "SELECT src_ip || '|' || coalesce(technique_id, '-') AS k, epoch_us(timestamp) AS us, id AS seq FROM due WHERE trigger = 'corroborated'",
-    WEEK * 1_000_000)
-
-
-@query("stream_throttled_alerts", v.over("detections", extra=CORROBORATED) + "SELECT seq AS id FROM hop WHERE fire")
+@query("stream_throttled_alerts", v.over("detections", extra=SENT) + """
+SELECT id, trigger, src_ip, technique_id FROM due WHERE id IN (SELECT seq FROM hop WHERE fire)""")
 def stream_throttled_alerts(spark, sf):
-    return _run_in_parts(spark, _alert_rows(spark, sf), lambda s: detect.corroborated_alerts(s, WEEK), "alerts")
+    """The alerts of the batch operator, from a stream: both triggers share the throttle."""
+    rows = _run_in_parts(spark, _alert_rows(spark, sf), lambda s: detect.throttled_alerts(s, WEEK), "alerts")
+    return rows.select("id", "trigger", "src_ip", "technique_id")
 
 
 @query("stream_first_sightings", v.over("detections", extra=TRIGGERED) + "SELECT id FROM firsts")
 def stream_first_sightings(spark, sf):
-    return _run_in_parts(spark, _alert_rows(spark, sf), detect.first_sights, "sightings")
+    return _run_in_parts(spark, _alert_rows(spark, sf), detect.first_sights, "sightings").select("id")
 
 
 @query("stream_packet_rate", v.over("packets") + """, w AS (

@@ -6,8 +6,8 @@ SERVER = "93.184.216.34"
 
 
 def client(uid: str) -> str:
-    return (f"(CASE WHEN {uid} % 10 = 9 THEN '10.0.' ELSE '198.51.' END || CAST(({uid} // 100) % 250 AS VARCHAR)"
-            f" || '.' || CAST({uid} % 100 AS VARCHAR))")
+    return (f"(CASE WHEN {uid} % 10 = 9 THEN '10' ELSE CAST(131 + ({uid} // 6250000) % 38 AS VARCHAR) END || '.' || CAST(({uid} // 25000) % 250 AS VARCHAR)"
+            f" || '.' || CAST(({uid} // 100) % 250 AS VARCHAR) || '.' || CAST({uid} % 100 AS VARCHAR))")
 
 
 OCT = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
@@ -99,7 +99,7 @@ GEO = f"""raw_geo AS (
     CASE WHEN c_custkey % 7 = 0 THEN 'Not found' ELSE ((c_custkey * 37) % 170 - 85) || '.37' END AS latitude,
     CASE WHEN c_custkey % 7 = 0 THEN 'Not found' WHEN c_custkey % 13 = 5 THEN 'NaN'
          ELSE ((c_custkey * 71) % 340 - 170) || '.37' END AS longitude
-  FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 11 <> 3),
+  FROM customer JOIN nation ON c_nationkey = n_nationkey),
 geo AS (
   SELECT ip, coalesce(nullif(country_name, ''), 'Unknown') || ', ' || coalesce(nullif(city, ''), 'Unknown')
       || ', ' || coalesce(nullif(state, ''), 'Unknown') AS country,
@@ -183,7 +183,7 @@ METRICS = """metrics AS (
 LABEL_LIST = ("['BENIGN', 'PortScan', 'DoS Hulk', 'DDoS', 'FTP-Patator', 'Bot', 'Web Attack – Brute Force', "
               "'Web Attack – XSS', 'Infiltration', 'Unlisted Thing']")
 
-LINE_ID = "(((l_orderkey * 8 + l_linenumber) * 20000 + l_partkey) * 1000 + l_suppkey)"
+LINE_ID = "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey)"
 
 LABELLED = f"""labelled_raw AS (
   SELECT {LINE_ID} AS row_id, CAST((l_partkey % 12) * 400000 - 400000 AS DOUBLE) AS dur_us,
@@ -209,7 +209,7 @@ SCORES = f"""scores AS (
           (l_orderkey * 13 + l_suppkey * 7 + l_linenumber * 101) % 1000 AS noise FROM lineitem))"""
 
 FAMILY_SCORES = f"""family_scores AS (
-  SELECT {LINE_ID} AS row_id, {FAMILY_LIST}[l_partkey % 7 + 1] AS family,
+  SELECT {LINE_ID} AS row_id, l_orderkey + l_suppkey AS turn, {FAMILY_LIST}[l_partkey % 7 + 1] AS family,
     {FAMILY_LIST}[CASE WHEN l_orderkey % 5 = 0 THEN (l_partkey + l_suppkey) % 7 ELSE l_partkey % 7 END + 1] AS pred,
     (20 + (l_orderkey * 3 + l_suppkey) % 80) / 100.0 AS conf
   FROM lineitem)"""

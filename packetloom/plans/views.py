@@ -23,8 +23,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def client_ip(uid: Column) -> Column:
-    net = F.when(uid % 10 == 9, "10.0.").otherwise("198.51.")
-    return F.concat(net, (F.floor(uid / 100) % 250).cast("string"), F.lit("."), (uid % 100).cast("string"))
+    """An address of its own for each of 237 million ids, but for those that end in 9: these are private and repeat after 6.25 million."""
+    def digit(by: int, of: int) -> Column:
+        return (F.floor(uid / by) % of).cast("string")
+    net = F.when(uid % 10 == 9, F.lit("10")).otherwise((131 + F.floor(uid / 6_250_000) % 38).cast("string"))
+    return F.concat_ws(".", net, digit(25_000, 250), digit(100, 250), digit(1, 100))
 
 
 def packets_from(events: DataFrame) -> DataFrame:
@@ -71,7 +74,7 @@ def formula_families(rows: DataFrame) -> DataFrame:
 def raw_geo(spark: SparkSession, sf: str) -> DataFrame:
     c, key = table(spark, sf, "customer"), F.col("c_custkey")
     n = table(spark, sf, "nation")
-    rows = c.join(n, c.c_nationkey == n.n_nationkey).filter(key % 11 != 3)
+    rows = c.join(n, c.c_nationkey == n.n_nationkey)
     degrees = lambda m, w: F.concat(((key * m) % w - F.lit(w // 2)).cast("string"), F.lit(".37"))
     return rows.select(
         client_ip(key).alias("ip"), F.col("n_name").alias("country_name"),
@@ -174,9 +177,8 @@ LABELS = [
 
 
 def line_id() -> Column:
-    """Number of a lineitem row; order and line number alone do not identify one."""
-    line = F.col("l_orderkey") * 8 + F.col("l_linenumber")
-    return (line * 20000 + F.col("l_partkey")) * 1000 + F.col("l_suppkey")
+    """Name of a lineitem row; order and line number alone do not identify one."""
+    return F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
 
 def labelled_raw(spark: SparkSession, sf: str) -> DataFrame:
@@ -218,6 +220,6 @@ def family_scores(spark: SparkSession, sf: str) -> DataFrame:
     top = (20 + (ok * 3 + sk) % 80) / 100.0
     names = F.array(*[F.lit(x) for x in FAMILIES])
     return li.select(
-        line_id().alias("row_id"), F.element_at(names, true + 1).alias("family"),
+        line_id().alias("row_id"), (ok + sk).alias("turn"), F.element_at(names, true + 1).alias("family"),
         F.transform(F.sequence(F.lit(0), F.lit(6)),
                     lambda i: F.when(i == pick, top).otherwise((1 - top) / 6)).alias("family_probs"))

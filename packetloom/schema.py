@@ -25,11 +25,6 @@ DETECTION_ADDED = {
 DETECTION = ", ".join([DETECTION_BASE, *DETECTION_ADDED.values()])
 LOG = "id long, timestamp timestamp, log string"
 METRIC = "id long, timestamp timestamp, cpu double, memory double, disk double, network long"
-LABELLED = (
-    "`Flow Duration` double, protocol string, `Total Fwd Packets` double, "
-    "`Total Backward Packets` double, `Total Length of Fwd Packets` double, "
-    "`Total Length of Bwd Packets` double, attack_label string, source_ip string"
-)
 LEDGER = "name string, applied_at timestamp"
 
 

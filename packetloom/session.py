@@ -1,5 +1,6 @@
 """Session and shared work folder."""
 import os
+import re
 import tempfile
 import uuid
 
@@ -26,10 +27,12 @@ def local_session(cores: str = "*", app: str = "packetloom", partitions: int = 8
 def work_folder(spark: SparkSession) -> str:
     """The shared folder the cluster names in spark.checkpoint.dir.
 
-    Only where that is unset (tests, a laptop) is a local folder made.
+    Only where that is unset on a local master (tests, a laptop) is a local folder made.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
+    if shared is None and not re.match(r"local(\[|$)", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if sc.getCheckpointDir() is None:
         if shared is None:
             shared = tempfile.mkdtemp(prefix="packetloom-")

@@ -60,21 +60,34 @@ def annotate(detections: DataFrame, notes: DataFrame, kind: str) -> DataFrame:
     return out.withColumns({body: F.coalesce("n.body", body), at: F.coalesce("n.at", at)}).drop("n")
 
 
+ROUTES = {"telemetry": schema.TELEMETRY, "detections": schema.DETECTION, "logs": schema.LOG, "metrics": schema.METRIC}
+
+
 def route(batch: DataFrame, targets: dict[str, str]) -> None:
-    """Write a mixed batch: rows carry `target` and a JSON `row`; one write per target."""
-    ddl = {"telemetry": schema.TELEMETRY, "detections": schema.DETECTION, "logs": schema.LOG,
-           "metrics": schema.METRIC}
+    """Write a mixed batch: rows carry `target` and their typed values in a struct of that name; one write per target.
+
+    A target that has no path is an error, and then nothing is written.
+    """
     held = batch.persist()
     try:
+        other = held.filter(~F.coalesce(F.col("target").isin(*targets), F.lit(False))).select("target").first()
+        if other is not None:
+            raise ValueError(f"no path for rows of target {other['target']!r}")
         for name, path in targets.items():
-            rows = held.filter(F.col("target") == name).select(F.from_json("row", ddl[name]).alias("r")).select("r.*")
-            write_fact(rows, path, ddl[name])
+            write_fact(held.filter(F.col("target") == name).select(f"{name}.*"), path, ROUTES[name])
     finally:
         held.unpersist()
 
 
 def as_routed(rows: DataFrame, target: str) -> DataFrame:
-    return rows.select(F.lit(target).alias("target"), F.to_json(F.struct("*")).alias("row"))
+    """Rows of one target in the shape of a mixed batch."""
+    own = {name: F.struct(*shaped(rows, ddl).columns) if name == target else F.lit(None).cast(f"struct<{_fields(ddl)}>")
+           for name, ddl in ROUTES.items()}
+    return shaped(rows, ROUTES[target]).select(F.lit(target).alias("target"), *[v.alias(n) for n, v in own.items()])
+
+
+def _fields(ddl: str) -> str:
+    return ", ".join(f"{f.rsplit(' ', 1)[0]}: {f.rsplit(' ', 1)[1]}" for f in ddl.split(", "))
 
 
 def write_json(rows: DataFrame, path: str) -> None:

@@ -6,7 +6,6 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from .. import fixed
 from ..operators import alerts, enrich, scoring
-from ..sources import sinks
 
 
 def classified(flow_stream: DataFrame, gate, attributor, classes: list[str], geo: DataFrame,
@@ -51,21 +50,17 @@ COLUMNS = [c.split(" ")[0] for c in ALERT.split(", ")]
 
 
 class FirstSight(StatefulProcessor):
-    """Per technique: marks the first row seen."""
+    """Per technique: passes the first row seen, once."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.seen = handle.getValueState("seen", "seen boolean")
 
     def handleInputRows(self, key, rows, timerValues):
-        fresh = not self.seen.exists()
-        best = None
-        for part in rows:
-            part = part.sort_values(["ts", "id"])
-            if fresh and (best is None or (part.iloc[0]["ts"], part.iloc[0]["id"]) < best):
-                best = (part.iloc[0]["ts"], part.iloc[0]["id"])
-        if fresh:
-            self.seen.update((True,))
-        yield pd.DataFrame({"id": [best[1]] if fresh else []}).astype("int64")
+        if self.seen.exists():
+            return iter(())
+        first = pd.concat([part.nsmallest(1, ["ts", "id"]) for part in rows]).nsmallest(1, ["ts", "id"])
+        self.seen.update((True,))
+        return iter([first[DUE].reset_index(drop=True)])
 
     def close(self) -> None:
         pass
@@ -84,30 +79,39 @@ class Throttle(StatefulProcessor):
         last = self.last.get()[0] if self.last.exists() else None
         due = pd.concat(list(rows)).sort_values(["ts", "id"])
         sent = []
-        for us, i in zip(due["ts"].astype("datetime64[us]").astype("int64"), due["id"]):
+        for place, us in enumerate(due["ts"].astype("datetime64[us]").astype("int64")):
             if last is None or us - last >= self.gap:
                 last = int(us)
-                sent.append(int(i))
-        if last is not None:
-            self.last.update((last,))
-        yield pd.DataFrame({"id": sent}).astype("int64")
+                sent.append(place)
+        self.last.update((last,))
+        return iter([due.iloc[sent][DUE].reset_index(drop=True)])
 
     def close(self) -> None:
         pass
 
 
-def corroborated_alerts(rows: DataFrame, throttle_s: float = fixed.ALERT_THROTTLE_S) -> DataFrame:
-    """Ids of throttled corroborated alerts of a stream in the alert input shape."""
-    due = rows.filter((F.col("verdict") == "suspicious") & alerts.corroborated()).select("src_ip", "technique_id", "ts", "id")
-    return due.groupBy("src_ip", "technique_id").transformWithStateInPandas(
-        Throttle(int(throttle_s * 1e6)), "id long", outputMode="Append", timeMode="None")
+DUE = ["id", "ts", "src_ip", "technique_id", "trigger"]
+DUE_DDL = "id long, ts timestamp, src_ip string, technique_id string, trigger string"
 
 
 def first_sights(rows: DataFrame) -> DataFrame:
-    """Ids of the rows that show a technique for the first time."""
-    known = rows.filter("verdict = 'suspicious' and technique_id is not null").select("technique_id", "ts", "id")
-    return known.groupBy("technique_id").transformWithStateInPandas(
-        FirstSight(), "id long", outputMode="Append", timeMode="None")
+    """The rows, in the columns of DUE, that show a technique for the first time."""
+    known = rows.filter("verdict = 'suspicious' and technique_id is not null").withColumn(
+        "trigger", F.when(alerts.corroborated(), "corroborated").otherwise("new-technique"))
+    known = known.select(F.col("technique_id").alias("technique"), *DUE)
+    return known.groupBy("technique").transformWithStateInPandas(FirstSight(), DUE_DDL, outputMode="Append", timeMode="None")
+
+
+def throttled_alerts(rows: DataFrame, throttle_s: float = fixed.ALERT_THROTTLE_S) -> DataFrame:
+    """Alerts of a stream in the alert input shape, as the batch operator gives them, in the columns of DUE.
+
+    First sights and corroborated rows go through one throttle, so that an alert of either kind holds back the next one
+    of its source and technique. A row of both kinds comes twice, at one instant, and passes once.
+    """
+    due = rows.filter((F.col("verdict") == "suspicious") & alerts.corroborated()).withColumn("trigger", F.lit("corroborated")).select(*DUE)
+    due = due.unionByName(first_sights(rows)).withColumns({"source": F.col("src_ip"), "technique": F.col("technique_id")})
+    return due.groupBy("source", "technique").transformWithStateInPandas(
+        Throttle(int(throttle_s * 1e6)), DUE_DDL, outputMode="Append", timeMode="None")
 
 
 # --- rates --------------------------------------------------------------------
@@ -133,5 +137,5 @@ def append_batches(stream: DataFrame, path: str, checkpoint: str):
             .outputMode("append").trigger(availableNow=True).start())
 
 
-__all__ = ["classified", "to_sinks", "run_to_sinks", "corroborated_alerts", "first_sights", "packet_rate",
-           "telemetry_stream", "late_packets", "append_batches", "sinks"]
+__all__ = ["classified", "to_sinks", "run_to_sinks", "throttled_alerts", "first_sights", "packet_rate",
+           "telemetry_stream", "late_packets", "append_batches"]

@@ -71,6 +71,14 @@ def test_time_limits(spark, path):
     assert len(built(spark, seen, mode="tracker", **path)) == 3
 
 
+@pytest.mark.parametrize("path", PATHS)
+@pytest.mark.parametrize("mode", ["per_flow", "tracker"])
+def test_one_order_where_time_and_number_disagree(spark, mode, path):
+    rows = [packet(2, 1.0), reply(1, 2.0)]
+    (f,) = built(spark, rows, mode=mode, **path)
+    assert (f.flow_id, f.src_ip, f.duration_s, f.fwd_packets, f.bwd_packets) == (2, A, 1.0, 1, 1)
+
+
 def test_admission(spark):
     rows = frame(spark, [packet(1, 1), packet(2, 1, proto=1), packet(3, 1, src="::1"), packet(4, 1, proto=17)])
     assert flows.admission_counts(rows).first().asDict() == {"packets_read": 4, "admitted": 2, "ignored": 2}

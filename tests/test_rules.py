@@ -130,7 +130,8 @@ def test_reads(spark):
     pages = [[r.id for r in reads.feed(d, n, 2).collect()] for n in (1, 2, 3)]
     assert pages == [[5, 4], [3, 2], [1]]
     assert [r.id for r in reads.page_after(d, at(1), 4, 2).collect()] == [3, 2]
-    assert (reads.page_size(10000), reads.page_size("junk"), reads.page_number(-5), reads.page_size(None)) == (500, 50, 1, 50)
+    assert [reads.within(x, 50, 500) for x in (10000, "junk", -5, None, "70", 0, "500", "501")] == [500, 50, 1, 50, 70, 1, 500, 500]
+    assert [reads.within(x, 1) for x in (-5, "x", 10_000, " 3 ")] == [1, 1, 10_000, 3]
     act = {r.ip: (r.total_flows, r.suspicious_flows, r.distinct_dst_ports) for r in reads.ip_activity(d).collect()}
     assert act == {"a": (2, 1, 2), "b": (2, 0, 2), "c": (1, 0, 1), "z": (4, 1, 2)}
     assert reads.coverage_totals(d).first().asDict() == {"attributed": 0, "unattributed": 1}
