@@ -119,6 +119,19 @@ def _rolled(hashes: np.ndarray, width: int) -> np.ndarray:
     return mixed(out)
 
 
+def portions(texts, size: int):
+    """Lists of neighbouring texts, of about `size` characters, or of one longer text."""
+    held, total = [], 0
+    for text in texts:
+        held.append(text)
+        total += len(text or "")
+        if total >= size:
+            yield held
+            held, total = [], 0
+    if held:
+        yield held
+
+
 def slices(items, size: int):
     for k in range(0, len(items), size):
         yield items[k:k + size]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from ..session import cut
-from .common import remainder, slices, word_hashes
+from .common import portions, remainder, word_hashes
 
 # Bytes of context. A gram is a context and the byte after it, packed in a 64-bit number, so 7 at most.
 ORDER = 4
@@ -21,7 +21,8 @@ COMMON_WORDS = 100_000
 # No byte of UTF-8: it ends a text, and stands before its start.
 END = 255
 SYMBOLS = 256
-PART = 512
+# Characters that are turned into grams at a time; a gram takes some 50 bytes meanwhile.
+PART = 1_000_000
 
 
 def grams(texts) -> tuple[np.ndarray, np.ndarray]:
@@ -54,8 +55,8 @@ def gathered(docs: DataFrame) -> DataFrame:
     """(kind, key, n) over all texts of docs; each task sums up what it reads before anything is shuffled."""
     def made(batches):
         for batch in batches:
-            for part in slices(batch.t, 4 * PART):
-                yield counted(list(part))
+            for part in portions(batch.t, 2 * PART):
+                yield counted(part)
     return (docs.select(F.col("text").cast("string").alias("t")).mapInPandas(made, "kind int, key long, n long")
             .groupBy("kind", "key").agg(F.sum("n").alias("n")))
 
@@ -174,7 +175,7 @@ def score_texts(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
         if name not in _READY:
             _READY.clear()
             _READY[name] = Predictor(levels)
-        parts = [_scored(list(x), _READY[name], words, counts, ends) for x in slices(texts, PART)]
+        parts = [_scored(x, _READY[name], words, counts, ends) for x in portions(texts, PART)]
         return pd.concat(parts, ignore_index=True)
 
     rows = cut(docs.select("doc_id", out.alias("held_out"), scored(F.col("text").cast("string")).alias("s")).select("doc_id", "held_out", "s.*"))
