@@ -74,5 +74,5 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     out = spark.createDataFrame([], ddl)
     for path in (f"{root}/{name}", f"{root}/{name}_moved"):
         if sinks.exists(spark, path):
-            out = out.unionByName(sinks.shaped(sinks.read_fact(spark, path), ddl))
+            out = out.unionByName(sinks.read_fact(spark, path, ddl))
     return out

@@ -315,7 +315,7 @@ SELECT id, ip, country, lat, lon, summary, blacklisted, attacks, reports, CAST(a
 def telemetry_sink(spark, sf):
     path = scratch(spark, "telemetry_sink")
     sinks.write_telemetry(views.telemetry(spark, sf), path)
-    return stamped(sinks.read_fact(spark, path).withColumn("abuse_score", F.col("abuse_score").cast("double")))
+    return stamped(sinks.read_fact(spark, path, schema.TELEMETRY).withColumn("abuse_score", F.col("abuse_score").cast("double")))
 
 
 @query("detection_sink", v.over("detections") + """
@@ -324,7 +324,7 @@ SELECT id, src_ip, dst_ip, cnn_verdict, cnn_confidence, summary, technique_id, C
 def detection_sink(spark, sf):
     path = scratch(spark, "detection_sink")
     sinks.write_detections(views.detections(spark, sf), path)
-    return stamped(sinks.read_fact(spark, path).select(
+    return stamped(sinks.read_fact(spark, path, schema.DETECTION).select(
         "id", "src_ip", "dst_ip", "cnn_verdict", "cnn_confidence", "summary", "technique_id",
         F.col("abuse_score").cast("double").alias("abuse_score"), "rep_reports", "rep_source", "triage_json", "timestamp"))
 
@@ -338,7 +338,7 @@ def log_and_metric_sinks(spark, sf):
                               ("metrics", views.host_metrics(spark, sf), sinks.write_metrics)):
         path = scratch(spark, name)
         write(rows, path)
-        part = sinks.read_fact(spark, path).agg(F.count("*").alias("written"), F.min("id").alias("first_id"),
+        part = sinks.read_fact(spark, path, sinks.ROUTES[name]).agg(F.count("*").alias("written"), F.min("id").alias("first_id"),
                                                 F.max("id").alias("last_id")).select(F.lit(name).alias("sink"), "*")
         out = part if out is None else out.unionByName(part)
     return out
@@ -357,9 +357,9 @@ def routed_batch_sink(spark, sf):
         sinks.as_routed(views.detections(spark, sf), "detections"))
     targets = {t: scratch(spark, f"routed-{t}") for t in ("telemetry", "detections")}
     sinks.route(mixed, targets)
-    detections = sinks.read_fact(spark, targets["detections"]).withColumnsRenamed(
+    detections = sinks.read_fact(spark, targets["detections"], schema.DETECTION).withColumnsRenamed(
         {"src_ip": "ip", "cnn_verdict": "blacklisted", "fwd_packets": "attacks", "rep_reports": "reports"})
-    both = sinks.read_fact(spark, targets["telemetry"]).select(F.lit("telemetry").alias("target"), *ROUTED).unionByName(
+    both = sinks.read_fact(spark, targets["telemetry"], schema.TELEMETRY).select(F.lit("telemetry").alias("target"), *ROUTED).unionByName(
         detections.select(F.lit("detections").alias("target"), *ROUTED))
     return both.withColumn("us", F.unix_micros("timestamp")).drop("timestamp")
 

@@ -24,8 +24,11 @@ def by_day(rows: DataFrame) -> DataFrame:
 
 
 def write_fact(rows: DataFrame, path: str, ddl: str, mode: str = "append") -> None:
-    """Append fact rows, one folder per day, files sorted by time within."""
-    out = by_day(shaped(rows, ddl))
+    """Append fact rows, one folder per day, files sorted by time within.
+
+    Rows are dealt out by day before, so a day gets few files; a day too large for one task is split over several.
+    """
+    out = by_day(shaped(rows, ddl)).hint("rebalance", "day")
     out.sortWithinPartitions("day", "timestamp").write.mode(mode).partitionBy("day").parquet(path)
 
 
@@ -45,8 +48,15 @@ def write_metrics(rows: DataFrame, path: str) -> None:
     write_fact(rows, path, schema.METRIC)
 
 
-def read_fact(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("mergeSchema", True).parquet(path).drop("day")
+def read_fact(spark: SparkSession, path: str, ddl: str, first: str | None = None, last: str | None = None) -> DataFrame:
+    """Fact rows in the columns of `ddl`, whichever of them older files have. With first or last (days, both included)
+    only the folders of those days are read."""
+    rows = spark.read.schema(f"{ddl}, day date").parquet(path)
+    if first is not None:
+        rows = rows.filter(F.col("day") >= F.lit(first).cast("date"))
+    if last is not None:
+        rows = rows.filter(F.col("day") <= F.lit(last).cast("date"))
+    return rows.drop("day")
 
 
 def annotate(detections: DataFrame, notes: DataFrame, kind: str) -> DataFrame:

@@ -54,13 +54,23 @@ def test_routing_keeps_microseconds_and_refuses_unknown_targets(spark, tmp_path)
     at = T0 + timedelta(microseconds=123456)
     logs = spark.createDataFrame([(1, at, "x")], schema.LOG)
     sinks.route(sinks.as_routed(logs, "logs"), {"logs": f"{tmp_path}/logs"})
-    assert sinks.read_fact(spark, f"{tmp_path}/logs").select(F.unix_micros("timestamp") % 1_000_000).first()[0] == 123456
+    assert sinks.read_fact(spark, f"{tmp_path}/logs", schema.LOG).select(F.unix_micros("timestamp") % 1_000_000).first()[0] == 123456
     with pytest.raises(ValueError, match="metrics"):
         other = sinks.as_routed(spark.createDataFrame([(1, at, 1.0, 1.0, 1.0, 1)], schema.METRIC), "metrics")
         sinks.route(sinks.as_routed(logs, "logs").unionByName(other), {"logs": f"{tmp_path}/more"})
     assert not sinks.exists(spark, f"{tmp_path}/more")
 
 
+def test_fact_reads_prune_days_and_bear_older_files(spark, tmp_path):
+    days = [(k, T0 + timedelta(days=k % 5, seconds=k), "x") for k in range(200)]
+    rows = spark.createDataFrame(days, schema.LOG)
+    sinks.write_fact(rows, f"{tmp_path}/logs", schema.LOG)
+    some = sinks.read_fact(spark, f"{tmp_path}/logs", schema.LOG + ", later string", "2024-01-02", "2024-01-03")
+    assert some.count() == 80 and some.filter("later is not null").isEmpty()
+    assert "PartitionFilters: [isnotnull(day" in some._jdf.queryExecution().toString()
+    assert len(list((tmp_path / "logs").glob("day=*/part-*.parquet"))) <= 10
+
+
 def test_an_index_run_that_died_leaves_nothing_doubled(spark, tmp_path):
     d = views.detections(spark, "/root/testdata/sf0.001")
     high = d.agg(F.max("id")).first()[0]
