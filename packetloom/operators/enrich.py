@@ -68,32 +68,45 @@ def count_source(raw: DataFrame) -> DataFrame:
 # --- joins --------------------------------------------------------------------
 # The dimensions have one row per address; their size is counted before a broadcast,
 # and a hot address never meets them in one task.
+def answers(geo: DataFrame | None, scored: DataFrame | None, counted: DataFrame | None) -> DataFrame:
+    """(ip, _geo, _scored, _counted): what is known of each address, side by side; a source that is None has no column."""
+    sides = [] if geo is None else [geo.select("ip", F.struct("country", "lat", "lon").alias("_geo"))]
+    sides += [s.select("ip", F.col("rep").alias(n)) for s, n in ((scored, "_scored"), (counted, "_counted")) if s is not None]
+    out = sides[0]
+    for side in sides[1:]:
+        out = out.join(side, "ip", "full")
+    return out
+
+
+def _placed(rows: DataFrame, ip: str) -> DataFrame:
+    public = net.is_enrichable(F.col(ip))
+    return rows.withColumns({
+        "country": F.when(~public, fixed.PRIVATE_LABEL).otherwise(F.coalesce("_geo.country", F.lit(fixed.FAILED_LABEL))),
+        "lat": F.when(public, F.col("_geo.lat")), "lon": F.when(public, F.col("_geo.lon"))}).drop("_geo")
+
+
+def _reputed(rows: DataFrame, ip: str) -> DataFrame:
+    """rep: scored source, else counting source, else unknown; none if not looked up."""
+    known = [c for c in ("_scored", "_counted") if c in rows.columns]
+    looked = F.coalesce(*[F.col(c) for c in known], empty_record("unknown"))
+    return rows.withColumn("rep", F.when(net.is_enrichable(F.col(ip)), looked).otherwise(empty_record("none"))).drop(*known)
+
+
 def with_geo(rows: DataFrame, geo: DataFrame, ip: str = "src_ip") -> DataFrame:
     """Add country, lat, lon of an address."""
-    g = geo.select(F.col("ip").alias(ip), F.col("country").alias("_c"), F.col("lat").alias("_lat"),
-                   F.col("lon").alias("_lon"))
-    public = net.is_enrichable(F.col(ip))
-    out = lookup(rows, g, ip)
-    return out.withColumns({
-        "country": F.when(~public, fixed.PRIVATE_LABEL).otherwise(
-            F.coalesce("_c", F.lit(fixed.FAILED_LABEL))),
-        "lat": F.when(public, F.col("_lat")), "lon": F.when(public, F.col("_lon")),
-    }).drop("_c", "_lat", "_lon")
-
-
-def with_reputation(rows: DataFrame, scored: DataFrame | None, counted: DataFrame | None,
-                    ip: str = "src_ip") -> DataFrame:
-    """Add rep: scored source, else counting source, else unknown; none if not looked up."""
-    sides = [s.select(F.col("ip").alias(ip), F.col("rep").alias(f"_r{i}"))
-             for i, s in enumerate(x for x in (scored, counted) if x is not None)]
-    answers = [s.columns[1] for s in sides]
-    if sides:
-        # The sources are put side by side first: the rows are joined, and moved, once.
-        both = sides[0] if len(sides) == 1 else sides[0].join(sides[1], ip, "full")
-        rows = lookup(rows, both, ip)
-    looked = F.coalesce(*[F.col(a) for a in answers], empty_record("unknown"))
-    return rows.withColumn("rep", F.when(net.is_enrichable(F.col(ip)), looked)
-                           .otherwise(empty_record("none"))).drop(*answers)
+    return _placed(lookup(rows, answers(geo, None, None).withColumnRenamed("ip", ip), ip), ip)
+
+
+def with_reputation(rows: DataFrame, scored: DataFrame | None, counted: DataFrame | None, ip: str = "src_ip") -> DataFrame:
+    """Add rep, the record of an address's reputation."""
+    if scored is not None or counted is not None:
+        rows = lookup(rows, answers(None, scored, counted).withColumnRenamed("ip", ip), ip)
+    return _reputed(rows, ip)
+
+
+def enriched(rows: DataFrame, geo: DataFrame, scored: DataFrame | None, counted: DataFrame | None, ip: str = "src_ip") -> DataFrame:
+    """Add place and reputation of an address: one join, so the rows are counted and moved once for both."""
+    return _reputed(_placed(lookup(rows, answers(geo, scored, counted).withColumnRenamed("ip", ip), ip), ip), ip)
 
 
 def reputation_as_of(rows: DataFrame, history: DataFrame, ip: str = "src_ip", ts: str = "first_ts",
@@ -159,7 +172,7 @@ def telemetry_rows(packets: DataFrame, geo: DataFrame, scored: DataFrame | None,
         F.concat(F.lit("IP / "), F.when(F.col("proto") == 6, "TCP").otherwise("UDP"), F.lit(" "),
                  F.col("src_ip"), F.lit(":"), F.col("src_port").cast("string"), F.lit(" > "),
                  F.col("dst_ip"), F.lit(":"), F.col("dst_port").cast("string")).alias("summary"))
-    rows = with_reputation(with_geo(rows, geo, "ip"), scored, counted, "ip")
+    rows = enriched(rows, geo, scored, counted, "ip")
     return rows.select(
         "id", "ip", "country", "lat", "lon", "summary",
         F.when(F.col("rep.blacklisted"), "Yes").otherwise("No").alias("blacklisted"),

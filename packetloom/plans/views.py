@@ -119,7 +119,7 @@ def counted(spark, sf):
 def detections_from(built: DataFrame, geo_rows, scored_rows, counted_rows) -> DataFrame:
     """Classified, enriched flows in the detections shape (without the added texts)."""
     rows = scoring.classify(built, formula_gate, formula_families, FAMILIES)
-    rows = enrich.with_reputation(enrich.with_geo(rows, geo_rows), scored_rows, counted_rows)
+    rows = enrich.enriched(rows, geo_rows, scored_rows, counted_rows)
     return rows.select(
         F.col("flow_id").alias("id"), "src_ip", "dst_ip", "src_port", "dst_port", "proto",
         "cnn_verdict", "cnn_confidence", "country", "lat", "lon", "duration_s", "fwd_packets",

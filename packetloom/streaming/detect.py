@@ -18,7 +18,7 @@ def classified(flow_stream: DataFrame, gate, attributor, classes: list[str], geo
     """
     rows = attributor(scoring.judge(gate(flow_stream)))
     rows = scoring.attribute(rows, classes)
-    return enrich.with_reputation(enrich.with_geo(rows, geo), scored, counted)
+    return enrich.enriched(rows, geo, scored, counted)
 
 
 def to_sinks(targets: dict[str, tuple[str, object]]):
