@@ -11,7 +11,7 @@ from .mixing import MIX_SQL, mix_plan
 from .personal import find
 from .ppm import score_texts
 from .quality import judged, trusted_ids
-from .sharding import placements
+from .sharding import PLACEMENTS_SQL, placements
 from .tokens import section_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +79,4 @@ def op10_lm_scoring(spark, sf_dir):
 
 SQL["op2_source_mixing"] = MIX_SQL
 SQL["op6_benchmark_decontamination"] = LEAKS_SQL
+SQL["op7_sharding"] = PLACEMENTS_SQL

@@ -85,3 +85,31 @@ def placements(docs: DataFrame, leaves: tuple[Leaf, ...] | None = None) -> DataF
         unit(F.col("doc_id"), "slot").alias("draw"))
     ranked = gapless(rows, "draw", ["shard"], ["doc_id", "text_crc32", "size"], "slot")
     return ranked.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+def _sql_draw(name: str) -> str:
+    return f"(('0x' || substr(md5(coalesce(doc_id::VARCHAR, '~') || ':{name}'), 1, 13))::BIGINT / 4503599627370496.0)"
+
+
+def _sql_descend(leaves: tuple[Leaf, ...], levels: tuple[str, ...] = ("region", "rack", "shard")) -> str:
+    """descend() over a documents table, as nested choices of the least draw."""
+    children: dict[int, list[Leaf]] = {}
+    for x in leaves:
+        children.setdefault(getattr(x, levels[0]), []).append(x)
+    draws = ", ".join(f"{{d: -ln({_sql_draw(f'{levels[0]}{c}')} + 1.1102230246251565e-16) / {sum(x.weight for x in own)}, id: {c}}}" for c, own in children.items())
+    best = f"list_sort([{draws}])[1].id"
+    if len(levels) == 1:
+        return best
+    below = " ".join(f"WHEN {c} THEN {_sql_descend(tuple(own), levels[1:])}" for c, own in children.items())
+    return f"CASE {best} {below} END"
+
+
+PLACEMENTS_SQL = f"""
+WITH crc AS (SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t),
+sized AS (SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size, list_prepend(4294967295, list_transform(
+    regexp_extract_all(hex(coalesce(text, '')), '..'), lambda x: ('0x' || x)::BIGINT)) AS bytes FROM documents),
+placed AS (SELECT doc_id, size, xor(list_reduce(bytes, lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1])), 4294967295) AS text_crc32,
+    {_sql_descend(tree())} AS shard, {_sql_descend(grown(tree()))} AS grown_shard FROM sized, crc)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, grown_shard,
+    row_number() OVER (PARTITION BY shard ORDER BY {_sql_draw('slot')}, doc_id, text_crc32, size) - 1 AS slot FROM placed"""
