@@ -57,8 +57,8 @@ def payloads(sent: DataFrame, sender: str = "packetloom") -> DataFrame:
     """id, message text, and the structured alert as JSON."""
     label = F.when(F.col("technique_id").isNotNull(), F.concat_ws(
         " ", "technique_id", text.show(F.col("technique_name")))).otherwise(fixed.UNATTRIBUTED_NAME)
-    reason = F.when(F.col("trigger") == "corroborated", "ML verdict corroborated by third-party reputation").otherwise(
-        "first occurrence of this ATT&CK technique")
+    reason = F.when(F.col("trigger") == "corroborated", fixed.REASON_CORROBORATED).otherwise(
+        fixed.REASON_NEW)
     line = F.concat(
         F.lit(f"[{sender}] CRITICAL: suspicious flow from "), text.show(F.col("src_ip")), F.lit(" ("), label,
         F.lit(") -- "), reason, F.lit(". confidence="), text.show(F.col("confidence")),

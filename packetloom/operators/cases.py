@@ -89,10 +89,10 @@ def iocs(history: Column, spread: Column) -> Column:
     ports = ioc_ports(history)
     listed = F.array_join(F.transform(ports, lambda p: p.cast("string")), ", ")
     items = F.array(
-        item("ipv4", F.col("src_ip"), "source of the flagged flow", F.lit(True)),
-        item("ipv4", F.col("dst_ip"), "target of the flagged flow", F.coalesce(F.col("dst_ip"), F.lit("")) != ""),
-        item("dst_ports", listed, "destination ports touched in suspicious flows from the source", F.size(ports) > 0),
-        item("port_spread", spread, "distinct destination ports across all recorded flows involving the source",
+        item("ipv4", F.col("src_ip"), fixed.ROLE_SOURCE, F.lit(True)),
+        item("ipv4", F.col("dst_ip"), fixed.ROLE_TARGET, F.coalesce(F.col("dst_ip"), F.lit("")) != ""),
+        item("dst_ports", listed, fixed.ROLE_PORTS, F.size(ports) > 0),
+        item("port_spread", spread, fixed.ROLE_SPREAD,
              F.coalesce(spread, F.lit(0)) > 0))
     return F.filter(items, lambda i: i.isNotNull())
 
@@ -101,14 +101,14 @@ def data_gaps(triage: Column, total_suspicious: Column) -> Column:
     source = F.col("rep_source")
     blind = source.isNull() | (source == "unknown")
     return F.filter(F.array(
-        F.when(triage.isNull(), "no triage has been run on this detection (agentic triage is operator-triggered)"),
+        F.when(triage.isNull(), fixed.GAP_TRIAGE),
         F.when(F.col("technique_id").isNull(),
-               "the Stage-2 attributor declined to name a technique for this flow (technique unattributed)"),
-        F.when(blind, "no third-party reputation data was available for the source IP at classification time")
+               fixed.GAP_TECHNIQUE),
+        F.when(blind, fixed.GAP_REPUTATION)
         .when(F.col("abuse_score").isNull(), F.concat(
             F.lit("reputation source '"), source, F.lit("' provides report counts, not a 0-100 abuse confidence score"))),
         F.when(F.coalesce(total_suspicious, F.lit(0)) <= 1,
-               "no prior suspicious detections from this source IP beyond this one"),
+               fixed.GAP_HISTORY),
     ), lambda g: g.isNotNull())
 
 

@@ -153,14 +153,10 @@ def lookup_demand(requests: DataFrame, ttl_s: float, ip: str = "ip", ts: str = "
 def reputation_note(ip: Column, rep: Column) -> Column:
     """What kind of signal a reputation record is; NULL when there is nothing to add."""
     return (
-        F.when(~net.is_enrichable(ip),
-               "private/non-routable address: no external reputation data exists for it")
-        .when(rep["source"] == "unknown",
-              "reputation lookup failed for this IP; treat its reputation as unknown, not clean")
-        .when(rep["abuse_score"].isNotNull(),
-              "abuse_score is AbuseIPDB's abuseConfidenceScore (0-100), a third-party reputation "
-              "signal -- distinct from this system's ML verdict")
-        .when(~rep["blacklisted"], "no blacklist reports found for this IP"))
+        F.when(~net.is_enrichable(ip), fixed.NOTE_PRIVATE)
+        .when(rep["source"] == "unknown", fixed.NOTE_FAILED)
+        .when(rep["abuse_score"].isNotNull(), fixed.NOTE_SCORED)
+        .when(~rep["blacklisted"], fixed.NOTE_CLEAN))
 
 
 # --- fact rows ----------------------------------------------------------------

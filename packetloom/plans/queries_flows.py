@@ -1,7 +1,7 @@
 """Queries on packets, flows, verdicts and enrichment."""
 from pyspark.sql import functions as F
 
-from .. import schema
+from .. import fixed, schema
 from ..functions import net, text
 from ..operators import chain, enrich, flows, scoring
 from ..session import scratch
@@ -299,10 +299,8 @@ def lookup_demand_heavy_addresses(spark, sf):
 
 @query("reputation_notes", v.over("packets", "geo", "rep", extra=f"e AS ({v.enriched('packets', 'src_ip')})") + f"""
 SELECT note, count(*) AS packets FROM (SELECT CASE WHEN NOT {v.enrichable('src_ip')}
-    THEN 'private/non-routable address: no external reputation data exists for it'
-  WHEN rep_source = 'unknown' THEN 'reputation lookup failed for this IP; treat its reputation as unknown, not clean'
-  WHEN abuse_score IS NOT NULL THEN 'abuse_score is AbuseIPDB''s abuseConfidenceScore (0-100), a third-party reputation signal -- distinct from this system''s ML verdict'
-  WHEN NOT blacklisted THEN 'no blacklist reports found for this IP' END AS note FROM e) GROUP BY note""")
+    THEN {v.quoted(fixed.NOTE_PRIVATE)} WHEN rep_source = 'unknown' THEN {v.quoted(fixed.NOTE_FAILED)}
+  WHEN abuse_score IS NOT NULL THEN {v.quoted(fixed.NOTE_SCORED)} WHEN NOT blacklisted THEN {v.quoted(fixed.NOTE_CLEAN)} END AS note FROM e) GROUP BY note""")
 def reputation_notes(spark, sf):
     rows = enrich.with_reputation(views.packets(spark, sf).select("src_ip"), views.scored(spark, sf), views.counted(spark, sf))
     return rows.groupBy(enrich.reputation_note(F.col("src_ip"), F.col("rep")).alias("note")).agg(F.count("*").alias("packets"))

@@ -14,6 +14,10 @@ OCT = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 V4 = rf"^{OCT}(?:\.{OCT}){{3}}$"
 
 
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
 def number(ip: str) -> str:
     p = f"string_split({ip}, '.')"
     n = "0"
