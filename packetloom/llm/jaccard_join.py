@@ -1,6 +1,6 @@
 """N-gram Jaccard join: size-aware, with subsets for small sets and inverted lists for large ones."""
 from itertools import combinations
-from math import comb
+from math import comb, log
 
 import numpy as np
 import pandas as pd
@@ -48,6 +48,12 @@ class Threshold:
         """So many of the first elements in a common order: two linked sets share one of them."""
         return n - self.least(n) + 1
 
+    def step(self, n: str) -> Column:
+        """Linked sets are on the same step of size or on neighbouring ones."""
+        if self.num == self.den:
+            return F.col(n)
+        return F.floor(F.log(n) / (log(self.den / self.num) * (1 + 1e-9))).cast("int")
+
     def subset_sizes(self, n: int, most: int) -> list[int]:
         """Sizes of the subsets that a small set of size n has in common with linked sets of up to `most`."""
         partners = range(max(1, self.least(n)), min(most, n * self.den // self.num) + 1)
@@ -81,7 +87,7 @@ def _described(texts, width: int, spread_from: int) -> pd.DataFrame:
         frame.insert(0, "node", np.array([_node(x) for x in sets], np.int64))
         frame.insert(0, "n", sizes.astype(np.int32))
         # cut off counts differ no more than the counts do
-        counts = np.minimum(counts, 32767).astype(np.int16)
+        counts = np.minimum(counts.reshape(len(sets), -1, 2).sum(axis=2), 127).astype(np.int8)
         frame["spread"] = [counts[k] if n >= spread_from else None for k, n in enumerate(sizes.tolist())]
         out.append(frame)
     return pd.concat(out)
@@ -92,7 +98,7 @@ def describe(docs: DataFrame, width: int, at: Threshold, id_col: str = "doc_id",
 
     The elements are counted by hash in SPOTS places: b0... hold the parities, spread the counts, for large sets only.
     """
-    @pandas_udf(", ".join(["n int", "node long", *[f"b{k} long" for k in range(SPOTS // 64)], "spread array<smallint>"]))
+    @pandas_udf(", ".join(["n int", "node long", *[f"b{k} long" for k in range(SPOTS // 64)], "spread array<tinyint>"]))
     def described(texts: pd.Series) -> pd.DataFrame:
         return _described(texts, width, at.least(LARGE + 1))
 
@@ -169,9 +175,9 @@ def candidates(found: DataFrame, classes: DataFrame, at: Threshold) -> DataFrame
     """Edges (a, b) that tie all sets together that may link; no more edges than keys, whatever the size of a group.
 
     Small sets: whoever shares a subset of c and links with another of the group also links with the smallest of the
-    group, so each is tied to that one. Large sets: those that some other set of an inverted list is near to, by size and
-    sketches, are tied to the first of these. An element that differs changes one parity, and one count by one, so no
-    linked pair is lost.
+    group, so each is tied to that one. Large sets: an inverted list is split by steps of size, and those sets of a part
+    that another one is near to, by size and sketches, are tied to the first of these. An element that differs changes one
+    parity, and one count by one, so no linked pair is lost.
     """
     shared = found.groupBy("c", "key").agg(F.min("node").alias("x"), F.max("node").alias("y")).filter("x <> y").select("c", "key")
     found = cut(found.join(shared, ["c", "key"], "left_semi").dropDuplicates(["c", "key", "node"]))
@@ -181,7 +187,9 @@ def candidates(found: DataFrame, classes: DataFrame, at: Threshold) -> DataFrame
     stars = (small.join(hub, ["c", "key"]).filter((F.col("node") != F.col("hub.node")) & linked)
              .select(F.col("hub.node").alias("a"), F.col("node").alias("b")))
     bits = [f"b{k}" for k in range(SPOTS // 64)]
-    listed = found.filter("c = 0").select("key", "node", "n")
+    listed = found.filter("c = 0").select("key", "node", "n", F.explode(F.array(at.step("n"), at.step("n") + 1)).alias("step"))
+    shared = listed.groupBy("key", "step").agg(F.min("node").alias("x"), F.max("node").alias("y")).filter("x <> y").select("key", "step")
+    listed = cut(listed.join(shared, ["key", "step"], "left_semi"))
     usual = listed.filter(F.col("n") <= LARGE).join(classes.select("node", *bits), "node")
     large = listed.filter(F.col("n") >= at.least(LARGE + 1)).join(classes.select("node", *bits, "spread"), "node")
 
@@ -201,11 +209,12 @@ def candidates(found: DataFrame, classes: DataFrame, at: Threshold) -> DataFrame
 
     tied = None
     for rows, test in ((usual, near), (large, close)):
-        some = rows.alias("l").join(rows.alias("r"), (F.col("l.key") == F.col("r.key")) & test("l", "r"), "left_semi").select("key", "node")
+        same = (F.col("l.key") == F.col("r.key")) & (F.col("l.step") == F.col("r.step"))
+        some = rows.alias("l").join(rows.alias("r"), same & test("l", "r"), "left_semi").select("key", "step", "node")
         tied = some if tied is None else tied.unionByName(some)
     tied = cut(tied.distinct())
-    first = tied.groupBy("key").agg(F.min("node").alias("a"))
-    return tied.join(first, "key").filter("a <> node").select("a", F.col("node").alias("b")).unionByName(stars).distinct()
+    first = tied.groupBy("key", "step").agg(F.min("node").alias("a"))
+    return tied.join(first, ["key", "step"]).filter("a <> node").select("a", F.col("node").alias("b")).unionByName(stars).distinct()
 
 
 def _verified(group: pd.DataFrame, width: int, at: Threshold) -> pd.DataFrame:
