@@ -1,5 +1,6 @@
 """Detector and attributor training with Spark ML."""
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression,
@@ -33,6 +34,13 @@ def packed(rows: DataFrame, per_part: int = 50_000) -> DataFrame:
     return held.repartition(max(1, held.count() // per_part)).persist()
 
 
+def side_by_side(do: Callable, items: Iterable) -> list:
+    """do(item) for each item, at one time: a round of a fit over few partitions leaves most cores to the other fits."""
+    items = list(items)
+    with ThreadPoolExecutor(max(1, len(items))) as pool:
+        return list(pool.map(do, items))
+
+
 def boosted(rounds: int = 200, seed: int = 42):
     return GBTClassifier(labelCol="y", weightCol="weight", maxIter=rounds, maxDepth=5, stepSize=0.1, seed=seed,
                          checkpointInterval=10)
@@ -62,13 +70,13 @@ def sweep(train: DataFrame, val: DataFrame, learners: Learners, alphas: list[flo
           label: str = fixed.LABEL_COLUMN) -> tuple[DataFrame, dict]:
     """One fit per (model, alpha); the frontier of all of them on the validation rows."""
     train = packed(train)
-    stages, scored, fitted = scaler(train), None, {}
-    for name, make in learners.items():
-        for alpha in alphas or fixed.GATE_ALPHAS:
-            fitted[name, alpha] = fit_gate(train, alpha, make(), stages, label)
-            part = gate_probability(fitted[name, alpha], val).select(
-                F.lit(name).alias("model"), F.lit(alpha).alias("alpha"), F.col(label).alias("label"), "y", "p", "mult")
-            scored = part if scored is None else scored.unionByName(part)
+    stages, scored = scaler(train), None
+    points = [(name, alpha) for name in learners for alpha in alphas or fixed.GATE_ALPHAS]
+    fitted = dict(zip(points, side_by_side(lambda p: fit_gate(train, p[1], learners[p[0]](), stages, label), points)))
+    for (name, alpha), model in fitted.items():
+        part = gate_probability(model, val).select(
+            F.lit(name).alias("model"), F.lit(alpha).alias("alpha"), F.col(label).alias("label"), "y", "p", "mult")
+        scored = part if scored is None else scored.unionByName(part)
     train.unpersist()
     return evaluate.frontier(scored), fitted
 
@@ -78,9 +86,10 @@ def evaluate_split(parts: DataFrame, points: dict[str, tuple[float, float]], lea
     """Fit every model on the train part at its own point; one row of test numbers each."""
     train, test = packed(parts.filter("part = 'train'")), parts.filter("part = 'test'")
     stages, out = scaler(train), None
-    for model, make in learners.items():
+    fits = side_by_side(lambda m: fit_gate(train, points[m][0], learners[m](), stages, label), learners)
+    for model, fitted in zip(learners, fits):
         alpha, threshold = points[model]
-        rows = gate_probability(fit_gate(train, alpha, make(), stages, label), test)
+        rows = gate_probability(fitted, test)
         rows = evaluate.decided(rows.withColumnRenamed(label, "label") if label != "label" else rows, threshold)
         rows = cut(rows.select("label", "y", "p", "pred", "mult"))
         line = (evaluate.binary_scores(rows).crossJoin(evaluate.benign_fpr(rows)).crossJoin(evaluate.confusion(rows))
@@ -101,8 +110,7 @@ def split_report(raw: DataFrame, points: dict[str, tuple[float, float]], learner
         "random": prepare.random_split(rows, "y", row_id, seed),
         "group": prepare.group_split(rows, seed=seed)}
     out = None
-    for name, split in parts.items():
-        lines = evaluate_split(cut(split), points, learners, name)
+    for lines in side_by_side(lambda name: evaluate_split(cut(parts[name]), points, learners, name), parts):
         out = lines if out is None else out.unionByName(lines)
     return out
 
@@ -144,10 +152,11 @@ def family_scores(model: PipelineModel, rows: DataFrame) -> DataFrame:
 def alpha_sweep(train: DataFrame, val: DataFrame, make: Callable[[], object], alphas: list[float] | None = None):
     """Fit per alpha; macro F1 on the validation rows, and the fitted models."""
     train = packed(train)
-    stages, scored, fitted = scaler(train), None, {}
-    for alpha in alphas or fixed.FAMILY_ALPHAS:
-        fitted[alpha] = fit_attributor(train, alpha, make(), stages)
-        part = family_scores(fitted[alpha], val).select(F.lit(alpha).alias("alpha"), "family", "pred", "conf")
+    stages, scored = scaler(train), None
+    points = list(alphas or fixed.FAMILY_ALPHAS)
+    fitted = dict(zip(points, side_by_side(lambda a: fit_attributor(train, a, make(), stages), points)))
+    for alpha, model in fitted.items():
+        part = family_scores(model, val).select(F.lit(alpha).alias("alpha"), "family", "pred", "conf")
         scored = part if scored is None else scored.unionByName(part)
     train.unpersist()
     return evaluate.macro_f1(scored, ("alpha",)), scored, fitted
