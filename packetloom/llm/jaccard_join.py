@@ -18,8 +18,8 @@ from .graph import components
 SPOTS = 512
 # Sets above this size are also sketched by counts, as parities fill up.
 LARGE = 1000
-# Share of the shingles, by hash, that come first in the global order and whose document counts are taken.
-COUNTED = 0.25
+# Bits that mark shingles of more than one row; they are broadcast. Once all are set, the order is by hash alone.
+MARKS = 1 << 27
 # Most shingles that are put last in the order as frequent; it bounds what is broadcast to 16 bytes each.
 FREQUENT = 1_000_000
 # Subsets are tried as the way for sets of up to this size.
@@ -35,6 +35,8 @@ class Threshold:
         if not 0 < num <= den:
             raise ValueError("the threshold is a fraction above 0 and at most 1")
         self.num, self.den = num, den
+        # share of the shingles, by hash, whose rows are counted: twice what the longest prefix takes of a set
+        self.counted = min(1.0, 2 * (den - num) / den + 0.01)
 
     def overlap(self, a, b):
         """Least intersection of linked sets of sizes a and b."""
@@ -105,46 +107,64 @@ def describe(docs: DataFrame, width: int, at: Threshold, id_col: str = "doc_id",
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), described(F.col(text_col).cast("string")).alias("d")).select("doc_id", "d.*")
 
 
-def frequent(docs: DataFrame, width: int, total: int, text_col: str) -> np.ndarray:
-    """Shingles of the counted share that are in most rows, rarest first: at most FREQUENT, as no more can be above
-    total / FREQUENT."""
+class Order:
+    """A common order of all shingles; any order is right, this one makes inverted lists short.
+
+    First come the shingles of the counted share that are in one row only, then the other counted ones, then those not
+    counted, each by hash; last the most frequent ones, rarest first. `marks` has a bit for each place that a shingle of
+    two or more rows falls on, so what it calls single is single.
+    """
+
+    def __init__(self, limit: int, marks: np.ndarray, tokens: np.ndarray, places: np.ndarray):
+        self.limit, self.marks, self.tokens, self.places = np.uint64(limit), marks, tokens, places
+
+    def postings(self, found: np.ndarray, size: int) -> np.ndarray:
+        """The first `size` of a set's shingles, without those that no other row has."""
+        end = np.searchsorted(found, self.limit)
+        counted, others = found[:end], found[end:]
+        at = (counted & np.uint64(MARKS - 1)).astype(np.int64)
+        counted = counted[(self.marks[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0]
+        size -= end - len(counted)
+        if size <= 0 or not len(self.tokens):
+            return np.concatenate((counted, others))[:max(size, 0)]
+        at = np.minimum(np.searchsorted(self.tokens, counted), len(self.tokens) - 1)
+        late = self.tokens[at] == counted
+        return np.concatenate((counted[~late], others, counted[late][np.argsort(self.places[at[late]])]))[:size]
+
+
+def common_order(docs: DataFrame, width: int, at: Threshold, total: int, text_col: str) -> tuple:
+    """The parts of an Order, from counts over all rows. At most FREQUENT shingles can be in more than total / FREQUENT
+    rows, and the marks take MARKS / 8 bytes, so what reaches the driver is bounded."""
+    limit = min(2**64 - 1, int(at.counted * 2**64))
     above = max(8, total // FREQUENT)
-    limit = np.uint64(int(COUNTED * 2**64))
 
     def counted(batches):
         for batch in batches:
             for part in slices(batch.t, 2048):
-                found = np.sort(np.concatenate([x[: np.searchsorted(x, limit)] for x in shingle_sets(part, width)]))
+                found = np.sort(np.concatenate([x[: np.searchsorted(x, np.uint64(limit))] for x in shingle_sets(part, width)]))
                 new = np.flatnonzero(np.concatenate(([True], found[1:] != found[:-1]))[: len(found)])
                 yield pd.DataFrame({"token": found[new].view(np.int64), "n": np.diff(np.append(new, len(found)))})
 
-    counts = (docs.select(F.col(text_col).cast("string").alias("t")).mapInPandas(counted, "token long, n long")
-              .groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") > above))
-    top = counts.toPandas().sort_values(["n", "token"])
-    return top.token.to_numpy(np.int64).view(np.uint64)
-
-
-def _first(found: np.ndarray, size: int, tokens: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """The first elements in the common order: by hash, but the frequent ones last, rarest first."""
-    if not len(tokens):
-        return found[:size]
-    for end in (2 * size, len(found)):
-        head = found[:end]
-        at = np.minimum(np.searchsorted(tokens, head), len(tokens) - 1)
-        late = tokens[at] == head
-        early = head[~late]
-        if len(early) >= size:
-            return early[:size]
-    return np.concatenate((early, head[late][np.argsort(place[at[late]])]))[:size]
+    again = cut(docs.select(F.col(text_col).cast("string").alias("t")).mapInPandas(counted, "token long, n long")
+                .groupBy("token").agg(F.sum("n").alias("n")).filter("n > 1"))
+    top = again.filter(F.col("n") > above).toPandas().sort_values(["n", "token"])
+    tokens = top.token.to_numpy(np.int64).view(np.uint64)
+    place = F.col("token").bitwiseAND(F.lit(MARKS - 1)) + 1
+    blocks = again.groupBy(F.bitmap_bucket_number(place).alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    marks = np.zeros(MARKS // 8, np.uint8)
+    for r in blocks.collect():
+        marks[(r["block"] - 1) * 4096:r["block"] * 4096] = np.frombuffer(r["bits"], np.uint8)
+    rank = np.argsort(tokens)
+    return limit, marks, tokens[rank], rank
 
 
-def keys(docs: DataFrame, width: int, at: Threshold, most: int, last: np.ndarray, text_col: str) -> DataFrame:
-    """(c, key, node, n). c = 0: the set's first shingles in the common order. c > 0: hashes of its subsets of c."""
-    rank = np.argsort(last)
-    held = docs.sparkSession.sparkContext.broadcast((last[rank], rank))
+def keys(docs: DataFrame, width: int, at: Threshold, most: int, order: tuple, text_col: str) -> DataFrame:
+    """(c, key, node, n). c = 0: those of the set's first shingles in the common order that other rows have. c > 0: hashes
+    of its subsets of c."""
+    held = docs.sparkSession.sparkContext.broadcast(order)
 
     def made(batches):
-        tokens, place = held.value
+        first = Order(*held.value)
         for batch in batches:
             for part in slices(batch.t, 512):
                 seen, out = set(), []
@@ -154,7 +174,7 @@ def keys(docs: DataFrame, width: int, at: Threshold, most: int, last: np.ndarray
                         continue
                     seen.add(node)
                     if n >= at.least(most + 1):
-                        out.append((0, _first(found, at.prefix(n), tokens, place), node, n))
+                        out.append((0, first.postings(found, at.prefix(n)), node, n))
                     if n <= most:
                         spread = found * np.uint64(0xD6E8FEB86659FD93)
                         whole = spread.sum(dtype=np.uint64)
@@ -179,6 +199,8 @@ def candidates(found: DataFrame, classes: DataFrame, at: Threshold) -> DataFrame
     that another one is near to, by size and sketches, are tied to the first of these. An element that differs changes one
     parity, and one count by one, so no linked pair is lost.
     """
+    # dealt out by key once, for the count and for the join
+    found = found.repartition("c", "key")
     shared = found.groupBy("c", "key").agg(F.min("node").alias("x"), F.max("node").alias("y")).filter("x <> y").select("c", "key")
     found = cut(found.join(shared, ["c", "key"], "left_semi").dropDuplicates(["c", "key", "node"]))
     small = found.filter("c > 0")
@@ -277,7 +299,7 @@ def jaccard_groups(docs: DataFrame, width: int = 3, num: int = 90, den: int = 10
     total = rows.agg(F.sum("n")).first()[0] or 0
     sizes = {r["n"]: r["count"] for r in classes.filter(F.col("n") <= LARGEST_SMALL).groupBy("n").count().collect()}
     most = boundary(sizes, at)
-    found = cut(keys(docs, width, at, most, frequent(docs, width, total, text_col), text_col))
+    found = cut(keys(docs, width, at, most, common_order(docs, width, at, total, text_col), text_col))
     tied = components(candidates(found, classes, at))
 
     members = tied.join(classes.select("node", "first", "copies", "n"), "node")
