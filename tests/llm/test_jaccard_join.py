@@ -89,6 +89,34 @@ def test_boundary_weighs_costs():
     assert J.boundary({39: 1000}, at) < 39
 
 
+@pytest.mark.parametrize("num, share, marked", [(90, 0.21, True), (80, 0.41, True), (80, 0.41, False), (50, 1.0, True)])
+def test_linked_sets_share_a_posting(num, share, marked):
+    """Whatever is counted as single or frequent; single shingles are left out."""
+    from collections import Counter
+    rng = np.random.default_rng(num)
+    at = J.Threshold(num, 100)
+    assert at.counted == pytest.approx(min(1, share))
+    common = rng.integers(0, 2**63, 30, np.uint64) * np.uint64(2)
+    sets = []
+    for _ in range(120):
+        base = np.unique(np.concatenate((rng.integers(0, 2**63, rng.integers(5, 120), np.uint64) * np.uint64(2), common[rng.random(30) < 0.5])))
+        sets += [base, base[rng.random(len(base)) < 0.97], np.unique(np.append(base, rng.integers(0, 2**63, 3, np.uint64)))]
+    rows = Counter(x for s in sets for x in s.tolist())
+    marks = np.zeros(J.MARKS // 8, np.uint8)
+    for x, n in rows.items():
+        if n > 1 or not marked:
+            marks[(x & (J.MARKS - 1)) >> 3] |= 1 << (x & 7)
+    tokens = np.array(sorted(x for x, n in rows.items() if n > 20), np.uint64)
+    limit = min(2**64 - 1, int(at.counted * 2**64))
+    tokens = tokens[tokens < np.uint64(limit)]
+    order = J.Order(limit, marks, tokens, np.argsort(np.array([rows[x] for x in tokens.tolist()])))
+    posted = [set(order.postings(s, at.prefix(len(s))).tolist()) for s in sets]
+    for x, y in combinations(range(len(sets)), 2):
+        a, b = set(sets[x].tolist()), set(sets[y].tolist())
+        if 100 * len(a & b) >= num * len(a | b):
+            assert posted[x] & posted[y]
+
+
 def test_components_of_a_long_path(spark):
     path = [(k, k + 1) for k in range(0, 300)] + [(1000, 1001), (1001, 1001), (1001, 1000), (None, 5)]
     found = {r["node"]: r["label"] for r in components(spark.createDataFrame(path, "a long, b long")).collect()}
