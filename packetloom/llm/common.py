@@ -1,6 +1,6 @@
 """Helpers that several operators of this package use."""
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.joins import is_small
@@ -157,6 +157,13 @@ def keep_ids(rows: DataFrame, ids: DataFrame, how: str = "left_semi", on: str =
     return rows.join(F.broadcast(ids) if is_small(ids, BROADCAST_IDS) else ids, on, how)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Texts are long: fewer rows in an Arrow batch, unless the session names a number of its own."""
+    name, usual = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+    if spark.conf.get(name, usual) == usual:
+        spark.conf.set(name, str(rows))
+
+
 def let(value: Column, use) -> Column:
     """use(value), with the value computed once for a row however often `use` names it, also inside lambdas."""
     return F.transform(F.array(value), use)[0]

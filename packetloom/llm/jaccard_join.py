@@ -11,7 +11,7 @@ from pyspark.sql.functions import pandas_udf
 
 from ..operators.joins import lookup
 from ..session import cut
-from .common import keep_ids, shingle_sets, slices
+from .common import keep_ids, shingle_sets, slices, small_batches
 from .graph import components
 
 # Places of the sketches of a set, a multiple of 64.
@@ -291,6 +291,7 @@ def jaccard_groups(docs: DataFrame, width: int = 3, num: int = 90, den: int = 10
     shingle. Repeated rows are copies that link with each other. A null doc_id takes part, and is never the smallest
     but where all are null. Further columns are ignored, whatever their names. An empty table gives an empty one.
     """
+    small_batches(docs.sparkSession)
     at = Threshold(num, den)
     rows = cut(describe(docs, width, at, id_col, text_col))
     sketches = [*[f"b{k}" for k in range(SPOTS // 64)], "spread"]

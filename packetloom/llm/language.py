@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import fresh, remainder
+from .common import fresh, remainder, small_batches
 
 # Learned from each language: so many rows at most, and so many characters of each. This bounds a dictionary to 0.8 MB.
 ROWS = 200
@@ -93,6 +93,7 @@ def predict(docs: DataFrame, folds: int = 4, held: int = 2) -> DataFrame:
     share by which the best size undercuts the next. A narrow margin is rejected but still named. Repeated rows get
     equal answers, further columns play no part, and an empty table gives an empty one.
     """
+    small_batches(docs.sparkSession)
     out = F.coalesce(remainder("doc_id", folds) == held, F.lit(False))
     model = docs.sparkSession.sparkContext.broadcast(learn(docs.filter(~out)))
     judged = docs.select("doc_id", out.alias("held_out"), language(F.col("text"), model).alias("j"))
@@ -101,6 +102,7 @@ def predict(docs: DataFrame, folds: int = 4, held: int = 2) -> DataFrame:
 
 def recognised(docs: DataFrame, folds: int = 4, held: int = 2) -> DataFrame:
     """The rows of docs whose language is told with a clear margin, with their columns."""
+    small_batches(docs.sparkSession)
     out = F.coalesce(remainder("doc_id", folds) == held, F.lit(False))
     model = docs.sparkSession.sparkContext.broadcast(learn(docs.filter(~out)))
     name = fresh(docs.columns, "judged")

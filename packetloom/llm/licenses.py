@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from .common import small_batches
 from .license_rules import NAMES, PASSAGES
 
 # The base: a phrase's words in a row, and its label.
@@ -99,6 +100,8 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     score is that of the strongest detection. Repeated rows get equal answers, null ids stay null, further columns play no
     part, and an empty table gives an empty one.
     """
+    small_batches(docs.sparkSession)
+
     @pandas_udf("n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
     def scanned(texts: pd.Series) -> pd.DataFrame:
         if not _SCANNERS:

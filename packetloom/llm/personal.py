@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from .common import small_batches
+
 KINDS = ("email", "ip", "card", "phone")
 # The labelled table: so many rows with personal data, and as many without.
 ROWS = 400
@@ -284,6 +286,7 @@ def find(docs: DataFrame) -> DataFrame:
     texts have none, and the hash of no text. Repeated rows get equal answers, null ids stay null, further columns play no
     part, and an empty table gives an empty one.
     """
+    small_batches(docs.sparkSession)
     field = learn(docs)
     model = docs.sparkSession.sparkContext.broadcast((field.weights.astype(np.float32), field.moves))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from ..session import cut
-from .common import portions, remainder, word_hashes
+from .common import portions, remainder, small_batches, word_hashes
 
 # Bytes of context. A gram is a context and the byte after it, packed in a 64-bit number, so 7 at most.
 ORDER = 4
@@ -155,6 +155,7 @@ def score_texts(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
     empty table gives an empty one.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     out = F.coalesce(remainder("doc_id", folds) == held, F.lit(False))
     counts = cut(gathered(docs.filter(~out)))
     levels = trie(counts)

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from .common import small_batches
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # How the vocabulary's texts are cut before pairs of bytes are merged.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -75,5 +77,6 @@ def section_tokens(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     no token. Repeated rows give repeated sections, a null id stays null, further columns play no part, and an empty
     table gives an empty one.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select("doc_id", F.posexplode(attributed(F.col("text"), path)).alias("section", "s"))
     return rows.select("doc_id", "section", "s.*")
