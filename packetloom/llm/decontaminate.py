@@ -18,7 +18,6 @@ UNITS = ("km|cm|mm|m|mi|miles?|ft|feet|inch|inches|kg|g|mg|lbs?|oz|pounds?|l|ml|
          "days?|weeks?|months?|years?|dollars?|cents?|euros?|usd|eur|percent|degrees?|mph|kmh|kb|mb|gb|tb|hz|khz|mhz|ghz|watts?|kw|kwh|volts?")
 # Applied in this order; SQL applies the same.
 RULES = (
-    (f"[{MARKS}]", ""),
     (r"[^\p{L}\p{M}0-9]+", " "),
     (r"([0-9]+)", f" {MARKS[0]}$1 "),
     (f"({MARKS[0]}[0-9]+) +(?i:({UNITS})) ", f"$1 {MARKS[2]}$2 "),
@@ -31,7 +30,7 @@ def marked(text: Column) -> Column:
     out = F.concat(F.coalesce(text.cast("string"), F.lit("")), F.lit(" "))
     for pattern, by in RULES:
         out = F.regexp_replace(out, pattern, by)
-    return F.filter(F.split(F.lower(out), " +"), lambda w: w != "")
+    return F.filter(F.split(F.lower(out), " "), lambda w: w != "")
 
 
 def template(text: Column) -> Column:
@@ -39,15 +38,21 @@ def template(text: Column) -> Column:
     out = F.concat(F.coalesce(text.cast("string"), F.lit("")), F.lit(" "))
     for pattern, by in (*RULES, (f"([{MARKS}])[^ ]*", "$1")):
         out = F.regexp_replace(out, pattern, by)
-    return F.split(F.trim(F.regexp_replace(F.lower(out), " +", " ")), " ")
+    return F.filter(F.split(F.lower(out), " "), lambda w: w != "")
+
+
+def window(hashed: Column, at) -> Column:
+    """Hash of the window that starts at a place, from the hashes of its words."""
+    return F.xxhash64(*[F.get(hashed, at + k) for k in range(WIDTH)])
 
 
 def hashes(words: Column) -> Column:
     """Hash of each window; [] with fewer words than a window has."""
-    def all_of(w: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.size(w) - WIDTH + 1, F.lit(1)))
-        return F.filter(F.transform(starts, lambda i: F.when(F.size(w) >= WIDTH, F.xxhash64(F.slice(w, i, WIDTH)))), lambda h: h.isNotNull())
-    return let(words, all_of)
+    def all_of(h: Column) -> Column:
+        last = F.size(h) - WIDTH
+        return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: window(h, i))
+                      ).otherwise(F.array().cast("array<bigint>"))
+    return let(F.transform(words, lambda w: F.xxhash64(w)), all_of)
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
@@ -58,9 +63,9 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
     """
     items = benchmark.select("item_id", marked(F.col("text")).alias("w")).filter(F.size("w") >= WIDTH).dropDuplicates(["item_id", "w"])
     at = items.select("item_id", "w", F.explode(F.sequence(F.lit(0), F.size("w") - WIDTH)).alias("ip"))
-    window = F.slice("w", F.col("ip") + 1, WIDTH)
-    form = F.transform(window, lambda x: F.when(x.rlike(f"^[{MARKS}]"), F.substring(x, 1, 1)).otherwise(x))
-    at = at.select("item_id", "ip", F.xxhash64(window).alias("own"), F.xxhash64(form).alias("h"),
+    words = F.slice("w", F.col("ip") + 1, WIDTH)
+    form = F.transform(words, lambda x: F.when(x.rlike(f"^[{MARKS}]"), F.substring(x, 1, 1)).otherwise(x))
+    at = at.select("item_id", "ip", hashes(words)[0].alias("own"), hashes(form)[0].alias("h"),
                    (F.size(F.filter(form, lambda x: ~x.rlike(f"^[{MARKS}]"))) >= PLAIN).alias("plain"))
     told = at.groupBy("item_id").agg(F.sum(F.col("plain").cast("int")).alias("good"), F.count(F.lit(1)).alias("all"))
     return at.join(told, "item_id").filter("plain or good = 0").select(
