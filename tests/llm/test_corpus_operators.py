@@ -246,6 +246,21 @@ def test_scores_equal_brute_force(spark):
         assert sorted(found, key=str) == sorted(expected, key=str)
 
 
+@pytest.mark.parametrize("nodes", [1 << 20, 3000, 100])
+def test_scores_keep_grams_that_are_rare_in_a_large_corpus(spark, monkeypatch, nodes):
+    """Over 2^20 counts, so that a gram seen once has less than a 2^-20 share; few or nearly no grams sent to the tasks."""
+    monkeypatch.setattr(ppm, "NODES", nodes)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").filter("length(text) < 1000").limit(40)
+    rows = [tuple(r) for r in docs.collect()] + [(10**6 + k, "lorem ipsum " * 40_000) for k in range(3)] + [(None, None), (None, "xq zj wvk")]
+    rows += [rows[0], rows[0]]
+    held = [doc_id is not None and zlib.crc32(str(doc_id).encode()) % 7 == 2 for doc_id, _ in rows]
+    trie = PlainTrie([t for (_, t), h in zip(rows, held) if not h])
+    assert any(held) and trie.counts[b""].total() > 1 << 20
+    short = [r for r in rows if len(r[1] or "") < 1000]
+    found = ppm.score_texts(spark.createDataFrame(rows, "doc_id long, text string")).filter("n_tokens < 1000").collect()
+    assert sorted(((r["doc_id"], round(r["score"], 6)) for r in found), key=str) == sorted(((i, round(trie.log10(t), 6)) for i, t in short), key=str)
+
+
 def test_probabilities_sum_to_one():
     """Over all next bytes, for contexts that are known, partly known and unknown; also of a pruned trie."""
     found, _ = ppm.grams(["the cat sat on the mat", "the cap", "a bat at a mat", None])
