@@ -1,8 +1,9 @@
 """Signatures of licenses, written for texts cut to lower-case words with one space between them."""
 
-# label | keyword that a text must hold as a word | expression of the name
+# label | keyword, a word that every match of the expression holds | expression of the name
 NAMES = r"""
-0bsd | 0bsd | 0bsd|zero clause bsd
+0bsd | 0bsd | 0bsd
+0bsd | bsd | zero clause bsd
 0bsd | bsd | bsd zero clause
 aal | attribution | attribution assurance license
 afl-2.1 | academic | academic free license (?:version |v)?2 1
@@ -23,7 +24,8 @@ beerware | beer | beer ware licen[cs]e
 bittorrent-1.1 | bittorrent | bittorrent open source licen[cs]e
 blueoak-1.0.0 | blue | blue oak model licen[cs]e(?: 1 0 0)?
 bsd-1-clause | bsd | bsd (?:1|one) clause
-bsd-2-clause | bsd | bsd (?:2|two) clause|simplified bsd licen[cs]e|free ?bsd licen[cs]e
+bsd-2-clause | bsd | bsd (?:2|two) clause|simplified bsd licen[cs]e|free bsd licen[cs]e
+bsd-2-clause | freebsd | freebsd licen[cs]e
 bsd-2-clause-patent | bsd | bsd (?:2|two) clause (?:plus )?patent
 bsd-3-clause | bsd | bsd (?:3|three) clause|(?:new|modified|revised) bsd licen[cs]e
 bsd-3-clause-clear | bsd | (?:bsd (?:3|three) clause clear|clear bsd licen[cs]e)
@@ -32,7 +34,8 @@ bsl-1.0 | boost | boost software licen[cs]e(?: (?:version )?1 0)?
 busl-1.1 | business | business source licen[cs]e(?: (?:version )?1 1)?
 bzip2 | bzip2 | bzip2 licen[cs]e
 caldera | caldera | caldera licen[cs]e
-catosl-1.1 | catosl | computer associates trusted open source licen[cs]e
+catosl-1.1 | catosl | catosl(?: 1 1)?
+catosl-1.1 | associates | computer associates trusted open source licen[cs]e
 cc-by | by | cc by(?! (?:nc|nd|sa))(?: [1-4] 0)?
 cc-by | attribution | creative commons attribution(?! (?:non ?commercial|no ?deriv|share))
 cc-by-nc | nc | cc by nc(?! (?:nd|sa))(?: [1-4] 0)?
@@ -55,7 +58,8 @@ cecill-b | cecill | cecill b
 cecill-c | cecill | cecill c
 clartistic | clarified | clarified artistic licen[cs]e
 cnri-python | cnri | cnri (?:open source )?(?:python )?licen[cs]e
-cpal-1.0 | cpal | cpal(?: 1 0)?|common public attribution licen[cs]e
+cpal-1.0 | cpal | cpal(?: 1 0)?
+cpal-1.0 | attribution | common public attribution licen[cs]e
 cpl-1.0 | common | common public licen[cs]e(?: (?:version )?1 0)?
 curl | curl | curl licen[cs]e
 ecl-2.0 | educational | educational community licen[cs]e(?: (?:version )?2 0)?
@@ -96,7 +100,8 @@ isc | isc | isc licen[cs]e
 jasper-2.0 | jasper | jasper licen[cs]e
 json | json | json licen[cs]e
 latex2e | latex2e | latex2e licen[cs]e
-lgpl | lesser | (?:gnu )?(?:lesser|library) general public licen[cs]e
+lgpl | lesser | (?:gnu )?lesser general public licen[cs]e
+lgpl | library | (?:gnu )?library general public licen[cs]e
 lgpl-2.0 | library | (?:gnu )?library general public licen[cs]e (?:version |v)?2(?: 0)?
 lgpl-2.1 | lgpl | lgpl (?:version |v)?2 1
 lgpl-2.1 | lesser | (?:gnu )?lesser general public licen[cs]e (?:version |v)?2 1
@@ -107,7 +112,8 @@ liliq-p-1.1 | liliq | liliq p 1 1
 lpl-1.02 | lucent | lucent public licen[cs]e
 lppl-1.3c | latex | latex project public licen[cs]e
 miros | miros | miros licen[cs]e
-mit | mit | (?:the )?mit(?: x11)? licen[cs]e|licen[cs]e mit|expat licen[cs]e
+mit | mit | (?:the )?mit(?: x11)? licen[cs]e|licen[cs]e mit
+mit | expat | expat licen[cs]e
 mit-0 | mit | mit no attribution|mit 0 licen[cs]e
 motosoto | motosoto | motosoto open source licen[cs]e
 mpl-1.0 | mozilla | mozilla public licen[cs]e (?:version |v )?1 0
@@ -128,7 +134,8 @@ nposl-3.0 | profit | non profit open software licen[cs]e
 ntp | ntp | ntp licen[cs]e
 oclc-2.0 | oclc | oclc research public licen[cs]e
 odbl-1.0 | database | open (?:data commons )?(?:open )?database licen[cs]e
-odc-by-1.0 | odc | odc by|open data commons attribution licen[cs]e
+odc-by-1.0 | odc | odc by
+odc-by-1.0 | attribution | open data commons attribution licen[cs]e
 ofl-1.1 | font | (?:sil )?open font licen[cs]e(?: (?:version )?1 1)?
 ogl-uk-3.0 | government | open government licen[cs]e
 oldap-2.8 | openldap | openldap public licen[cs]e
@@ -141,16 +148,19 @@ php-3.01 | php | php licen[cs]e(?: (?:version )?3 01)?
 polyform-noncommercial | polyform | polyform non ?commercial licen[cs]e
 polyform-small-business | polyform | polyform small business licen[cs]e
 postgresql | postgresql | postgresql licen[cs]e
-psf-2.0 | python | python software foundation licen[cs]e|psf licen[cs]e
+psf-2.0 | python | python software foundation licen[cs]e
+psf-2.0 | psf | psf licen[cs]e
 public-domain | domain | (?:in|into|to) the public domain
-qpl-1.0 | qt | q(?:t )?public licen[cs]e
+qpl-1.0 | q | q public licen[cs]e
+qpl-1.0 | qt | qt public licen[cs]e
 rpl-1.5 | reciprocal | reciprocal public licen[cs]e
 rpsl-1.0 | realnetworks | realnetworks public source licen[cs]e
 ruby | ruby | ruby licen[cs]e
 rscpl | ricoh | ricoh source code public licen[cs]e
 sgi-b-2.0 | sgi | sgi free software licen[cs]e b
 simpl-2.0 | simple | simple public licen[cs]e
-sissl | sissl | sun industry standards source licen[cs]e|sissl
+sissl | sissl | sissl
+sissl | sun | sun industry standards source licen[cs]e
 sleepycat | sleepycat | sleepycat licen[cs]e
 spl-1.0 | sun | sun public licen[cs]e
 sspl-1.0 | sspl | sspl(?: (?:version )?1)?
@@ -166,22 +176,23 @@ w3c | w3c | w3c software (?:notice and )?licen[cs]e
 watcom-1.0 | watcom | sybase open watcom public licen[cs]e
 wtfpl | wtfpl | wtfpl
 x11 | x11 | x11 licen[cs]e
-xnet | xnet | x net licen[cs]e
+xnet | net | x net licen[cs]e
 zlib | zlib | zlib(?: libpng)? licen[cs]e
 zpl-2.1 | zope | zope public licen[cs]e(?: (?:version )?2 1)?
 """
 
-# label | keyword | expression of a passage from the license's own text, or of what people write in its place
+# label | keyword, as above | expression of a passage from the license's own text, or of what people write in its place.
+# One keyword is wanted elsewhere in the text: other licenses (ecl-2.0) say 'may not use this file' too, without apache.
 PASSAGES = r"""
-agpl-3.0 | affero | interacting with it remotely through a computer network
+agpl-3.0 | remotely | interacting with it remotely through a computer network
 apache-2 | apache | you may not use this file except in compliance with the license
-apache-2 | asis | distributed on an asis basis without warranties or conditions of any kind
+apache-2 | basis | distributed on an as ?is basis without warranties or conditions of any kind
 beerware | beer | you can buy me a beer in return
 bsd | redistribution | redistribution and use in source and binary forms with or without modification are permitted
 bsd-3-clause | endorse | neither the name of .{1,80}? nor the names of its contributors may be used to endorse
 bsd-4-clause | acknowledgement | advertising materials mentioning features or use of this software must display the following acknowledgement
 bsl-1.0 | machine | machine executable object code generated by a source language processor
-cc0-1.0 | waive | has waived all copyright and related or neighboring rights
+cc0-1.0 | waived | has waived all copyright and related or neighboring rights
 gpl | redistribute | you can redistribute it and or modify it under the terms of the gnu general public license
 gpl-2.0 | version | either version 2 of the license or at your option any later version
 gpl-3.0 | version | either version 3 of the license or at your option any later version
@@ -191,12 +202,13 @@ mit | hereby | permission is hereby granted free of charge to any person obtaini
 mpl-2.0 | mozilla | this source code form is subject to the terms of the mozilla public license
 proprietary | reserved | all rights reserved
 proprietary | confidential | proprietary and confidential
-proprietary | permission | may not be (?:copied|reproduced|used|distributed) without (?:the )?(?:prior |express |written )*(?:permission|consent)
+proprietary | permission | may not be (?:copied|reproduced|used|distributed) without (?:the )?(?:prior |express |written )*permission
+proprietary | consent | may not be (?:copied|reproduced|used|distributed) without (?:the )?(?:prior |express |written )*consent
 proprietary | commercial | not (?:be used )?for commercial use
-public-domain | encumbered | free and unencumbered software released into the public domain
+public-domain | unencumbered | free and unencumbered software released into the public domain
 sspl-1.0 | service | making the functionality of the program available to third parties as a service
 wtfpl | fuck | do what the fuck you want to
 zlib | altered | altered source versions must be plainly marked as such
 unknown-license | licensed | licensed under (?:a |the )?[^ ]+ licen[cs]e
-unknown-license | license | see (?:the )?(?:accompanying |included )?licen[cs]e(?: file)? for details
+unknown-license | details | see (?:the )?(?:accompanying |included )?licen[cs]e(?: file)? for details
 """

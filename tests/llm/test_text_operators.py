@@ -193,6 +193,56 @@ def test_there_are_hundreds_of_rules_and_each_can_fire():
     assert len(licenses.rules()) > 400
 
 
+def samples(parsed):
+    """Texts that an expression matches: every alternative, and every optional part with and without."""
+    out = [""]
+    for kind, value in parsed:
+        kind = str(kind)
+        if kind == "LITERAL":
+            own = [chr(value)]
+        elif kind == "IN":
+            own = ["x" if str(value[0][0]) == "NEGATE" else chr(v) for k, v in value if str(k) in ("LITERAL", "NEGATE")][:1 if str(value[0][0]) == "NEGATE" else None]
+        elif kind == "NOT_LITERAL" or kind == "ANY":
+            own = ["x"]
+        elif kind == "BRANCH":
+            own = [s for branch in value[1] for s in samples(branch)]
+        elif kind == "SUBPATTERN":
+            own = samples(value[3])
+        elif kind in ("MAX_REPEAT", "MIN_REPEAT"):
+            own = [s for n in {value[0], max(1, value[0])} for s in (samples(value[2]) if n else [""])]
+        else:
+            assert kind in ("ASSERT", "ASSERT_NOT"), kind
+            own = [""]
+        out = [a + b for a in out for b in own]
+    return out
+
+
+def test_every_text_of_a_rule_holds_its_keyword():
+    """So the keyword never shuts a rule out: each alternative, alone in a text, is found."""
+    scanner = licenses.Scanner()
+    for _, label, keyword, rx in licenses.rules():
+        inner = rx.pattern.decode().removeprefix("(?<= )(?:").removesuffix(")(?= )")
+        for text in samples(re._parser.parse(inner)):
+            if text.startswith("you may not use this file"):
+                text += " apache"
+            assert keyword.decode() in text.split(), (label, keyword, text)
+            words = text.encode().split()
+            line = b" " + b" ".join(words) + b" "
+            if rx.search(line):
+                assert scanner.detections(line, scanner.by_word.keys() & set(words)), text
+
+
+@pytest.mark.parametrize("text, label", [
+    ("Expat License", "mit"), ("FreeBSD License", "bsd-2-clause"), ("zero-clause BSD", "0bsd"), ("Common Public Attribution License", "cpal-1.0"),
+    ("Open Data Commons Attribution License", "odc-by-1.0"), ("PSF License", "psf-2.0"), ("Q Public License", "qpl-1.0"), ("CATOSL 1.1", "catosl-1.1"),
+    ("Sun Industry Standards Source License", "sissl"), ("Computer Associates Trusted Open Source License", "catosl-1.1"), ("X.Net License", "xnet"),
+    ("has waived all copyright and related or neighboring rights", "cc0-1.0"), ("see the licence file for details", "unknown-license"),
+    ("This is free and unencumbered software released into the public domain.", "public-domain"), ("may not be copied without prior written consent", "proprietary"),
+    ('distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND', "apache-2")])
+def test_usual_wordings_get_their_label(text, label):
+    assert label in licenses.Scanner().scan(text)[5].split(",")
+
+
 def test_suppression_by_containment():
     scanner = licenses.Scanner()
     line = b" the gnu lesser general public license version 2 1 and the gnu general public license "
