@@ -23,24 +23,44 @@ RULES = (
     (f"({MARKS[0]}[0-9]+) +(?i:({UNITS})) ", f"$1 {MARKS[2]}$2 "),
     (r"(^| )(\p{Lu}[\p{L}\p{M}]*)", f"$1{MARKS[1]}$2"),
 )
+# Names stay words, so that an item is also found in other capitals. Words have the same places by both lists of rules.
+FOLDED = RULES[:3]
 
 
-def marked(text: Column) -> Column:
+def marked(text: Column, rules: tuple = RULES) -> Column:
     """Array of lower-case words, those that a template replaces with a mark in front."""
     out = F.concat(F.coalesce(text.cast("string"), F.lit("")), F.lit(" "))
-    for pattern, by in RULES:
+    for pattern, by in rules:
         out = F.regexp_replace(out, pattern, by)
     return F.filter(F.split(F.lower(out), " "), lambda w: w != "")
 
 
-def template(text: Column) -> Column:
+def template(text: Column, rules: tuple = RULES) -> Column:
     """The same words, with the mark alone for a word that has one. Built as one text, so no word is handled singly."""
+    return _template(_replaced(text, FOLDED), rules[len(FOLDED):])
+
+
+def _replaced(text: Column, rules: tuple) -> Column:
     out = F.concat(F.coalesce(text.cast("string"), F.lit("")), F.lit(" "))
-    for pattern, by in (*RULES, (f"([{MARKS}])[^ ]*", "$1")):
+    for pattern, by in rules:
+        out = F.regexp_replace(out, pattern, by)
+    return out
+
+
+def _template(out: Column, rules: tuple) -> Column:
+    for pattern, by in (*rules, (f"([{MARKS}])[^ ]*", "$1")):
         out = F.regexp_replace(out, pattern, by)
     return F.filter(F.split(F.lower(out), " "), lambda w: w != "")
 
 
+def both_hashes(text: Column) -> Column:
+    """Hash of each window by its template, then in the same order by its folded template; null where these are equal."""
+    def of(base: Column) -> Column:
+        pair = F.array(hashes(_template(base, RULES[len(FOLDED):])), hashes(_template(base, ())))
+        return let(pair, lambda x: F.concat(x[0], F.zip_with(x[0], x[1], lambda a, b: F.when(a != b, b))))
+    return let(_replaced(text, FOLDED), of)
+
+
 def window(hashed: Column, at) -> Column:
     """Hash of the window that starts at a place, from the hashes of its words."""
     return F.xxhash64(*[F.get(hashed, at + k) for k in range(WIDTH)])
@@ -55,13 +75,13 @@ def hashes(words: Column) -> Column:
     return let(F.transform(words, lambda w: F.xxhash64(w)), all_of)
 
 
-def item_windows(benchmark: DataFrame) -> DataFrame:
+def item_windows(benchmark: DataFrame, rules: tuple = RULES) -> DataFrame:
     """(item_id, exact, ip, h, windows): the windows that are evidence, and how many the item has.
 
     A window is evidence by its template if PLAIN of its words are no placeholders. An item without such windows is
     matched by its marked words as they are (exact). Items of fewer than WIDTH words are too short to be evidence.
     """
-    items = benchmark.select("item_id", marked(F.col("text")).alias("w")).filter(F.size("w") >= WIDTH).dropDuplicates(["item_id", "w"])
+    items = benchmark.select("item_id", marked(F.col("text"), rules).alias("w")).filter(F.size("w") >= WIDTH).dropDuplicates(["item_id", "w"])
     at = items.select("item_id", "w", F.explode(F.sequence(F.lit(0), F.size("w") - WIDTH)).alias("ip"))
     words = F.slice("w", F.col("ip") + 1, WIDTH)
     form = F.transform(words, lambda x: F.when(x.rlike(f"^[{MARKS}]"), F.substring(x, 1, 1)).otherwise(x))
@@ -75,38 +95,63 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, windows, matched, changed), one row for each document that holds an item, as it is or with other
-    numbers, names or units.
+    numbers, names or units, or with all words but numbers and units as they are, whatever their capitals.
 
     Windows of documents and items meet by hash. Where enough of an item's windows meet, the words that stand for
     placeholders are compared: along one alignment, a value of the item must always stand for the same value of the
     document. matched counts the item's windows on consistent alignments; it must be SHARE of all. changed tells that
-    some value differs. Rows that share a doc_id are taken as one document. Null and empty texts, and null ids, give no
-    row; an empty table on either side gives an empty one.
+    some value differs. A pair that is found by its template is told by it, others by the folded template, where names
+    are words and case does not count. Rows that share a doc_id are taken as one document. Null and empty texts, and
+    null ids, give no row; an empty table on either side gives an empty one.
     """
-    evidence = cut(item_windows(benchmark))
-    ways = [(False, template)] + [(True, marked)] * (not evidence.filter("exact").isEmpty())
-    met = None
-    for exact, form in ways:
-        side = bounded(evidence.filter(F.col("exact") == exact).select("item_id", "ip", "h", "windows"))
-        own = docs.filter("doc_id is not null").select("doc_id", hashes(form(F.col("text"))).alias("hs"))
-        found = own.select("doc_id", F.posexplode("hs").alias("dp", "h")).join(side, "h").select("doc_id", "item_id", "dp", "ip", "windows")
-        met = found if met is None else met.unionByName(found)
+    forms = ((False, RULES), (True, FOLDED))
+    evidence = [item_windows(benchmark, rules).withColumn("folded", F.lit(folded)) for folded, rules in forms]
+    evidence = cut(evidence[0].unionByName(evidence[1]))
+    columns = ["doc_id", "item_id", "dp", "ip", "windows", "folded"]
+    own = docs.filter("doc_id is not null")
+    side = bounded(evidence.filter("not exact").drop("exact"))
+    # a window without names is written once; it meets items by either template
+    each = (own.select("doc_id", both_hashes(F.col("text")).alias("hs")).select("doc_id", F.size("hs").alias("n"), F.posexplode("hs").alias("at", "h"))
+            .filter("h is not null").withColumn("half", F.expr("n div 2")))
+    met = (each.join(side, "h").filter("at < half or folded")
+           .withColumn("dp", F.when(F.col("at") < F.col("half"), F.col("at")).otherwise(F.col("at") - F.col("half")).cast("int")).select(*columns))
+    for folded, rules in forms:
+        words = evidence.filter(F.col("exact") & (F.col("folded") == folded))
+        if not words.isEmpty():
+            found = own.select("doc_id", hashes(marked(F.col("text"), rules)).alias("hs")).select("doc_id", F.posexplode("hs").alias("dp", "h"))
+            met = met.unionByName(found.join(bounded(words.drop("exact")), "h").select(*columns))
     met = cut(met.dropDuplicates())
-    enough = met.groupBy("doc_id", "item_id").agg(F.countDistinct("ip").alias("n"), F.first("windows").alias("of"))
-    enough = cut(enough.filter(F.col("n") >= SHARE * F.col("of")).select("doc_id", "item_id"))
-    met = met.join(enough, ["doc_id", "item_id"], "left_semi")
-
-    places = met.select("doc_id", "item_id", (F.col("dp") - F.col("ip")).alias("shift"), F.explode(F.sequence("ip", F.col("ip") + WIDTH - 1)).alias("ip"))
+    enough = met.groupBy("folded", "doc_id", "item_id").agg(F.countDistinct("ip").alias("n"), F.first("windows").alias("of"))
+    enough = cut(enough.filter(F.col("n") >= SHARE * F.col("of")).select("folded", "doc_id", "item_id"))
+    on = ["doc_id", "item_id", "shift"]
+    met = met.withColumn("shift", F.col("dp") - F.col("ip"))
+    plain = met.filter("not folded").join(enough.filter("not folded"), on[:2], "left_semi")
+    judged = cut(_judged(docs, benchmark, plain, RULES))
+    by_template = cut(_held(plain, judged))
+    others = cut(enough.filter("folded").join(by_template, on[:2], "left_anti").select(on[:2]))
+    if others.isEmpty():
+        return by_template
+    # names that clash by the template are no evidence in the folded one either
+    folded = met.filter("folded").join(others, on[:2], "left_semi").join(judged.filter("clash").select(on), on, "left_anti")
+    return by_template.unionByName(_held(folded, _judged(docs, benchmark, folded, FOLDED)))
+
+
+def _judged(docs: DataFrame, benchmark: DataFrame, met: DataFrame, rules: tuple) -> DataFrame:
+    """(doc_id, item_id, shift, clash, changed): of each alignment, whether its values clash and whether one differs."""
+    places = met.select("doc_id", "item_id", "shift", F.explode(F.sequence("ip", F.col("ip") + WIDTH - 1)).alias("ip"))
     places = places.dropDuplicates()
-    texts = keep_ids(docs.select("doc_id", "text"), enough.select("doc_id").distinct())
-    theirs = texts.select("doc_id", F.posexplode(marked(F.col("text"))).alias("dp", "value")).filter(F.col("value").rlike(f"^[{MARKS}]"))
-    ours = benchmark.select("item_id", F.posexplode(marked(F.col("text"))).alias("ip", "mine")).filter(F.col("mine").rlike(f"^[{MARKS}]"))
+    texts = keep_ids(docs.select("doc_id", "text"), met.select("doc_id").distinct())
+    theirs = texts.select("doc_id", F.posexplode(marked(F.col("text"), rules)).alias("dp", "value")).filter(F.col("value").rlike(f"^[{MARKS}]"))
+    ours = benchmark.select("item_id", F.posexplode(marked(F.col("text"), rules)).alias("ip", "mine")).filter(F.col("mine").rlike(f"^[{MARKS}]"))
     slots = (places.withColumn("dp", F.col("shift") + F.col("ip")).join(theirs, ["doc_id", "dp"]).join(ours, ["item_id", "ip"])
              .select("doc_id", "item_id", "shift", "mine", "value").distinct())
-    judged = slots.groupBy("doc_id", "item_id", "shift").agg(
+    return slots.groupBy("doc_id", "item_id", "shift").agg(
         (F.countDistinct("mine") < F.count(F.lit(1))).alias("clash"), F.max((F.col("mine") != F.col("value")).cast("int")).alias("changed"))
-    on = ["doc_id", "item_id", "shift"]
-    sound = met.withColumn("shift", F.col("dp") - F.col("ip")).join(judged, on, "left").filter(~F.coalesce("clash", F.lit(False)))
+
+
+def _held(met: DataFrame, judged: DataFrame) -> DataFrame:
+    """The pairs that hold on consistent alignments."""
+    sound = met.join(judged, ["doc_id", "item_id", "shift"], "left").filter(~F.coalesce("clash", F.lit(False)))
     total = sound.groupBy("doc_id", "item_id").agg(F.first("windows").alias("windows"), F.countDistinct("ip").alias("matched"),
                                                    (F.max(F.coalesce("changed", F.lit(0))) > 0).alias("changed"))
     return total.filter(F.col("matched") >= SHARE * F.col("windows")).select("doc_id", "item_id", "windows", "matched", "changed")

@@ -136,6 +136,20 @@ def test_items_without_plain_words_are_matched_as_they_are(spark):
     assert [r["doc_id"] for r in decontaminate.leaks(docs, bench).collect()] == [1]
 
 
+def test_items_are_found_whatever_their_capitals(spark):
+    item = "Yesterday Anna bought 12 red apples at the small market near Berlin and gave Bob five of them before noon"
+    texts = {1: "noise " + item.upper().replace(" ", " !! ") + " noise", 2: item.lower(), 3: item.title() + " and more", 4: item.replace("Anna", "Maria"),
+             5: item.upper().replace("12", "30"), 6: "ANNA BOUGHT NOTHING AT THE SMALL MARKET NEAR BERLIN YESTERDAY AND GAVE BOB NO APPLES"}
+    docs = spark.createDataFrame([*texts.items(), (None, item.upper())], "doc_id long, text string")
+    bench = spark.createDataFrame([(9, item), (8, "ONE TWO THREE FOUR FIVE SIX")], "item_id long, text string")
+    rows = {r["doc_id"]: (r["item_id"], r["changed"]) for r in decontaminate.leaks(docs, bench).collect()}
+    assert rows == {1: (9, False), 2: (9, False), 3: (9, False), 4: (9, True), 5: (9, True)}
+    assert sorted((r["doc_id"] for r in decontaminate.clean(docs, bench).collect()), key=str) == [6, None]
+    bench = spark.createDataFrame([(7, "Alice Bob Carol Dave Eve Frank")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "so alice bob carol dave eve frank came"), (2, "Xa Xb Xc Xd Xe Xf")], "doc_id long, text string")
+    assert [r["doc_id"] for r in decontaminate.leaks(docs, bench).collect()] == [1]
+
+
 def test_documents_without_items_stay(spark, sf):
     docs, bench = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
     found = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, bench).collect()}
