@@ -95,8 +95,13 @@ def _described(texts, width: int, spread_from: int) -> pd.DataFrame:
     return pd.concat(out)
 
 
+def picked(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """Hash of a row's id and text, both of which may be null or repeated: rows that it tells apart differ in one of them."""
+    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
+
+
 def describe(docs: DataFrame, width: int, at: Threshold, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n, node, b0..., spread): size and hash of each row's set, and sketches of it. Equal sets have equal nodes.
+    """(doc_id, pick, n, node, b0..., spread): size and hash of each row's set, and sketches of it. Equal sets have equal nodes.
 
     The elements are counted by hash in SPOTS places: b0... hold the parities, spread the counts, for large sets only.
     """
@@ -104,7 +109,8 @@ def describe(docs: DataFrame, width: int, at: Threshold, id_col: str = "doc_id",
     def described(texts: pd.Series) -> pd.DataFrame:
         return _described(texts, width, at.least(LARGE + 1))
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), described(F.col(text_col).cast("string")).alias("d")).select("doc_id", "d.*")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), picked(id_col, text_col).alias("pick"),
+                       described(F.col(text_col).cast("string")).alias("d")).select("doc_id", "pick", "d.*")
 
 
 class Order:
@@ -296,20 +302,23 @@ def jaccard_groups(docs: DataFrame, width: int = 3, num: int = 90, den: int = 10
     rows = cut(describe(docs, width, at, id_col, text_col))
     sketches = [*[f"b{k}" for k in range(SPOTS // 64)], "spread"]
     classes = cut(rows.filter("n > 0").groupBy("node").agg(
-        F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), *[F.first(b).alias(b) for b in sketches]))
+        F.min("doc_id").alias("first"), F.min("pick").alias("pick"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), *[F.first(b).alias(b) for b in sketches]))
     total = rows.agg(F.sum("n")).first()[0] or 0
     sizes = {r["n"]: r["count"] for r in classes.filter(F.col("n") <= LARGEST_SMALL).groupBy("n").count().collect()}
     most = boundary(sizes, at)
     found = cut(keys(docs, width, at, most, common_order(docs, width, at, total, text_col), text_col))
     tied = components(candidates(found, classes, at))
 
-    members = tied.join(classes.select("node", "first", "copies", "n"), "node")
+    members = tied.join(classes.select("node", "pick", "copies", "n"), "node")
     weight = members.groupBy("label").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
     members = cut(members.join(weight, "label").select(
-        F.col("first").alias("doc_id"), "node", "label", "copies", "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block")))
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t"))
-    texts = keep_ids(texts, members.select("doc_id").distinct())
-    texts = texts.join(members, "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        "pick", "node", "label", "copies", "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block")))
+    # the text of each class, from one of its rows
+    texts = docs.select(picked(id_col, text_col).alias("pick"), F.col(text_col).cast("string").alias("t"))
+    texts = keep_ids(texts, members.select("pick"), on="pick")
+    if not rows.filter("n > 0").groupBy("pick").count().filter("count > 1").isEmpty():
+        texts = texts.dropDuplicates(["pick"])
+    texts = texts.join(members, "pick").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     texts = texts.select("label", "node", "copies", "block", "t", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     checked = cut(texts.groupBy("label", "i", "j").applyInPandas(lambda g: _verified(g, width, at), "a long, b long, links long"))
 

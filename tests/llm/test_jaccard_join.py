@@ -47,6 +47,23 @@ def test_odd_rows(spark):
     assert J.jaccard_groups(no_documents(spark)).collect() == []
 
 
+def near_texts(rng):
+    """Four unlinked texts of 80 words, each with a near copy."""
+    bases = [[f"w{rng.randrange(500)}" for _ in range(80)] for _ in range(4)]
+    return [(" ".join(b), " ".join([*b[:-1], "end"])) for b in bases]
+
+
+def test_links_of_null_and_repeated_ids(spark):
+    """Near copies whose ids are all null; one id on two different texts, each with a near copy; and the same rows again."""
+    (a, a2), (b, b2), (c, c2), (d, d2) = near_texts(random.Random(5))
+    rows = [(None, a), (None, a2), (7, b), (8, b2), (7, c), (9, c2), (None, d), (3, d2), (None, None), (7, "")]
+    for own in (rows, rows + rows[:5]):
+        docs = spark.createDataFrame(own, "doc_id long, text string")
+        found = order(J.jaccard_groups(docs, 3, 90, 100).select("doc_id", "n_shingles", "n_links").collect())
+        assert found == order((i, n, k) for i, n, _, k in brute_groups(own, 3, 90, 100))
+        assert order(J.jaccard_groups(docs, 3, 90, 100).collect()) == order(brute_groups(own, 3, 90, 100))
+
+
 def test_one_of_each_keeps_a_row_of_each_group(spark):
     docs = odd_documents(spark).filter("doc_id is not null")
     kept = J.one_of_each(docs, 5, 80, 100)
