@@ -11,7 +11,7 @@ from pyspark.sql.functions import pandas_udf
 
 from ..operators.joins import lookup
 from ..session import cut
-from .common import keep_ids, shingle_sets, slices, small_batches
+from .common import fresh, keep_ids, shingle_sets, slices, small_batches
 from .graph import components
 
 # Places of the sketches of a set, a multiple of 64.
@@ -297,12 +297,18 @@ def jaccard_groups(docs: DataFrame, width: int = 3, num: int = 90, den: int = 10
     shingle. Repeated rows are copies that link with each other. A null doc_id takes part, and is never the smallest
     but where all are null. Further columns are ignored, whatever their names. An empty table gives an empty one.
     """
+    return _grouped(docs, width, num, den, id_col, text_col).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", "n_links")
+
+
+def _grouped(docs: DataFrame, width: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, pick, n, component_id, n_links, keep); keep is the pick of the row with the component's smallest doc_id, nulls
+    last, and of equal ones that with the smallest node. Rows with an empty set keep themselves."""
     small_batches(docs.sparkSession)
     at = Threshold(num, den)
     rows = cut(describe(docs, width, at, id_col, text_col))
     sketches = [*[f"b{k}" for k in range(SPOTS // 64)], "spread"]
     classes = cut(rows.filter("n > 0").groupBy("node").agg(
-        F.min("doc_id").alias("first"), F.min("pick").alias("pick"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), *[F.first(b).alias(b) for b in sketches]))
+        F.min("doc_id").alias("first"), F.min("pick").alias("pick"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "pick")).alias("best"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), *[F.first(b).alias(b) for b in sketches]))
     total = rows.agg(F.sum("n")).first()[0] or 0
     sizes = {r["n"]: r["count"] for r in classes.filter(F.col("n") <= LARGEST_SMALL).groupBy("n").count().collect()}
     most = boundary(sizes, at)
@@ -324,26 +330,29 @@ def jaccard_groups(docs: DataFrame, width: int = 3, num: int = 90, den: int = 10
 
     joined = components(checked.filter("a <> b"))
     counts = checked.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
-    named = classes.select("node", "first", "copies").join(joined, "node", "left").join(counts, "node", "left")
+    named = classes.select("node", "first", "best", "copies").join(joined, "node", "left").join(counts, "node", "left")
     named = cut(named.withColumn("label", F.coalesce("label", "node")))
-    least = named.groupBy("label").agg(F.min("first").alias("component_id"))
-    answer = cut(named.join(least, "label").select("node", "component_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
-    filled = lookup(rows.filter("n > 0").select("doc_id", "n", "node"), answer, "node")
-    empty = rows.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
-    return filled.select("doc_id", "n", "component_id", "n_links").unionByName(empty).select(
-        "doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", "n_links")
+    least = named.groupBy("label").agg(F.min("first").alias("component_id"), F.min(F.struct("best.col1", "best.doc_id", "node", "best.pick")).alias("keep"))
+    answer = cut(named.join(least, "label").select(
+        "node", "component_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.col("keep.pick").alias("keep")))
+    filled = lookup(rows.filter("n > 0").select("doc_id", "pick", "n", "node"), answer, "node").drop("node")
+    empty = rows.filter("n = 0").select("doc_id", "pick", "n", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"),
+                                        F.col("pick").alias("keep"))
+    return filled.unionByName(empty)
 
 
 def one_of_each(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of docs without near copies: of each group, the one with the smallest doc_id stays, once.
+    """The rows of docs without near copies: of each group, the one with the smallest doc_id stays, once; null ids count as
+    the largest. Ids may be null or repeated: rows are told apart by id and text.
 
     Rows without words are linked with nothing and stay, each as often as its doc_id and text differ. Columns are kept.
     """
-    groups = cut(jaccard_groups(docs, width, num, den))
-    gone = groups.filter("doc_id <> component_id").select("doc_id").distinct()
-    stay = keep_ids(docs, gone, "left_anti")
-    repeated = cut(groups.groupBy("doc_id").count().filter("count > 1").select("doc_id"))
-    if repeated.isEmpty():
-        return stay
-    return (keep_ids(stay, repeated, "left_anti", made=True)
-            .unionByName(keep_ids(stay, repeated, "left_semi", made=True).dropDuplicates(["doc_id"])))
+    groups = cut(_grouped(docs, width, num, den, "doc_id", "text").select("pick", "keep"))
+    gone = groups.filter("pick <> keep").select("pick").distinct()
+    name = fresh(docs.columns, "pick")
+    stay = keep_ids(docs.withColumn(name, picked()), gone.withColumnRenamed("pick", name), "left_anti", on=name)
+    repeated = cut(groups.groupBy("pick").count().filter("count > 1").select(F.col("pick").alias(name)))
+    if not repeated.isEmpty():
+        stay = (keep_ids(stay, repeated, "left_anti", on=name, made=True)
+                .unionByName(keep_ids(stay, repeated, "left_semi", on=name, made=True).dropDuplicates([name])))
+    return stay.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -73,6 +73,15 @@ def test_one_of_each_keeps_a_row_of_each_group(spark):
     assert J.one_of_each(no_documents(spark)).collect() == []
 
 
+def test_one_of_each_with_null_and_repeated_ids(spark):
+    (a, a2), (b, b2), (c, c2), (d, d2) = near_texts(random.Random(6))
+    rows = [(1, a), (1, b), (None, c), (None, c2), (None, c), (4, d), (4, c + " x " + a), (2, b2), (0, d2), (None, a2), (5, None), (5, None), (None, ""), (None, "")]
+    kept = [tuple(r) for r in J.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80, 100).collect()]
+    of_c = [r for r in kept if r[1] in (c, c2)]
+    assert len(of_c) == 1
+    assert order(r for r in kept if r not in of_c) == order([(1, a), (1, b), (4, c + " x " + a), (0, d2), (5, None), (None, "")])
+
+
 def test_word_hashes_follow_the_words():
     texts = ["a b  c", None, "", "A B", "b a", " x\x0by\x0cz ", "é É", "ab ba", "word " * 900_000, "q" * 3_000_000 + " end"]
     found = word_hashes(texts)
