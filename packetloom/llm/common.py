@@ -45,9 +45,14 @@ def _hash_words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     space = np.concatenate(([True], _IS_SPACE[raw], [True]))
     edges = np.flatnonzero(space[1:] != space[:-1])
     starts, ends = edges[::2], edges[1::2]
+    return starts, span_hashes(raw, starts, ends)
+
+
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each span of bytes, A-Z as a-z; equal spans have equal hashes, wherever they stand."""
     power, inverse = _powers(len(raw) + 1)
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_LETTER[raw] * power[: len(raw)])))
-    return starts, mixed((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * ODD[1])
+    return mixed((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * ODD[1])
 
 
 def _pieces(data: bytes) -> list[bytes]:

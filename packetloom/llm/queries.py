@@ -3,6 +3,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .collocations import COLLOCATIONS_SQL, collocations
 from .decontaminate import LEAKS_SQL, leaks
 from .jaccard_join import jaccard_groups
 from .language import predict
@@ -13,6 +14,8 @@ from .ppm import score_texts
 from .quality import judged, trusted_ids
 from .sharding import PLACEMENTS_SQL, placements
 from .tokens import section_tokens
+from .url_filter import VERDICTS_SQL, judge
+from .variants import VARIANTS_SQL, spelling_variants
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -77,6 +80,24 @@ def op10_lm_scoring(spark, sf_dir):
     return score_texts(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_spelling_variants(spark, sf_dir):
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_url_filters(spark, sf_dir):
+    return judge(table(spark, sf_dir, "pages"))
+
+
+@query
+def op13_collocations(spark, sf_dir):
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 SQL["op2_source_mixing"] = MIX_SQL
 SQL["op6_benchmark_decontamination"] = LEAKS_SQL
 SQL["op7_sharding"] = PLACEMENTS_SQL
+SQL["op11_spelling_variants"] = VARIANTS_SQL
+SQL["op12_url_filters"] = VERDICTS_SQL
+SQL["op13_collocations"] = COLLOCATIONS_SQL

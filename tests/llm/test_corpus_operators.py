@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from packetloom.llm import decontaminate, mixing, ppm, queries, ranks, sharding
 
-TABLES = "documents benchmark labels".split()
+TABLES = "documents benchmark labels pages".split()
 
 
 def bag(columns, rows):
@@ -35,18 +35,20 @@ def test_query_equals_sql(spark, name):
 
 
 def test_there_is_one_query_for_each_operator():
-    assert [int(re.match(r"op(\d+)_", n)[1]) for n in sorted(queries.QUERIES, key=lambda n: int(re.match(r"op(\d+)_", n)[1]))] == list(range(1, 11))
+    assert [int(re.match(r"op(\d+)_", n)[1]) for n in sorted(queries.QUERIES, key=lambda n: int(re.match(r"op(\d+)_", n)[1]))] == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", [n for n in sorted(queries.QUERIES)])
 def test_queries_bear_odd_and_empty_tables(spark, tmp_path, name):
-    """One row for each document of odd tables (pairs for op6), none for empty ones."""
+    """One row for each document of odd tables (pairs for op6, pages for op12, words and phrases for op11 and op13), none for empty ones."""
     labels = spark.createDataFrame([(10, 1, 0), (11, 0, None), (None, 1, 1), (10, 1, 0)], "doc_id long, quality int, toxic int")
+    pages = spark.createDataFrame([(1, None), (2, ""), (2, "http://a.org/x"), (None, "no url")], "page_id long, url string")
     bench = spark.createDataFrame([(1, None), (2, ""), (3, "too short"), (None, "a b c d e f g h")], "item_id long, text string")
     for where, docs, n in (("odd", odd_documents(spark), odd_documents(spark).count()), ("none", no_documents(spark), 0)):
         docs.write.parquet(f"{tmp_path}/{where}/documents.parquet")
         (labels if n else labels.limit(0)).write.parquet(f"{tmp_path}/{where}/labels.parquet")
         (bench if n else bench.limit(0)).write.parquet(f"{tmp_path}/{where}/benchmark.parquet")
+        (pages if n else pages.limit(0)).write.parquet(f"{tmp_path}/{where}/pages.parquet")
         rows = queries.QUERIES[name](spark, f"{tmp_path}/{where}").collect()
         if name.startswith("op6"):
             assert rows == []
@@ -54,6 +56,10 @@ def test_queries_bear_odd_and_empty_tables(spark, tmp_path, name):
             assert sum(r["section"] == 0 for r in rows) == n
         elif name.startswith("op2"):
             assert sorted(r["position"] for r in rows) == list(range(len(rows))) and (n or not rows)
+        elif name.startswith("op12"):
+            assert len(rows) == (4 if n else 0)
+        elif name.startswith(("op11", "op13")):
+            assert len(rows) == len(set(rows)) and bool(rows) == bool(n)
         else:
             assert len(rows) == n
 
