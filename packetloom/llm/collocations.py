@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,8 +25,10 @@ SCALE = 2_000_000
 UNKNOWN = "und"
 # Bits of the filter for each proposed phrase, and bits at most (16 MB). A full filter only makes more phrases count.
 BITS_EACH, BITS = 16, 1 << 27
-# Distinct phrases that a task holds before it hands on their counts, and bytes of text that it reads at once.
-HELD, READ = 250_000, 2 * CHUNK
+# Bytes of text whose phrases a task counts at once.
+READ = 2 * CHUNK
+# Bytes hashed at once.
+BLOCK = 1 << 17
 
 _SPACE, _END = 32, 10
 _BYTES = bytes(c + 32 if 65 <= c <= 90 else _SPACE if c in b" \t" else _END if c in b".,;:!?\n\x0b\x0c\r" else c for c in range(256))
@@ -44,11 +47,14 @@ class Filter:
 
 
 class Words:
-    """The words of texts in one language: their places in `data`, hashes, and the piece that each is in."""
+    """The words of texts in one language: their places in `raw`, hashes, and the piece that each is in. Words of a piece
+    have one space between them."""
 
     def __init__(self, texts: list[bytes], lang: str):
-        self.data = b"\n".join(texts).translate(_BYTES)
-        raw = np.frombuffer(self.data, np.uint8)
+        raw = np.frombuffer(b"\n".join(texts).translate(_BYTES), np.uint8)
+        space = raw == _SPACE
+        again = space[1:] & space[:-1]
+        self.raw = raw = raw[np.append(~again, True)] if again.any() else raw
         end = raw == _END
         space = np.concatenate(([True], end | (raw == _SPACE), [True]))
         edges = np.flatnonzero(space[1:] != space[:-1])
@@ -56,8 +62,8 @@ class Words:
         self.pieces = np.searchsorted(np.flatnonzero(end), self.starts)
         self.hashes = np.empty(len(self.starts), np.uint64)
         # hashed in blocks, so that the powers of the hash stay few
-        for a in range(0, len(raw), READ):
-            first, last = np.searchsorted(self.starts, (a, a + READ))
+        for a in range(0, len(raw), BLOCK):
+            first, last = np.searchsorted(self.starts, (a, a + BLOCK))
             if first < last:
                 at, to = self.starts[first], self.ends[last - 1]
                 self.hashes[first:last] = span_hashes(raw[at:to], self.starts[first:last] - at, self.ends[first:last] - at)
@@ -73,8 +79,36 @@ class Words:
             rolled = mixed(rolled[:n] * ODD[0] + self.hashes[len(self.hashes) - n:])
             yield k, rolled, self.pieces[:n] == self.pieces[len(self.pieces) - n:]
 
-    def text(self, at: int, k: int) -> str:
-        return b" ".join(self.data[self.starts[at]:self.ends[at + k - 1]].split()).decode()
+    def texts(self, at: np.ndarray, k: int) -> pa.StringArray:
+        """The k words from each of these places on, as they stand."""
+        first = self.starts[at]
+        lengths = self.ends[at + k - 1] - first
+        ends = np.cumsum(lengths)
+        letters = self.raw[np.arange(ends[-1] if len(at) else 0) + np.repeat(first - (ends - lengths), lengths)]
+        return pa.StringArray.from_buffers(len(at), pa.py_buffer(np.append(0, ends).astype(np.int32)), pa.py_buffer(letters))
+
+
+def tally(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each distinct hash, in order of place, and how often the hash stands at the places `at`.
+
+    The low bits of a hash give way to the number of its place, so that a plain sort finds equal ones; where hashes differ
+    in these bits only, they are sorted whole.
+    """
+    if not len(at):
+        return at, at
+    own = hashes[at]
+    low = np.uint64((1 << int(len(at)).bit_length()) - 1)
+    order = np.sort((own & ~low) | np.arange(len(at), dtype=np.uint64))
+    order, top = (order & low).astype(np.int64), order & ~low
+    own = own[order]
+    new = np.append(True, own[1:] != own[:-1])
+    if (new[1:] & (top[1:] == top[:-1])).any():
+        _, first, n = np.unique(hashes[at], return_index=True, return_counts=True)
+    else:
+        edges = np.flatnonzero(new)
+        first, n = order[edges], np.diff(np.append(edges, len(at)))
+    by_place = np.argsort(first)
+    return at[first[by_place]], n[by_place]
 
 
 def countable(words: Words, proposed: Filter | None, longest: int):
@@ -94,12 +128,14 @@ def _batches(batches):
     """(lang, texts) of about READ bytes, or of one long text; longer texts are cut where a piece ends."""
     held, sizes = defaultdict(list), defaultdict(int)
     for batch in batches:
-        for lang, text in zip(batch.lang, batch.t):
-            if not text:
+        for lang, data in zip(batch.column("lang").to_pylist(), batch.column("t").cast(pa.binary()).to_pylist()):
+            if not data:
                 continue
-            data = text.encode()
-            while len(data) > 2 * READ and (at := data.translate(_BYTES).find(b"\n", READ)) >= 0:
-                yield lang, [data[:at]]
+            if len(data) > 2 * READ:
+                ends, at = _ends(data), 0
+                while len(data) - at > 2 * READ and (k := np.searchsorted(ends, at + READ)) < len(ends):
+                    yield lang, [data[at:ends[k]]]
+                    at = int(ends[k])
                 data = data[at:]
             held[lang].append(data)
             sizes[lang] += len(data) + 1
@@ -113,44 +149,35 @@ def _batches(batches):
     yield from held.items()
 
 
+def _ends(data: bytes) -> np.ndarray:
+    return np.flatnonzero(np.frombuffer(data.translate(_BYTES), np.uint8) == _END)
+
+
 def counted(docs: DataFrame, proposed: Filter | None, before: Filter | None, lengths: tuple[int, ...]) -> DataFrame:
     """(lang, k, phrase, n): exact occurrences over all of (lang, t) of the phrases of these lengths that are countable by
-    `proposed` and were not by `before`. k = 0 is the number of words of a language, where length 1 is asked for. Tasks
-    add up their own counts before the shuffle."""
+    `proposed` and were not by `before`. k = 0 is the number of words of a language, where length 1 is asked for. Counts
+    are added up for about READ bytes, then for a task, then over tasks."""
     small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast((proposed, before))
-
-    def rows(held: dict) -> pd.DataFrame:
-        return pd.DataFrame([(lang, k, phrase, n) for lang, k, phrase, n in held.values()], columns=["lang", "k", "phrase", "n"])
+    names = ["lang", "k", "phrase", "n"]
 
     def made(batches):
-        held: dict[tuple, list] = {}
         new, old = sent.value
         for lang, texts in _batches(batches):
             words = Words(texts, lang)
             if 1 in lengths:
-                held.setdefault((lang, 0, 0), [lang, 0, "", 0])[3] += len(words.starts)
+                yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([0], pa.int32()), pa.array([""]), pa.array([len(words.starts)], pa.int64())], names)
             ways = countable(words, new, max(lengths))
             if old is not None:
-                ways = ((k, hashes, can & ~was) for (k, hashes, can), (_, _, was) in zip(ways, countable(words, old, max(lengths))))
-            for k, hashes, can in ways:
-                if k not in lengths:
-                    continue
-                at = np.flatnonzero(can)
-                found, first, n = np.unique(hashes[at], return_index=True, return_counts=True)
-                for h, place, times in zip(found.tolist(), at[first].tolist(), n.tolist()):
-                    own = held.get((lang, k, h))
-                    if own:
-                        own[3] += times
-                    else:
-                        held[lang, k, h] = [lang, k, words.text(place, k), times]
-            if len(held) > HELD:
-                yield rows(held)
-                held.clear()
-        if held:
-            yield rows(held)
-
-    return docs.mapInPandas(made, "lang string, k int, phrase string, n long").groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"))
+                ways = ((k, found, can & ~was) for (k, found, can), (_, _, was) in zip(ways, countable(words, old, max(lengths))))
+            for k, found, can in ways:
+                if k in lengths:
+                    at, n = tally(found, np.flatnonzero(can))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.repeat(pa.scalar(lang), len(at)), pa.repeat(pa.scalar(k, pa.int32()), len(at)), words.texts(at, k), pa.array(n, pa.int64())], names)
+
+    rows = docs.select("lang", "t").mapInArrow(made, "lang string, k int, phrase string, n long")
+    return rows.groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"))
 
 
 def hashes(langs: pd.Series, phrases: pd.Series) -> np.ndarray:
