@@ -23,24 +23,42 @@ HELD_BY = 80
 TOP, PARTS = 2000, 64
 SCALE = 2_000_000
 UNKNOWN = "und"
-# Bits of the filter for each proposed phrase, and bits at most (16 MB). A full filter only makes more phrases count.
+# Bits of a filter for each phrase, and bits at most (16 MB). A full filter only makes more phrases count.
 BITS_EACH, BITS = 16, 1 << 27
 # Bytes of text whose phrases a task counts at once.
 READ = 2 * CHUNK
 # Bytes hashed at once.
 BLOCK = 1 << 17
+# Phrases that a task remembers to have written.
+SEEN = 1 << 20
 
 _SPACE, _END = 32, 10
 _BYTES = bytes(c + 32 if 65 <= c <= 90 else _SPACE if c in b" \t" else _END if c in b".,;:!?\n\x0b\x0c\r" else c for c in range(256))
 
 
 class Filter:
-    """A set of phrases by the hash of (language, words), as a row of bits: it may hold more, never less."""
+    """A set of hashes as a row of bits: it may hold more, never less."""
 
     def __init__(self, size: int, bits: np.ndarray | None = None):
         self.size = size
         self.bits = np.zeros(size // 8, np.uint8) if bits is None else bits
 
+    @classmethod
+    def of(cls, phrases: DataFrame, also: "Filter | None" = None, size: int | None = None) -> "Filter":
+        """The hashes of (k, h), and those of a filter of that size. Bits are gathered where the rows are; the driver gets
+        no more than the filter, which has BITS_EACH bits for a row and BITS at most."""
+        if size is None:
+            size, n = 1 << 16, phrases.count()
+            while size < min(BITS, BITS_EACH * n):
+                size *= 2
+        at = F.col("h").bitwiseAND(F.lit(size - 1)) + 1
+        blocks = phrases.groupBy(F.bitmap_bucket_number(at).alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+        out = cls(size, also and also.bits.copy())
+        for r in blocks.collect():
+            own = out.bits[(r["block"] - 1) * 4096:r["block"] * 4096]
+            own |= np.frombuffer(r["bits"], np.uint8)[:len(own)]
+        return out
+
     def holds(self, hashes: np.ndarray) -> np.ndarray:
         at = (hashes & np.uint64(self.size - 1)).astype(np.int64)
         return (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
@@ -67,7 +85,8 @@ class Words:
             if first < last:
                 at, to = self.starts[first], self.ends[last - 1]
                 self.hashes[first:last] = span_hashes(raw[at:to], self.starts[first:last] - at, self.ends[first:last] - at)
-        self.hashes += np.uint64(xxhash.xxh64_intdigest(lang.encode()))
+        self.language = np.array([xxhash.xxh64_intdigest(lang.encode())], np.uint64)
+        self.hashes += self.language
 
     def phrases(self, longest: int):
         """For k = 1.. the hash of the k words from each place on, and whether they stand in one piece."""
@@ -111,17 +130,24 @@ def tally(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at[first[by_place]], n[by_place]
 
 
-def countable(words: Words, proposed: Filter | None, longest: int):
-    """For k = 1.. the hashes and places of the phrases whose first and last k - 1 words are proposed. Single words are
-    always countable; without a filter nothing else is."""
-    below = None
+def countable(words: Words, proposed: Filter | None, failed: Filter | None, longest: int):
+    """For k = 1.. the hashes and places of the phrases to count: those whose first and last k - 1 words are proposed.
+    Single words are always counted; without a filter nothing else is. With `failed`: only those phrases that hold a
+    shorter failure, which takes the place of a proposal. None of them is countable without `failed`."""
+    below = held = None
     for k, hashes, inside in words.phrases(longest):
-        can = inside if k == 1 else inside & below[:-1] & below[1:] if len(below) else inside
-        yield k, hashes, can
-        if proposed is None:
+        can = inside if k == 1 else inside & below[:-1] & below[1:]
+        holds = np.zeros(len(can), bool) if k == 1 else can & (held[:-1] | held[1:])
+        yield k, hashes, can if failed is None else holds
+        if proposed is None or not len(can):
             return
-        below = can.copy()
-        below[can] = proposed.holds(hashes[can])
+        at = np.flatnonzero(can)
+        known = proposed.holds(hashes[at])
+        held, below = holds, np.zeros(len(can), bool)
+        if failed is not None:
+            held[at] |= failed.holds(hashes[at]) & ~known
+        below[at] = known
+        below |= held
 
 
 def _batches(batches):
@@ -153,61 +179,62 @@ def _ends(data: bytes) -> np.ndarray:
     return np.flatnonzero(np.frombuffer(data.translate(_BYTES), np.uint8) == _END)
 
 
-def counted(docs: DataFrame, proposed: Filter | None, before: Filter | None, lengths: tuple[int, ...]) -> DataFrame:
-    """(lang, k, phrase, n): exact occurrences over all of (lang, t) of the phrases of these lengths that are countable by
-    `proposed` and were not by `before`. k = 0 is the number of words of a language, where length 1 is asked for. Counts
-    are added up for about READ bytes, then for a task, then over tasks."""
+def _signed(hashes: np.ndarray) -> pa.Array:
+    return pa.array(hashes.view(np.int64))
+
+
+def counted(docs: DataFrame, proposed: Filter | None, failed: Filter | None, lengths: tuple[int, ...]) -> DataFrame:
+    """(k, h, n): exact occurrences over all of (lang, t) of the countable phrases of these lengths, by the hash of
+    language and words. k = 0 is the number of words of a language, where length 1 is asked for. Counts are added up for
+    about READ bytes, then for a task, then over tasks."""
     small_batches(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast((proposed, before))
-    names = ["lang", "k", "phrase", "n"]
+    sent = docs.sparkSession.sparkContext.broadcast((proposed, failed))
 
     def made(batches):
-        new, old = sent.value
         for lang, texts in _batches(batches):
             words = Words(texts, lang)
             if 1 in lengths:
-                yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([0], pa.int32()), pa.array([""]), pa.array([len(words.starts)], pa.int64())], names)
-            ways = countable(words, new, max(lengths))
-            if old is not None:
-                ways = ((k, found, can & ~was) for (k, found, can), (_, _, was) in zip(ways, countable(words, old, max(lengths))))
-            for k, found, can in ways:
+                yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), _signed(words.language), pa.array([len(words.starts)], pa.int64())], ["k", "h", "n"])
+            for k, hashes, can in countable(words, *sent.value, max(lengths)):
                 if k in lengths:
-                    at, n = tally(found, np.flatnonzero(can))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.repeat(pa.scalar(lang), len(at)), pa.repeat(pa.scalar(k, pa.int32()), len(at)), words.texts(at, k), pa.array(n, pa.int64())], names)
-
-    rows = docs.select("lang", "t").mapInArrow(made, "lang string, k int, phrase string, n long")
-    return rows.groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"))
+                    at, n = tally(hashes, np.flatnonzero(can))
+                    yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(k, pa.int32()), len(at)), _signed(hashes[at]), pa.array(n, pa.int64())], ["k", "h", "n"])
 
+    return docs.select("lang", "t").mapInArrow(made, "k int, h long, n long").groupBy("k", "h").agg(F.sum("n").alias("n"))
 
-def hashes(langs: pd.Series, phrases: pd.Series) -> np.ndarray:
-    """The hash of each (language, phrase), as Words.phrases() gives it."""
-    out = np.zeros(len(phrases), np.uint64)
-    for lang, own in phrases.groupby(langs.to_numpy()).indices.items():
-        texts = [phrases.iat[j].encode() for j in own]
-        lengths = np.array([t.count(b" ") + 1 for t in texts])
-        first = np.cumsum(lengths) - lengths
-        for k, found, _ in Words(texts, lang).phrases(int(lengths.max())):
-            out[own[lengths == k]] = found[first[lengths == k]]
-    return out
 
+def spelled(docs: DataFrame, phrases: DataFrame, longest: int) -> DataFrame:
+    """(k, h, lang, phrase): the words of the phrases of (k, h) that stand in (lang, t). A task writes each of them once,
+    or once for about SEEN others."""
+    small_batches(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(Filter.of(phrases))
+    names = ["k", "h", "lang", "phrase"]
 
-def with_phrases(phrases: DataFrame, held: Filter) -> Filter:
-    """The filter with the phrases of (lang, phrase) added. Bits are gathered where the phrases are; the driver gets no
-    more than the filter."""
-    size = held.size
+    def made(batches):
+        seen = {k: np.empty(0, np.uint64) for k in range(longest + 1)}
+
+        def new(k: int, hashes: np.ndarray) -> np.ndarray:
+            """Places of the hashes that the task has not written; they count as written from now on."""
+            at = np.flatnonzero(sent.value.holds(hashes))
+            hashes, first = np.unique(hashes[at], return_index=True)
+            near = np.searchsorted(seen[k], hashes)
+            fresh = np.append(seen[k], 0)[near] != hashes if len(seen[k]) else np.ones(len(hashes), bool)
+            fresh |= near == len(seen[k])
+            seen[k] = np.sort(np.concatenate((seen[k] if len(seen[k]) < SEEN else seen[k][:0], hashes[fresh])))
+            return np.sort(at[first[fresh]])
 
-    @pandas_udf("long")
-    def place(langs: pd.Series, texts: pd.Series) -> pd.Series:
-        return pd.Series((hashes(langs, texts) & np.uint64(size - 1)).astype(np.int64))
+        for lang, texts in _batches(batches):
+            words = Words(texts, lang)
+            if len(new(0, words.language)):
+                yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), _signed(words.language), pa.array([lang]), pa.array([""])], names)
+            for k, hashes, inside in words.phrases(longest):
+                places = np.flatnonzero(inside)
+                at = places[new(k, hashes[places])]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.repeat(pa.scalar(k, pa.int32()), len(at)), _signed(hashes[at]), pa.repeat(pa.scalar(lang), len(at)), words.texts(at, k)], names)
 
-    blocks = phrases.select((place("lang", "phrase") + 1).alias("at")).groupBy(F.bitmap_bucket_number("at").alias("block")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
-    bits = held.bits.copy()
-    for r in blocks.collect():
-        own = bits[(r["block"] - 1) * 4096:r["block"] * 4096]
-        own |= np.frombuffer(r["bits"], np.uint8)[:len(own)]
-    return Filter(held.size, bits)
+    found = docs.select("lang", "t").mapInArrow(made, "k int, h long, lang string, phrase string")
+    return found.join(phrases.select("k", "h"), ["k", "h"]).distinct()
 
 
 def proposals(sample: DataFrame, support: int, longest: int) -> Filter:
@@ -216,9 +243,9 @@ def proposals(sample: DataFrame, support: int, longest: int) -> Filter:
     size = 1 << 16
     while size < min(BITS, BITS_EACH * longest * words.count()):
         size *= 2
-    held = with_phrases(words, Filter(size))
+    held = Filter.of(words, size=size)
     for k in range(2, longest):
-        held = with_phrases(cut(counted(sample, held, None, (k,)).filter(F.col("n") >= support)), held)
+        held = Filter.of(cut(counted(sample, held, None, (k,)).filter(F.col("n") >= support)), held, size)
     return held
 
 
@@ -227,33 +254,36 @@ def frequent_phrases(docs: DataFrame, support: int = SUPPORT, longest: int = LON
     number of words of each language.
 
     The sample proposes phrases; a full pass counts these and the negative border, the phrases whose parts are all
-    proposed but not they themselves, and single words. A phrase of the border that turns out frequent is a failure: it
-    is added, and a further pass counts what became countable by it, until no failure is left. All frequent phrases are
-    then counted: the parts of one are frequent themselves, so they were counted and, but for failures, proposed.
+    proposed but not they themselves, and single words. A phrase of the border that turns out frequent is a failure: a
+    frequent phrase was left out only if it holds one. A further pass counts every phrase that holds a failure, however
+    it goes on, which closes the border: whatever it finds frequent has been expanded by the same pass. Without failures
+    there is no such pass. Phrases are counted by 64-bit hashes and spelled when they are known to be frequent, from the
+    sample where it has them.
     """
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col("text").cast("string").alias("t"), "doc_id")
     chosen = F.pmod(F.xxhash64("doc_id", "t"), F.lit(sample)) == 0
     rows, few = rows.drop("doc_id"), cut(rows.filter(chosen).drop("doc_id"))
     held = proposals(few, max(1, int(LOWERED * support / sample)), longest)
-    before, out, lengths = None, None, tuple(range(1, longest + 1))
-    while True:
-        found = cut(counted(rows, held, before, lengths).filter((F.col("n") >= support) | (F.col("k") == 0)))
-        out = found if out is None else out.unionByName(found)
-        failures = cut(found.filter(F.col("k").between(1, longest - 1)).filter(~_known(found, held)))
-        if failures.isEmpty():
-            return out
-        before, held = held, with_phrases(failures, held)
-        lengths = tuple(range(2, longest + 1))
+    often = (F.col("n") >= support) | (F.col("k") == 0)
+    found = cut(counted(rows, held, None, tuple(range(1, longest + 1))).filter(often))
+    failures = cut(found.filter(F.col("k").between(1, longest - 1)).filter(~_known(found, held)))
+    if not failures.isEmpty():
+        found = found.unionByName(cut(counted(rows, held, Filter.of(failures, size=held.size), tuple(range(2, longest + 1))).filter(often)))
+    names = cut(spelled(few, found, longest))
+    missing = cut(found.join(names, ["k", "h"], "left_anti").select("k", "h"))
+    if not missing.isEmpty():
+        names = names.unionByName(cut(spelled(rows, missing, longest)))
+    return cut(found.join(names, ["k", "h"]).select("lang", "k", "phrase", "n"))
 
 
 def _known(phrases: DataFrame, held: Filter) -> Column:
-    """Whether the filter holds (lang, phrase)."""
+    """Whether the filter holds h."""
     sent = phrases.sparkSession.sparkContext.broadcast(held)
 
     @pandas_udf("boolean")
-    def known(langs: pd.Series, texts: pd.Series) -> pd.Series:
-        return pd.Series(sent.value.holds(hashes(langs, texts)))
-    return known("lang", "phrase")
+    def known(hashes: pd.Series) -> pd.Series:
+        return pd.Series(sent.value.holds(hashes.to_numpy(np.int64).view(np.uint64)))
+    return known("h")
 
 
 def _whole(x: Column) -> Column:
@@ -266,26 +296,29 @@ def _part(words: str, start: Column, size: Column) -> Column:
 
 
 def scored(phrases: DataFrame, support: int = SUPPORT) -> DataFrame:
-    """(lang, phrase, k, a, l, r, score) of each phrase of two words or more: its lowest-scoring cut, the first of equals,
+    """(lang, phrase, a, l, r, score) of each phrase of two words or more: its lowest-scoring cut, the first of equals,
     without those that a longer phrase holds nearly as often."""
     phrases = phrases.filter("k > 0")
-    table = phrases.select(F.struct("lang", "phrase").alias("key"), "n")
+    table = phrases.select(F.struct("lang", F.col("phrase").alias("part")).alias("key"), "n")
     made = phrases.filter((F.col("k") > 1) & (F.col("n") >= support)).select("lang", "phrase", "k", F.col("n").alias("a"), F.split("phrase", " ").alias("w"))
     inner = made.filter("k > 2").select(
         "lang", "a", "k", "w", F.explode(F.expr("sequence(2, k - 1)")).alias("size")).select(
         "lang", "a", "w", "size", F.explode(F.expr("sequence(1, k - size + 1)")).alias("start")).select(
-        "lang", _part("w", F.col("start"), F.col("size")).alias("phrase"), "a")
-    inner = inner.groupBy("lang", "phrase").agg(F.max("a").alias("longer"))
-    kept = made.join(inner, ["lang", "phrase"], "left").filter(
+        "lang", _part("w", F.col("start"), F.col("size")).alias("phrase"), F.lit(None).cast("long").alias("a"), F.col("a").alias("longer"))
+    both = made.select("lang", "phrase", "a", F.lit(None).cast("long").alias("longer")).unionByName(inner)
+    # every part of a phrase that counts does so itself, so each group has its phrase
+    kept = both.groupBy("lang", "phrase").agg(F.max("a").alias("a"), F.max("longer").alias("longer")).filter(
         F.col("longer").isNull() | (_whole(F.col("longer")) * 100 < _whole(F.col("a")) * HELD_BY)).drop("longer")
-    cuts = kept.select("*", F.explode(F.expr("sequence(1, k - 1)")).alias("cut"))
-    cuts = cuts.select("lang", "phrase", "k", "a", "cut", F.struct("lang", _part("w", F.lit(1), F.col("cut")).alias("phrase")).alias("left"),
-                       F.struct("lang", _part("w", F.col("cut") + 1, F.col("k") - F.col("cut")).alias("phrase")).alias("right"))
-    for side, name in (("left", "l"), ("right", "r")):
-        cuts = lookup(cuts, table.select(F.col("key").alias(side), F.col("n").alias(name)), side)
+    parts = kept.select("lang", "phrase", "a", F.split("phrase", " ").alias("w")).select("*", F.explode(F.expr("sequence(1, size(w) - 1)")).alias("cut"))
+    parts = parts.select("lang", "phrase", "a", "cut", F.explode(F.array(
+        F.struct(F.lit(True).alias("first"), _part("w", F.lit(1), F.col("cut")).alias("part")),
+        F.struct(F.lit(False).alias("first"), _part("w", F.col("cut") + 1, F.size("w") - F.col("cut")).alias("part")))).alias("x"))
+    parts = cut(parts.select("lang", "phrase", "a", "cut", "x.first", F.struct("lang", "x.part").alias("key")))
+    cuts = lookup(parts, table, "key").groupBy("lang", "phrase", "a", "cut").agg(
+        F.max(F.when(F.col("first"), F.col("n"))).alias("l"), F.max(F.when(~F.col("first"), F.col("n"))).alias("r"))
     score = F.expr(f"cast({SCALE} as decimal(7,0)) * cast(a as decimal(20,0)) div (cast(l as decimal(20,0)) + cast(r as decimal(20,0)))")
-    best = cuts.withColumn("score", score.cast("long")).groupBy("lang", "phrase", "k", "a").agg(F.min(F.struct("score", "cut", "l", "r")).alias("b"))
-    return best.select("lang", "phrase", "k", "a", "b.l", "b.r", "b.score")
+    best = cuts.withColumn("score", score.cast("long")).groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "cut", "l", "r")).alias("b"))
+    return best.select("lang", "phrase", "a", "b.l", "b.r", "b.score")
 
 
 def collocations(docs: DataFrame, top: int = TOP, support: int = SUPPORT, longest: int = LONGEST, sample: int = SAMPLE) -> DataFrame:
