@@ -1,10 +1,10 @@
 """Benchmark decontamination by templates: numbers, names and units become typed placeholders."""
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.joins import bounded
 from ..session import cut
-from .common import keep_ids, let
+from .common import fresh, keep_ids
 
 # Template words in a window.
 WIDTH = 5
@@ -12,188 +12,240 @@ WIDTH = 5
 PLAIN = 3
 # Share of an item's windows that a document must hold.
 SHARE = 0.8
+# Or: share of an item's windows, and how many at least, that a document must hold in a row.
+RUN_SHARE, RUN = 0.5, 16
+# Words of the shortest item that is looked for. Those shorter than a window must stand as they are.
+SHORTEST = 3
 # Marks before the words that are replaced: numbers, names, units.
 MARKS = ""
 UNITS = ("km|cm|mm|m|mi|miles?|ft|feet|inch|inches|kg|g|mg|lbs?|oz|pounds?|l|ml|liters?|litres?|gallons?|s|sec|seconds?|min|minutes?|h|hours?|"
          "days?|weeks?|months?|years?|dollars?|cents?|euros?|usd|eur|percent|degrees?|mph|kmh|kb|mb|gb|tb|hz|khz|mhz|ghz|watts?|kw|kwh|volts?")
-# Applied in this order; SQL applies the same.
+# Applied in this order; SQL applies the same. The second to fourth only matter where there is a digit.
 RULES = (
     (r"[^\p{L}\p{M}0-9]+", " "),
     (r"([0-9]+)", f" {MARKS[0]}$1 "),
     (f"({MARKS[0]}[0-9]+) +(?i:({UNITS})) ", f"$1 {MARKS[2]}$2 "),
+    (" +", " "),
     (r"(^| )(\p{Lu}[\p{L}\p{M}]*)", f"$1{MARKS[1]}$2"),
 )
-# Names stay words, so that an item is also found in other capitals. Words have the same places by both lists of rules.
-FOLDED = RULES[:3]
+NAMES = RULES[4]
+# An item is looked for in two forms: with names replaced, and with names as words, so that it is found in other capitals.
+# Words have the same places in both.
+FORMS = ("template", "folded")
 
 
-def marked(text: Column, rules: tuple = RULES) -> Column:
-    """Array of lower-case words, those that a template replaces with a mark in front."""
-    out = F.concat(F.coalesce(text.cast("string"), F.lit("")), F.lit(" "))
-    for pattern, by in rules:
-        out = F.regexp_replace(out, pattern, by)
-    return F.filter(F.split(F.lower(out), " "), lambda w: w != "")
+def _with_words(rows: DataFrame, text: str, *keep: str) -> DataFrame:
+    """`keep`, and in template and folded the words of a text: lower case, a space behind each, replaced ones marked."""
+    first, digits = RULES[0], RULES[1:4]
+    rows = rows.select(*keep, F.concat(F.coalesce(F.col(text).cast("string"), F.lit("")), F.lit(" ")).alias("_c"))
+    rows = rows.select(*keep, F.regexp_replace("_c", *first).alias("_c"))
+    marked = F.col("_c")
+    for rule in digits:
+        marked = F.regexp_replace(marked, *rule)
+    rows = rows.select(*keep, F.ltrim(F.when(F.col("_c").rlike("[0-9]"), marked).otherwise(F.col("_c"))).alias("_c"))
+    return rows.select(*keep, F.lower(F.regexp_replace("_c", *NAMES)).alias("template"), F.lower("_c").alias("folded"))
 
 
-def template(text: Column, rules: tuple = RULES) -> Column:
-    """The same words, with the mark alone for a word that has one. Built as one text, so no word is handled singly."""
-    return _template(_replaced(text, FOLDED), rules[len(FOLDED):])
+def _form(words: Column | str) -> Column:
+    """Marked words as their marks alone."""
+    return F.regexp_replace(words, f"([{MARKS}])[^ ]*", "$1")
 
 
-def _replaced(text: Column, rules: tuple) -> Column:
-    out = F.concat(F.coalesce(text.cast("string"), F.lit("")), F.lit(" "))
-    for pattern, by in rules:
-        out = F.regexp_replace(out, pattern, by)
-    return out
+def _windows(words: Column, width: int = WIDTH) -> Column:
+    """Array of all runs of `width` words, as text, in the order of their places; one expression finds them all."""
+    return F.regexp_extract_all(words, F.lit(f"(?=((?:[^ ]++ ){{{width}}}))[^ ]++ "), 1)
 
 
-def _template(out: Column, rules: tuple) -> Column:
-    for pattern, by in (*rules, (f"([{MARKS}])[^ ]*", "$1")):
-        out = F.regexp_replace(out, pattern, by)
-    return F.filter(F.split(F.lower(out), " "), lambda w: w != "")
+def _key(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """What tells rows apart: rows with one id and one text are alike."""
+    return F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("~")), F.lit(":"), F.xxhash64(F.col(text).cast("string")).cast("string"))
 
 
-def both_hashes(text: Column) -> Column:
-    """Hash of each window by its template, then in the same order by its folded template; null where these are equal."""
-    def of(base: Column) -> Column:
-        pair = F.array(hashes(_template(base, RULES[len(FOLDED):])), hashes(_template(base, ())))
-        return let(pair, lambda x: F.concat(x[0], F.zip_with(x[0], x[1], lambda a, b: F.when(a != b, b))))
-    return let(_replaced(text, FOLDED), of)
+def evidence(benchmark: DataFrame) -> DataFrame:
+    """(item_id, form, kind, ip, place, h, windows): the windows that are evidence, each numbered from 0 in place, and
+    how many the item has.
 
-
-def window(hashed: Column, at) -> Column:
-    """Hash of the window that starts at a place, from the hashes of its words."""
-    return F.xxhash64(*[F.get(hashed, at + k) for k in range(WIDTH)])
-
-
-def hashes(words: Column) -> Column:
-    """Hash of each window; [] with fewer words than a window has."""
-    def all_of(h: Column) -> Column:
-        last = F.size(h) - WIDTH
-        return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: window(h, i))
-                      ).otherwise(F.array().cast("array<bigint>"))
-    return let(F.transform(words, lambda w: F.xxhash64(w)), all_of)
-
-
-def item_windows(benchmark: DataFrame, rules: tuple = RULES) -> DataFrame:
-    """(item_id, exact, ip, h, windows): the windows that are evidence, and how many the item has.
-
-    A window is evidence by its template if PLAIN of its words are no placeholders. An item without such windows is
-    matched by its marked words as they are (exact). Items of fewer than WIDTH words are too short to be evidence.
+    Kind `form`: a window by its form, if PLAIN of its words are no placeholders. Kind `exact`: an item without such
+    windows is matched by its marked words as they are. Kind `short`: so is an item shorter than a window, as a whole.
     """
-    items = benchmark.select("item_id", marked(F.col("text"), rules).alias("w")).filter(F.size("w") >= WIDTH).dropDuplicates(["item_id", "w"])
-    at = items.select("item_id", "w", F.explode(F.sequence(F.lit(0), F.size("w") - WIDTH)).alias("ip"))
-    words = F.slice("w", F.col("ip") + 1, WIDTH)
-    form = F.transform(words, lambda x: F.when(x.rlike(f"^[{MARKS}]"), F.substring(x, 1, 1)).otherwise(x))
-    at = at.select("item_id", "ip", hashes(words)[0].alias("own"), hashes(form)[0].alias("h"),
-                   (F.size(F.filter(form, lambda x: ~x.rlike(f"^[{MARKS}]"))) >= PLAIN).alias("plain"))
-    told = at.groupBy("item_id").agg(F.sum(F.col("plain").cast("int")).alias("good"), F.count(F.lit(1)).alias("all"))
-    return at.join(told, "item_id").filter("plain or good = 0").select(
-        "item_id", (F.col("good") == 0).alias("exact"), "ip", F.when(F.col("good") == 0, F.col("own")).otherwise(F.col("h")).alias("h"),
-        F.when(F.col("good") == 0, F.col("all")).otherwise(F.col("good")).alias("windows"))
+    items = _with_words(benchmark.filter("item_id is not null").dropDuplicates(["item_id", "text"]), "text", "item_id")
+    items = items.select("item_id", F.explode(F.array(*[F.struct(F.lit(f).alias("form"), F.col(f).alias("w")) for f in FORMS])).alias("x")).select("item_id", "x.*")
+    items = items.withColumn("n", F.size(F.split("w", " ")) - 1).filter(F.col("n") >= SHORTEST)
+    long = items.filter(F.col("n") >= WIDTH).select(
+        "item_id", "form", F.posexplode(F.arrays_zip(_windows(_form("w")).alias("by_form"), _windows(F.col("w")).alias("by_word"))).alias("ip", "x"))
+    plain = F.size(F.filter(F.split(F.trim("x.by_form"), " "), lambda w: ~w.rlike(f"^[{MARKS}]"))) >= PLAIN
+    long = long.select("item_id", "form", "ip", plain.alias("plain"), F.xxhash64("x.by_form").alias("h"), F.xxhash64("x.by_word").alias("own"))
+    whole = Window.partitionBy("item_id", "form")
+    long = long.withColumn("good", F.max("plain").over(whole)).filter("plain or not good")
+    long = long.select("item_id", "form", F.when(F.col("good"), F.lit("form")).otherwise(F.lit("exact")).alias("kind"), "ip",
+                       F.when(F.col("good"), F.col("h")).otherwise(F.col("own")).alias("h"))
+    short = items.filter((F.col("n") < WIDTH) & (F.col("form") == "folded")).select(
+        "item_id", "form", F.concat(F.lit("short"), F.col("n").cast("string")).alias("kind"), F.lit(0).alias("ip"), F.xxhash64("w").alias("h"))
+    # two texts under one id are one item with the windows of both
+    return (long.unionByName(short).dropDuplicates(["item_id", "form", "kind", "ip", "h"])
+            .withColumn("place", F.dense_rank().over(Window.partitionBy("item_id", "form", "kind").orderBy("ip")) - 1)
+            .withColumn("windows", F.max("place").over(Window.partitionBy("item_id", "form", "kind")) + 1))
+
+
+def _hashed(words: DataFrame, kinds: list[str], *keep: str) -> DataFrame:
+    """(keep, form, kind, dp, h): the windows of documents, of the kinds that are asked for."""
+    ways = []
+    for kind in kinds:
+        width = int(kind[5:]) if kind.startswith("short") else WIDTH
+        for form in FORMS if width == WIDTH else FORMS[1:]:
+            ways.append((form, kind, _windows(_form(form) if kind == "form" else F.col(form), width)))
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("form"), F.lit(k).alias("kind"), w.alias("all")) for f, k, w in ways])).alias("x")
+    return words.select(*keep, each).select(*keep, "x.form", "x.kind", F.posexplode("x.all").alias("dp", "w")).select(*keep, "form", "kind", "dp", F.xxhash64("w").alias("h"))
+
+
+def _candidates(docs: DataFrame, known: DataFrame, kinds: list[str]) -> DataFrame:
+    """(key, item_id) of documents that may hold an item; none that does is left out.
+
+    Of an item's windows a document may lack 1 - SHARE, so it holds one of any that are one more; a run that is long
+    enough fills one of any blocks of half its length. Documents are therefore joined to each item's rarest windows only,
+    and a window that many documents and items share is no evidence to begin with where there are others.
+    """
+    words = _with_words(docs.select(_key().alias("key"), "text"), "text", "key")
+    sought = bounded(known.select("h").distinct())
+    ways = []
+    for kind in kinds:
+        width = int(kind[5:]) if kind.startswith("short") else WIDTH
+        ways += [_windows(_form(f) if kind == "form" else F.col(f), width) for f in (FORMS if width == WIDTH else FORMS[1:])]
+    seen = words.select("key", F.explode(F.concat(*ways)).alias("w")).select("key", F.xxhash64("w").alias("h"))
+    hits = cut(seen.join(sought, "h").distinct())
+    often = hits.groupBy("h").agg(F.count(F.lit(1)).alias("often"))
+    run = F.greatest(F.ceil(F.col("windows") * RUN_SHARE), F.lit(RUN))
+    ranked = known.join(often, "h").withColumn("block", F.floor(F.col("place") / F.floor((run + 1) / 2)))
+    of = ["item_id", "form", "kind"]
+    order = ["often", "place"]
+    # windows that no document has are the rarest of all: they take their part of the count
+    absent = F.col("windows") - F.count(F.lit(1)).over(Window.partitionBy(*of))
+    ranked = ranked.withColumn("absent", absent).withColumn("k", F.row_number().over(Window.partitionBy(*of).orderBy(*order)))
+    ranked = ranked.withColumn("b", F.row_number().over(Window.partitionBy(*of, "block").orderBy(*order)))
+    lacking = F.col("windows") - F.ceil(F.col("windows") * SHARE) + 1 - F.col("absent")
+    probes = ranked.filter((F.col("k") <= lacking) | (F.col("b") == 1)).select("h", "item_id").distinct()
+    return cut(hits.join(bounded(probes), "h").select("key", "item_id").distinct())
+
+
+def _found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """leaks() with the key of the row in place of its id."""
+    known = cut(evidence(benchmark))
+    kinds = sorted(r["kind"] for r in known.select("kind").distinct().collect())
+    if not kinds:
+        return docs.select(_key().alias("key"), F.lit(None).cast("long").alias("item_id"), F.lit(0).alias("windows"), F.lit(0).cast("long").alias("matched"),
+                           F.lit(False).alias("changed")).limit(0)
+    pairs = _candidates(docs, known, kinds)
+    texts = keep_ids(docs.select(_key().alias("key"), "text"), pairs.select("key").distinct(), on="key").dropDuplicates(["key"])
+    words = cut(_with_words(texts, "text", "key"))
+    wanted = pairs.join(bounded(known, made=True), "item_id")
+    met = cut(_hashed(words, kinds, "key").join(wanted, ["key", "form", "kind", "h"]).select(
+        "key", "item_id", "form", "kind", "dp", "ip", "place", "windows", (F.col("dp") - F.col("ip")).alias("shift")))
+    of = ["key", "item_id", "form", "kind"]
+    judged = cut(_judged(words, benchmark, met))
+    clash = judged.filter("clash").select("key", "item_id", "form", "shift")
+    # names that clash by the template are no evidence in the folded form either
+    clash = clash.unionByName(clash.filter(F.col("form") == FORMS[0]).withColumn("form", F.lit(FORMS[1]))).distinct()
+    sound = met.join(clash, ["key", "item_id", "form", "shift"], "left_anti").join(
+        judged.select("key", "item_id", "form", "shift", "changed"), ["key", "item_id", "form", "shift"], "left")
+    along = Window.partitionBy(*of, "shift").orderBy("place")
+    runs = sound.select(*of, "shift", "place").distinct().withColumn("island", F.col("place") - F.row_number().over(along))
+    longest = runs.groupBy(*of, "shift", "island").agg(F.count(F.lit(1)).alias("run")).groupBy(*of).agg(F.max("run").alias("run"))
+    total = sound.groupBy(*of).agg(F.first("windows").alias("windows"), F.countDistinct("place").alias("matched"),
+                                   (F.max(F.coalesce("changed", F.lit(0))) > 0).alias("changed")).join(longest, of)
+    held = total.filter((F.col("matched") >= SHARE * F.col("windows")) | (F.col("run") >= F.greatest(RUN_SHARE * F.col("windows"), F.lit(RUN))))
+    # told by the template where it is held by it
+    best = F.max(F.struct((F.col("form") == FORMS[0]).alias("t"), "matched", "windows", "changed")).alias("b")
+    return held.groupBy("key", "item_id").agg(best).select("key", "item_id", "b.windows", "b.matched", "b.changed")
+
+
+def _judged(words: DataFrame, benchmark: DataFrame, met: DataFrame) -> DataFrame:
+    """(key, item_id, form, shift, clash, changed): of each alignment, whether its values clash and whether one differs."""
+    places = met.filter(~F.col("kind").startswith("short")).select(
+        "key", "item_id", "form", "shift", F.explode(F.sequence("ip", F.col("ip") + WIDTH - 1)).alias("ip")).distinct()
+
+    def slots(rows: DataFrame, at: str, value: str, *keep: str) -> DataFrame:
+        each = F.explode(F.array(*[F.struct(F.lit(f).alias("form"), F.split(f, " ").alias("w")) for f in FORMS])).alias("x")
+        rows = rows.select(*keep, each).select(*keep, "x.form", F.posexplode("x.w").alias(at, value))
+        return rows.filter(F.col(value).rlike(f"^[{MARKS}]"))
+
+    items = _with_words(benchmark.filter("item_id is not null").dropDuplicates(["item_id", "text"]), "text", "item_id")
+    both = (places.withColumn("dp", F.col("shift") + F.col("ip")).join(slots(words, "dp", "value", "key"), ["key", "form", "dp"])
+            .join(slots(items, "ip", "mine", "item_id"), ["item_id", "form", "ip"]).select("key", "item_id", "form", "shift", "mine", "value").distinct())
+    return both.groupBy("key", "item_id", "form", "shift").agg(
+        (F.countDistinct("mine") < F.count(F.lit(1))).alias("clash"), F.max((F.col("mine") != F.col("value")).cast("int")).alias("changed"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, windows, matched, changed), one row for each document that holds an item, as it is or with other
     numbers, names or units, or with all words but numbers and units as they are, whatever their capitals.
 
-    Windows of documents and items meet by hash. Where enough of an item's windows meet, the words that stand for
-    placeholders are compared: along one alignment, a value of the item must always stand for the same value of the
-    document. matched counts the item's windows on consistent alignments; it must be SHARE of all. changed tells that
-    some value differs. A pair that is found by its template is told by it, others by the folded template, where names
-    are words and case does not count. Rows that share a doc_id are taken as one document. Null and empty texts, and
-    null ids, give no row; an empty table on either side gives an empty one.
+    Windows of documents and items meet by hash. The words that stand for placeholders are compared: along one alignment,
+    a value of the item must always stand for the same value of the document. matched counts the item's windows on
+    consistent alignments; it must be SHARE of all, or RUN_SHARE of them, and RUN at least, must stand in a row. changed
+    tells that some value differs. Items of SHORTEST words up to a window must stand as they are; shorter ones and null
+    ids of items are never looked for. Rows of one id and one text are one document; rows that share an id but not a text
+    are told apart, and a null id is an id. Null and empty texts give no row; an empty table on either side gives none.
     """
-    forms = ((False, RULES), (True, FOLDED))
-    evidence = [item_windows(benchmark, rules).withColumn("folded", F.lit(folded)) for folded, rules in forms]
-    evidence = cut(evidence[0].unionByName(evidence[1]))
-    columns = ["doc_id", "item_id", "dp", "ip", "windows", "folded"]
-    own = docs.filter("doc_id is not null")
-    side = bounded(evidence.filter("not exact").drop("exact"))
-    # a window without names is written once; it meets items by either template
-    each = (own.select("doc_id", both_hashes(F.col("text")).alias("hs")).select("doc_id", F.size("hs").alias("n"), F.posexplode("hs").alias("at", "h"))
-            .filter("h is not null").withColumn("half", F.expr("n div 2")))
-    met = (each.join(side, "h").filter("at < half or folded")
-           .withColumn("dp", F.when(F.col("at") < F.col("half"), F.col("at")).otherwise(F.col("at") - F.col("half")).cast("int")).select(*columns))
-    for folded, rules in forms:
-        words = evidence.filter(F.col("exact") & (F.col("folded") == folded))
-        if not words.isEmpty():
-            found = own.select("doc_id", hashes(marked(F.col("text"), rules)).alias("hs")).select("doc_id", F.posexplode("hs").alias("dp", "h"))
-            met = met.unionByName(found.join(bounded(words.drop("exact")), "h").select(*columns))
-    met = cut(met.dropDuplicates())
-    enough = met.groupBy("folded", "doc_id", "item_id").agg(F.countDistinct("ip").alias("n"), F.first("windows").alias("of"))
-    enough = cut(enough.filter(F.col("n") >= SHARE * F.col("of")).select("folded", "doc_id", "item_id"))
-    on = ["doc_id", "item_id", "shift"]
-    met = met.withColumn("shift", F.col("dp") - F.col("ip"))
-    plain = met.filter("not folded").join(enough.filter("not folded"), on[:2], "left_semi")
-    judged = cut(_judged(docs, benchmark, plain, RULES))
-    by_template = cut(_held(plain, judged))
-    others = cut(enough.filter("folded").join(by_template, on[:2], "left_anti").select(on[:2]))
-    if others.isEmpty():
-        return by_template
-    # names that clash by the template are no evidence in the folded one either
-    folded = met.filter("folded").join(others, on[:2], "left_semi").join(judged.filter("clash").select(on), on, "left_anti")
-    return by_template.unionByName(_held(folded, _judged(docs, benchmark, folded, FOLDED)))
-
-
-def _judged(docs: DataFrame, benchmark: DataFrame, met: DataFrame, rules: tuple) -> DataFrame:
-    """(doc_id, item_id, shift, clash, changed): of each alignment, whether its values clash and whether one differs."""
-    places = met.select("doc_id", "item_id", "shift", F.explode(F.sequence("ip", F.col("ip") + WIDTH - 1)).alias("ip"))
-    places = places.dropDuplicates()
-    texts = keep_ids(docs.select("doc_id", "text"), met.select("doc_id").distinct())
-    theirs = texts.select("doc_id", F.posexplode(marked(F.col("text"), rules)).alias("dp", "value")).filter(F.col("value").rlike(f"^[{MARKS}]"))
-    ours = benchmark.select("item_id", F.posexplode(marked(F.col("text"), rules)).alias("ip", "mine")).filter(F.col("mine").rlike(f"^[{MARKS}]"))
-    slots = (places.withColumn("dp", F.col("shift") + F.col("ip")).join(theirs, ["doc_id", "dp"]).join(ours, ["item_id", "ip"])
-             .select("doc_id", "item_id", "shift", "mine", "value").distinct())
-    return slots.groupBy("doc_id", "item_id", "shift").agg(
-        (F.countDistinct("mine") < F.count(F.lit(1))).alias("clash"), F.max((F.col("mine") != F.col("value")).cast("int")).alias("changed"))
-
-
-def _held(met: DataFrame, judged: DataFrame) -> DataFrame:
-    """The pairs that hold on consistent alignments."""
-    sound = met.join(judged, ["doc_id", "item_id", "shift"], "left").filter(~F.coalesce("clash", F.lit(False)))
-    total = sound.groupBy("doc_id", "item_id").agg(F.first("windows").alias("windows"), F.countDistinct("ip").alias("matched"),
-                                                   (F.max(F.coalesce("changed", F.lit(0))) > 0).alias("changed"))
-    return total.filter(F.col("matched") >= SHARE * F.col("windows")).select("doc_id", "item_id", "windows", "matched", "changed")
+    found = _found(docs, benchmark)
+    ids = docs.select(_key().alias("key"), "doc_id")
+    held = keep_ids(ids, found.select("key").distinct(), on="key").dropDuplicates(["key"])
+    return held.join(found, "key").select("doc_id", "item_id", "windows", "matched", "changed")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs, with their columns, but for documents that hold an item. Rows with a null id stay."""
-    return keep_ids(docs, leaks(docs, benchmark).select("doc_id").distinct(), "left_anti")
+    """The rows of docs, with their columns, but for those that hold an item, whatever their id."""
+    name = fresh(docs.columns, "leak_key")
+    gone = _found(docs, benchmark).select(F.col("key").alias(name)).distinct()
+    return keep_ids(docs.withColumn(name, _key()), gone, "left_anti", on=name).drop(name)
 
 
-def _sql_marked(text: str) -> str:
+def _sql_words(text: str, names: bool) -> str:
     out = f"coalesce({text}, '') || ' '"
-    for pattern, by in RULES:
+    for pattern, by in RULES if names else RULES[:4]:
         out = f"regexp_replace({out}, '{pattern}', '{by.replace('$', chr(92))}', 'g')"
-    return f"list_filter(string_split_regex(lower({out}), ' +'), lambda w: w <> '')"
+    return f"list_filter(string_split(lower({out}), ' '), lambda w: w <> '')"
 
 
-def _sql_windows(form: str) -> str:
-    return f"list_zip({', '.join(f'{form}[{k + 1}:]' for k in range(WIDTH))}, true)"
+def _sql_zip(words: str) -> str:
+    return f"list_zip({', '.join(f'{words}[{k + 1}:]' for k in range(WIDTH))}, true)"
 
 
 _SLOT = f"regexp_matches(x, '^[{MARKS}]')"
+_BARE = f"list_transform(w, lambda x: CASE WHEN {_SLOT} THEN x[1] ELSE x END)"
 LEAKS_SQL = f"""
-WITH items AS (SELECT DISTINCT item_id, {_sql_marked('text')} AS w FROM benchmark),
-docs AS (SELECT doc_id, {_sql_marked('text')} AS w FROM documents),
-formed AS (SELECT item_id, w, list_transform(w, lambda x: CASE WHEN {_SLOT} THEN x[1] ELSE x END) AS f FROM items WHERE len(w) >= {WIDTH}),
-it AS (SELECT item_id, unnest(range(0, len(w) - {WIDTH} + 1)) AS ip, unnest({_sql_windows('w')}) AS own, unnest({_sql_windows('f')}) AS form,
-         unnest(list_transform(range(0, len(f) - {WIDTH} + 1), lambda i: len(list_filter(f[i + 1:i + {WIDTH}], lambda x: NOT {_SLOT})))) >= {PLAIN} AS plain FROM formed),
-told AS (SELECT item_id, count(*) FILTER (plain) AS good, count(*) AS n FROM it GROUP BY item_id),
-evidence AS (SELECT item_id, good = 0 AS exact, ip, CASE WHEN good = 0 THEN own ELSE form END AS k, CASE WHEN good = 0 THEN n ELSE good END AS windows
-             FROM it JOIN told USING (item_id) WHERE plain OR good = 0),
-df AS (SELECT doc_id, w, list_transform(w, lambda x: CASE WHEN {_SLOT} THEN x[1] ELSE x END) AS f FROM docs WHERE len(w) >= {WIDTH}),
-dt AS (SELECT doc_id, unnest(range(0, len(w) - {WIDTH} + 1)) AS dp, unnest({_sql_windows('w')}) AS own, unnest({_sql_windows('f')}) AS form FROM df),
-met AS (SELECT DISTINCT doc_id, item_id, dp, ip, windows FROM dt JOIN evidence ON k = form WHERE NOT exact
-        UNION SELECT DISTINCT doc_id, item_id, dp, ip, windows FROM dt JOIN evidence ON k = own WHERE exact),
-places AS (SELECT DISTINCT doc_id, item_id, dp - ip AS shift, unnest(range(ip, ip + {WIDTH})) AS ip FROM met),
-theirs AS (SELECT doc_id, unnest(range(0, len(w))) AS dp, unnest(w) AS value FROM docs SEMI JOIN met USING (doc_id)),
-ours AS (SELECT item_id, unnest(range(0, len(w))) AS ip, unnest(w) AS mine FROM items),
-slots AS (SELECT DISTINCT p.doc_id, p.item_id, shift, mine, value FROM places p JOIN theirs t ON t.doc_id = p.doc_id AND t.dp = p.shift + p.ip
-          JOIN ours o ON o.item_id = p.item_id AND o.ip = p.ip
+WITH texts AS (SELECT DISTINCT doc_id, text FROM documents),
+docs AS (SELECT row_number() OVER () AS key, doc_id, text FROM texts),
+both_items AS (SELECT DISTINCT item_id, 'template' AS form, {_sql_words('text', True)} AS w FROM benchmark WHERE item_id IS NOT NULL
+               UNION SELECT item_id, 'folded', {_sql_words('text', False)} FROM benchmark WHERE item_id IS NOT NULL),
+both_docs AS (SELECT key, 'template' AS form, {_sql_words('text', True)} AS w FROM docs UNION ALL SELECT key, 'folded', {_sql_words('text', False)} FROM docs),
+items AS (SELECT *, {_BARE} AS f FROM both_items WHERE len(w) >= {WIDTH}),
+it AS (SELECT item_id, form, unnest(range(0, len(w) - {WIDTH} + 1)) AS ip, unnest({_sql_zip('w')}) AS own, unnest({_sql_zip('f')}) AS bare,
+         unnest(list_transform(range(0, len(f) - {WIDTH} + 1), lambda i: len(list_filter(f[i + 1:i + {WIDTH}], lambda x: NOT {_SLOT})))) >= {PLAIN} AS plain FROM items),
+told AS (SELECT *, bool_or(plain) OVER (PARTITION BY item_id, form) AS good FROM it),
+kept AS (SELECT item_id, form, CASE WHEN good THEN 'form' ELSE 'exact' END AS kind, ip, CASE WHEN good THEN bare ELSE own END AS k FROM told WHERE plain OR NOT good),
+ranked AS (SELECT *, dense_rank() OVER (PARTITION BY item_id, form, kind ORDER BY ip) - 1 AS place FROM kept),
+known AS (SELECT *, max(place) OVER (PARTITION BY item_id, form, kind) + 1 AS windows FROM ranked),
+dt AS (SELECT key, form, unnest(range(0, len(w) - {WIDTH} + 1)) AS dp, unnest({_sql_zip('w')}) AS own, unnest({_sql_zip(_BARE)}) AS bare FROM both_docs WHERE len(w) >= {WIDTH}),
+met AS (SELECT DISTINCT key, item_id, d.form, kind, dp, ip, place, windows, dp - ip AS shift FROM dt d JOIN known n ON n.form = d.form AND n.kind = 'form' AND n.k = d.bare
+        UNION SELECT DISTINCT key, item_id, d.form, kind, dp, ip, place, windows, dp - ip FROM dt d JOIN known n ON n.form = d.form AND n.kind = 'exact' AND n.k = d.own),
+spots AS (SELECT DISTINCT key, item_id, form, shift, unnest(range(ip, ip + {WIDTH})) AS ip FROM met),
+theirs AS (SELECT key, form, unnest(range(0, len(w))) AS dp, unnest(w) AS value FROM both_docs SEMI JOIN met USING (key)),
+ours AS (SELECT item_id, form, unnest(range(0, len(w))) AS ip, unnest(w) AS mine FROM both_items),
+slots AS (SELECT DISTINCT p.key, p.item_id, p.form, shift, mine, value FROM spots p
+          JOIN theirs t ON t.key = p.key AND t.form = p.form AND t.dp = p.shift + p.ip JOIN ours o ON o.item_id = p.item_id AND o.form = p.form AND o.ip = p.ip
           WHERE regexp_matches(mine, '^[{MARKS}]') AND regexp_matches(value, '^[{MARKS}]')),
-judged AS (SELECT doc_id, item_id, shift, count(DISTINCT mine) < count(*) AS clash, bool_or(mine <> value) AS changed FROM slots GROUP BY ALL)
-SELECT m.doc_id, m.item_id, any_value(windows) AS windows, count(DISTINCT ip) AS matched, coalesce(bool_or(changed), false) AS changed
-FROM met m LEFT JOIN judged j ON j.doc_id = m.doc_id AND j.item_id = m.item_id AND j.shift = m.dp - m.ip
-WHERE NOT coalesce(clash, false) GROUP BY m.doc_id, m.item_id HAVING count(DISTINCT ip) >= {SHARE} * any_value(windows)"""
+judged AS (SELECT key, item_id, form, shift, count(DISTINCT mine) < count(*) AS clash, bool_or(mine <> value) AS changed FROM slots GROUP BY ALL),
+clashes AS (SELECT key, item_id, form, shift FROM judged WHERE clash UNION SELECT key, item_id, 'folded', shift FROM judged WHERE clash AND form = 'template'),
+sound AS (SELECT m.*, coalesce(changed, false) AS changed FROM met m ANTI JOIN clashes c USING (key, item_id, form, shift)
+          LEFT JOIN judged j ON j.key = m.key AND j.item_id = m.item_id AND j.form = m.form AND j.shift = m.shift),
+islands AS (SELECT key, item_id, form, kind, shift, place - row_number() OVER (PARTITION BY key, item_id, form, kind, shift ORDER BY place) AS island
+            FROM (SELECT DISTINCT key, item_id, form, kind, shift, place FROM sound)),
+runs AS (SELECT key, item_id, form, kind, max(n) AS run FROM (SELECT key, item_id, form, kind, shift, island, count(*) AS n FROM islands GROUP BY ALL) GROUP BY ALL),
+total AS (SELECT key, item_id, form, kind, any_value(windows) AS windows, count(DISTINCT place) AS matched, bool_or(changed) AS changed FROM sound GROUP BY ALL),
+held AS (SELECT key, item_id, form, windows, matched, changed FROM total JOIN runs USING (key, item_id, form, kind)
+         WHERE matched >= {SHARE} * windows OR run >= greatest({RUN_SHARE} * windows, {RUN})),
+short AS (SELECT key, item_id, 'folded' AS form, 1 AS windows, 1 AS matched, false AS changed FROM both_items i JOIN both_docs d
+          ON i.form = 'folded' AND d.form = 'folded' AND len(i.w) BETWEEN {SHORTEST} AND {WIDTH - 1}
+          AND contains(' ' || array_to_string(d.w, ' ') || ' ', ' ' || array_to_string(i.w, ' ') || ' ')),
+best AS (SELECT key, item_id, max({{t: form = 'template', matched: matched, windows: windows, changed: changed}}) AS b FROM (FROM held UNION ALL FROM short) GROUP BY ALL)
+SELECT doc_id, item_id, b.windows AS windows, b.matched AS matched, b.changed AS changed FROM best JOIN docs USING (key)"""
