@@ -34,16 +34,28 @@ NAMES = RULES[4]
 FORMS = ("template", "folded")
 
 
-def _with_words(rows: DataFrame, text: str, *keep: str) -> DataFrame:
-    """`keep`, and in template and folded the words of a text: lower case, a space behind each, replaced ones marked."""
+def _spaced(rows: DataFrame, text: str, *keep: str) -> DataFrame:
+    """`keep`, and in _c the words of a text with a space behind each, numbers and units marked."""
     first, digits = RULES[0], RULES[1:4]
     rows = rows.select(*keep, F.concat(F.coalesce(F.col(text).cast("string"), F.lit("")), F.lit(" ")).alias("_c"))
     rows = rows.select(*keep, F.regexp_replace("_c", *first).alias("_c"))
     marked = F.col("_c")
     for rule in digits:
         marked = F.regexp_replace(marked, *rule)
-    rows = rows.select(*keep, F.ltrim(F.when(F.col("_c").rlike("[0-9]"), marked).otherwise(F.col("_c"))).alias("_c"))
-    return rows.select(*keep, F.lower(F.regexp_replace("_c", *NAMES)).alias("template"), F.lower("_c").alias("folded"))
+    return rows.select(*keep, F.ltrim(F.when(F.col("_c").rlike("[0-9]"), marked).otherwise(F.col("_c"))).alias("_c"))
+
+
+def _with_words(rows: DataFrame, text: str, *keep: str) -> DataFrame:
+    """`keep`, and in template and folded the words of a text: lower case, a space behind each, replaced ones marked."""
+    return _spaced(rows, text, *keep).select(*keep, F.lower(F.regexp_replace("_c", *NAMES)).alias("template"), F.lower("_c").alias("folded"))
+
+
+def _with_forms(rows: DataFrame, text: str, *keep: str) -> DataFrame:
+    """_with_words() with _form() of both, in fewer steps."""
+    rows = _spaced(rows, text, *keep)
+    rows = rows.select(*keep, F.when(F.col("_c").contains(MARKS[0]), _form("_c")).otherwise(F.col("_c")).alias("_c"))
+    names = F.ltrim(F.regexp_replace(F.concat(F.lit(" "), "_c"), r" \p{Lu}[^ ]*+", f" {MARKS[1]}"))
+    return rows.select(*keep, F.lower(names).alias("template"), F.lower("_c").alias("folded"))
 
 
 def _form(words: Column | str) -> Column:
@@ -62,7 +74,7 @@ def _key(doc_id: str = "doc_id", text: str = "text") -> Column:
 
 
 def evidence(benchmark: DataFrame) -> DataFrame:
-    """(item_id, form, kind, ip, place, h, windows): the windows that are evidence, each numbered from 0 in place, and
+    """(item_id, form, kind, ip, place, h, named, windows): the windows that are evidence, each numbered from 0 in place, and
     how many the item has.
 
     Kind `form`: a window by its form, if PLAIN of its words are no placeholders. Kind `exact`: an item without such
@@ -74,13 +86,15 @@ def evidence(benchmark: DataFrame) -> DataFrame:
     long = items.filter(F.col("n") >= WIDTH).select(
         "item_id", "form", F.posexplode(F.arrays_zip(_windows(_form("w")).alias("by_form"), _windows(F.col("w")).alias("by_word"))).alias("ip", "x"))
     plain = F.size(F.filter(F.split(F.trim("x.by_form"), " "), lambda w: ~w.rlike(f"^[{MARKS}]"))) >= PLAIN
-    long = long.select("item_id", "form", "ip", plain.alias("plain"), F.xxhash64("x.by_form").alias("h"), F.xxhash64("x.by_word").alias("own"))
+    long = long.select("item_id", "form", "ip", plain.alias("plain"), F.xxhash64("x.by_form").alias("h"), F.xxhash64("x.by_word").alias("own"),
+                       F.col("x.by_form").contains(MARKS[1]).alias("named"))
     whole = Window.partitionBy("item_id", "form")
     long = long.withColumn("good", F.max("plain").over(whole)).filter("plain or not good")
     long = long.select("item_id", "form", F.when(F.col("good"), F.lit("form")).otherwise(F.lit("exact")).alias("kind"), "ip",
-                       F.when(F.col("good"), F.col("h")).otherwise(F.col("own")).alias("h"))
+                       F.when(F.col("good"), F.col("h")).otherwise(F.col("own")).alias("h"),
+                       (F.col("good") & F.col("named")).alias("named"))
     short = items.filter((F.col("n") < WIDTH) & (F.col("form") == "folded")).select(
-        "item_id", "form", F.concat(F.lit("short"), F.col("n").cast("string")).alias("kind"), F.lit(0).alias("ip"), F.xxhash64("w").alias("h"))
+        "item_id", "form", F.concat(F.lit("short"), F.col("n").cast("string")).alias("kind"), F.lit(0).alias("ip"), F.xxhash64("w").alias("h"), F.lit(False).alias("named"))
     # two texts under one id are one item with the windows of both
     return (long.unionByName(short).dropDuplicates(["item_id", "form", "kind", "ip", "h"])
             .withColumn("place", F.dense_rank().over(Window.partitionBy("item_id", "form", "kind").orderBy("ip")) - 1)
@@ -98,32 +112,56 @@ def _hashed(words: DataFrame, kinds: list[str], *keep: str) -> DataFrame:
     return words.select(*keep, each).select(*keep, "x.form", "x.kind", F.posexplode("x.all").alias("dp", "w")).select(*keep, "form", "kind", "dp", F.xxhash64("w").alias("h"))
 
 
+def _named(words: Column) -> Column:
+    """Those of _windows() that hold a name; empty texts stand for the others. They are the same in folded form."""
+    window = f"(?=(?:[^ {MARKS[1]}][^ ]*+ ){{0,{WIDTH - 1}}}+{MARKS[1]})(?=((?:[^ ]++ ){{{WIDTH}}}))[^ ]++ "
+    return F.regexp_extract_all(words, F.lit(f"{window}|[^ ]++ "), 1)
+
+
+def _needed(known: DataFrame) -> DataFrame:
+    """known, with what a document that holds the item can't do without: any `lacking` of its windows hold one of the
+    document's, as it may lack 1 - SHARE of them, and so do all windows of one `block`, as a run that is long enough fills
+    a block of half its length."""
+    run = F.greatest(F.ceil(F.col("windows") * RUN_SHARE), F.lit(RUN))
+    return known.withColumns({"block": F.floor(F.col("place") / F.floor((run + 1) / 2)), "lacking": F.col("windows") - F.ceil(F.col("windows") * SHARE) + 1})
+
+
+def _nameless(known: DataFrame) -> DataFrame:
+    """known without the windows that hold a name, where an item has enough others: `lacking` and one in each block."""
+    of = ["item_id", "form", "kind"]
+    block = _needed(known).groupBy(*of, "block").agg(F.max("lacking").alias("lacking"), F.count_if(~F.col("named")).alias("n"))
+    enough = block.groupBy(*of).agg(((F.min("n") > 0) & (F.sum("n") >= F.max("lacking"))).alias("enough"))
+    return known.join(enough, of).filter("not (named and enough)").drop("enough")
+
+
 def _candidates(docs: DataFrame, known: DataFrame, kinds: list[str]) -> DataFrame:
     """(key, item_id) of documents that may hold an item; none that does is left out.
 
-    Of an item's windows a document may lack 1 - SHARE, so it holds one of any that are one more; a run that is long
-    enough fills one of any blocks of half its length. Documents are therefore joined to each item's rarest windows only,
-    and a window that many documents and items share is no evidence to begin with where there are others.
+    Windows with names are looked at only for items that need them, and documents are joined to each item's rarest windows
+    only, as far as _needed() allows. So a window that many documents and items share is no evidence to begin with where
+    there are others.
     """
-    words = _with_words(docs.select(_key().alias("key"), "text"), "text", "key")
+    ids, known, ways = docs.select(_key().alias("key"), "text"), cut(_nameless(known)), []
+    if "form" in kinds:
+        forms = _with_forms(ids, "text", "key")
+        named = not known.filter("named and kind = 'form' and form = 'template'").isEmpty()
+        windows = F.concat(_windows(F.col("folded")), _named(F.col("template"))) if named else _windows(F.col("folded"))
+        ways.append(forms.select("key", F.explode(windows).alias("w")).filter("w <> ''"))
+    others = [k for k in kinds if k != "form"]
+    if others:
+        parts = [_windows(F.col(f), int(k[5:]) if k.startswith("short") else WIDTH) for k in others for f in (FORMS[1:] if k.startswith("short") else FORMS)]
+        ways.append(_with_words(ids, "text", "key").select("key", F.explode(F.concat(*parts)).alias("w")))
     sought = bounded(known.select("h").distinct())
-    ways = []
-    for kind in kinds:
-        width = int(kind[5:]) if kind.startswith("short") else WIDTH
-        ways += [_windows(_form(f) if kind == "form" else F.col(f), width) for f in (FORMS if width == WIDTH else FORMS[1:])]
-    seen = words.select("key", F.explode(F.concat(*ways)).alias("w")).select("key", F.xxhash64("w").alias("h"))
-    hits = cut(seen.join(sought, "h").distinct())
-    often = hits.groupBy("h").agg(F.count(F.lit(1)).alias("often"))
-    run = F.greatest(F.ceil(F.col("windows") * RUN_SHARE), F.lit(RUN))
-    ranked = known.join(often, "h").withColumn("block", F.floor(F.col("place") / F.floor((run + 1) / 2)))
+    seen = ways[0] if len(ways) == 1 else ways[0].unionByName(ways[1])
+    hits = cut(seen.select("key", F.xxhash64("w").alias("h")).join(sought, "h").distinct())
+    counts = hits.groupBy("h").agg(F.count(F.lit(1)).alias("often"))
+    # windows that no document has are the rarest of all
+    ranked = _needed(known).join(counts, "h", "left").fillna(0, ["often"])
     of = ["item_id", "form", "kind"]
     order = ["often", "place"]
-    # windows that no document has are the rarest of all: they take their part of the count
-    absent = F.col("windows") - F.count(F.lit(1)).over(Window.partitionBy(*of))
-    ranked = ranked.withColumn("absent", absent).withColumn("k", F.row_number().over(Window.partitionBy(*of).orderBy(*order)))
+    ranked = ranked.withColumn("k", F.row_number().over(Window.partitionBy(*of).orderBy(*order)))
     ranked = ranked.withColumn("b", F.row_number().over(Window.partitionBy(*of, "block").orderBy(*order)))
-    lacking = F.col("windows") - F.ceil(F.col("windows") * SHARE) + 1 - F.col("absent")
-    probes = ranked.filter((F.col("k") <= lacking) | (F.col("b") == 1)).select("h", "item_id").distinct()
+    probes = ranked.filter("often > 0 and (k <= lacking or b = 1)").select("h", "item_id").distinct()
     return cut(hits.join(bounded(probes), "h").select("key", "item_id").distinct())
 
 
