@@ -1,10 +1,11 @@
 """Token counts of sections, from one encoding of the whole document."""
 import base64
+import re
 
 import numpy as np
 import pandas as pd
 import tiktoken
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -13,21 +14,41 @@ from .common import small_batches
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # How the vocabulary's texts are cut before pairs of bytes are merged.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_LOADED: dict[str, tuple[tiktoken.Encoding, np.ndarray]] = {}
+# Runs of white space from this length on are encoded apart: the encoder's expressions fail on very long ones.
+_LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1000,}")
+Encoder = tuple[tiktoken.Encoding, np.ndarray]
+_LOADED: dict[str, Encoder] = {}
 
 
-def encoding(path: str = VOCABULARY) -> tuple[tiktoken.Encoding, np.ndarray]:
-    """The encoder and the bytes of each token, read once in a process. Every executor must see the file."""
+def built(vocabulary: bytes) -> Encoder:
+    """The encoder and the bytes of each token, from the lines of a vocabulary file."""
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
+    lengths = np.zeros(max(ranks.values()) + 1, np.int64)
+    for token, rank in ranks.items():
+        lengths[rank] = len(token)
+    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), lengths
+
+
+def encoding(path: str = VOCABULARY) -> Encoder:
+    """built() from a file, once in a process."""
     if path not in _LOADED:
         with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        lengths = np.zeros(max(ranks.values()) + 1, np.int64)
-        for token, rank in ranks.items():
-            lengths[rank] = len(token)
-        _LOADED[path] = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), lengths
+            _LOADED[path] = built(f.read())
     return _LOADED[path]
 
 
+def encoded(encoder: tiktoken.Encoding, text: str) -> list[int]:
+    """The tokens of a text, as encode_ordinary() gives them. Of a long run of white space all but the last character are
+    one piece by PATTERN, or all of it at the end of the text, so that it can be merged apart."""
+    out, at = [], 0
+    for run in _LONG_SPACE.finditer(text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        out += encoder.encode_ordinary(text[at:run.start()])
+        out += encoder._core_bpe.encode_single_piece(text[run.start():end].encode())
+        at = end
+    return out + encoder.encode_ordinary(text[at:]) if at else encoder.encode_ordinary(text)
+
+
 def line_ends(data: np.ndarray) -> np.ndarray:
     """Ends, in bytes, of the sections of a text: its lines, each with its line feed. A text without bytes has one."""
     ends = np.flatnonzero(data == 10) + 1
@@ -51,22 +72,28 @@ def allocate(tokens: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.bincount(owner, minlength=len(ends)), np.bincount(owner[first < last], minlength=len(ends))
 
 
-def _attributed(text: str | None, path: str) -> list[dict]:
-    encoder, lengths = encoding(path)
+def _attributed(text: str | None, held: Encoder) -> list[dict]:
+    encoder, lengths = held
     data = np.frombuffer((text or "").encode(), np.uint8)
     ends = line_ends(data)
-    counts, crossing = allocate(lengths[np.array(encoder.encode_ordinary(text or ""), np.int64)], ends)
+    counts, crossing = allocate(lengths[np.array(encoded(encoder, text or ""), np.int64)], ends)
     points = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))[ends]
     starts = np.concatenate(([0], points[:-1]))
     return [{"start": a, "end": b, "n_tokens": n, "n_crossing": c}
             for a, b, n, c in zip(starts.tolist(), points.tolist(), counts.tolist(), crossing.tolist())]
 
 
-def attributed(text: Column, path: str = VOCABULARY) -> Column:
-    """array of (start, end, n_tokens, n_crossing): the sections of a text, in code points, end exclusive."""
+def attributed(spark: SparkSession, text: Column, path: str = VOCABULARY) -> Column:
+    """array of (start, end, n_tokens, n_crossing): the sections of a text, in code points, end exclusive. The vocabulary,
+    a file of one or two megabytes, is read by the driver and sent, so that executors need not see it."""
+    with open(path, "rb") as f:
+        sent = spark.sparkContext.broadcast(f.read())
+
     @pandas_udf("array<struct<start long, end long, n_tokens long, n_crossing long>>")
     def sections(texts: pd.Series) -> pd.Series:
-        return pd.Series([_attributed(t, path) for t in texts], dtype=object)
+        if path not in _LOADED:
+            _LOADED[path] = built(sent.value)
+        return pd.Series([_attributed(t, _LOADED[path]) for t in texts], dtype=object)
     return sections(text.cast("string"))
 
 
@@ -78,5 +105,5 @@ def section_tokens(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     table gives an empty one.
     """
     small_batches(docs.sparkSession)
-    rows = docs.select("doc_id", F.posexplode(attributed(F.col("text"), path)).alias("section", "s"))
+    rows = docs.select("doc_id", F.posexplode(attributed(docs.sparkSession, F.col("text"), path)).alias("section", "s"))
     return rows.select("doc_id", "section", "s.*")
