@@ -1,6 +1,7 @@
 """Personal data: fixed patterns, and a linear-chain conditional random field over word shapes that adds to them."""
 import hashlib
 import re
+from bisect import bisect_left
 
 import numpy as np
 import pandas as pd
@@ -20,6 +21,8 @@ ROUNDS, STEP, PULL = 120, 0.5, 1e-3
 FEATURES = 1 << 12
 # A run of words must be so likely, against the same words without labels, in nats.
 EVIDENCE = 2.0
+# Words that are decoded together.
+WORDS = 20_000
 
 Span = tuple[int, int, int]
 
@@ -75,7 +78,7 @@ def written(spans: list[Span]) -> str:
 # The field. Labels: 0 outside, then begin and inside of each kind.
 LABELS = 1 + 2 * len(KINDS)
 _WORD = re.compile(r"[^\s]+")
-_TELLING = re.compile(r"[^\s]*[0-9@][^\s]*")
+_TELLING = re.compile(r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+")
 _START = np.array([True] + [k % 2 == 1 for k in range(1, LABELS)])
 # Inside follows begin or inside of its kind only; a run also starts and ends outside.
 _ALLOWED = np.array([[b == 0 or b % 2 == 1 or a in (b - 1, b) for b in range(LABELS)] for a in range(LABELS)])
@@ -89,7 +92,7 @@ def shape(word: str) -> str:
 
 def runs(text: str) -> list[list[tuple[int, int]]]:
     """Words with a digit or an @, as lists of neighbours. All other words are outside by the model, so that decoding
-    these runs, each from outside to outside, decodes the whole text."""
+    these runs, each from outside to outside, decodes the whole text. Each word is read once, however long it is."""
     out: list[list[tuple[int, int]]] = []
     for m in _TELLING.finditer(text):
         if out and not text[out[-1][-1][1]:m.start()].strip():
@@ -132,7 +135,11 @@ class Field:
         lengths = np.array([len(c) for c in columns])
         for n in np.unique(lengths):
             chosen = np.flatnonzero(lengths == n)
-            yield chosen, self.weights[np.stack([columns[k] for k in chosen])].sum(axis=2)
+            stacked = np.stack([columns[k] for k in chosen])
+            emitted = self.weights[stacked[:, :, 0]]
+            for f in range(1, stacked.shape[2]):
+                emitted += self.weights[stacked[:, :, f]]
+            yield chosen, emitted
 
     def decode(self, columns: list[np.ndarray]) -> list[tuple[np.ndarray, float]]:
         """Viterbi for each run: its labels, and their lead in score over no labels at all."""
@@ -253,32 +260,79 @@ def learn(docs: DataFrame, text_col: str = "text") -> Field:
     return fit(columns, labels)
 
 
-def added_spans(text: str, found: list[Span], field: Field) -> list[Span]:
-    """What the field finds apart from the spans already found, cut to its first and last letter, digit or bracket."""
-    parts = runs(text)
+def _free(found: list[Span]):
+    """Whether a span lies apart from all of these."""
+    starts, ends = [], []
+    for a, b in sorted((a, b) for _, a, b in found):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+
+    def free(a: int, b: int) -> bool:
+        k = bisect_left(starts, b) - 1
+        return k < 0 or ends[k] <= a
+    return free
+
+
+def _spans(text: str, run: list[tuple[int, int]], path: np.ndarray, free) -> list[Span]:
     out: list[Span] = []
-    for run, (path, lead) in zip(parts, field.decode([_columns(features(text, r)) for r in parts])):
-        if lead < EVIDENCE:
+    at = 0
+    while at < len(path):
+        if not path[at]:
+            at += 1
             continue
-        at = 0
-        while at < len(path):
-            if not path[at]:
-                at += 1
-                continue
-            end = at + 1
-            while end < len(path) and path[end] and not _START[path[end]]:
-                end += 1
-            a, b = run[at][0], run[end - 1][1]
-            while a < b and not (text[a].isalnum() or text[a] in "(+"):
-                a += 1
-            while a < b and not text[b - 1].isalnum():
-                b -= 1
-            if a < b and not any(x < b and a < y for _, x, y in found):
-                out.append((int(path[at] - 1) // 2, a, b))
-            at = end
+        end = at + 1
+        while end < len(path) and path[end] and not _START[path[end]]:
+            end += 1
+        a, b = run[at][0], run[end - 1][1]
+        while a < b and not (text[a].isalnum() or text[a] in "(+"):
+            a += 1
+        while a < b and not text[b - 1].isalnum():
+            b -= 1
+        if a < b and free(a, b):
+            out.append((int(path[at] - 1) // 2, a, b))
+        at = end
     return out
 
 
+def added(texts: list[str], found: list[list[Span]], field: Field) -> list[list[Span]]:
+    """For each text what the field finds apart from the spans already found, cut to its first and last letter, digit or
+    bracket. The runs of all texts are decoded together, WORDS at a time, those of one length at once."""
+    out: list[list[Span]] = [[] for _ in texts]
+    held: list[tuple[int, list]] = []
+    columns: list[np.ndarray] = []
+    free: dict[int, object] = {}
+
+    def decoded():
+        for (k, run), (path, lead) in zip(held, field.decode(columns)):
+            if lead >= EVIDENCE and path.any():
+                if k not in free:
+                    free[k] = _free(found[k])
+                out[k] += _spans(texts[k], run, path, free[k])
+        held.clear()
+        columns.clear()
+
+    words = 0
+    for k, text in enumerate(texts):
+        for run in runs(text) if text else ():
+            held.append((k, run))
+            columns.append(_columns(features(text, run)))
+            words += len(run)
+            if words > WORDS:
+                decoded()
+                words = 0
+    if held:
+        decoded()
+    return out
+
+
+def added_spans(text: str, found: list[Span], field: Field) -> list[Span]:
+    """added() for one text."""
+    return added([text], [found], field)[0]
+
+
 def find(docs: DataFrame) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans), one row for each row of docs.
 
@@ -292,10 +346,8 @@ def find(docs: DataFrame) -> DataFrame:
 
     @pandas_udf("n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
     def found(texts: pd.Series) -> pd.DataFrame:
-        held, rows = Field(*model.value), []
-        for text in texts:
-            base = base_spans(text) if text else []
-            more = added_spans(text, base, held) if text else []
+        bases, rows = [base_spans(text) if text else [] for text in texts], []
+        for base, more in zip(bases, added(list(texts), bases, Field(*model.value))):
             rows.append((*[sum(s[0] == k for s in base) for k in range(len(KINDS))],
                          hashlib.sha256(written(base).encode()).hexdigest(), written(base + more)))
         return pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
