@@ -11,8 +11,8 @@ from .common import fresh, remainder, small_batches
 # Learned from each language: so many rows at most, and so many characters of each. This bounds a dictionary to 0.8 MB.
 ROWS = 200
 PIECE = 1024
-# Languages learned at most: those with the most labelled rows.
-LANGUAGES = 256
+# Characters of all dictionaries together. With many languages each gets fewer rows, then shorter pieces; all are kept.
+CHARACTERS = 256 * ROWS * PIECE
 # A text is encoded in blocks, so that the dictionary and not the text's own start serves each of them.
 BLOCK = 2000
 # Share by which the second smallest size exceeds the smallest, below which it is narrow.
@@ -56,20 +56,27 @@ class Coders:
         return self.languages[sizes[0][1]], score, score < margin
 
 
-def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Model:
-    """The dictionaries, from at most ROWS rows of a language in the order of a hash of the id, and PIECE characters of
+def share(languages: int) -> tuple[int, int]:
+    """Rows of each language and characters of each row, so that all dictionaries together stay within CHARACTERS."""
+    each = max(16, CHARACTERS // max(1, languages))
+    return max(1, min(ROWS, each // PIECE)), min(PIECE, each)
+
+
+def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
+    """The dictionaries, from at most ROWS texts of a language in the order of a hash of the text, and PIECE characters of
     each from a place that the hash names. Rows without text or language teach nothing; the counts take all rows."""
-    rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("t"),
-                           F.xxhash64(F.col(id_col).cast("string")).alias("h")).filter("lang is not null and length(t) > 0")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
-    place = (F.pmod("h", F.greatest(F.length("t") - PIECE, F.lit(0)) + 1) + 1).cast("int")
-    pieces = rows.select("lang", "h", F.lower(F.substring("t", place, F.lit(PIECE))).alias("piece"))
-    order = Window.partitionBy("lang").orderBy("h", "piece")
-    chosen = pieces.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= ROWS)
+    rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("t")).filter("lang is not null and length(t) > 0")
+    rows = rows.withColumn("h", F.xxhash64("t"))
+    languages = tuple(r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect())
+    most, size = share(len(languages))
+    order = Window.partitionBy("lang").orderBy("h")
+    # copies of a text have one hash, so it is chosen once
+    chosen = rows.select("lang", "h").distinct().withColumn("k", F.row_number().over(order)).filter(F.col("k") <= most).drop("k")
+    place = (F.pmod("h", F.greatest(F.length("t") - size, F.lit(0)) + 1) + 1).cast("int")
+    pieces = rows.join(F.broadcast(chosen), ["lang", "h"]).select("lang", "h", F.lower(F.substring("t", place, F.lit(size))).alias("piece"))
     held: dict[str, dict[bytes, None]] = {}
-    for r in chosen.join(F.broadcast(counts.select("lang")), "lang").orderBy("lang", "k").collect():
+    for r in pieces.distinct().orderBy("lang", "h", "piece").collect():
         held.setdefault(r["lang"], {})[r["piece"].encode()] = None
-    languages = tuple(r["lang"] for r in counts.collect())
     # zstandard takes no raw content of under 8 bytes
     return languages, tuple(b"\n".join(held[x]).ljust(8, b"\n") for x in languages)
 
