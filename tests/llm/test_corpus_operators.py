@@ -121,6 +121,19 @@ def test_ranks_are_gapless_whatever_the_buckets(spark, monkeypatch):
             assert [x[0] for x in own] == list(range(len(own))) and [x[1:] for x in own] == sorted(x[1:] for x in own)
 
 
+def test_rows_without_an_id_are_drawn_by_their_text(spark):
+    """A source without ids meets its weight, and whole texts arrive."""
+    rows = [(None, f"text {k}", "a") for k in range(4000)] + [(k, f"t {k}", "b") for k in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    weights = spark.createDataFrame([("a", 1.0), ("b", 3.0)], "source string, weight double")
+    n = {r["source"]: r["count"] for r in mixing.mixed_rows(docs, weights=weights, total=8000).groupBy("source").count().collect()}
+    assert abs(n["a"] - 2000) < 5 * math.sqrt(2000) and abs(n["b"] - 6000) < 5 * math.sqrt(6000)
+    plan = mixing.mix_plan(docs).collect()
+    sums = {(r["text"].encode()): zlib.crc32(r["text"].encode()) for r in docs.collect()}
+    assert {(r["size"], r["text_crc32"]) for r in plan} <= {(len(t), c) for t, c in sums.items()}
+    assert sorted(r["position"] for r in plan) == list(range(len(plan)))
+
+
 # Decontamination
 
 def test_changed_numbers_and_names_are_caught_and_inconsistent_ones_are_not(spark):
