@@ -1,4 +1,4 @@
-"""Flows from a packet stream: keyed state with event-time timers."""
+"""Flows from a packet stream: keyed state with timers, by event time or by the wall clock."""
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -16,14 +16,15 @@ KEY_FIELDS = [f.split(" ")[0] for f in KEY.split(", ")]
 OUTPUT = f"{KEY}, {STATE}"
 
 
-def keyed_stream(packets: DataFrame, delay: str = "10 seconds") -> DataFrame:
-    """Admitted packets with flat key columns and a watermark."""
+def keyed_stream(packets: DataFrame, delay: str | None = "10 seconds") -> DataFrame:
+    """Admitted packets with flat key columns and, with a delay, a watermark."""
     rows = flows.admit(packets).withColumn("key", net.flow_key())
     lo = F.struct(F.col("src_ip").alias("ip"), F.col("src_port").alias("port")) == F.col("key.lo")
-    return rows.select(
+    rows = rows.select(
         F.col("key.lo.ip").alias("lo_ip"), F.col("key.lo.port").alias("lo_port"), F.col("key.hi.ip").alias("hi_ip"),
         F.col("key.hi.port").alias("hi_port"), "proto", "seq", "ts", F.unix_micros("ts").alias("us"), lo.alias("from_lo"), "payload_len",
-        "syn", "rst", "fin", "ack").withWatermark("ts", delay)
+        "syn", "rst", "fin", "ack")
+    return rows.withWatermark("ts", delay) if delay else rows
 
 
 class FlowBuilder(StatefulProcessor):
@@ -31,7 +32,8 @@ class FlowBuilder(StatefulProcessor):
 
     A key has at most one timer. When it fires too early, because packets have moved
     the limit since, it is set again. Packets of one batch are taken in (ts, seq) order. A late packet that still passes
-    the watermark joins the open flow; it never moves first or last back.
+    the watermark joins the open flow; it never moves first or last back. The limits are times of packets and the clock
+    is the watermark, so a replay gives the flows of the batch operator; a stream without new packets stands still.
     """
 
     def __init__(self, idle_us: int, active_us: int):
@@ -42,9 +44,18 @@ class FlowBuilder(StatefulProcessor):
         self.open = handle.getValueState("flow", STATE)
         self.timer = handle.getValueState("timer", "at long")
 
+    def _now_ms(self, timerValues) -> int:
+        return timerValues.getCurrentWatermarkInMs()
+
     def _limit_ms(self, flow) -> int:
         return -(-min(flow[3] + self.idle, flow[2] + self.active) // 1000)
 
+    def _held(self, flow, timerValues) -> None:
+        """A flow is open after a batch with packets of its key."""
+
+    def _released(self) -> None:
+        """No flow of the key is open any more."""
+
     def handleInputRows(self, key, rows, timerValues):
         flow = list(self.open.get()) if self.open.exists() else None
         before = flow is not None
@@ -71,10 +82,12 @@ class FlowBuilder(StatefulProcessor):
                 flow = None
         if flow is not None:
             self.open.update(tuple(flow))
+            self._held(flow, timerValues)
             if not self.timer.exists():
                 self._set_timer(flow)
         elif before:
             self.open.clear()
+            self._released()
         return self._rows(key, done)
 
     def _set_timer(self, flow) -> None:
@@ -87,9 +100,10 @@ class FlowBuilder(StatefulProcessor):
         done = []
         if self.open.exists():
             flow = self.open.get()
-            if timerValues.getCurrentWatermarkInMs() >= self._limit_ms(flow):
+            if self._now_ms(timerValues) >= self._limit_ms(flow):
                 done.append(flow)
                 self.open.clear()
+                self._released()
             else:
                 self._set_timer(flow)
         return self._rows(key, done)
@@ -101,12 +115,41 @@ class FlowBuilder(StatefulProcessor):
         return iter([Row(**dict(zip([*KEY_FIELDS, *FIELDS], (*key, *flow)))) for flow in done])
 
 
+class LiveFlowBuilder(FlowBuilder):
+    """The same flows, expired by the wall clock: idle after the last arrival or active after the first one.
+
+    Packets still end flows by their own times. The timers count from arrival, so a stream that goes quiet gives its last
+    flows without a further packet, and no packet is late. A restarted stream counts on from the stored arrivals.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.arrivals = handle.getValueState("arrivals", "flow_id long, first_ms long, last_ms long")
+
+    def _now_ms(self, timerValues) -> int:
+        return timerValues.getCurrentProcessingTimeInMs()
+
+    def _limit_ms(self, flow) -> int:
+        _, first, last = self.arrivals.get()
+        return min(last + -(-self.idle // 1000), first + -(-self.active // 1000))
+
+    def _held(self, flow, timerValues) -> None:
+        now = self._now_ms(timerValues)
+        before = self.arrivals.get() if self.arrivals.exists() else None
+        self.arrivals.update((flow[0], before[1] if before and before[0] == flow[0] else now, now))
+
+    def _released(self) -> None:
+        self.arrivals.clear()
+
+
 def completed(packets: DataFrame, idle_s: float = fixed.IDLE_S, active_s: float = fixed.ACTIVE_S,
-              delay: str = "10 seconds") -> DataFrame:
-    """Stream of flat flow rows, each when it closes or expires."""
-    rows = keyed_stream(packets, delay)
-    return rows.groupBy(*KEY_FIELDS).transformWithState(
-        FlowBuilder(int(idle_s * 1e6), int(active_s * 1e6)), OUTPUT, outputMode="Append", timeMode="EventTime")
+              delay: str = "10 seconds", live: bool = False) -> DataFrame:
+    """Stream of flat flow rows, each when it closes or expires: by the times of packets, or by the wall clock (live)."""
+    limits = int(idle_s * 1e6), int(active_s * 1e6)
+    rows = keyed_stream(packets, None if live else delay).groupBy(*KEY_FIELDS)
+    if live:
+        return rows.transformWithState(LiveFlowBuilder(*limits), OUTPUT, outputMode="Append", timeMode="ProcessingTime")
+    return rows.transformWithState(FlowBuilder(*limits), OUTPUT, outputMode="Append", timeMode="EventTime")
 
 
 def shape(rows: DataFrame) -> DataFrame:
@@ -122,13 +165,32 @@ def still_open(spark: SparkSession, checkpoint: str) -> DataFrame:
     return state.select("key.*", "value.*")
 
 
-def replay(packets: DataFrame, sink: str, checkpoint: str, idle_s: float = fixed.IDLE_S,
-           active_s: float = fixed.ACTIVE_S, delay: str = "10 seconds") -> DataFrame:
-    """Run a finite stream to its end and flush: all its flows, as a batch would give them."""
-    stream = completed(packets, idle_s, active_s, delay)
-    run = (stream.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint)
-           .outputMode("append").trigger(availableNow=True).start())
+def _writer(stream: DataFrame, sink: str, checkpoint: str):
+    return stream.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).outputMode("append")
+
+
+def advance(packets: DataFrame, sink: str, checkpoint: str, idle_s: float = fixed.IDLE_S,
+            active_s: float = fixed.ACTIVE_S, delay: str = "10 seconds"):
+    """Run a stream over what has arrived since it last ran, append the flows that ended, and return the ended query."""
+    run = _writer(completed(packets, idle_s, active_s, delay), sink, checkpoint).trigger(availableNow=True).start()
     run.awaitTermination()
-    spark = packets.sparkSession
+    return run
+
+
+def flushed(spark: SparkSession, sink: str, checkpoint: str) -> DataFrame:
+    """All flows of a stream that has ended: those it wrote and those it held, as a batch would give them."""
     closed = spark.read.schema(OUTPUT).parquet(sink)
     return shape(closed.unionByName(still_open(spark, checkpoint).select(*KEY_FIELDS, *FIELDS)))
+
+
+def replay(packets: DataFrame, sink: str, checkpoint: str, idle_s: float = fixed.IDLE_S,
+           active_s: float = fixed.ACTIVE_S, delay: str = "10 seconds") -> DataFrame:
+    """Run a finite stream to its end and flush."""
+    advance(packets, sink, checkpoint, idle_s, active_s, delay)
+    return flushed(packets.sparkSession, sink, checkpoint)
+
+
+def watch(packets: DataFrame, sink: str, checkpoint: str, idle_s: float = fixed.IDLE_S, active_s: float = fixed.ACTIVE_S,
+          every: str = "1 second"):
+    """Start a live stream: flows that end or fall silent are appended `every` now and then, until it is stopped."""
+    return _writer(completed(packets, idle_s, active_s, live=True), sink, checkpoint).trigger(processingTime=every).start()
