@@ -43,7 +43,7 @@ def triggers(rows: DataFrame) -> DataFrame:
 
 
 def alerts(rows: DataFrame, throttle_s: float = fixed.ALERT_THROTTLE_S,
-           group_rows: int = chain.GROUP_ROWS) -> DataFrame:
+           group_rows: int = chain.FIRE_ROWS) -> DataFrame:
     """Alerts after the throttle: one per (source, technique) and window."""
     due = triggers(rows)
     # order of arrival within one instant is the id

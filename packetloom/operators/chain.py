@@ -23,6 +23,8 @@ from .joins import bounded
 
 # Rows of one key that may be gathered in one array.
 GROUP_ROWS = 5_000
+# Distinct instants of one key that a throttle may gather: two numbers each, under a megabyte.
+FIRE_ROWS = 50_000
 POSITION = ("us", "seq")
 
 
@@ -129,18 +131,17 @@ def _first_at(rows: DataFrame, active_us: int, width: int) -> DataFrame:
     return both.filter("asks is not null").select("key", F.col("asks").alias("seq"), "to_active")
 
 
-def fires(rows: DataFrame, gap_us: int, limit: int = GROUP_ROWS) -> DataFrame:
+def fires(rows: DataFrame, gap_us: int, limit: int = FIRE_ROWS) -> DataFrame:
     """Greedy throttle: keep a row when it is >= gap_us after the last kept row of its key.
 
     Input columns key, us, seq; output key, seq, us of the kept rows.
     """
-    rows = rows.select("key", "us", "seq")
-    heavy = hot_keys(rows, limit)
-    heavy = heavy if heavy is None else bounded(heavy, made=True)
-    cold = rows if heavy is None else rows.join(heavy, "key", "left_anti")
     # Rows of the same instant can never be kept together: one of them is enough.
-    first = cold.groupBy("key", "us").agg(F.min("seq").alias("seq"))
-    gathered = first.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("us", "seq"))).alias("rows"))
+    first = rows.groupBy("key", "us").agg(F.min("seq").alias("seq"))
+    heavy = hot_keys(first, limit)
+    heavy = heavy if heavy is None else bounded(heavy, made=True)
+    cold = first if heavy is None else first.join(heavy, "key", "left_anti")
+    gathered = cold.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("us", "seq"))).alias("rows"))
     none = F.array().cast("array<struct<us:long,seq:long>>")
     kept = F.aggregate("rows", none, lambda acc, r: F.when(
         (F.size(acc) == 0) | (r["us"] - F.try_element_at(acc, F.lit(-1))["us"] >= gap_us),
@@ -148,7 +149,6 @@ def fires(rows: DataFrame, gap_us: int, limit: int = GROUP_ROWS) -> DataFrame:
     out = gathered.select("key", F.explode(kept).alias("r")).select("key", "r.seq", "r.us")
     if heavy is None:
         return out
-    hot = (rows.join(heavy, "key", "left_semi").groupBy("key", "us").agg(F.min("seq").alias("seq"))
-           .withColumns({"clock": F.col("us"), "closes": F.lit(False)}))
+    hot = first.join(heavy, "key", "left_semi").withColumns({"clock": F.col("us"), "closes": F.lit(False)})
     opened = segments(hot, gap_us, gap_us, teardown=False).filter(F.col("start.seq") == F.col("seq"))
     return out.unionByName(opened.select("key", "seq", "us"))

@@ -137,7 +137,7 @@ def reputation_as_of(rows: DataFrame, history: DataFrame, ip: str = "src_ip", ts
 
 # --- lookups ------------------------------------------------------------------
 def lookup_demand(requests: DataFrame, ttl_s: float, ip: str = "ip", ts: str = "ts", seq: str = "seq",
-                  group_rows: int = chain.GROUP_ROWS) -> DataFrame:
+                  group_rows: int = chain.FIRE_ROWS) -> DataFrame:
     """Per address: requests, misses (one lookup per TTL window) and hits."""
     asked = requests.filter(net.is_enrichable(F.col(ip))).select(
         F.struct(F.col(ip).alias("ip")).alias("key"), numeric.micros(F.col(ts)).alias("us"),

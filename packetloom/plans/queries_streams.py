@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import alerts, reads
 from ..session import scratch
+from ..sources import readers
 from ..streaming import detect
 from ..streaming import flows as flow_stream
 from . import view_sql as v
@@ -19,26 +20,36 @@ def _event_stream(spark, sf):
     return views.packets_from(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf))
 
 
+def _loads(rows, parts: int = 3):
+    """The rows in `parts` loads by time."""
+    us = F.unix_micros("ts")
+    marks = rows.agg(F.percentile_approx(us, F.array(*[F.lit(i / parts) for i in range(1, parts)])).alias("m")).first()["m"]
+    edges = [None, *marks, None]
+    for low, high in zip(edges, edges[1:]):
+        part = rows if low is None else rows.filter(us >= low)
+        yield part if high is None else part.filter(us < high)
+
+
 def _replayed(spark, sf):
-    return flow_stream.replay(_event_stream(spark, sf), scratch(spark, "flows"), scratch(spark, "flow-state"),
-                              views.IDLE_S, views.ACTIVE_S, "1 day")
+    """Packets arrive as files in loads; the stream is started anew for each load and goes on from its state."""
+    source, sink, state = (scratch(spark, f"flows-{x}") for x in ("in", "out", "state"))
+    for load in _loads(views.packets(spark, sf)):
+        load.write.mode("append").parquet(source)
+        flow_stream.advance(readers.packet_stream(spark, source), sink, state, views.IDLE_S, views.ACTIVE_S, "1 day")
+    return flow_stream.flushed(spark, sink, state)
 
 
 @query("stream_flows", v.over("flows") + FLOW_SQL)
 def stream_flows(spark, sf):
-    """Keyed state over the stream, then the flush: the same flows as the batch."""
+    """Keyed state over several loads and restarts, then the flush: the same flows as the batch."""
     return _timed(_replayed(spark, sf))
 
 
-def _run_in_parts(spark, rows, operator, name, parts: int = 3):
-    """Rows arrive in `parts` loads by time; the stream is run after each load."""
+def _run_in_parts(spark, rows, operator, name):
+    """Rows arrive in loads by time; the stream is run after each load."""
     source, sink, state = (scratch(spark, f"{name}-{x}") for x in ("in", "out", "state"))
-    us = F.unix_micros("ts")
-    marks = rows.agg(F.percentile_approx(us, F.array(*[F.lit(i / parts) for i in range(1, parts)])).alias("m")).first()["m"]
-    edges = [None, *marks, None]
-    for low, high in zip(edges, edges[1:]):
-        part = rows if low is None else rows.filter(us >= low)
-        (part if high is None else part.filter(us < high)).write.mode("append").parquet(source)
+    for load in _loads(rows):
+        load.write.mode("append").parquet(source)
         stream = operator(spark.readStream.schema(rows.schema).parquet(source))
         detect.append_batches(stream, sink, state).awaitTermination()
     return spark.read.schema(stream.schema).parquet(sink)
