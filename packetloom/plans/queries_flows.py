@@ -1,4 +1,6 @@
 """Queries on packets, flows, verdicts and enrichment."""
+import uuid
+
 from pyspark.sql import functions as F
 
 from .. import fixed, schema
@@ -137,19 +139,43 @@ def _captures(spark, sf):
         F.concat(F.lit(head), F.array_join(F.transform("r", lambda r: r["record"]), ""))).alias("content"))
 
 
+def _write_files(folder: str):
+    def run(batches):
+        from pyarrow import fs
+        system, place = fs.FileSystem.from_uri(folder) if ":" in folder else (fs.LocalFileSystem(), folder)
+        system.create_dir(place)
+        for pdf in batches:
+            for number, content in zip(pdf["number"], pdf["content"]):
+                # Written aside first, so that a task that is run twice leaves one whole file.
+                aside = f"{place}/_{number}-{uuid.uuid4().hex}"
+                with system.open_output_stream(aside) as out:
+                    out.write(content)
+                system.move(aside, f"{place}/{number}.pcap")
+            yield pdf[["number"]]
+    return run
+
+
+def _scanned(spark, sf):
+    """The capture files written to the shared folder and read back, each in several byte ranges."""
+    folder = scratch(spark, "captures")
+    _captures(spark, sf).mapInPandas(_write_files(folder), "number long").write.format("noop").mode("overwrite").save()
+    return readers.capture_packets(spark, folder, split_bytes=10_000)
+
+
 @query("capture_scan", v.over("packets") + """
 SELECT seq // 500 AS number, seq % 500 AS nth, us, src_ip, dst_ip, src_port, CAST(dst_port AS INTEGER) AS dst_port, proto,
   payload_len, proto = 6 AND syn AS syn, proto = 6 AND rst AS rst, proto = 6 AND fin AS fin, proto = 6 AND ack AS ack
 FROM packets WHERE payload_len % 9 <> 0""")
 def capture_scan(spark, sf):
-    return readers.decode(_captures(spark, sf)).filter("usable").drop("usable", "capture")
+    number = F.regexp_extract("capture", r"(\d+)\.pcap$", 1).cast("long")
+    return _scanned(spark, sf).filter("usable").withColumn("number", number).drop("usable", "capture")
 
 
 @query("capture_counts", v.over("packets") + """
 SELECT count(*) AS packets_read, count(*) FILTER (WHERE payload_len % 9 <> 0) AS admitted,
   count(*) FILTER (WHERE payload_len % 9 = 0) AS ignored FROM packets""")
 def capture_counts(spark, sf):
-    return readers.capture_counts(readers.decode(_captures(spark, sf)))
+    return readers.capture_counts(_scanned(spark, sf))
 
 
 # --- verdicts -----------------------------------------------------------------

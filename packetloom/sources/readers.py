@@ -1,12 +1,12 @@
 """Sources: labelled flows, captures, stored tables."""
-import io
-import struct
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import fixed, schema
+from .captures import capture_counts, capture_files, capture_packets, decode, packet_rows
+
+__all__ = ["labelled_parquet", "labelled_csv", "capture_packets", "capture_files", "capture_counts", "decode", "packet_rows",
+           "packet_stream"]
 
 
 def labelled_parquet(spark: SparkSession, path: str, groups: bool = True) -> DataFrame:
@@ -26,177 +26,6 @@ def _labelled(rows: DataFrame, groups: bool) -> DataFrame:
     return rows.select(*[F.col(f"`{c}`") for c in keep]).withColumnsRenamed(fixed.LABELLED_COLUMNS)
 
 
-# --- captures -----------------------------------------------------------------
-# Fixed values of the capture formats. File magic as stored: byte order and ticks per second.
-MAGIC = {
-    b"\xd4\xc3\xb2\xa1": ("<", 1_000_000), b"\xa1\xb2\xc3\xd4": (">", 1_000_000),
-    b"\x4d\x3c\xb2\xa1": ("<", 1_000_000_000), b"\xa1\xb2\x3c\x4d": (">", 1_000_000_000),
-}
-SECTION = b"\x0a\x0d\x0d\x0a"
-INTERFACE_BLOCK, PACKET_BLOCK, TICKS_OPTION = 1, 6, 9
-# Link types and the bytes before the IP header: Ethernet, raw IP, BSD loopback, Linux cooked.
-LINK_BYTES = {1: 14, 101: 0, 12: 0, 0: 4, 113: 16}
-CAPTURE = ("capture string, number long, nth long, us long, usable boolean, src_ip string, dst_ip string, src_port int, "
-           "dst_port int, proto int, payload_len int, syn boolean, rst boolean, fin boolean, ack boolean")
-BATCH = 50_000
-
-
-def capture_packets(spark: SparkSession, path: str) -> DataFrame:
-    """Packet rows of all capture files (pcap, pcapng) below a path.
-
-    One file is one unit of work: its records form a chain. A task reads its file
-    from the shared file system piece by piece, so a file's size does not matter to
-    its memory. Rows that are not IPv4 TCP or UDP have usable = false and no addresses.
-    """
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
-    # Only the file list passes through this window; contents are read in the tasks.
-    numbered = found.withColumn("number", F.row_number().over(Window.orderBy("path")).cast("long"))
-    tasks = spark.sparkContext.defaultParallelism * 4
-    return numbered.repartition(tasks, "path").mapInPandas(_decode_paths, CAPTURE)
-
-
-def decode(files: DataFrame) -> DataFrame:
-    """Packet rows of capture contents that are already rows: path, number, content."""
-    return files.select("path", "number", "content").mapInPandas(_decode_contents, CAPTURE)
-
-
-def packet_rows(captured: DataFrame) -> DataFrame:
-    """Usable captured packets in the packet shape; seq is unique over all files."""
-    seq = F.col("number") * F.lit(1 << 32) + F.col("nth")
-    return captured.filter("usable").select(
-        seq.alias("seq"), F.timestamp_micros("us").alias("ts"), "src_ip", "dst_ip", "src_port", "dst_port",
-        "proto", "payload_len", "syn", "rst", "fin", "ack", "capture")
-
-
-def capture_counts(captured: DataFrame) -> DataFrame:
-    return captured.agg(F.count("*").alias("packets_read"), F.count_if("usable").alias("admitted"),
-                        F.count_if(~F.col("usable")).alias("ignored"))
-
-
-def _decode_paths(batches):
-    for pdf in batches:
-        for path, number in zip(pdf["path"], pdf["number"]):
-            with _open(path) as stream:
-                yield from _decoded(path, number, stream)
-
-
-def _decode_contents(batches):
-    for pdf in batches:
-        for path, number, content in zip(pdf["path"], pdf["number"], pdf["content"]):
-            yield from _decoded(path, number, io.BytesIO(content))
-
-
-def _open(path: str):
-    from pyarrow import fs
-    uri = path.replace("s3a://", "s3://", 1)
-    if uri.startswith("file:"):
-        return fs.LocalFileSystem().open_input_stream("/" + uri[5:].lstrip("/"), buffer_size=1 << 20)
-    system, place = fs.FileSystem.from_uri(uri)
-    return system.open_input_stream(place, buffer_size=1 << 20)
-
-
-def _decoded(path, number, stream):
-    rows = []
-    for nth, (us, packet) in enumerate(_records(stream)):
-        rows.append((path, number, nth, us, *_headers(packet)))
-        if len(rows) == BATCH:
-            yield _frame(rows)
-            rows = []
-    if rows:
-        yield _frame(rows)
-
-
-def _frame(rows):
-    out = pd.DataFrame(rows, columns=[c.split(" ")[0] for c in CAPTURE.split(", ")])
-    return out.astype({c: "Int32" for c in ("src_port", "dst_port", "proto", "payload_len")})
-
-
-def _records(stream):
-    """(microseconds, IP bytes or None) of each packet record."""
-    magic = stream.read(4)
-    if magic == SECTION:
-        yield from _blocks(stream)
-    elif magic in MAGIC:
-        order, ticks = MAGIC[magic]
-        head = stream.read(20)
-        if len(head) < 20:
-            return
-        link = struct.unpack(order + "I", head[16:])[0] & 0xFFFF
-        while len(entry := stream.read(16)) == 16:
-            sec, sub, size, _ = struct.unpack(order + "IIII", entry)
-            yield sec * 1_000_000 + sub * 1_000_000 // ticks, _network(link, stream.read(size))
-
-
-def _blocks(stream):
-    """Packet records of a pcapng stream whose first four bytes are read."""
-    kind, order, links = SECTION, "<", []
-    while len(kind) == 4:
-        if kind == SECTION:
-            head = stream.read(8)
-            if len(head) < 8:
-                return
-            order, links = ("<" if head[4:] == b"\x4d\x3c\x2b\x1a" else ">"), []
-            stream.read(struct.unpack(order + "I", head[:4])[0] - 12)
-        else:
-            head = stream.read(4)
-            if len(head) < 4:
-                return
-            body = stream.read(struct.unpack(order + "I", head)[0] - 8)
-            number = struct.unpack(order + "I", kind)[0]
-            if number == INTERFACE_BLOCK:
-                links.append((struct.unpack(order + "H", body[:2])[0], _ticks(order, body[8:-4])))
-            elif number == PACKET_BLOCK:
-                face, high, low, size, _ = struct.unpack(order + "IIIII", body[:20])
-                link, ticks = links[face]
-                yield ((high << 32) | low) * 1_000_000 // ticks, _network(link, body[20:20 + size])
-        kind = stream.read(4)
-
-
-def _ticks(order: str, options: bytes) -> int:
-    """Ticks per second of an interface; a microsecond clock unless an option says so."""
-    at = 0
-    while at + 4 <= len(options):
-        code, size = struct.unpack(order + "HH", options[at:at + 4])
-        if code == TICKS_OPTION and size:
-            value = options[at + 4]
-            return 2 ** (value & 127) if value & 128 else 10 ** value
-        at += 4 + size + (-size % 4)
-    return 1_000_000
-
-
-def _network(link: int, data: bytes):
-    """The IP packet inside a link frame; None if the frame holds something else."""
-    skip = LINK_BYTES.get(link)
-    if skip is None:
-        return None
-    if link == 1:
-        tag = 4 if data[12:14] == b"\x81\x00" else 0
-        return data[14 + tag:] if data[12 + tag:14 + tag] == b"\x08\x00" else None
-    return data[skip:]
-
-
-IGNORED = (False, None, None, None, None, None, None, None, None, None, None)
-
-
-def _headers(ip: bytes | None):
-    """usable, 5-tuple, payload length and flags of an IPv4 TCP or UDP packet."""
-    if ip is None or len(ip) < 20 or ip[0] >> 4 != 4 or ip[9] not in (6, 17):
-        return IGNORED
-    header, proto = (ip[0] & 15) * 4, ip[9]
-    if int.from_bytes(ip[6:8], "big") & 0x1FFF:
-        return IGNORED
-    body = ip[header:]
-    if len(body) < (20 if proto == 6 else 8):
-        return IGNORED
-    own = (body[12] >> 4) * 4 if proto == 6 else 8
-    flags = body[13] if proto == 6 else 0
-    src, dst = (".".join(str(b) for b in ip[a:a + 4]) for a in (12, 16))
-    ports = struct.unpack(">HH", body[:4])
-    bits = [bool(flags & mask) for mask in (0x02, 0x04, 0x01, 0x10)]
-    length = int.from_bytes(ip[2:4], "big")
-    return (True, src, dst, *ports, proto, max(0, length - header - own), *bits)
-
-
 # --- packet streams -----------------------------------------------------------
 def packet_stream(spark: SparkSession, path: str, files_per_trigger: int = 64) -> DataFrame:
     """Packets that arrive as Parquet files in a folder."""
