@@ -4,9 +4,13 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions import numeric, text
+from ..session import cut
 from .joins import bounded
 
 BUCKET_BITS = 12
+# Rows of a bucket that may be ranked in one task, and rows of one shape that are joined apart.
+BUCKET_ROWS = 100_000
+HEAVY_SHAPE = 1_000_000
 
 
 # --- columns ------------------------------------------------------------------
@@ -70,29 +74,41 @@ def order_hash(row_id: Column, seed: int) -> Column:
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
 
-def cutoffs(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+def in_order(rows: DataFrame, group: Column, row_id: str, seed: int) -> DataFrame:
+    """(g, h, id) of rows, written: group, place in the hash order, id."""
+    return cut(rows.select(group.alias("g"), order_hash(F.col(row_id), seed).alias("h"), F.col(row_id).alias("id")))
+
+
+def cutoffs(rows: DataFrame, wanted: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """The k-th smallest (h, id) of each group, for (g, mark, k) in `wanted`.
 
-    rows: g, h, id. A histogram of the leading hash bits finds the bucket of each
-    k-th row, then only the rows of those buckets are ranked. The rows themselves are
-    not shuffled, however large a group is. k = 0 gives no row.
+    rows: g, h, id, a written table. A histogram of the leading hash bits finds the
+    bucket of each k-th row; buckets are split again, by the next bits, until they hold
+    about `bucket_rows` rows, and only the rows of the last ones are ranked. The rows
+    themselves are not shuffled, however large a group is. k = 0 gives no row.
     """
-    bucket = F.shiftright("h", 60 - BUCKET_BITS).alias("b")
-    hist = rows.groupBy("g", bucket).agg(F.count("*").alias("n"))
-    upto = Window.partitionBy("g").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
-    hist = hist.withColumn("hi", F.sum("n").over(upto)).withColumn("lo", F.col("hi") - F.col("n"))
-    hit = hist.join(wanted, "g").filter((F.col("lo") < F.col("k")) & (F.col("k") <= F.col("hi")))
-    hit = bounded(hit.select("g", "b", "mark", (F.col("k") - F.col("lo")).alias("nth")))
-    inside = rows.withColumn("b", F.shiftright("h", 60 - BUCKET_BITS)).join(hit, ["g", "b"])
+    count, shift = rows.count(), 60
+    hit = wanted.select("g", F.lit(0).cast("long").alias("b"), "mark", F.col("k").cast("long").alias("k"))
+    while shift == 60 or (shift > 0 and count >> (60 - shift) > bucket_rows):
+        inside = rows.withColumn("b", F.shiftright("h", shift))
+        if shift < 60:
+            inside = inside.join(hit.select("g", "b").distinct(), ["g", "b"], "left_semi")
+        shift -= BUCKET_BITS
+        hist = inside.groupBy("g", "b", F.shiftright("h", shift).alias("c")).agg(F.count("*").alias("n"))
+        upto = Window.partitionBy("g", "b").orderBy("c").rowsBetween(Window.unboundedPreceding, 0)
+        hist = hist.withColumn("hi", F.sum("n").over(upto)).withColumn("lo", F.col("hi") - F.col("n"))
+        hit = hist.join(hit, ["g", "b"]).filter((F.col("lo") < F.col("k")) & (F.col("k") <= F.col("hi")))
+        hit = bounded(hit.select("g", F.col("c").alias("b"), "mark", (F.col("k") - F.col("lo")).alias("k")))
+    inside = rows.withColumn("b", F.shiftright("h", shift)).join(hit, ["g", "b"])
     place = F.row_number().over(Window.partitionBy("g", "b", "mark").orderBy("h", "id"))
-    return inside.withColumn("place", place).filter(F.col("place") == F.col("nth")).select(
+    return inside.withColumn("place", place).filter(F.col("place") == F.col("k")).select(
         "g", "mark", F.struct("h", "id").alias("cut"))
 
 
 def stratified_split(rows: DataFrame, stratum: str, row_id: str = "row_id", seed: int = 42) -> DataFrame:
     """Add `part`: 20% test, 20% val, 60% train within each stratum, by hash order."""
     h = order_hash(F.col(row_id), seed)
-    slim = rows.select(F.col(stratum).alias("g"), h.alias("h"), F.col(row_id).alias("id"))
+    slim = in_order(rows, F.col(stratum), row_id, seed)
     sizes = slim.groupBy("g").agg(F.count("*").alias("n"))
     test = F.ceil(F.col("n") * 0.2)
     val = F.ceil((F.col("n") - test) * 0.25)
@@ -112,11 +128,11 @@ def group_split(rows: DataFrame, group: str = fixed.GROUP_COLUMN, held_out: floa
     One cut-off row decides, so rows of a hot group need no join on that group.
     """
     h = order_hash(F.col(group), seed)
-    slim = rows.select(F.lit(0).alias("g"), h.alias("h"), F.col(group).alias("id")).distinct()
+    slim = in_order(rows.select(group).distinct(), F.lit(0), group, seed)
     wanted = slim.groupBy("g").agg(F.ceil(F.count("*") * held_out).alias("k")).withColumn("mark", F.lit("test"))
-    cut = cutoffs(slim, wanted).select("cut")
+    last = cutoffs(slim, wanted).select("cut")
     me = F.struct(h.alias("h"), F.col(group).alias("id"))
-    return rows.crossJoin(F.broadcast(cut)).withColumn(
+    return rows.crossJoin(F.broadcast(last)).withColumn(
         "part", F.when(me <= F.col("cut"), "test").otherwise("train")).drop("cut")
 
 
@@ -140,26 +156,37 @@ def class_sample(rows: DataFrame, label: str = fixed.LABEL_COLUMN, per_attack: i
 
 
 # --- balance, duplicates, weights ---------------------------------------------
-def multiplicity(rows: DataFrame) -> DataFrame:
-    """Add mult: how often a benign row's exact vector occurs among all benign rows; attacks 1."""
-    shapes = rows.filter("y = 0").groupBy(*fixed.FEATURES).agg(F.count("*").cast("double").alias("_m"))
-    shapes = shapes.withColumn("_benign", F.lit(0))
-    on = [rows[c] == shapes[c] for c in fixed.FEATURES] + [rows["y"] == shapes["_benign"]]
-    out = rows.join(shapes, on, "left").select(rows["*"], shapes["_m"])
-    return out.withColumn("mult", F.coalesce("_m", F.lit(1.0))).drop("_m")
+def multiplicity(rows: DataFrame, heavy_rows: int = HEAVY_SHAPE) -> DataFrame:
+    """Add mult: how often a benign row's exact vector occurs among all benign rows; attacks 1.
+
+    Shapes of more than `heavy_rows` rows are at most rows / heavy_rows. They are sent to all tasks, so that no task
+    gets the rows of a hot shape; the other rows are joined by shape.
+    """
+    shapes = cut(rows.filter("y = 0").groupBy(*fixed.FEATURES).agg(F.count("*").cast("double").alias("_m")))
+    heavy = shapes.filter(F.col("_m") > heavy_rows)
+    on = [F.col(f"r.{c}") == F.col(f"s.{c}") for c in fixed.FEATURES]
+    if not heavy.isEmpty():
+        rows = rows.alias("r").join(bounded(heavy).alias("s"), [*on, F.col("r.y") == 0], "left").select("r.*", F.col("s._m").alias("_hot"))
+    else:
+        rows = rows.withColumn("_hot", F.lit(None).cast("double"))
+    benign, light = F.col("y") == 0, shapes.filter(F.col("_m") <= heavy_rows)
+    some = rows.filter(benign & F.col("_hot").isNull()).alias("r").join(light.alias("s"), on, "left").select(
+        "r.*", F.coalesce("s._m", F.lit(1.0)).alias("mult"))
+    rest = rows.filter(~benign | benign.isNull() | F.col("_hot").isNotNull()).withColumn("mult", F.coalesce("_hot", F.lit(1.0)))
+    return some.unionByName(rest).drop("_hot")
 
 
 def balanced(rows: DataFrame, ratio: float = 2.0, row_id: str = "row_id", seed: int = 42) -> DataFrame:
     """All attacks and at most `ratio` times as many benign rows, the first in hash order."""
     h = order_hash(F.col(row_id), seed)
     benign = rows.filter("y = 0")
-    slim = benign.select(F.lit(0).alias("g"), h.alias("h"), F.col(row_id).alias("id"))
+    slim = in_order(benign, F.lit(0), row_id, seed)
     sizes = rows.agg(F.count_if(F.col("y") == 0).alias("b"), F.count_if(F.col("y") == 1).alias("a"))
     wanted = sizes.select(F.lit(0).alias("g"), F.least(F.col("b"), F.floor(F.col("a") * ratio)).alias("k"),
                           F.lit("keep").alias("mark"))
-    cut = cutoffs(slim, wanted).select("cut")
+    last = cutoffs(slim, wanted).select("cut")
     me = F.struct(h.alias("h"), F.col(row_id).alias("id"))
-    kept = benign.crossJoin(F.broadcast(cut)).filter(me <= F.col("cut")).drop("cut")
+    kept = benign.crossJoin(F.broadcast(last)).filter(me <= F.col("cut")).drop("cut")
     return rows.filter("y = 1").unionByName(kept)
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from .. import fixed
 from ..functions import numeric, text
 from ..session import cut
+from .joins import bounded
 
 CONTEXT_FIELDS = [
     "id", "cnn_verdict", "cnn_confidence", "attack_family", "technique_id", "technique_name",
@@ -35,7 +36,12 @@ def postings(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
 
     With `terms` (a small table of words) only their postings, pruned before the shuffle.
     """
-    rows = tokenized(docs).select("doc_id", "length", F.explode("tokens").alias("term"))
+    return counted(tokenized(docs), terms)
+
+
+def counted(words: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """The postings of texts that are taken apart already."""
+    rows = words.select("doc_id", "length", F.explode("tokens").alias("term"))
     if terms is not None:
         rows = rows.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi")
     return rows.groupBy("doc_id", "length", "term").agg(F.count("*").alias("tf")).select("doc_id", "term", "tf", "length")
@@ -66,24 +72,62 @@ def search(index: DataFrame, doc_table: DataFrame, queries: DataFrame, k: int =
            broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
     """Top k documents per query: query_id, doc_id, score (4 digits), rank.
 
-    Only postings of query terms take part. Their side is broadcast when it is
-    counted small; otherwise terms are salted, so a word that stands in a third of
-    all documents is spread over tasks. Sums are whole numbers of 1e-12, so equal
-    documents tie exactly however the rows are split, and ties go to the smaller id.
+    Only postings of query terms take part, and of those only what can matter. The k-th
+    best score of a query by its strongest word alone is one that its k-th hit reaches.
+    Words that cannot reach it together, by the largest weight each of them has, bring
+    no hit of their own: their postings are looked up for documents that other words
+    have found. The result is that of scoring all postings.
+
+    The side of the words is broadcast when it is counted small; otherwise terms are
+    salted, so a word that stands in a third of all documents is spread over tasks.
+    Sums are whole numbers of 1e-12, so equal documents tie exactly however the rows
+    are split, and ties go to the smaller id.
+    """
+    weighted, strong, weak = plan(index, doc_table, queries, k, broadcast_terms)
+    part = F.floor(F.col("w") * F.col("repeats") * UNITS)
+    found = _join_terms(weighted, strong, broadcast_terms).groupBy("query_id", "doc_id").agg(
+        F.sum(part).alias("s"), F.first("goal").alias("goal"), F.first("weak").alias("weak"))
+    found = cut(found.filter(F.col("s") + F.col("weak") >= F.col("goal")))
+    words = bounded(weak.select("query_id", "term", "repeats"), broadcast_terms)
+    asked = found.filter("weak > 0").select("query_id", "doc_id").join(words, "query_id")
+    added = asked.join(weighted.join(words.select("term").distinct(), "term", "left_semi"), ["doc_id", "term"]).groupBy(
+        "query_id", "doc_id").agg(F.sum(part).alias("more"))
+    summed = found.join(added, ["query_id", "doc_id"], "left").withColumn(
+        "s", F.col("s") + F.coalesce("more", F.lit(0))).filter("s > 0")
+    best = Window.partitionBy("query_id").orderBy(F.col("s").desc(), "doc_id")
+    return summed.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select(
+        "query_id", "doc_id", F.bround(F.col("s") / UNITS, 4).alias("score"), "rank")
+
+
+def plan(index: DataFrame, doc_table: DataFrame, queries: DataFrame, k: int = fixed.TOP_K,
+         broadcast_terms: int = BROADCAST_TERMS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Postings with their weight w, and the strong and the weak words of each query.
+
+    Words: query_id, term, repeats, goal (a score that the k-th hit reaches), weak (the most that the weak words give).
     """
     terms = query_terms(queries)
     matched, all_terms = _of_queries(index, terms, broadcast_terms)
     df = document_frequency(matched.select("doc_id", "term")) if all_terms is None else all_terms
     weights = df.crossJoin(F.broadcast(corpus_stats(doc_table))).select(
         "term", "mean_length", numeric.bm25_idf(F.col("docs"), F.col("df")).alias("idf"))
-    side = terms.join(weights, "term")
-    part = F.floor(F.col("idf") * numeric.bm25_weight(F.col("tf"), F.col("length"), F.col("mean_length"))
-                   * F.col("repeats") * UNITS)
-    scored = _join_terms(matched, side, broadcast_terms).select("query_id", "doc_id", part.alias("part"))
-    summed = scored.groupBy("query_id", "doc_id").agg(F.sum("part").alias("s")).filter("s > 0")
-    best = Window.partitionBy("query_id").orderBy(F.col("s").desc(), "doc_id")
-    return summed.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select(
-        "query_id", "doc_id", F.bround(F.col("s") / UNITS, 4).alias("score"), "rank")
+    weight = F.col("idf") * numeric.bm25_weight(F.col("tf"), F.col("length"), F.col("mean_length"))
+    weighted = cut(_join_terms(matched, bounded(weights, broadcast_terms), broadcast_terms).select("doc_id", "term", weight.alias("w")))
+    tops = weighted.groupBy("term").agg(F.max("w").alias("top"))
+    bound = F.floor(F.col("top") * F.col("repeats") * UNITS)
+    falling = Window.partitionBy("query_id").orderBy(F.col("bound").desc(), "term")
+    words = cut(terms.join(tops, "term").withColumn("bound", bound).withColumns({
+        "nth": F.row_number().over(falling),
+        "rest": F.sum("bound").over(falling.rowsBetween(Window.currentRow, Window.unboundedFollowing))}))
+    lead = words.filter("nth = 1").select("query_id", "term", "repeats")
+    alone = F.floor(F.col("w") * F.col("repeats") * UNITS)
+    first = _join_terms(weighted, lead, broadcast_terms).select("query_id", "doc_id", alone.alias("s"))
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("s").desc(), "doc_id"))
+    goals = first.withColumn("nth", nth).filter(F.col("nth") == k).select("query_id", F.col("s").alias("goal"))
+    words = words.join(bounded(goals), "query_id", "left").withColumn("goal", F.coalesce("goal", F.lit(0)))
+    strong = F.col("rest") >= F.col("goal")
+    weak = F.max(F.when(~strong, F.col("rest"))).over(Window.partitionBy("query_id"))
+    words = cut(words.withColumns({"strong": strong, "weak": F.coalesce(weak, F.lit(0))}).drop("top", "bound", "nth", "rest"))
+    return weighted, words.filter("strong").drop("strong"), words.filter("not strong").drop("strong")
 
 
 def _small(terms: DataFrame, bound: int) -> bool:
@@ -109,11 +153,12 @@ def search_text(docs: DataFrame, queries: DataFrame, k: int = fixed.TOP_K,
                 broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
     """Search without a stored index: the index is derived, pruned to the query terms.
 
-    It is written once, since document frequencies and scores both read it.
+    The texts are read and taken apart once; words and index are written, since frequencies and scores both read them.
     """
     terms = query_terms(queries)
     few = terms if _small(terms, broadcast_terms) else None
-    return search(cut(postings(docs, few)), document_table(docs), queries, k, broadcast_terms)
+    words = cut(tokenized(docs))
+    return search(cut(counted(words, few)), words.select("doc_id", "length"), queries, k, broadcast_terms)
 
 
 def delta(detections: DataFrame, indexed: DataFrame) -> tuple[DataFrame, bool]:

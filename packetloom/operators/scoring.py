@@ -80,7 +80,12 @@ def classify(flows: DataFrame, gate: Scorer, attributor: Scorer | None, classes:
         blank = F.lit(None).cast("array<double>")
         return attribute(judged.withColumn("family_probs", blank), classes,
                          threshold=family_threshold)
-    judged = cut(judged)
+    return attributed(cut(judged), attributor, classes, family_threshold)
+
+
+def attributed(judged: DataFrame, attributor: Scorer, classes: list[str],
+               family_threshold: float = fixed.ATTRIBUTION_THRESHOLD) -> DataFrame:
+    """Judged rows with their families. Only flagged rows are shown to the attributor, so `judged` is read twice."""
     flagged = attributor(judged.filter("cnn_verdict = 'suspicious'"))
     rest = judged.filter("cnn_verdict <> 'suspicious'").withColumn(
         "family_probs", F.lit(None).cast("array<double>"))

@@ -8,6 +8,8 @@ from ..functions import net, text
 from ..operators import chain, enrich, flows, scoring
 from ..session import scratch
 from ..sources import readers, sinks
+from ..streaming import counters
+from ..streaming import flows as flow_stream
 from . import view_sql as v
 from . import views
 from .catalog import query, stamped
@@ -402,16 +404,44 @@ def annotation_upsert(spark, sf):
     return stamped(sinks.annotate(old, notes, "triage").drop("timestamp"), "triage_at")
 
 
+def _watched(spark, sf, packets):
+    """Late rows, rows written and open flows of a stream over the packets; at its end those of the first third come again."""
+    source, sink, state, table = (scratch(spark, f"counters-{x}") for x in ("in", "out", "state", "table"))
+    lo, hi = packets.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    us, third = F.unix_micros("ts"), (hi - lo) // 3
+    first = packets.filter(us < lo + third)
+    progress = counters.Progress(spark, table)
+    spark.streams.addListener(progress)
+    try:
+        for load in (first, packets.filter(us >= lo + third), first):
+            load.write.mode("append").parquet(source)
+            run = flow_stream.advance(readers.packet_stream(spark, source), sink, state, views.IDLE_S, views.ACTIVE_S, "1 day")
+            progress.settle(run)
+    finally:
+        spark.streams.removeListener(progress)
+    held = flow_stream.still_open(spark, state).agg(F.count("*").alias("open_flows"))
+    return counters.totals(spark, table, str(run.id)).crossJoin(F.broadcast(held))
+
+
+# The stream's clock ends a day before the last packet; flows whose limits lie behind that are open.
+STREAM_END = f"(SELECT max(us) FROM packets) // 1000 - {DAY // 1000}"
+OPEN_SQL = f"""SELECT count(*) FROM (SELECT start_seq, bool_or(shut) AS shut, min(first_us) AS f, max(last_us) AS l FROM walk GROUP BY 1)
+  WHERE NOT shut AND -((-least(l + {v.IDLE_US}, f + {v.ACTIVE_US})) // 1000) >= {STREAM_END}"""
+
+
 @query("job_counters", v.over("packets", "flows", extra=fires_sql(
-    f"SELECT src_ip AS k, us, seq FROM packets WHERE {v.enrichable('src_ip')}", 900_000_000)) + """
+    f"SELECT src_ip AS k, us, seq FROM packets WHERE {v.enrichable('src_ip')}", 900_000_000)) + f"""
 SELECT (SELECT count(*) FROM packets) AS packets_read, (SELECT count(*) FROM packets WHERE proto IN (6, 17)) AS admitted,
   (SELECT count(*) FROM packets WHERE proto NOT IN (6, 17)) AS ignored, (SELECT count(*) FROM flows) AS flows_built,
-  (SELECT count(*) FILTER (WHERE fire) FROM hop) AS lookup_misses, (SELECT count(*) FILTER (WHERE NOT fire) FROM hop) AS lookup_hits""")
+  (SELECT count(*) FILTER (WHERE fire) FROM hop) AS lookup_misses, (SELECT count(*) FILTER (WHERE NOT fire) FROM hop) AS lookup_hits,
+  (SELECT count(*) FROM packets WHERE us < (SELECT min(us) + (max(us) - min(us)) // 3 FROM packets)) AS late_rows,
+  (SELECT count(*) FROM flows) - ({OPEN_SQL}) AS rows_written, ({OPEN_SQL}) AS open_flows""")
 def job_counters(spark, sf):
     p = views.packets(spark, sf)
     lookups = enrich.lookup_demand(p, 900, "src_ip").agg(F.sum("misses").alias("lookup_misses"), F.sum("hits").alias("lookup_hits"))
     built = views.flow_rows(spark, sf).agg(F.count("*").alias("flows_built"))
-    return flows.admission_counts(p).crossJoin(F.broadcast(built)).crossJoin(F.broadcast(lookups))
+    return flows.admission_counts(p).crossJoin(F.broadcast(built)).crossJoin(F.broadcast(lookups)).crossJoin(
+        F.broadcast(_watched(spark, sf, p)))
 
 
 # --- texts --------------------------------------------------------------------

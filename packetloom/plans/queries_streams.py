@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import alerts, reads
-from ..session import scratch
+from ..session import cut, scratch
 from ..sources import readers
 from ..streaming import detect
 from ..streaming import flows as flow_stream
@@ -45,12 +45,19 @@ def stream_flows(spark, sf):
     return _timed(_replayed(spark, sf))
 
 
-def _run_in_parts(spark, rows, operator, name):
-    """Rows arrive in loads by time; the stream is run after each load."""
-    source, sink, state = (scratch(spark, f"{name}-{x}") for x in ("in", "out", "state"))
+def _arriving(spark, rows, name):
+    """The stream of some rows, once for each load by time that has arrived."""
+    rows, source = cut(rows), scratch(spark, f"{name}-in")
     for load in _loads(rows):
         load.write.mode("append").parquet(source)
-        stream = operator(spark.readStream.schema(rows.schema).parquet(source))
+        yield spark.readStream.schema(rows.schema).parquet(source)
+
+
+def _run_in_parts(spark, rows, operator, name):
+    """Rows arrive in loads by time; the stream is run after each load."""
+    sink, state = (scratch(spark, f"{name}-{x}") for x in ("out", "state"))
+    for arrived in _arriving(spark, rows, name):
+        stream = operator(arrived)
         detect.append_batches(stream, sink, state).awaitTermination()
     return spark.read.schema(stream.schema).parquet(sink)
 
@@ -72,19 +79,22 @@ def _completed(spark, sf):
     return views.flow_rows(spark, sf).withColumn("ts", F.col("last_ts"))
 
 
-def _classify(spark, sf):
+def _stage(spark, sf):
     dims = views.geo(spark, sf), views.scored(spark, sf), views.counted(spark, sf)
-    return lambda stream: detect.classified(stream, views.formula_gate, views.formula_families, views.FAMILIES, *dims)
+    return detect.two_stage(views.formula_gate, views.formula_families, views.FAMILIES, *dims)
 
 
 @query("stream_detections", v.over("detections") + """SELECT id, cnn_verdict, cnn_confidence, country, coalesce(technique_id, 'none') AS technique, rep_source
 FROM detections""")
 def stream_detections(spark, sf):
-    """Completed flows arrive in loads and are classified and enriched on the way."""
-    run = _classify(spark, sf)
-    return _run_in_parts(spark, _completed(spark, sf), lambda stream: run(stream).select(
+    """Completed flows arrive in loads and are classified and enriched on the way, gate first."""
+    sink, state = (scratch(spark, f"detections-{x}") for x in ("out", "state"))
+    made = lambda rows: rows.select(
         F.col("flow_id").alias("id"), "cnn_verdict", "cnn_confidence", "country",
-        F.coalesce("technique_id", F.lit("none")).alias("technique"), F.col("rep.source").alias("rep_source")), "detections")
+        F.coalesce("technique_id", F.lit("none")).alias("technique"), F.col("rep.source").alias("rep_source"))
+    for arrived in _arriving(spark, _completed(spark, sf), "detections"):
+        detect.run_to_sinks(arrived, state, {"detections": (sink, made)}, stage=_stage(spark, sf)).awaitTermination()
+    return spark.read.parquet(sink).drop("batch")
 
 
 @query("stream_batched_sinks", v.over("detections") + """SELECT 'detections' AS target, count(*) AS written FROM detections
@@ -95,11 +105,11 @@ def stream_batched_sinks(spark, sf):
     built, source = _completed(spark, sf), scratch(spark, "batched-in")
     built.write.parquet(source)
     arriving = spark.readStream.schema(built.schema).option("maxFilesPerTrigger", 2).parquet(source)
-    stream = _classify(spark, sf)(arriving).withColumn("summary", text.flow_summary())
-    detect.run_to_sinks(stream, scratch(spark, "batched-state"), {
-        "detections": (paths["detections"], lambda b: b.select("flow_id", "cnn_verdict", "cnn_confidence", "summary")),
+    summary = text.flow_summary().alias("summary")
+    detect.run_to_sinks(arriving, scratch(spark, "batched-state"), {
+        "detections": (paths["detections"], lambda b: b.select("flow_id", "cnn_verdict", "cnn_confidence", summary)),
         "logs": (paths["logs"], lambda b: b.filter(reads.suspicious()).select(F.col("flow_id").alias("id"), text.verdict_log().alias("log"))),
-    }).awaitTermination()
+    }, stage=_stage(spark, sf)).awaitTermination()
     out = None
     for name, path in paths.items():
         part = spark.read.parquet(path).agg(F.count("*").alias("written")).select(F.lit(name).alias("target"), "written")
@@ -127,13 +137,14 @@ def stream_first_sightings(spark, sf):
 @query("stream_packet_rate", v.over("packets") + """, w AS (
   SELECT (us // 21600000000 + i) * 21600000000 AS at_us FROM packets, (SELECT unnest([1, 2, 3, 4]) AS i))
 SELECT strftime(make_timestamp(at_us), '%Y-%m-%d %H:%M:%S') AS at, count(*) AS packets, round(count(*) / 86400, 9) AS rate
-FROM w WHERE at_us <= (SELECT max(us) FROM packets) GROUP BY at_us""")
+FROM w GROUP BY at_us""")
 def stream_packet_rate(spark, sf):
-    """Packets per second over a day, every six hours; windows that ended before the last packet."""
-    packets = views.packets(spark, sf)
-    rows = _run(spark, detect.packet_rate(_event_stream(spark, sf), 86_400, 21_600, "0 seconds"), "rate")
-    last = packets.agg(F.max("ts").alias("last"))
-    return rows.crossJoin(F.broadcast(last)).filter(F.col("at") <= F.col("last")).select(
+    """Packets per second over a day, every six hours, over several loads; the last windows are flushed."""
+    span, step = 86_400, 21_600
+    sink, state = (scratch(spark, f"rate-{x}") for x in ("out", "state"))
+    for arrived in _arriving(spark, views.packets(spark, sf), "rate"):
+        detect.append_batches(detect.packet_rate(arrived, span, step, "0 seconds"), sink, state).awaitTermination()
+    return detect.rate_flushed(spark, sink, state, span, step).select(
         F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("at"), "packets", F.round("rate", 9).alias("rate"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from .. import fixed
 from ..functions import net
 from ..operators import flows
+from .counters import counted
 
 # The state of an open flow; also the shape of an emitted one.
 STATE = ("flow_id long, lo_first boolean, first_us long, last_us long, fp long, bp long, fb long, bb long, "
@@ -166,7 +167,7 @@ def still_open(spark: SparkSession, checkpoint: str) -> DataFrame:
 
 
 def _writer(stream: DataFrame, sink: str, checkpoint: str):
-    return stream.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).outputMode("append")
+    return counted(stream).writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).outputMode("append")
 
 
 def advance(packets: DataFrame, sink: str, checkpoint: str, idle_s: float = fixed.IDLE_S,
