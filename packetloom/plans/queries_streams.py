@@ -105,10 +105,10 @@ def stream_batched_sinks(spark, sf):
     built, source = _completed(spark, sf), scratch(spark, "batched-in")
     built.write.parquet(source)
     arriving = spark.readStream.schema(built.schema).option("maxFilesPerTrigger", 2).parquet(source)
-    summary = text.flow_summary().alias("summary")
+    told = lambda b: b.withColumn("summary", text.flow_summary())
     detect.run_to_sinks(arriving, scratch(spark, "batched-state"), {
-        "detections": (paths["detections"], lambda b: b.select("flow_id", "cnn_verdict", "cnn_confidence", summary)),
-        "logs": (paths["logs"], lambda b: b.filter(reads.suspicious()).select(F.col("flow_id").alias("id"), text.verdict_log().alias("log"))),
+        "detections": (paths["detections"], lambda b: told(b).select("flow_id", "cnn_verdict", "cnn_confidence", "summary")),
+        "logs": (paths["logs"], lambda b: told(b).filter(reads.suspicious()).select(F.col("flow_id").alias("id"), text.verdict_log().alias("log"))),
     }, stage=_stage(spark, sf)).awaitTermination()
     out = None
     for name, path in paths.items():

@@ -19,7 +19,8 @@ def held(rows: DataFrame):
         kept.unpersist()
 
 
-def two_stage(gate, attributor, classes: list[str], geo: DataFrame, scored: DataFrame | None, counted: DataFrame | None):
+def two_stage(gate, attributor, classes: list[str], geo: DataFrame, scored: DataFrame | None, counted: DataFrame | None,
+              threshold: float = fixed.VERDICT_THRESHOLD, family_threshold: float = fixed.ATTRIBUTION_THRESHOLD):
     """A stage of `to_sinks`: flows with verdict, family, place and reputation, as the batch operators give them.
 
     The gate runs on every row of a micro-batch and the family model on the flagged ones only. The dimensions are static
@@ -28,8 +29,8 @@ def two_stage(gate, attributor, classes: list[str], geo: DataFrame, scored: Data
     """
     @contextmanager
     def run(batch: DataFrame):
-        with held(scoring.judge(gate(batch))) as judged:
-            yield enrich.enriched(scoring.attributed(judged, attributor, classes), geo, scored, counted)
+        with held(scoring.judge(gate(batch), threshold=threshold)) as judged:
+            yield enrich.enriched(scoring.attributed(judged, attributor, classes, family_threshold), geo, scored, counted)
     return run
 
 
@@ -78,10 +79,10 @@ class FirstSight(StatefulProcessor):
 class Throttle(StatefulProcessor):
     """Per (source, technique): passes a row at least `gap_us` after the last passed one.
 
-    The state of a key ends `keep_ms` after its last alert: a key quiet for longer than the gap needs none.
+    With `keep_ms` the state of a key ends that long after its last alert: a key quiet for longer than the gap needs none.
     """
 
-    def __init__(self, gap_us: int, keep_ms: int):
+    def __init__(self, gap_us: int, keep_ms: int | None = None):
         self.gap, self.keep = gap_us, keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -115,17 +116,20 @@ def first_sights(rows: DataFrame) -> DataFrame:
     return known.groupBy("technique").transformWithStateInPandas(FirstSight(), DUE_DDL, outputMode="Append", timeMode="None")
 
 
-def throttled_alerts(rows: DataFrame, throttle_s: float = fixed.ALERT_THROTTLE_S, late_s: float = 3600) -> DataFrame:
+def throttled_alerts(rows: DataFrame, throttle_s: float = fixed.ALERT_THROTTLE_S, live: bool = False,
+                     late_s: float = 3600) -> DataFrame:
     """Alerts of a stream in the alert input shape, as the batch operator gives them, in the columns of DUE.
 
     First sights and corroborated rows go through one throttle, so that an alert of either kind holds back the next one
-    of its source and technique. A row of both kinds comes twice, at one instant, and passes once. A key is forgotten
-    throttle_s + late_s of wall-clock time after its last alert, so rows may arrive up to late_s late.
+    of its source and technique. A row of both kinds comes twice, at one instant, and passes once. A live stream forgets
+    a key throttle_s + late_s of wall-clock time after its last alert, so rows may arrive up to late_s late. Wall-clock
+    state keeps a stream busy, so a run over what is there (availableNow) would never end; it takes live = False.
     """
     due = rows.filter((F.col("verdict") == "suspicious") & alerts.corroborated()).withColumn("trigger", F.lit("corroborated")).select(*DUE)
     due = due.unionByName(first_sights(rows)).withColumns({"source": F.col("src_ip"), "technique": F.col("technique_id")})
     return due.groupBy("source", "technique").transformWithStateInPandas(
-        Throttle(int(throttle_s * 1e6), int((throttle_s + late_s) * 1e3)), DUE_DDL, outputMode="Append", timeMode="ProcessingTime")
+        Throttle(int(throttle_s * 1e6), int((throttle_s + late_s) * 1e3) if live else None), DUE_DDL, outputMode="Append",
+        timeMode="ProcessingTime" if live else "None")
 
 
 # --- rates --------------------------------------------------------------------
@@ -146,7 +150,8 @@ def rate_flushed(spark: SparkSession, sink: str, checkpoint: str, window_s: int
     """All windows of a rate stream that has ended: those it wrote and those it held back, read from its state."""
     state = lambda nth: spark.read.format("statestore").option("path", checkpoint).option("operatorId", nth).load().select(
         F.col("key.*"), F.col("value.*"))
-    steps, windows = state(0).toDF("step", "n"), state(1).toDF("w", "packets")
+    # Operators are numbered from the sink up: the sliding sum, then the counts of steps.
+    windows, steps = state(0).toDF("w", "packets"), state(1).toDF("step", "n")
     rest = _slid(steps, F.col("step.start"), window_s, step_s).unionByName(windows)
     rest = _rates(rest.groupBy("w").agg(F.sum("packets").alias("packets")), window_s)
     return spark.read.schema(rest.schema).parquet(sink).unionByName(rest)
