@@ -65,6 +65,17 @@ def carry(rows: DataFrame, values: dict[str, tuple[Column, bool]], backward: boo
             .drop(*tmp.values(), *[f"_e_{n}" for n in values]))
 
 
+def running_max(rows: DataFrame, name: str, value: Column, own: bool = True,
+                order: tuple[str, ...] = POSITION) -> DataFrame:
+    """Add the largest value up to each row of its key (or before it). Needs the columns key and slice, as `carry`."""
+    here = Window.partitionBy("key", "slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if own else -1)
+    across = Window.partitionBy("key").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_m", value)
+    edges = rows.groupBy("key", "slice").agg(F.max("_m").alias("_m")).select("key", "slice", F.max("_m").over(across).alias("_e"))
+    out = rows.withColumn("_m", F.max("_m").over(here)).join(edges, ["key", "slice"], "left")
+    return out.withColumn(name, F.greatest("_m", "_e")).drop("_m", "_e")
+
+
 def reachable(heads: DataFrame, jumps: DataFrame) -> DataFrame:
     """Nodes (key, seq) met by following jumps (key, seq, nxt) from the heads."""
     found, jumps = cut(heads), cut(jumps)
@@ -105,6 +116,9 @@ def segments(rows: DataFrame, idle_us: int, active_us: int, slice_us: int | None
                                  F.greatest("end_a", "end_b")["succ"]))
     timed = _first_at(rows, active_us, width)
     rows = rows.join(timed, ["key", "seq"], "left")
+    if teardown:
+        # A tracker's clock may be past the limit of a late packet already: the next row starts anew.
+        rows = rows.withColumn("to_active", F.when(F.col("to_active") <= at, F.col("succ")).otherwise(F.col("to_active")))
     candidates += [F.col("to_active"), F.col("to_hard")]
     rows = rows.withColumn("to_any", F.least(*candidates))
     rows = cut(rows.drop("succ", "end_a", "end_b", "to_active"))

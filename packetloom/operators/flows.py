@@ -13,6 +13,8 @@ FLOW_COLUMNS = [
     "syn_count", "rst_count", "fin_count", "ack_count",
 ]
 
+SLICE_ROWS = 65_536
+
 
 def admit(packets: DataFrame) -> DataFrame:
     """IPv4 TCP and UDP packets only."""
@@ -26,13 +28,21 @@ def admission_counts(packets: DataFrame) -> DataFrame:
                        F.count_if(~net.admitted()).alias("ignored"))
 
 
-def keyed(packets: DataFrame, mode: str = "per_flow", tracker: str | None = None) -> DataFrame:
+def _by_number() -> Column:
+    """Slices of at most SLICE_ROWS packets of any key, in the order of arrival."""
+    return F.floor(F.col("seq") / F.lit(SLICE_ROWS)).cast("long")
+
+
+def keyed(packets: DataFrame, mode: str = "per_flow", tracker: str | None = None, order: str = "time") -> DataFrame:
     """Packets with key, us, clock, from_lo and the close marks.
 
     mode 'per_flow': each flow's own packets drive its clock. mode 'tracker': the
     packet before on the same tracker does, as when one tracker sees a whole capture;
-    `tracker` names the column that holds the capture.
+    `tracker` names the column that holds the capture. order 'arrival': a tracker's clock
+    is the latest time among all packets that arrived (by seq) before.
     """
+    if order not in ("time", "arrival"):
+        raise ValueError(f"unknown order {order!r}")
     us = numeric.micros(F.col("ts"))
     key = net.flow_key()
     rows = packets.withColumns({"us": us, "key": key})
@@ -45,8 +55,11 @@ def keyed(packets: DataFrame, mode: str = "per_flow", tracker: str | None = None
     own = F.col(tracker) if tracker else F.lit("capture")
     flow = F.col("key")
     rows = rows.withColumns({"flow_key": flow, "key": F.struct(own.alias("tracker")),
-                             "slice": F.floor(us / F.lit(60_000_000)).cast("long")})
-    rows = chain.carry(rows, {"clock": (F.col("us"), False)})
+                             "slice": _by_number() if order == "arrival" else F.floor(us / F.lit(60_000_000)).cast("long")})
+    if order == "arrival":
+        rows = chain.running_max(rows, "clock", F.col("us"), own=False, order=("seq",))
+    else:
+        rows = chain.carry(rows, {"clock": (F.col("us"), False)})
     return (rows.withColumn("key", F.struct(F.col("flow_key.lo").alias("lo"), F.col("flow_key.hi").alias("hi"),
                                      F.col("flow_key.proto").alias("proto"),
                                      F.col("key.tracker").alias("tracker")))
@@ -55,34 +68,46 @@ def keyed(packets: DataFrame, mode: str = "per_flow", tracker: str | None = None
 
 def build_flows(packets: DataFrame, idle_s: float = fixed.IDLE_S, active_s: float = fixed.ACTIVE_S,
                 mode: str = "per_flow", tracker: str | None = None,
-                group_rows: int = chain.GROUP_ROWS, slice_s: float | None = None) -> DataFrame:
+                group_rows: int = chain.GROUP_ROWS, slice_s: float | None = None,
+                order: str = "time") -> DataFrame:
     """One row per flow, in FLOW_COLUMNS. flow_id is the seq of the first packet.
 
+    order 'time': packets are taken by (ts, seq). order 'arrival': by seq, as a tracker
+    meets them. A key's clock is then the latest time of its packets so far, so it never
+    goes back; a flow's limits count from the clock at its first packet. A late packet
+    joins the open flow; first_ts is the time of the packet that came first, also where
+    a later one is stamped earlier, and duration_s is never below 0.
+
     Keys of up to `group_rows` packets are folded in one pass after one shuffle;
     larger keys go through the distributed chain. Both give the same flows.
     """
     idle, active = int(round(idle_s * 1e6)), int(round(active_s * 1e6))
-    rows = keyed(admit(packets), mode, tracker).select(
+    rows = keyed(admit(packets), mode, tracker, order).select(
         "key", "us", "seq", "clock", "from_lo", "payload_len", "syn", "rst", "fin", "ack")
     heavy = chain.hot_keys(rows, group_rows)
     if heavy is None:
-        return shape(_fold(rows, idle, active))
+        return shape(_fold(rows, idle, active, order))
     heavy = bounded(heavy, made=True)
-    cold = _fold(rows.join(heavy, "key", "left_anti"), idle, active)
-    hot = _chained(rows.join(heavy, "key", "left_semi"), idle, active,
-                   int(slice_s * 1e6) if slice_s else None)
+    cold = _fold(rows.join(heavy, "key", "left_anti"), idle, active, order)
+    hot = rows.join(heavy, "key", "left_semi").withColumn("at", F.col("us"))
+    if order == "arrival":
+        hot = chain.running_max(hot.withColumn("slice", _by_number()), "us", F.col("at"), order=("seq",)).drop("slice")
+        hot = hot.withColumn("clock", F.greatest("clock", "us")) if mode == "per_flow" else hot
+    hot = _chained(hot, idle, active, int(slice_s * 1e6) if slice_s else None)
     return shape(cold.unionByName(hot))
 
 
-def _fold(rows: DataFrame, idle: int, active: int) -> DataFrame:
+def _fold(rows: DataFrame, idle: int, active: int, order: str) -> DataFrame:
     """Flows of keys whose packets fit one array: sort, then one JVM-side fold."""
-    packet = F.struct("us", "seq", "clock", "from_lo", "payload_len", "syn", "rst", "fin", "ack")
+    position = ("seq", "us") if order == "arrival" else ("us", "seq")
+    packet = F.struct(*position, "clock", "from_lo", "payload_len", "syn", "rst", "fin", "ack")
     gathered = rows.groupBy("key").agg(F.sort_array(F.collect_list(packet)).alias("p"))
     gathered = gathered.withColumn("tcp", F.col("key.proto") == 6)
     flow_type = ("struct<seq:long,lo_first:boolean,first:long,last:long,fp:long,bp:long,fb:long,bb:long,"
                  "syn:long,rst:long,fin:long,ack:long,ff:boolean,bf:boolean>")
-    zero = F.struct(F.lit(None).cast(flow_type).alias("cur"),
-                    F.array().cast(f"array<{flow_type}>").alias("done"))
+    # top: latest time of the key so far; opened: what it was after the open flow's first packet.
+    zero = F.struct(F.lit(None).cast(flow_type).alias("cur"), F.array().cast(f"array<{flow_type}>").alias("done"),
+                    F.lit(None).cast("long").alias("top"), F.lit(None).cast("long").alias("opened"))
 
     def one(flag: Column) -> Column:
         return F.when(flag, 1).otherwise(0).cast("long")
@@ -90,8 +115,9 @@ def _fold(rows: DataFrame, idle: int, active: int) -> DataFrame:
     def step(acc: Column, p: Column) -> Column:
         cur = acc["cur"]
         shut = F.col("tcp") & ((cur["rst"] > 0) | (cur["ff"] & cur["bf"]))
-        fresh = (cur.isNull() | shut | (p["clock"] - cur["last"] >= idle)
-                 | (p["clock"] - cur["first"] >= active))
+        now = F.greatest(acc["top"], p["clock"])
+        fresh = cur.isNull() | shut | (now - acc["top"] >= idle) | (now - acc["opened"] >= active)
+        top = F.greatest(acc["top"], p["us"])
         forward = F.when(fresh, True).otherwise(p["from_lo"] == cur["lo_first"])
         size = p["payload_len"].cast("long")
 
@@ -112,7 +138,8 @@ def _fold(rows: DataFrame, idle: int, active: int) -> DataFrame:
             grow("fin", one(p["fin"])), grow("ack", one(p["ack"])),
             mark("ff", p["fin"] & forward), mark("bf", p["fin"] & ~forward))
         done = F.when(fresh & cur.isNotNull(), F.concat(acc["done"], F.array(cur))).otherwise(acc["done"])
-        return F.struct(grown.cast(flow_type).alias("cur"), done.alias("done"))
+        opened = F.when(fresh, top).otherwise(acc["opened"])
+        return F.struct(grown.cast(flow_type).alias("cur"), done.alias("done"), top.alias("top"), opened.alias("opened"))
 
     flows = F.aggregate("p", zero, step, lambda acc: F.concat(acc["done"], F.array(acc["cur"])))
     return (gathered.select("key", F.explode(flows).alias("f"))
@@ -122,23 +149,26 @@ def _fold(rows: DataFrame, idle: int, active: int) -> DataFrame:
 
 
 def _chained(rows: DataFrame, idle: int, active: int, slice_us: int | None = None) -> DataFrame:
-    """Flows of heavy keys: distributed segment starts, then a partial aggregation."""
+    """Flows of heavy keys: distributed segment starts, then a partial aggregation.
+
+    `us` orders the packets of a key and drives the limits; `at` is a packet's own time.
+    """
     tcp = F.col("key.proto") == 6
     rows = rows.withColumns({
-        "tag": F.col("from_lo"), "closes": tcp & F.col("rst"),
+        "tag": F.struct("from_lo", "at"), "closes": tcp & F.col("rst"),
         "fin_a": tcp & F.col("fin") & F.col("from_lo"),
         "fin_b": tcp & F.col("fin") & ~F.col("from_lo")})
     rows = chain.segments(rows, idle, active, slice_us)
-    forward = F.col("from_lo") == F.col("start.tag")
+    forward = F.col("from_lo") == F.col("start.tag.from_lo")
     size = F.col("payload_len").cast("long")
     return rows.groupBy("key", "start").agg(
-        F.max("us").alias("last_us"),
+        F.max("at").alias("last_us"),
         F.count_if(forward).alias("fp"), F.count_if(~forward).alias("bp"),
         F.sum(F.when(forward, size).otherwise(0)).alias("fb"),
         F.sum(F.when(~forward, size).otherwise(0)).alias("bb"),
         *[F.count_if(F.col(c)).alias(c) for c in ("syn", "rst", "fin", "ack")],
-    ).select("key", F.col("start.seq").alias("flow_id"), F.col("start.tag").alias("lo_first"),
-             F.col("start.us").alias("first_us"), "last_us", "fp", "bp", "fb", "bb",
+    ).select("key", F.col("start.seq").alias("flow_id"), F.col("start.tag.from_lo").alias("lo_first"),
+             F.col("start.tag.at").alias("first_us"), "last_us", "fp", "bp", "fb", "bb",
              "syn", "rst", "fin", "ack")
 
 

@@ -159,6 +159,79 @@ def test_against_simulation(spark, mode, path):
     assert sorted((f.flow_id, f.fwd_packets, f.bwd_packets, round(f.duration_s * 1e6)) for f in out) == expected
 
 
+def simulate_arrival(rows, idle, active, tracker=False):
+    """Plain walk in order of arrival; clocks are the latest time seen by the key, or by the tracker before."""
+    open_, tops, done, clock = {}, {}, [], None
+    for seq, ts, src, dst, sport, dport, proto, size, syn, rst, fin, ack in sorted(rows):
+        t = round((ts - T0).total_seconds() * 1e6)
+        key = (*sorted([(src, sport), (dst, dport)]), proto)
+        f, before = open_.get(key), tops.get(key)
+        tops[key] = max(t, t if before is None else before)
+        now = clock if tracker else tops[key]
+        if f and (now - before >= idle or now - f["opened"] >= active):
+            done.append(open_.pop(key))
+            f = None
+        if not f:
+            f = open_[key] = dict(id=seq, who=(src, sport), first=t, opened=tops[key], last=t, fp=0, bp=0, ff=False, bf=False)
+        fwd = (src, sport) == f["who"]
+        f["fp" if fwd else "bp"] += 1
+        f["last"] = max(f["last"], t)
+        if fin:
+            f["ff" if fwd else "bf"] = True
+        if proto == 6 and (rst or (f["ff"] and f["bf"])):
+            done.append(open_.pop(key))
+        clock = max(t, t if clock is None else clock)
+    done += open_.values()
+    return sorted((f["id"], f["fp"], f["bp"], f["first"], f["last"]) for f in done)
+
+
+def late_packets(seed=8, n=600):
+    """Arrivals whose times go back: by little, by more than the idle limit, by more than the active one."""
+    rng, rows, t = random.Random(seed), [], 500.0
+    for seq in range(n):
+        t = round(t + rng.choice([0, 0.5, 1, 2, 5, 7, 14.999999, 15, 20]) * (1 if rng.random() < 0.25 else 0.2), 6)
+        back = rng.choice([0, 0, 0, 0, 0.3, 3, 14, 16, 40, 119, 130, 300])
+        hot = rng.random() < 0.5
+        port, proto = (1, 6) if hot else (rng.randint(2, 6), rng.choice([6, 17]))
+        flags = rng.choice(["", "", "", "a", "s", "f", "f" if not hot else "", "r" if rng.random() < 0.15 else ""])
+        way = dict(sport=port, dport=80) if rng.random() < 0.6 else dict(src=B, dst=A, sport=80, dport=port)
+        rows.append(packet(seq, round(t - back, 6), proto=proto, flags=flags, **way))
+    return rows
+
+
+@pytest.mark.parametrize("mode", ["per_flow", "tracker"])
+@pytest.mark.parametrize("path", [{}, {"group_rows": 40}, {"group_rows": 0, "slice_s": 3.0}])
+def test_arrival_order_against_simulation(spark, monkeypatch, mode, path):
+    monkeypatch.setattr(flows, "SLICE_ROWS", 50)
+    rows = late_packets()
+    expected = simulate_arrival(rows, 15_000_000, 120_000_000, mode == "tracker")
+    shuffled = rows[:]
+    random.Random(1).shuffle(shuffled)
+    us = lambda x: round((x.replace(tzinfo=timezone.utc) - T0).total_seconds() * 1e6)
+    out = built(spark, shuffled, mode=mode, order="arrival", **path)
+    assert sorted((f.flow_id, f.fwd_packets, f.bwd_packets, us(f.first_ts), us(f.last_ts)) for f in out) == expected
+    assert all(f.duration_s >= 0 for f in out)
+
+
+@pytest.mark.parametrize("path", PATHS)
+def test_late_packet_never_moves_the_start(spark, path):
+    rows = [packet(1, 10.0), reply(2, 7.0), packet(3, 24.9), packet(4, 40.0)]
+    first, second = built(spark, rows, order="arrival", **path)
+    assert (first.flow_id, first.src_ip, first.fwd_packets, first.bwd_packets) == (1, A, 2, 1)
+    assert first.duration_s == pytest.approx(14.9) and second.flow_id == 4
+    # By time the reply comes first and owns the flow.
+    by_time = built(spark, rows, **path)[0]
+    assert (by_time.flow_id, by_time.src_ip) == (2, B)
+
+
+def test_arrival_order_equals_time_order_where_they_agree(spark):
+    rows = demo_capture()
+    for mode in ("per_flow", "tracker"):
+        assert built(spark, rows, mode=mode, order="arrival") == built(spark, rows, mode=mode)
+    with pytest.raises(ValueError):
+        flows.build_flows(frame(spark, rows), order="size")
+
+
 def throttled(rows, gap):
     last, kept = {}, []
     for key, us, seq in sorted(rows, key=lambda r: (r[1], r[2])):
