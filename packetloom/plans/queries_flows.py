@@ -69,6 +69,19 @@ def build_flows_one_tracker(spark, sf):
     return _timed(flows.build_flows(views.packets(spark, sf), views.IDLE_S, views.ACTIVE_S, mode="tracker"))
 
 
+@query("build_flows_by_arrival", v.arrival_flows(tracker=False) + FLOW_SQL)
+def build_flows_by_arrival(spark, sf):
+    """Packets that arrive late, taken as they arrive."""
+    return _timed(flows.build_flows(views.late_packets(spark, sf), views.IDLE_S, views.ACTIVE_S, order="arrival"))
+
+
+@query("build_flows_by_arrival_one_tracker", v.arrival_flows(tracker=True) + FLOW_SQL)
+def build_flows_by_arrival_one_tracker(spark, sf):
+    """The same, seen by one tracker; keys with more than 20 packets through the distributed chain."""
+    return _timed(flows.build_flows(views.late_packets(spark, sf), views.IDLE_S, views.ACTIVE_S, mode="tracker",
+                                    group_rows=20, order="arrival"))
+
+
 @query("flow_segments", v.over("packets", extra=v.KEYED + ",\n" + v.walk(DAY // 2, 2 * DAY)) + """
 SELECT seq, start_seq, rn = 1 OR seq = start_seq AS opens FROM walk""")
 def flow_segments(spark, sf):

@@ -13,6 +13,9 @@ from .catalog import query
 from .queries_flows import FLOW_SQL, _timed
 from .queries_reads import SENT, STAMP, TRIGGERED, WEEK
 
+# How long a late packet is waited for; those of the table are 100 hours late at most.
+LATEST = "5 days"
+
 
 def _event_stream(spark, sf):
     """The events file as a stream of packets."""
@@ -20,9 +23,9 @@ def _event_stream(spark, sf):
     return views.packets_from(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf))
 
 
-def _loads(rows, parts: int = 3):
-    """The rows in `parts` loads by time."""
-    us = F.unix_micros("ts")
+def _loads(rows, parts: int = 3, by=None):
+    """The rows in `parts` loads by time, or by the column `by`."""
+    us = F.unix_micros("ts") if by is None else F.col(by)
     marks = rows.agg(F.percentile_approx(us, F.array(*[F.lit(i / parts) for i in range(1, parts)])).alias("m")).first()["m"]
     edges = [None, *marks, None]
     for low, high in zip(edges, edges[1:]):
@@ -45,6 +48,16 @@ def stream_flows(spark, sf):
     return _timed(_replayed(spark, sf))
 
 
+@query("stream_flows_by_arrival", v.arrival_flows(tracker=False) + FLOW_SQL)
+def stream_flows_by_arrival(spark, sf):
+    """Late packets in loads as they arrive: the same flows as the batch in order of arrival."""
+    source, sink, state = (scratch(spark, f"arrivals-{x}") for x in ("in", "out", "state"))
+    for load in _loads(views.late_packets(spark, sf), by="seq"):
+        load.write.mode("append").parquet(source)
+        flow_stream.advance(readers.packet_stream(spark, source), sink, state, views.IDLE_S, views.ACTIVE_S, LATEST, "arrival")
+    return _timed(flow_stream.flushed(spark, sink, state))
+
+
 def _arriving(spark, rows, name):
     """The stream of some rows, once for each load by time that has arrived."""
     rows, source = cut(rows), scratch(spark, f"{name}-in")

@@ -96,6 +96,23 @@ FLOWS = """flows AS (
         FROM keyed k JOIN walk w ON w.seq = k.seq) p
   GROUP BY start_seq)"""
 
+LATE = """late AS (SELECT * REPLACE (us - CASE WHEN seq % 5 = 0 THEN seq % 11 * 36000000000 ELSE 0 END AS us) FROM packets)"""
+
+
+def arrival_flows(tracker: bool) -> str:
+    """Flows of the late packets in order of arrival; limits count from the running maximum of time."""
+    now = "coalesce(max(us) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), us)" if tracker else "top"
+    clocks = (f"timed AS (SELECT *, lag(top) OVER (PARTITION BY fk ORDER BY seq) AS before, {now} AS clock FROM (\n"
+              "  SELECT *, max(us) OVER (PARTITION BY fk ORDER BY seq) AS top FROM keyed))")
+    steps = (walk().replace("FROM keyed", "FROM timed").replace("JOIN keyed", "JOIN timed")
+             .replace("us AS first_us", "top AS first_us").replace("fresh THEN us ELSE first_us", "fresh THEN top ELSE first_us")
+             .replace("k.us - w.last_us >=", "k.clock - k.before >=").replace("k.us - w.first_us >=", "k.clock - w.first_us >="))
+    own = "min(CASE WHEN p.seq = start_seq THEN p.us END)"
+    out = FLOWS.replace("min(p.us) AS first_us", f"{own} AS first_us").replace("(max(p.us) - min(p.us))", f"(max(p.us) - {own})")
+    ordered = KEYED.replace("FROM packets", "FROM late").replace("ORDER BY us, seq", "ORDER BY seq")
+    return "WITH RECURSIVE " + ",\n".join([PACKETS, LATE, ordered, clocks, steps, out])
+
+
 GEO = f"""raw_geo AS (
   SELECT {client('c_custkey')} AS ip, n_name AS country_name,
     CASE WHEN c_custkey % 5 = 0 THEN NULL WHEN c_custkey % 5 = 1 THEN '' ELSE c_mktsegment END AS city,

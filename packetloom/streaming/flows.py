@@ -37,6 +37,9 @@ class FlowBuilder(StatefulProcessor):
     is the watermark, so a replay gives the flows of the batch operator; a stream without new packets stands still.
     """
 
+    # Whether a key's clock outlives its flows.
+    keeps_clock = False
+
     def __init__(self, idle_us: int, active_us: int):
         self.idle, self.active = idle_us, active_us
 
@@ -51,6 +54,20 @@ class FlowBuilder(StatefulProcessor):
     def _limit_ms(self, flow) -> int:
         return -(-min(flow[3] + self.idle, flow[2] + self.active) // 1000)
 
+    def _packets(self, rows) -> list:
+        return sorted((r.us, r.seq, r.from_lo, r.payload_len, r.syn, r.rst, r.fin, r.ack) for r in rows)
+
+    def _clock(self, flow):
+        """Latest time of the key, and what it was after the open flow's first packet."""
+        return (flow[3], flow[2]) if flow is not None else (None, None)
+
+    def _note_clock(self, top: int, opened: int) -> None:
+        """The clock after a batch with packets of the key."""
+
+    def _forgets(self, timerValues) -> bool:
+        """No flow is open: is nothing left to wait for?"""
+        return True
+
     def _held(self, flow, timerValues) -> None:
         """A flow is open after a batch with packets of its key."""
 
@@ -60,14 +77,16 @@ class FlowBuilder(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues):
         flow = list(self.open.get()) if self.open.exists() else None
         before = flow is not None
+        top, opened = self._clock(flow)
         done = []
-        packets = sorted((r.us, r.seq, r.from_lo, r.payload_len, r.syn, r.rst, r.fin, r.ack) for r in rows)
-        for us, seq, lo, size, syn, rst, fin, ack in packets:
-            if flow is not None and (us - flow[3] >= self.idle or us - flow[2] >= self.active):
+        for us, seq, lo, size, syn, rst, fin, ack in self._packets(rows):
+            now = us if top is None else max(top, us)
+            if flow is not None and (now - top >= self.idle or now - opened >= self.active):
                 done.append(flow)
                 flow = None
+            top = now
             if flow is None:
-                flow = [seq, lo, us, us, 0, 0, 0, 0, 0, 0, 0, 0, False, False]
+                flow, opened = [seq, lo, us, us, 0, 0, 0, 0, 0, 0, 0, 0, False, False], now
             forward = lo == flow[1]
             flow[4 if forward else 5] += 1
             flow[6 if forward else 7] += size
@@ -81,14 +100,16 @@ class FlowBuilder(StatefulProcessor):
             if key[4] == 6 and (flow[9] > 0 or (flow[12] and flow[13])):
                 done.append(flow)
                 flow = None
+                top = top if self.keeps_clock else None
+        self._note_clock(top, opened)
         if flow is not None:
             self.open.update(tuple(flow))
             self._held(flow, timerValues)
-            if not self.timer.exists():
-                self._set_timer(flow)
         elif before:
             self.open.clear()
             self._released()
+        if (flow is not None or self.keeps_clock) and not self.timer.exists():
+            self._set_timer(flow)
         return self._rows(key, done)
 
     def _set_timer(self, flow) -> None:
@@ -99,14 +120,14 @@ class FlowBuilder(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         self.timer.clear()
         done = []
-        if self.open.exists():
-            flow = self.open.get()
-            if self._now_ms(timerValues) >= self._limit_ms(flow):
-                done.append(flow)
-                self.open.clear()
-                self._released()
-            else:
-                self._set_timer(flow)
+        flow = self.open.get() if self.open.exists() else None
+        if flow is not None and self._now_ms(timerValues) >= self._limit_ms(flow):
+            done.append(flow)
+            flow = None
+            self.open.clear()
+            self._released()
+        if flow is not None or not self._forgets(timerValues):
+            self._set_timer(flow)
         return self._rows(key, done)
 
     def close(self) -> None:
@@ -116,6 +137,37 @@ class FlowBuilder(StatefulProcessor):
         return iter([Row(**dict(zip([*KEY_FIELDS, *FIELDS], (*key, *flow)))) for flow in done])
 
 
+class ArrivalFlowBuilder(FlowBuilder):
+    """Packets of one batch are taken by seq, and the limits count from a clock that never goes back, as in the batch
+    operator's order 'arrival'. The clock of a key is kept after its flows, until no admitted packet can be earlier."""
+
+    keeps_clock = True
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.clock = handle.getValueState("clock", "top long, opened long")
+
+    def _packets(self, rows) -> list:
+        by_number = sorted((r.seq, r.us, r.from_lo, r.payload_len, r.syn, r.rst, r.fin, r.ack) for r in rows)
+        return [(us, seq, *rest) for seq, us, *rest in by_number]
+
+    def _clock(self, flow):
+        return tuple(self.clock.get()) if self.clock.exists() else (None, None)
+
+    def _note_clock(self, top: int, opened: int) -> None:
+        self.clock.update((top, opened))
+
+    def _limit_ms(self, flow) -> int:
+        top, opened = self.clock.get()
+        return -(-(top if flow is None else min(top + self.idle, opened + self.active)) // 1000)
+
+    def _forgets(self, timerValues) -> bool:
+        past = self._now_ms(timerValues) >= self._limit_ms(None)
+        if past:
+            self.clock.clear()
+        return past
+
+
 class LiveFlowBuilder(FlowBuilder):
     """The same flows, expired by the wall clock: idle after the last arrival or active after the first one.
 
@@ -144,13 +196,19 @@ class LiveFlowBuilder(FlowBuilder):
 
 
 def completed(packets: DataFrame, idle_s: float = fixed.IDLE_S, active_s: float = fixed.ACTIVE_S,
-              delay: str = "10 seconds", live: bool = False) -> DataFrame:
-    """Stream of flat flow rows, each when it closes or expires: by the times of packets, or by the wall clock (live)."""
+              delay: str = "10 seconds", live: bool = False, order: str = "time") -> DataFrame:
+    """Stream of flat flow rows, each when it closes or expires: by the times of packets, or by the wall clock (live).
+
+    order 'arrival' takes packets by seq, as the batch operator does; micro-batches must follow seq.
+    """
+    if order not in ("time", "arrival") or (live and order != "time"):
+        raise ValueError(f"no {'live ' if live else ''}stream in order {order!r}")
     limits = int(idle_s * 1e6), int(active_s * 1e6)
     rows = keyed_stream(packets, None if live else delay).groupBy(*KEY_FIELDS)
     if live:
         return rows.transformWithState(LiveFlowBuilder(*limits), OUTPUT, outputMode="Append", timeMode="ProcessingTime")
-    return rows.transformWithState(FlowBuilder(*limits), OUTPUT, outputMode="Append", timeMode="EventTime")
+    builder = ArrivalFlowBuilder(*limits) if order == "arrival" else FlowBuilder(*limits)
+    return rows.transformWithState(builder, OUTPUT, outputMode="Append", timeMode="EventTime")
 
 
 def shape(rows: DataFrame) -> DataFrame:
@@ -171,9 +229,9 @@ def _writer(stream: DataFrame, sink: str, checkpoint: str):
 
 
 def advance(packets: DataFrame, sink: str, checkpoint: str, idle_s: float = fixed.IDLE_S,
-            active_s: float = fixed.ACTIVE_S, delay: str = "10 seconds"):
+            active_s: float = fixed.ACTIVE_S, delay: str = "10 seconds", order: str = "time"):
     """Run a stream over what has arrived since it last ran, append the flows that ended, and return the ended query."""
-    run = _writer(completed(packets, idle_s, active_s, delay), sink, checkpoint).trigger(availableNow=True).start()
+    run = _writer(completed(packets, idle_s, active_s, delay, order=order), sink, checkpoint).trigger(availableNow=True).start()
     run.awaitTermination()
     return run
 
