@@ -56,8 +56,8 @@ def binary_scores(rows: DataFrame, probability: str = "p") -> DataFrame:
         F.bround("auc", 4).alias("roc_auc"))
 
 
-def rank_auc(values: DataFrame) -> DataFrame:
-    """Rank AUC per feature of (feature, value, y), ties at half.
+def _ranked(values: DataFrame) -> DataFrame:
+    """Per feature and distinct value of (feature, value, y): pos, neg, and both counts below and in all.
 
     Rows are first counted per distinct value. The distinct values are cut in ranges
     at rough quantiles; counts run within a range, and one row per range carries the
@@ -70,24 +70,59 @@ def rank_auc(values: DataFrame) -> DataFrame:
     # One row per feature, and one per feature and range: both are bounded by construction.
     placed = counts.join(F.broadcast(bounds), "feature").withColumn(
         "slice", F.size(F.filter("bounds", lambda b: b < F.col("value")))).drop("bounds")
-    sums = placed.groupBy("feature", "slice").agg(F.sum("neg").alias("n"))
-    below = Window.partitionBy("feature").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("feature", "slice", F.coalesce(F.sum("n").over(below), F.lit(0)).alias("offset"))
+    sums = placed.groupBy("feature", "slice").agg(*[F.sum(c).alias(c) for c in ("pos", "neg")])
+    whole = Window.partitionBy("feature")
+    below = whole.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("feature", "slice", *[F.coalesce(F.sum(c).over(below), F.lit(0)).alias(f"{c}_offset") for c in ("pos", "neg")],
+                          *[F.sum(c).over(whole).alias(f"{c}_all") for c in ("pos", "neg")])
     inside = Window.partitionBy("feature", "slice").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = placed.join(F.broadcast(offsets), ["feature", "slice"]).withColumn(
-        "lower", F.col("offset") + F.coalesce(F.sum("neg").over(inside), F.lit(0)))
-    wins = F.sum(F.col("pos").cast("double") * (F.col("lower") + F.col("neg") / 2.0))
+    return placed.join(F.broadcast(offsets), ["feature", "slice"]).withColumns({
+        f"{c}_below": F.col(f"{c}_offset") + F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in ("pos", "neg")})
+
+
+def _auc() -> Column:
+    wins = F.sum(F.col("pos").cast("double") * (F.col("neg_below") + F.col("neg") / 2.0))
     pairs = F.sum("pos").cast("double") * F.sum("neg").cast("double")
-    return ranked.groupBy("feature").agg(F.when(pairs > 0, wins / pairs).alias("auc"))
+    return F.when(pairs > 0, wins / pairs)
+
+
+def _stump_auc() -> Column:
+    """AUC of the tree with the one split of least Gini impurity; equal splits go to the smallest value.
+
+    Its score takes two values, the share of positives on either side. Without a split it is even: 0.5.
+    """
+    lp, ln = (F.col(f"{c}_below") + F.col(c).cast("double") for c in ("pos", "neg"))
+    rp, rn = F.col("pos_all") - lp, F.col("neg_all") - ln
+    purity = (lp * lp + ln * ln) / (lp + ln) + (rp * rp + rn * rn) / (rp + rn)
+    auc = (F.greatest(lp * rn, rp * ln) + 0.5 * (lp * ln + rp * rn)) / F.nullif((lp + rp) * (ln + rn), F.lit(0.0))
+    mixed = (F.sum("pos") > 0) & (F.sum("neg") > 0)
+    best = F.min_by(F.when(rp + rn > 0, auc), F.when(rp + rn > 0, F.struct(-purity, "value")))
+    return F.when(mixed, F.coalesce(best, F.lit(0.5)))
+
+
+def rank_auc(values: DataFrame) -> DataFrame:
+    """Rank AUC per feature of (feature, value, y), ties at half."""
+    return _ranked(values).groupBy("feature").agg(_auc().alias("auc"))
+
+
+def _feature_values(rows: DataFrame, features: list[str] | None) -> DataFrame:
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value"))
+                                for c in features or fixed.FEATURES]))
+    return rows.select("y", pairs.alias("x")).select("x.feature", "x.value", "y")
 
 
 def univariate_auc(rows: DataFrame, features: list[str] | None = None) -> DataFrame:
     """Per feature the direction-free rank AUC."""
-    names = features or fixed.FEATURES
-    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value"))
-                                for c in names]))
-    long = rows.select("y", pairs.alias("x")).select("x.feature", "x.value", "y")
-    return rank_auc(long).select("feature", F.bround(F.greatest("auc", 1 - F.col("auc")), 4).alias("univariate_auc"))
+    return rank_auc(_feature_values(rows, features)).select(
+        "feature", F.bround(F.greatest("auc", 1 - F.col("auc")), 4).alias("univariate_auc"))
+
+
+def leakage_check(rows: DataFrame, features: list[str] | None = None) -> DataFrame:
+    """Per feature: direction-free rank AUC, AUC of a one-split tree, and whether either alone tells the classes apart."""
+    both = _ranked(_feature_values(rows, features)).groupBy("feature").agg(_auc().alias("a"), _stump_auc().alias("t"))
+    u = F.greatest("a", 1 - F.col("a"))
+    return both.select("feature", F.bround(u, 4).alias("univariate_auc"), F.bround("t", 4).alias("stump_auc"),
+                       ((u >= fixed.LEAK_AUC) | (F.col("t") >= fixed.LEAK_AUC)).alias("flagged"))
 
 
 # --- frontier -----------------------------------------------------------------

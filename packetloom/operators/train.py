@@ -3,8 +3,7 @@ from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression,
-                                       RandomForestClassifier)
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import IndexToString, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -81,6 +80,20 @@ def sweep(train: DataFrame, val: DataFrame, learners: Learners, alphas: list[flo
     return evaluate.frontier(scored), fitted
 
 
+def test_numbers(fitted: PipelineModel, test: DataFrame, model: str, alpha: float, threshold: float,
+                 split: str, label: str = fixed.LABEL_COLUMN) -> DataFrame:
+    """One row: a fitted model's numbers on test rows at a threshold."""
+    rows = gate_probability(fitted, test)
+    rows = evaluate.decided(rows.withColumnRenamed(label, "label") if label != "label" else rows, threshold)
+    rows = cut(rows.select("label", "y", "p", "pred", "mult"))
+    # All four have one row.
+    return (evaluate.binary_scores(rows).crossJoin(F.broadcast(evaluate.benign_fpr(rows)))
+            .crossJoin(F.broadcast(evaluate.confusion(rows)))
+            .crossJoin(F.broadcast(evaluate.recall_averages(evaluate.class_recall(rows))))
+            .select(F.lit(split).alias("split"), F.lit(model).alias("model"), F.lit(alpha).alias("alpha"),
+                    F.lit(threshold).alias("threshold"), "*"))
+
+
 def evaluate_split(parts: DataFrame, points: dict[str, tuple[float, float]], learners: Learners,
                    name: str, label: str = fixed.LABEL_COLUMN) -> DataFrame:
     """Fit every model on the train part at its own point; one row of test numbers each."""
@@ -88,14 +101,7 @@ def evaluate_split(parts: DataFrame, points: dict[str, tuple[float, float]], lea
     stages, out = scaler(train), None
     fits = side_by_side(lambda m: fit_gate(train, points[m][0], learners[m](), stages, label), learners)
     for model, fitted in zip(learners, fits):
-        alpha, threshold = points[model]
-        rows = gate_probability(fitted, test)
-        rows = evaluate.decided(rows.withColumnRenamed(label, "label") if label != "label" else rows, threshold)
-        rows = cut(rows.select("label", "y", "p", "pred", "mult"))
-        line = (evaluate.binary_scores(rows).crossJoin(evaluate.benign_fpr(rows)).crossJoin(evaluate.confusion(rows))
-                .crossJoin(evaluate.recall_averages(evaluate.class_recall(rows)))
-                .select(F.lit(name).alias("split"), F.lit(model).alias("model"), F.lit(alpha).alias("alpha"),
-                        F.lit(threshold).alias("threshold"), "*"))
+        line = test_numbers(fitted, test, model, *points[model], name, label)
         out = line if out is None else out.unionByName(line)
     train.unpersist()
     return out
@@ -115,18 +121,23 @@ def split_report(raw: DataFrame, points: dict[str, tuple[float, float]], learner
     return out
 
 
-def leakage_check(rows: DataFrame, seed: int = 42) -> DataFrame:
-    """Per feature: rank AUC, AUC of a one-split tree, and the flag."""
-    out = None
-    for c in fixed.FEATURES:
-        stump = Pipeline(stages=[VectorAssembler(inputCols=[c], outputCol="one"),
-                                 DecisionTreeClassifier(featuresCol="one", labelCol="y", maxDepth=1, seed=seed)]).fit(rows)
-        part = stump.transform(rows).select(
-            F.lit(c).alias("feature"), vector_to_array("probability")[1].alias("value"), "y")
-        out = part if out is None else out.unionByName(part)
-    trees = evaluate.rank_auc(out).select("feature", F.bround("auc", 4).alias("stump_auc"))
-    both = evaluate.univariate_auc(rows).join(trees, "feature")
-    return both.withColumn("flagged", (F.col("univariate_auc") >= fixed.LEAK_AUC) | (F.col("stump_auc") >= fixed.LEAK_AUC))
+def chosen_report(parts: DataFrame, learners: Learners, alphas: list[float] | None = None,
+                  label: str = fixed.LABEL_COLUMN) -> tuple[DataFrame, dict]:
+    """Sweep on the validation part, one operating point per model, its numbers on the test part, and the fitted models.
+
+    The models that are measured are those that the sweep fitted; test rows take no part in the choice.
+    """
+    front, fitted = sweep(parts.filter("part = 'train'"), parts.filter("part = 'val'"), learners, alphas, label)
+    points = evaluate.operating_point(cut(front)).collect()  # one row per model
+    test, out, chosen = parts.filter("part = 'test'"), None, {}
+    for point in points:
+        name = point["model"]
+        chosen[name] = fitted[name, point["alpha"]]
+        line = test_numbers(chosen[name], test, name, point["alpha"], point["threshold"], "dedup", label).withColumns({
+            "val_macro_recall": F.lit(point["macro_recall"]).cast("double"),
+            "val_per_flow_benign_fpr": F.lit(point["per_flow_benign_fpr"]).cast("double"), "reason": F.lit(point["reason"])})
+        out = line if out is None else out.unionByName(line)
+    return out, chosen
 
 
 # --- attributor ---------------------------------------------------------------
@@ -162,6 +173,25 @@ def alpha_sweep(train: DataFrame, val: DataFrame, make: Callable[[], object], al
     return evaluate.macro_f1(scored, ("alpha",)), scored, fitted
 
 
+def attribution_report(parts: DataFrame, make: Callable[[], object], alphas: list[float] | None = None):
+    """Alpha and confidence threshold chosen on the validation part; what they give on the test part.
+
+    Returns the per-family table, each row with the chosen alpha and threshold and the test's macro F1, coverage and
+    accuracy when attributed; the scored test rows; and the chosen model.
+    """
+    scores, scored, fitted = alpha_sweep(parts.filter("part = 'train'"), parts.filter("part = 'val'"), make, alphas)
+    alpha = evaluate.best_alpha(scores).first()["alpha"]
+    val = cut(scored.filter(F.col("alpha") == alpha))
+    threshold = evaluate.confidence_threshold(evaluate.attribution_sweep(val)).first()["threshold"]
+    test = cut(family_scores(fitted[alpha], parts.filter("part = 'test'")).select("family", "pred", "conf"))
+    whole = evaluate.attribution_sweep(test, [threshold]).select("coverage", "accuracy_when_attributed").withColumnsRenamed(
+        {"coverage": "test_coverage", "accuracy_when_attributed": "test_accuracy"})
+    table = (evaluate.family_table(test, threshold).crossJoin(F.broadcast(whole))
+             .crossJoin(F.broadcast(evaluate.macro_f1(test).withColumnRenamed("macro_f1", "test_macro_f1")))
+             .withColumns({"alpha": F.lit(alpha), "threshold": F.lit(threshold)}))
+    return table, test, fitted[alpha]
+
+
 def agreement(offline: DataFrame, live: DataFrame, key: str = "flow_id", tolerance: float = 1e-4) -> DataFrame:
     """Rows scored twice: pairs, missing rows, largest difference, verdict mismatches.
 

@@ -334,7 +334,7 @@ def best_alpha(spark, sf):
 
 
 # --- training -----------------------------------------------------------------
-# Fits depend on Spark's learners, so these have no SQL; tests/test_learning.py holds them against what must be true of any.
+# Fits depend on Spark's learners, so those below have no SQL; tests/test_learning.py holds them against what must be true of any.
 LEARNERS = {"trees": train.boosted, "linear": train.linear}
 
 
@@ -378,9 +378,29 @@ def split_evaluation(spark, sf):
     return train.split_report(cut(views.labelled_raw(spark, sf)), {"trees": (0.5, 0.5), "linear": (0.0, 0.5)}, LEARNERS)
 
 
-@query("leakage_check")
+def stump_sql(value: str, source: str) -> str:
+    """AUC of a tree with one split: the two sides of the split of least Gini impurity, the smallest value among equals."""
+    return f"""coalesce((SELECT (greatest(lp * rn, rp * ln) + 0.5 * (lp * ln + rp * rn)) / ((lp + rp) * (ln + rn)) FROM (
+      SELECT x, lp, ln, p_all - lp AS rp, n_all - ln AS rn FROM (
+        SELECT x, sum(pos) OVER (ORDER BY x) AS lp, sum(neg) OVER (ORDER BY x) AS ln, sum(pos) OVER () AS p_all, sum(neg) OVER () AS n_all FROM (
+          SELECT {value} AS x, CAST(count(*) FILTER (WHERE y = 1) AS DOUBLE) AS pos, CAST(count(*) FILTER (WHERE y = 0) AS DOUBLE) AS neg FROM {source} GROUP BY 1)))
+      WHERE rp + rn > 0 ORDER BY (lp * lp + ln * ln) / (lp + ln) + (rp * rp + rn * rn) / (rp + rn) DESC, x LIMIT 1), 0.5)"""
+
+
+@query("leakage_check", LABELLED + f""", b AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY {order_sql('row_id')}, row_id) AS place FROM labelled),
+balanced AS (SELECT * FROM b WHERE y = 1 OR place <= floor((SELECT count(*) FROM labelled WHERE y = 1) * 1.5)),
+aucs AS (""" + " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, (SELECT greatest(a, 1 - a) FROM (SELECT {auc_sql(c, 'balanced')} AS a)) AS u, {stump_sql(c, 'balanced')} AS t" for c in fixed.FEATURES)
+    + f""") SELECT feature, round_even(u, 4) AS univariate_auc, round_even(t, 4) AS stump_auc, u >= {fixed.LEAK_AUC} OR t >= {fixed.LEAK_AUC} AS flagged FROM aucs""")
 def leakage_check(spark, sf):
-    return train.leakage_check(_training_rows(spark, sf))
+    """Every feature on its own, on the balanced rows."""
+    return evaluate.leakage_check(prepare.balanced(_prepared(spark, sf), 1.5))
+
+
+@query("chosen_point_test")
+def chosen_point_test(spark, sf):
+    """Both models at the operating points that the validation part chooses, on the test part."""
+    return train.chosen_report(_training_rows(spark, sf), LEARNERS)[0]
 
 
 @query("attributor_training")
@@ -391,6 +411,13 @@ def attributor_training(spark, sf):
     return scores
 
 
+@query("attribution_test_report")
+def attribution_test_report(spark, sf):
+    """Families on the test part, with the alpha and the confidence threshold that the validation part chooses."""
+    rows = cut(prepare.stratified_split(prepare.families(_prepared(spark, sf).filter("y = 1")), "family"))
+    return train.attribution_report(rows, train.forest)[0]
+
+
 @query("train_serve_agreement", LABELLED + """, safe AS (SELECT DISTINCT row_id FROM labelled WHERE fwd_packets > 0 AND NOT (bwd_bytes > 0 AND bwd_packets = 0)
   AND (duration_s = 0 OR fwd_packets + bwd_packets > 1) AND protocol IN (6, 17) AND duration_s < 100 AND CASE WHEN fwd_packets + bwd_packets > 1 THEN duration_s / (fwd_packets + bwd_packets - 1) ELSE 0 END < 12)
 SELECT count(*) AS rows, 0 AS unmatched, 0 AS over_tolerance, 0 AS verdict_mismatches FROM safe""")

@@ -69,13 +69,61 @@ def test_family_forest_names_known_families(spark, sf):
     assert {r[0] for r in scored.select("pred").distinct().collect()} <= known
 
 
+def plain_stump(rows, k):
+    """AUC of the best one-split tree, by trying every split."""
+    values, best = sorted({r[k] for r in rows}), None
+    for v in values[:-1]:
+        sides = [[r[6] for r in rows if r[k] <= v], [r[6] for r in rows if r[k] > v]]
+        gini = sum(len(s) * (1 - (sum(s) / len(s)) ** 2 - (1 - sum(s) / len(s)) ** 2) for s in sides)
+        if best is None or gini < best[0] - 1e-9:
+            best = (gini, v)
+    share = lambda r: 0 if best is None else np.mean([x[6] for x in rows if (x[k] <= best[1]) == (r[k] <= best[1])])
+    good, bad = [share(r) for r in rows if r[6]], [share(r) for r in rows if not r[6]]
+    return np.mean([(a > b) + 0.5 * (a == b) for a in good for b in bad])
+
+
 def test_one_split_trees_equal_brute_force(spark):
-    rows = [(float(k % 5), float(k % 3), 1.0, 2.0, float(k % 7), 0.0, int(k % 5 > 2)) for k in range(210)]
+    rows = [(float(k % 5), float(k % 3), 1.0, float(k * 37 % 101), float(k % 7), float(k * k % 83), int(k % 5 > 2 or k % 11 == 3)) for k in range(210)]
     frame = spark.createDataFrame(rows, ", ".join([*[f"{c} double" for c in fixed.FEATURES], "y int"]))
-    found = {r["feature"]: r for r in train.leakage_check(frame).collect()}
-    assert found[fixed.FEATURES[0]]["stump_auc"] == 1.0 and found[fixed.FEATURES[0]]["flagged"]
+    found = {r["feature"]: r for r in evaluate.leakage_check(frame).collect()}
     for k, c in enumerate(fixed.FEATURES):
         good, bad = [r[k] for r in rows if r[6]], [r[k] for r in rows if not r[6]]
         auc = np.mean([(a > b) + 0.5 * (a == b) for a in good for b in bad])
         assert found[c]["univariate_auc"] == pytest.approx(max(auc, 1 - auc), abs=1e-4)
-    assert evaluate is not None
+        assert found[c]["stump_auc"] == pytest.approx(plain_stump(rows, k), abs=1e-4)
+    assert found[fixed.FEATURES[2]]["stump_auc"] == 0.5 and not found[fixed.FEATURES[2]]["flagged"]
+
+
+def test_a_feature_that_tells_the_classes_apart_is_flagged(spark):
+    rows = [(float(k), 1.0, 1.0, 1.0, 1.0, float(k % 2), int(k < 40)) for k in range(100)]
+    frame = spark.createDataFrame(rows, ", ".join([*[f"{c} double" for c in fixed.FEATURES], "y int"]))
+    found = {r["feature"]: r for r in evaluate.leakage_check(frame).collect()}
+    assert found[fixed.FEATURES[0]]["flagged"] and found[fixed.FEATURES[0]]["stump_auc"] == 1.0
+    assert not any(found[c]["flagged"] for c in fixed.FEATURES[1:])
+    assert all(r["stump_auc"] is None for r in evaluate.leakage_check(frame.filter("y = 1")).collect())
+
+
+def test_the_chosen_point_is_carried_to_the_test_part(parts):
+    report, chosen = train.chosen_report(parts, {"linear": train.linear}, [0.0, 0.5])
+    (row,) = report.collect()
+    front, _ = train.sweep(parts.filter("part = 'train'"), parts.filter("part = 'val'"), {"linear": train.linear}, [0.0, 0.5])
+    point = evaluate.operating_point(front).first()
+    assert (row["alpha"], row["threshold"], row["reason"]) == (point["alpha"], point["threshold"], point["reason"])
+    scored = train.gate_probability(chosen["linear"], parts.filter("part = 'test'")).select("y", "p").collect()
+    cells = {(y, p): sum(1 for r in scored if r["y"] == y and (r["p"] >= row["threshold"]) == p) for y in (0, 1) for p in (False, True)}
+    assert (row["tn"], row["fp"], row["fn"], row["tp"]) == (cells[0, False], cells[0, True], cells[1, False], cells[1, True])
+
+
+def test_the_family_report_uses_what_the_validation_part_chose(spark, sf):
+    rows = cut(prepare.stratified_split(prepare.families(q._prepared(spark, sf).filter("y = 1")), "family"))
+    table, test, _ = train.attribution_report(rows, lambda: train.forest(4), [0.0, 1.0])
+    table, test = table.collect(), test.collect()
+    assert len(test) == rows.filter("part = 'test'").count() == sum(r["n"] for r in table)
+    limit = table[0]["threshold"]
+    assert limit in fixed.FAMILY_THRESHOLDS and table[0]["alpha"] in (0.0, 1.0)
+    given = [r for r in test if r["conf"] >= limit and r["pred"] != fixed.ABSTAIN_FAMILY]
+    for r in table:
+        own = [x for x in test if x["family"] == r["family"]]
+        assert r["argmax_recall"] == pytest.approx(np.mean([x["pred"] == x["family"] for x in own]), abs=1e-4)
+        assert r["attributed_rate"] == pytest.approx(sum(x in given for x in own) / len(own), abs=1e-4)
+        assert r["test_coverage"] == pytest.approx(len(given) / len(test), abs=1e-4)

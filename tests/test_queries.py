@@ -10,7 +10,8 @@ from packetloom.plans import catalog
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
           "conversations").split()
 # Fits on Spark's learners take long and have no SQL; test_learning.py covers them.
-SLOW = {"split_evaluation", "frontier_training", "gate_training", "attributor_training", "leakage_check"}
+SLOW = {"split_evaluation", "frontier_training", "gate_training", "attributor_training", "chosen_point_test",
+        "attribution_test_report"}
 
 
 def cell(x):
