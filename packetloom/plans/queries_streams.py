@@ -5,12 +5,12 @@ from ..functions import text
 from ..operators import alerts, reads
 from ..session import cut, scratch
 from ..sources import readers
-from ..streaming import detect
+from ..streaming import captures, detect
 from ..streaming import flows as flow_stream
 from . import view_sql as v
 from . import views
 from .catalog import query
-from .queries_flows import FLOW_SQL, _timed
+from .queries_flows import FLOW_SQL, _captures, _timed, _write_files
 from .queries_reads import SENT, STAMP, TRIGGERED, WEEK
 
 # How long a late packet is waited for; those of the table are 100 hours late at most.
@@ -58,6 +58,24 @@ def stream_flows_by_arrival(spark, sf):
     return _timed(flow_stream.flushed(spark, sink, state))
 
 
+SEEN = """seen AS (SELECT * REPLACE (proto = 6 AND syn AS syn, proto = 6 AND rst AS rst, proto = 6 AND fin AS fin, proto = 6 AND ack AS ack)
+  FROM packets WHERE payload_len % 9 <> 0)"""
+
+
+@query("stream_captures", "WITH RECURSIVE " + ",\n".join([v.PACKETS, SEEN, v.KEYED.replace("FROM packets", "FROM seen"), v.walk(), v.FLOWS])
+       + FLOW_SQL.replace("flow_id, ", ""))
+def stream_captures(spark, sf):
+    """Capture files arrive in three loads; each time they are taken in, and the flows go on from their state."""
+    folder, packets, numbers, taken, sink, state = (
+        scratch(spark, f"captures-{x}") for x in ("files", "packets", "numbers", "taken", "flows", "state"))
+    files = cut(_captures(spark, sf))
+    for load in _loads(files, by="number"):
+        load.mapInPandas(_write_files(folder), "number long").write.format("noop").mode("overwrite").save()
+        captures.ingest(spark, folder, packets, numbers, taken, split_bytes=10_000)
+        flow_stream.advance(captures.arrived(spark, packets), sink, state, views.IDLE_S, views.ACTIVE_S, "1 day")
+    return _timed(flow_stream.flushed(spark, sink, state)).drop("flow_id")
+
+
 def _arriving(spark, rows, name):
     """The stream of some rows, once for each load by time that has arrived."""
     rows, source = cut(rows), scratch(spark, f"{name}-in")

@@ -52,17 +52,17 @@ def capture_packets(spark: SparkSession, path: str, split_bytes: int = SPLIT, kn
     the file's end cuts, a damaged one and all after it give no row; `capture_files` says which files hold some.
     `known` (path, number) holds the numbers that files were given before, see `numbered`.
     """
-    if not _direct(spark, path):
+    if not direct(spark, path):
         files = numbered(_listed(spark, path), known).join(_listed(spark, path, content=True).select("path", "content"), "path")
         return decode(files)
-    return _ranges_decoded(parts(spark, path, split_bytes, known))
+    return ranges_decoded(parts(spark, path, split_bytes, known))
 
 
 def capture_files(spark: SparkSession, path: str, split_bytes: int = SPLIT, known: DataFrame | None = None) -> DataFrame:
     """One row per file: path, number, size, records, known (false: no capture), cut (its last record can't be read).
 
     Spark lists neither empty files nor those whose names start with _ or a dot."""
-    if not _direct(spark, path):
+    if not direct(spark, path):
         files = numbered(_listed(spark, path), known).join(_listed(spark, path, content=True).select("path", "content"), "path")
         rows = files.select("path", "number", "content").mapInPandas(_walked_contents, PARTS)
     else:
@@ -106,11 +106,16 @@ def numbered(files: DataFrame, known: DataFrame | None = None) -> DataFrame:
 
 def parts(spark: SparkSession, path: str, split_bytes: int = SPLIT, known: DataFrame | None = None) -> DataFrame:
     """Byte ranges of the files, with their true first record, the place after their last one, and their count."""
-    files = numbered(_listed(spark, path), known)
+    return ranges(numbered(_listed(spark, path), known), split_bytes)
+
+
+def ranges(files: DataFrame, split_bytes: int = SPLIT) -> DataFrame:
+    """The same for listed and numbered files: path, number, length."""
+    spark = files.sparkSession
     count = F.greatest(F.ceil(F.col("length") / split_bytes).cast("long"), F.lit(1))
-    ranges = files.select("path", "number", F.col("length").alias("size"), F.explode(F.sequence(F.lit(0), count - 1)).alias("part"))
+    pieces = files.select("path", "number", F.col("length").alias("size"), F.explode(F.sequence(F.lit(0), count - 1)).alias("part"))
     tasks = spark.sparkContext.defaultParallelism * 4
-    guessed = cut(ranges.repartition(tasks, "path", "part").mapInPandas(_guesses(split_bytes), PARTS))
+    guessed = cut(pieces.repartition(tasks, "path", "part").mapInPandas(_guesses(split_bytes), PARTS))
     before = Window.partitionBy("path").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     due = F.max("next").over(before)
     end = F.least((F.col("part") + 1) * split_bytes, F.col("size"))
@@ -123,7 +128,7 @@ def parts(spark: SparkSession, path: str, split_bytes: int = SPLIT, known: DataF
     return guessed.join(wrong, "path", "left_anti").unionByName(mended)
 
 
-def _ranges_decoded(rows: DataFrame) -> DataFrame:
+def ranges_decoded(rows: DataFrame) -> DataFrame:
     before = Window.partitionBy("path").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumns({"base": F.coalesce(F.sum("records").over(before), F.lit(0)),
                              "past": F.collect_list("faces").over(before)}).filter("records > 0")
@@ -137,7 +142,7 @@ def _listed(spark: SparkSession, path: str, content: bool = False) -> DataFrame:
     return found if content else found.select("path", "modificationTime", "length")
 
 
-def _direct(spark: SparkSession, path: str) -> bool:
+def direct(spark: SparkSession, path: str) -> bool:
     scheme = re.match(r"([A-Za-z][A-Za-z0-9+.-]*):/", path)
     default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS") or "file:///"
     return (scheme[1].lower() if scheme else default.split(":")[0]) in DIRECT

@@ -116,3 +116,36 @@ def test_late_rows_are_counted(spark, tmp_path):
 def test_packet_stream_has_the_packet_shape(spark, tmp_path):
     arrive(spark, [packet(1, 0)], str(tmp_path / "in"))
     assert readers.packet_stream(spark, str(tmp_path / "in")).schema == spark.createDataFrame([], schema.PACKET).schema
+
+
+def test_captures_are_taken_in_once_and_keep_their_numbers(spark, tmp_path):
+    """Files in two loads with a restart; a batch that is run again changes nothing."""
+    from packetloom.sources import captures as source
+    from packetloom.streaming import captures
+    from tests.test_capture_ranges import long_pcap
+    folder = tmp_path / "files"
+    folder.mkdir()
+    places = [str(tmp_path / x) for x in ("packets", "numbers", "state")]
+    seen = {}
+    for load, names in enumerate((["b.pcap", "a.pcap", "none.txt"], ["0.pcap"])):
+        for k, name in enumerate(names):
+            (folder / name).write_bytes(b"no capture" if name == "none.txt" else long_pcap("<", 60, seed=7 * load + k))
+        captures.ingest(spark, str(folder), *places, split_bytes=900, files_per_batch=2)
+        numbers = {r["path"].rsplit("/", 1)[-1]: r["number"] for r in captures.file_numbers(spark, places[1]).collect()}
+        assert sorted(numbers.values()) == list(range(1, len(numbers) + 1))
+        assert {n: numbers[n] for n in seen} == seen
+        seen = numbers
+    assert len(seen) == 4 and seen["0.pcap"] == 4
+    known = captures.file_numbers(spark, places[1])
+    expected = source.packet_rows(source.capture_packets(spark, str(folder), known=known)).select(captures.PACKET_COLUMNS)
+    packets = lambda: spark.read.schema(schema.PACKET).option("recursiveFileLookup", True).parquet(places[0])
+    rows = sorted(tuple(r) for r in packets().collect())
+    assert rows == sorted(tuple(r) for r in expected.collect()) and rows
+    files = sorted(packets().inputFiles())
+    # The driver is lost after the last batch's packets were written, before it was noted as done.
+    commits = tmp_path / "state" / "commits"
+    last = max(int(p.name) for p in commits.iterdir() if p.name.isdigit())
+    for name in (str(last), f".{last}.crc"):
+        (commits / name).unlink()
+    captures.ingest(spark, str(folder), *places, split_bytes=900, files_per_batch=2)
+    assert sorted(packets().inputFiles()) == files
