@@ -128,23 +128,25 @@ def stream_detections(spark, sf):
     return spark.read.parquet(sink).drop("batch")
 
 
-@query("stream_batched_sinks", v.over("detections") + """SELECT 'detections' AS target, count(*) AS written FROM detections
-UNION ALL SELECT 'logs', count(*) FROM detections WHERE cnn_verdict = 'suspicious'""")
+@query("stream_batched_sinks", v.over("detections", "logs") + """SELECT 'detections' AS target, id, cnn_verdict AS verdict, cnn_confidence AS confidence, summary AS told FROM detections
+UNION ALL SELECT 'logs', d.id, NULL, NULL, log FROM logs l JOIN detections d ON l.id = d.id * 2 + 1 WHERE d.cnn_verdict = 'suspicious'""")
 def stream_batched_sinks(spark, sf):
-    """Micro-batches, each written to two tables."""
+    """Micro-batches, each written to two tables; whole rows of both."""
     paths = {n: scratch(spark, f"batched-{n}") for n in ("detections", "logs")}
     built, source = _completed(spark, sf), scratch(spark, "batched-in")
     built.write.parquet(source)
     arriving = spark.readStream.schema(built.schema).option("maxFilesPerTrigger", 2).parquet(source)
     told = lambda b: b.withColumn("summary", text.flow_summary())
     detect.run_to_sinks(arriving, scratch(spark, "batched-state"), {
-        "detections": (paths["detections"], lambda b: told(b).select("flow_id", "cnn_verdict", "cnn_confidence", "summary")),
-        "logs": (paths["logs"], lambda b: told(b).filter(reads.suspicious()).select(F.col("flow_id").alias("id"), text.verdict_log().alias("log"))),
+        "detections": (paths["detections"], lambda b: told(b).select(
+            F.col("flow_id").alias("id"), F.col("cnn_verdict").alias("verdict"), F.col("cnn_confidence").alias("confidence"),
+            F.col("summary").alias("told"))),
+        "logs": (paths["logs"], lambda b: told(b).filter(reads.suspicious()).select(F.col("flow_id").alias("id"), text.verdict_log().alias("told"))),
     }, stage=_stage(spark, sf)).awaitTermination()
     out = None
     for name, path in paths.items():
-        part = spark.read.parquet(path).agg(F.count("*").alias("written")).select(F.lit(name).alias("target"), "written")
-        out = part if out is None else out.unionByName(part)
+        part = spark.read.parquet(path).drop("batch").withColumn("target", F.lit(name))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     return out
 
 
