@@ -73,10 +73,13 @@ def test_a_quiet_stream_gives_its_flows_without_a_further_packet(spark, tmp_path
 
 
 def test_live_limits_count_from_arrival(spark, tmp_path):
-    """Packets that keep arriving hold a flow open until its active limit; a teardown ends it at once."""
+    """Packets that keep arriving hold a flow open until its active limit; a teardown ends it at once.
+
+    The first batch of a cold session took 10 s here, so the limit is longer than that.
+    """
     source, sink, state = (str(tmp_path / x) for x in ("in", "out", "state"))
     arrive(spark, [packet(1, 0), packet(2, 0, port=3000, proto=6, fin=True), packet(3, 0, port=3000, proto=6, fin=True, back=True)], source)
-    run = stream.watch(readers.packet_stream(spark, source), sink, state, idle_s=60, active_s=6, every="500 milliseconds")
+    run = stream.watch(readers.packet_stream(spark, source), sink, state, idle_s=60, active_s=20, every="500 milliseconds")
     try:
         assert wait_for(lambda: any(r["flow_id"] == 2 and r["bp"] == 1 for r in written(spark, sink)))
         arrive(spark, [packet(4, 1)], source)
