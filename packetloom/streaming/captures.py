@@ -21,6 +21,9 @@ def ingest(spark: SparkSession, path: str, packets: str, numbers: str, checkpoin
     Files must be moved into the folder whole. Those that are no captures get a number and give no packets; empty files
     and those whose names start with _ or a dot are not listed.
     """
+    # There may be nothing to take in yet; `arrived` needs the folder all the same.
+    system, place = _folder(spark, packets)
+    system.mkdirs(place)
     ranged = captures.direct(spark, path)
     listed = (spark.readStream.schema("path string, modificationTime timestamp, length long, content binary")
               .format("binaryFile").option("recursiveFileLookup", True).option("maxFilesPerTrigger", files_per_batch).load(path))
@@ -63,7 +66,13 @@ def _numbers(spark: SparkSession, numbers: str, batch: int) -> DataFrame:
     return spark.read.schema(f"{NUMBERS}, batch long").parquet(numbers).filter(F.col("batch") < batch).drop("batch")
 
 
+def _folder(spark: SparkSession, name: str):
+    """The file system of a path, and the path."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
 def _whole(spark: SparkSession, folder: str) -> bool:
     """Was the folder written to its end?"""
-    mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
-    return mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark)
+    system, mark = _folder(spark, f"{folder}/_SUCCESS")
+    return system.exists(mark)

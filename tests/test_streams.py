@@ -130,6 +130,8 @@ def test_captures_are_taken_in_once_and_keep_their_numbers(spark, tmp_path):
     folder.mkdir()
     places = [str(tmp_path / x) for x in ("packets", "numbers", "state")]
     seen = {}
+    captures.ingest(spark, str(folder), *places)
+    assert captures.arrived(spark, places[0]).isStreaming  # nothing has come yet
     for load, names in enumerate((["b.pcap", "a.pcap", "none.txt"], ["0.pcap"])):
         for k, name in enumerate(names):
             (folder / name).write_bytes(b"no capture" if name == "none.txt" else long_pcap("<", 60, seed=7 * load + k))
