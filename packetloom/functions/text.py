@@ -53,8 +53,11 @@ def flow_summary() -> Column:
 
 
 def two_digits(x: Column) -> Column:
-    """Fixed two decimals, ties to even as in C printf for exact binary ties."""
-    return F.bround(x.cast("decimal(38,18)"), 2).cast("decimal(38,2)").cast("string")
+    """Fixed two decimals, as the SQL's round_even: the double times 100 is rounded, ties to even.
+
+    The product decides, not the number's shortest decimal text: 1.015 times 100 is below 101.5, so it gives 1.01.
+    """
+    return (F.rint(x * 100) / 100).cast("decimal(38,2)").cast("string")
 
 
 def packet_log(ip="ip", country="country", blacklisted="blacklisted") -> Column:

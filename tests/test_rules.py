@@ -175,6 +175,17 @@ def test_texts(spark):
     assert cited.select(retrieval.grounded(F.col("c"), allowed).alias("g")).first().g == [1, 2]
 
 
+def test_two_digits_round_as_the_sql_does(spark):
+    """Durations that end in 5 ms, of every size up to four days, and two that differ by the way of rounding."""
+    import duckdb
+    us = [1_015_000, 1_005_000, *range(5_000, 3_000_000, 10_000), *range(345_000_005_000, 345_003_000_000, 10_000), *range(0, 9_000_000, 7_919)]
+    sql = "SELECT CAST(CAST(round_even(us / 1000000.0, 2) AS DECIMAL(18,2)) AS VARCHAR) FROM (SELECT unnest(?) AS us)"
+    wanted = [r[0] for r in duckdb.execute(sql, [us]).fetchall()]
+    rows = spark.createDataFrame(list(enumerate(us)), "i long, us long").select("i", text.two_digits(F.col("us") / 1e6).alias("t"))
+    assert [r.t for r in rows.orderBy("i").collect()] == wanted
+    assert wanted[0] == "1.01"
+
+
 def test_search(spark):
     rows = [(1, "131.203.88.83", "x", 80, "suspicious", "New Zealand", 0.0, 0.0, "T1046", "Network Service Discovery port scan", None, None, None, at(0)),
             (2, "59.246.32.135", "x", 80, "suspicious", "China", 0.0, 0.0, "T1499", "Endpoint Denial of Service", None, None, None, at(0)),
