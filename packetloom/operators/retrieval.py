@@ -106,9 +106,8 @@ def plan(index: DataFrame, doc_table: DataFrame, queries: DataFrame, k: int = fi
     Words: query_id, term, repeats, goal (a score that the k-th hit reaches), weak (the most that the weak words give).
     """
     terms = query_terms(queries)
-    matched, all_terms = _of_queries(index, terms, broadcast_terms)
-    df = document_frequency(matched.select("doc_id", "term")) if all_terms is None else all_terms
-    weights = df.crossJoin(F.broadcast(corpus_stats(doc_table))).select(
+    matched = _of_queries(index, terms, broadcast_terms)
+    weights = document_frequency(matched.select("doc_id", "term")).crossJoin(F.broadcast(corpus_stats(doc_table))).select(
         "term", "mean_length", numeric.bm25_idf(F.col("docs"), F.col("df")).alias("idf"))
     weight = F.col("idf") * numeric.bm25_weight(F.col("tf"), F.col("length"), F.col("mean_length"))
     weighted = cut(_join_terms(matched, bounded(weights, broadcast_terms), broadcast_terms).select("doc_id", "term", weight.alias("w")))
@@ -134,11 +133,12 @@ def _small(terms: DataFrame, bound: int) -> bool:
     return terms.limit(bound + 1).count() <= bound
 
 
-def _of_queries(index: DataFrame, terms: DataFrame, bound: int):
-    """Postings of query terms; when the terms are many, the whole index and its df."""
+def _of_queries(index: DataFrame, terms: DataFrame, bound: int) -> DataFrame:
+    """Postings of query terms; when the terms are many, found by a shuffled join and written once."""
+    asked = terms.select("term").distinct()
     if _small(terms, bound):
-        return index.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi"), None
-    return index, document_frequency(index)
+        return index.join(F.broadcast(asked), "term", "left_semi")
+    return cut(_join_terms(index, asked, bound).select("doc_id", "term", "tf", "length"))
 
 
 def _join_terms(matched: DataFrame, side: DataFrame, bound: int) -> DataFrame:
@@ -146,7 +146,8 @@ def _join_terms(matched: DataFrame, side: DataFrame, bound: int) -> DataFrame:
         return matched.join(F.broadcast(side), "term")
     salted = matched.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALT)))
     copies = side.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
-    return salted.join(copies, ["term", "salt"])
+    # The copies look as small as the words they come from, but are too many to broadcast.
+    return salted.join(copies.hint("merge"), ["term", "salt"])
 
 
 def search_text(docs: DataFrame, queries: DataFrame, k: int = fixed.TOP_K,

@@ -76,3 +76,13 @@ def test_pruned_search_equals_scoring_everything(spark):
     every = weighted.join(retrieval.query_terms(queries), "term").count()
     scored = weighted.join(strong, "term").count()
     assert scored < every / 2 and not weak.isEmpty()
+
+
+def test_copies_of_many_words_are_not_broadcast(spark, tmp_path):
+    """A small written table of words grows 32-fold when it is salted; its size on disk does not say so."""
+    spark.range(3_000).select(F.concat(F.lit("w"), "id").alias("term"), F.lit(1.0).alias("idf")).write.parquet(f"{tmp_path}/words")
+    spark.range(9_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), F.col("id") % 4_000).alias("term")).write.parquet(f"{tmp_path}/index")
+    index, side = spark.read.parquet(f"{tmp_path}/index"), spark.read.parquet(f"{tmp_path}/words")
+    joined = retrieval._join_terms(index, side, 10)
+    assert joined.count() == index.join(side, "term").count()
+    assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
