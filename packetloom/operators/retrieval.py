@@ -40,11 +40,24 @@ def postings(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
 
 
 def counted(words: DataFrame, terms: DataFrame | None = None) -> DataFrame:
-    """The postings of texts that are taken apart already."""
-    rows = words.select("doc_id", "length", F.explode("tokens").alias("term"))
+    """The postings of texts that are taken apart already.
+
+    With `terms` words are pruned first and the few that stay are counted by a shuffle. Without, a document's words,
+    which lie in one row, are sorted and counted there: no task gathers the words of many texts. Only where a doc_id
+    comes more than once are its rows put together first.
+    """
     if terms is not None:
+        rows = words.select("doc_id", "length", F.explode("tokens").alias("term"))
         rows = rows.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi")
-    return rows.groupBy("doc_id", "length", "term").agg(F.count("*").alias("tf")).select("doc_id", "term", "tf", "length")
+        return rows.groupBy("doc_id", "length", "term").agg(F.count("*").alias("tf")).select("doc_id", "term", "tf", "length")
+    if not words.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        words = words.groupBy("doc_id", "length").agg(F.flatten(F.collect_list("tokens")).alias("tokens"))
+    run = F.transform("sorted", lambda t, i: F.struct(t.alias("term"), i.alias("last")))
+    ends = F.filter(run, lambda r: ~F.get("sorted", r["last"] + 1).eqNullSafe(r["term"]))
+    before = lambda i: F.coalesce(F.get("ends", i - 1)["last"], F.lit(-1))
+    tallied = F.transform("ends", lambda e, i: F.struct(e["term"].alias("term"), (e["last"] - before(i)).cast("long").alias("tf")))
+    rows = words.select("doc_id", "length", F.sort_array("tokens").alias("sorted")).select("doc_id", "length", ends.alias("ends"))
+    return rows.select("doc_id", "length", F.explode(tallied).alias("p")).select("doc_id", "p.term", "p.tf", "length")
 
 
 def document_table(docs: DataFrame) -> DataFrame:

@@ -86,3 +86,16 @@ def test_copies_of_many_words_are_not_broadcast(spark, tmp_path):
     joined = retrieval._join_terms(index, side, 10)
     assert joined.count() == index.join(side, "term").count()
     assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
+
+
+def test_postings_count_within_the_row(spark):
+    """Words of a text are counted without a shuffle of words; rows that share an id are put together as before."""
+    rows = [(1, "scan b scan a b scan"), (2, ""), (3, None), (4, "a"), (5, "x y"), (5, "y z"), (None, "q q")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(r["doc_id"], r["term"], r["tf"], r["length"]) for r in retrieval.postings(docs).collect()}
+    words = retrieval.tokenized(docs).select("doc_id", "length", F.explode("tokens").alias("term"))
+    by_shuffle = words.groupBy("doc_id", "length", "term").count().collect()
+    assert found == {(r["doc_id"], r["term"], r["count"], r["length"]) for r in by_shuffle}
+    plain = retrieval.postings(docs.filter("doc_id < 5"))
+    assert plain.count() == retrieval.postings(docs).filter("doc_id < 5").count()
+    assert "Exchange" not in plain._jdf.queryExecution().executedPlan().toString()
