@@ -127,3 +127,11 @@ def test_the_family_report_uses_what_the_validation_part_chose(spark, sf):
         assert r["argmax_recall"] == pytest.approx(np.mean([x["pred"] == x["family"] for x in own]), abs=1e-4)
         assert r["attributed_rate"] == pytest.approx(sum(x in given for x in own) / len(own), abs=1e-4)
         assert r["test_coverage"] == pytest.approx(len(given) / len(test), abs=1e-4)
+
+
+def test_family_rows_hold_each_vector_once_in_one_part(spark, sf):
+    vector = [F.col(c).cast("float").alias(c) for c in fixed.FEATURES]
+    rows = q._family_rows(spark, sf).select(*vector, "family", "part")
+    whole = prepare.families(q._prepared(spark, sf).filter("y = 1")).select(*vector, "family")
+    assert rows.count() == rows.drop("part").distinct().count() == whole.distinct().count() < whole.count()
+    assert {r[0] for r in rows.select("part").distinct().collect()} == {"train", "val", "test"}
