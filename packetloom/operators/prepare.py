@@ -211,19 +211,27 @@ def duplicate_stats(rows: DataFrame, also: list[str]) -> DataFrame:
                    F.bround(1 - unique / total, 4).alias("duplicate_rate"))
 
 
+def merged(rows: DataFrame, label: str = fixed.LABEL_COLUMN) -> DataFrame:
+    """Rows of equal vector and label as one, with their number in `copies`."""
+    return rows.groupBy(*fixed.FEATURES, "y", label).agg(F.count("*").alias("copies"))
+
+
 def value_counts(rows: DataFrame, column: str) -> DataFrame:
     return rows.groupBy(column).agg(F.count("*").alias("n"))
 
 
 def class_weights(rows: DataFrame, column: str, alpha: float) -> DataFrame:
     """Per class n and the weight n^-alpha, scaled so that the mean over rows is 1."""
-    counts = value_counts(rows, column).withColumn("_w", numeric.inverse_power(F.col("n"), alpha))
+    counts = rows.groupBy(column).agg(F.sum("copies").alias("n")) if "copies" in rows.columns else value_counts(rows, column)
+    counts = counts.withColumn("_w", numeric.inverse_power(F.col("n"), alpha))
     mean = counts.agg((F.sum(F.col("n") * F.col("_w")) / F.sum("n")).alias("_mean"))
     return counts.crossJoin(F.broadcast(mean)).select(column, "n", (F.col("_w") / F.col("_mean")).alias("weight"))
 
 
 def weighted(rows: DataFrame, column: str, alpha: float) -> DataFrame:
-    """Add `weight` per row; alpha 0 is exactly 1 everywhere."""
+    """Add `weight` per row; alpha 0 is exactly 1 everywhere. A merged row has the weight of all its copies."""
     if alpha == 0:
-        return rows.withColumn("weight", F.lit(1.0))
-    return rows.join(bounded(class_weights(rows, column, alpha).drop("n")), column)
+        out = rows.withColumn("weight", F.lit(1.0))
+    else:
+        out = rows.join(bounded(class_weights(rows, column, alpha).drop("n")), column)
+    return out.withColumn("weight", F.col("weight") * F.col("copies")) if "copies" in rows.columns else out

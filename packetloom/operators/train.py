@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .. import fixed
 from ..session import cut
 from . import evaluate, prepare
+from .joins import bounded
 
 
 def scaler(train: DataFrame) -> list:
@@ -52,7 +53,7 @@ def linear(rounds: int = 100, seed: int = 42):
 
 def fit_gate(train: DataFrame, alpha: float, learner, stages: list | None = None,
              label: str = fixed.LABEL_COLUMN) -> PipelineModel:
-    """Scaler and binary learner on weighted rows."""
+    """Scaler and binary learner on weighted rows. Merged rows come with the stages of the whole ones."""
     rows = prepare.weighted(train, label, alpha)
     return Pipeline(stages=[*(stages or scaler(train)), learner]).fit(rows)
 
@@ -62,6 +63,12 @@ def gate_probability(model: PipelineModel, rows: DataFrame) -> DataFrame:
     return out.select(*rows.columns, vector_to_array("probability")[1].alias("p"))
 
 
+def shape_probability(model: PipelineModel, rows: DataFrame) -> DataFrame:
+    """The same for rows with many equal vectors: each vector is scored once."""
+    scored = cut(gate_probability(model, rows.select(*fixed.FEATURES).distinct()))
+    return rows.join(bounded(scored, made=True), fixed.FEATURES).select(*rows.columns, "p")
+
+
 Learners = dict[str, Callable[[], object]]
 
 
@@ -83,7 +90,7 @@ def sweep(train: DataFrame, val: DataFrame, learners: Learners, alphas: list[flo
 def test_numbers(fitted: PipelineModel, test: DataFrame, model: str, alpha: float, threshold: float,
                  split: str, label: str = fixed.LABEL_COLUMN) -> DataFrame:
     """One row: a fitted model's numbers on test rows at a threshold."""
-    rows = gate_probability(fitted, test)
+    rows = shape_probability(fitted, test)
     rows = evaluate.decided(rows.withColumnRenamed(label, "label") if label != "label" else rows, threshold)
     rows = cut(rows.select("label", "y", "p", "pred", "mult"))
     # All four have one row.
@@ -96,9 +103,13 @@ def test_numbers(fitted: PipelineModel, test: DataFrame, model: str, alpha: floa
 
 def evaluate_split(parts: DataFrame, points: dict[str, tuple[float, float]], learners: Learners,
                    name: str, label: str = fixed.LABEL_COLUMN) -> DataFrame:
-    """Fit every model on the train part at its own point; one row of test numbers each."""
-    train, test = packed(parts.filter("part = 'train'")), parts.filter("part = 'test'")
+    """Fit every model on the train part at its own point; one row of test numbers each.
+
+    Neither learner draws rows, so a row that stands for its copies gives the fit of all of them.
+    """
+    train, test = parts.filter("part = 'train'"), parts.filter("part = 'test'")
     stages, out = scaler(train), None
+    train = packed(prepare.merged(train, label))
     fits = side_by_side(lambda m: fit_gate(train, points[m][0], learners[m](), stages, label), learners)
     for model, fitted in zip(learners, fits):
         line = test_numbers(fitted, test, model, *points[model], name, label)

@@ -135,3 +135,29 @@ def test_family_rows_hold_each_vector_once_in_one_part(spark, sf):
     whole = prepare.families(q._prepared(spark, sf).filter("y = 1")).select(*vector, "family")
     assert rows.count() == rows.drop("part").distinct().count() == whole.distinct().count() < whole.count()
     assert {r[0] for r in rows.select("part").distinct().collect()} == {"train", "val", "test"}
+
+
+def _copied(parts, times):
+    return cut(parts.withColumn("copy", F.explode(F.sequence(F.lit(1), times))).drop("copy"))
+
+
+@pytest.mark.parametrize("learner", [lambda: train.boosted(3), train.linear])
+def test_merged_rows_give_the_fit_of_all_their_copies(parts, learner):
+    whole = _copied(parts.filter("part = 'train'"), 3 + F.col("y"))
+    stages = train.scaler(whole)
+    fits = [train.fit_gate(train.packed(rows), 0.5, learner(), stages) for rows in (whole, prepare.merged(whole))]
+    one, two = (train.gate_probability(m, parts.filter("part = 'test'").select("row_id", *fixed.FEATURES)) for m in fits)
+    both = one.join(two.select("row_id", F.col("p").alias("p2")), "row_id")
+    assert both.filter(F.abs(F.col("p") - F.col("p2")) > 1e-4).isEmpty() and not both.isEmpty()
+    by_shape = train.shape_probability(fits[0], _copied(parts, 3 + F.col("y")).select("row_id", "y", *fixed.FEATURES)).groupBy("row_id").agg(
+        F.count("*").alias("n"), F.min("p").alias("lo"), F.max("p").alias("p3"))
+    again = one.join(by_shape, "row_id").join(parts.select("row_id", "y"), "row_id")
+    assert again.count() == both.count() and again.filter("p <> p3 or lo <> p3 or n <> 3 + y").isEmpty()
+
+
+def test_a_split_is_fitted_on_merged_rows(parts, monkeypatch):
+    """Copies of rows change neither what a fit reads nor what it gives."""
+    read, fit = [], train.fit_gate
+    monkeypatch.setattr(train, "fit_gate", lambda rows, *a: read.append(rows.count()) or fit(rows, *a))
+    lines = [train.evaluate_split(p, {"linear": (0.0, 0.5)}, {"linear": train.linear}, "dedup").first() for p in (parts, _copied(parts, F.lit(3)))]
+    assert read[0] == read[1] and all(lines[0][c] * 3 == lines[1][c] for c in ("tn", "fp", "fn", "tp"))
