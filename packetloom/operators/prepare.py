@@ -156,13 +156,14 @@ def class_sample(rows: DataFrame, label: str = fixed.LABEL_COLUMN, per_attack: i
 
 
 # --- balance, duplicates, weights ---------------------------------------------
-def multiplicity(rows: DataFrame, heavy_rows: int = HEAVY_SHAPE) -> DataFrame:
+def multiplicity(rows: DataFrame, heavy_rows: int = HEAVY_SHAPE, among: DataFrame | None = None) -> DataFrame:
     """Add mult: how often a benign row's exact vector occurs among all benign rows; attacks 1.
 
+    `among` holds all rows where `rows` are those that are left of them: only these are joined then.
     Shapes of more than `heavy_rows` rows are at most rows / heavy_rows. They are sent to all tasks, so that no task
     gets the rows of a hot shape; the other rows are joined by shape.
     """
-    shapes = cut(rows.filter("y = 0").groupBy(*fixed.FEATURES).agg(F.count("*").cast("double").alias("_m")))
+    shapes = cut((rows if among is None else among).filter("y = 0").groupBy(*fixed.FEATURES).agg(F.count("*").cast("double").alias("_m")))
     heavy = shapes.filter(F.col("_m") > heavy_rows)
     on = [F.col(f"r.{c}") == F.col(f"s.{c}") for c in fixed.FEATURES]
     if not heavy.isEmpty():

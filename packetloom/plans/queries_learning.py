@@ -339,8 +339,9 @@ LEARNERS = {"trees": train.boosted, "linear": train.linear}
 
 
 def _training_rows(spark, sf):
-    rows = prepare.balanced(prepare.multiplicity(_prepared(spark, sf)))
-    return cut(prepare.stratified_split(prepare.unique_shapes(rows, ["y"]), "y"))
+    rows = _prepared(spark, sf)
+    unique = cut(prepare.unique_shapes(prepare.balanced(rows), ["y"]))
+    return cut(prepare.stratified_split(prepare.multiplicity(unique, among=rows), "y"))
 
 
 @query("standardised_features", LABELLED + " UNION ALL ".join(

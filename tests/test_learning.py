@@ -161,3 +161,11 @@ def test_a_split_is_fitted_on_merged_rows(parts, monkeypatch):
     monkeypatch.setattr(train, "fit_gate", lambda rows, *a: read.append(rows.count()) or fit(rows, *a))
     lines = [train.evaluate_split(p, {"linear": (0.0, 0.5)}, {"linear": train.linear}, "dedup").first() for p in (parts, _copied(parts, F.lit(3)))]
     assert read[0] == read[1] and all(lines[0][c] * 3 == lines[1][c] for c in ("tn", "fp", "fn", "tp"))
+
+
+def test_shapes_are_counted_for_the_rows_that_are_left(spark, sf):
+    """Counting among all rows after the choice gives what counting before it gives."""
+    rows = q._prepared(spark, sf)
+    before = prepare.unique_shapes(prepare.balanced(prepare.multiplicity(rows)), ["y"])
+    after = prepare.multiplicity(prepare.unique_shapes(prepare.balanced(rows), ["y"]), among=rows).select(*before.columns)
+    assert after.exceptAll(before).isEmpty() and after.count() == before.count() and not after.filter("mult > 1").isEmpty()
