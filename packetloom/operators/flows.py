@@ -68,7 +68,7 @@ def keyed(packets: DataFrame, mode: str = "per_flow", tracker: str | None = None
 
 def build_flows(packets: DataFrame, idle_s: float = fixed.IDLE_S, active_s: float = fixed.ACTIVE_S,
                 mode: str = "per_flow", tracker: str | None = None,
-                group_rows: int = chain.GROUP_ROWS, slice_s: float | None = None,
+                group_rows: int | None = chain.GROUP_ROWS, slice_s: float | None = None,
                 order: str = "time") -> DataFrame:
     """One row per flow, in FLOW_COLUMNS. flow_id is the seq of the first packet.
 
@@ -79,12 +79,13 @@ def build_flows(packets: DataFrame, idle_s: float = fixed.IDLE_S, active_s: floa
     a later one is stamped earlier, and duration_s is never below 0.
 
     Keys of up to `group_rows` packets are folded in one pass after one shuffle;
-    larger keys go through the distributed chain. Both give the same flows.
+    larger keys go through the distributed chain. Both give the same flows. None: no key
+    is so large, as the caller knows, and keys are not counted.
     """
     idle, active = int(round(idle_s * 1e6)), int(round(active_s * 1e6))
     rows = keyed(admit(packets), mode, tracker, order).select(
         "key", "us", "seq", "clock", "from_lo", "payload_len", "syn", "rst", "fin", "ack")
-    heavy = chain.hot_keys(rows, group_rows)
+    heavy = None if group_rows is None else chain.hot_keys(rows, group_rows)
     if heavy is None:
         return shape(_fold(rows, idle, active, order))
     heavy = bounded(heavy, made=True)

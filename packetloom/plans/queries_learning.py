@@ -437,14 +437,15 @@ def train_serve_agreement(spark, sf):
         (F.col("duration_s") == 0) | (F.col("fwd_packets") + F.col("bwd_packets") > 1)))
     # written once, so that the numbers stay as they are
     rows = cut(rows.distinct().withColumn("flow_id", F.monotonically_increasing_id()))
-    model = train.fit_gate(train.packed(rows), 0.0, train.linear())
+    model = train.fit_gate(train.packed(prepare.merged(rows)), 0.0, train.linear(), train.scaler(rows))
     n = F.col("flow_id")
     as_flows = rows.withColumns({
         "src_ip": F.concat_ws(".", F.lit("100"), *[(F.floor(n / d) % 256).cast("string") for d in (65536, 256, 1)]),
         "src_port": (1024 + F.floor(n / 16777216) % 60000).cast("int"), "dst_ip": F.lit(views.SERVER),
         "dst_port": (1 + F.floor(n / 16777216 / 60000) % 60000).cast("int"), "proto": F.col("protocol").cast("int")})
     packets = flows.expand_to_packets(as_flows).withColumn("seq", F.col("flow_id") * 4096 + F.col("nth"))
-    built = flows.feature_columns(flows.build_flows(packets.drop("flow_id", "nth")))
+    # Every row has a key of its own and, being safe, 2000 packets at most.
+    built = flows.feature_columns(flows.build_flows(packets.drop("flow_id", "nth"), group_rows=None))
     live = built.withColumn("flow_id", F.floor(F.col("flow_id") / 4096))
     score = lambda r: evaluate.decided(train.gate_probability(model, r), 0.5)
     out = train.agreement(score(rows), score(live))

@@ -169,3 +169,11 @@ def test_shapes_are_counted_for_the_rows_that_are_left(spark, sf):
     before = prepare.unique_shapes(prepare.balanced(prepare.multiplicity(rows)), ["y"])
     after = prepare.multiplicity(prepare.unique_shapes(prepare.balanced(rows), ["y"]), among=rows).select(*before.columns)
     assert after.exceptAll(before).isEmpty() and after.count() == before.count() and not after.filter("mult > 1").isEmpty()
+
+
+def test_the_served_model_is_fitted_on_merged_rows(spark, sf, monkeypatch):
+    read, fit = [], train.fit_gate
+    monkeypatch.setattr(train, "fit_gate", lambda rows, *a: read.append(rows) or fit(rows, *a))
+    (row,) = q.train_serve_agreement(spark, sf).collect()
+    assert row["unmatched"] == row["over_tolerance"] == row["verdict_mismatches"] == 0
+    assert read[0].count() < row["rows"] == read[0].agg(F.sum("copies")).first()[0]
