@@ -6,11 +6,13 @@ from .. import schema
 from ..sources import captures
 
 NUMBERS = "path string, number long"
+# A batch costs a handful of jobs whatever it holds and deals its files out in byte ranges, so it is bounded by bytes.
+BATCH_BYTES = 8 << 30
 PACKET_COLUMNS = [c.split(" ")[0] for c in schema.PACKET.split(", ")]
 
 
 def ingest(spark: SparkSession, path: str, packets: str, numbers: str, checkpoint: str,
-           split_bytes: int = captures.SPLIT, files_per_batch: int = 64):
+           split_bytes: int = captures.SPLIT, files_per_batch: int | None = None, bytes_per_batch: int = BATCH_BYTES):
     """Take in the capture files that have arrived since the last run; return the ended query.
 
     Every micro-batch numbers its files after all earlier ones, in `numbers`, and writes their packets, decoded in byte
@@ -19,14 +21,16 @@ def ingest(spark: SparkSession, path: str, packets: str, numbers: str, checkpoin
     finds its files' numbers and, if its packets were written whole, leaves them as they are: no packet comes twice.
 
     Files must be moved into the folder whole. Those that are no captures get a number and give no packets; empty files
-    and those whose names start with _ or a dot are not listed.
+    and those whose names start with _ or a dot are not listed. A batch takes files up to `bytes_per_batch`, or as many
+    as `files_per_batch` says.
     """
     # There may be nothing to take in yet; `arrived` needs the folder all the same.
     system, place = _folder(spark, packets)
     system.mkdirs(place)
     ranged = captures.direct(spark, path)
+    limit = ("maxBytesPerTrigger", bytes_per_batch) if files_per_batch is None else ("maxFilesPerTrigger", files_per_batch)
     listed = (spark.readStream.schema("path string, modificationTime timestamp, length long, content binary")
-              .format("binaryFile").option("recursiveFileLookup", True).option("maxFilesPerTrigger", files_per_batch).load(path))
+              .format("binaryFile").option("recursiveFileLookup", True).option(*limit).load(path))
     # Without its column, content is never read here.
     listed = listed.select("path", "modificationTime", "length", *([] if ranged else ["content"]))
 

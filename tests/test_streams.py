@@ -154,3 +154,17 @@ def test_captures_are_taken_in_once_and_keep_their_numbers(spark, tmp_path):
         (commits / name).unlink()
     captures.ingest(spark, str(folder), *places, split_bytes=900, files_per_batch=2)
     assert sorted(packets().inputFiles()) == files
+
+
+def test_many_small_captures_are_one_batch(spark, tmp_path):
+    """Batches are bounded by bytes: their number does not grow with that of small files."""
+    from packetloom.streaming import captures
+    from tests.test_capture_ranges import long_pcap
+    folder = tmp_path / "files"
+    folder.mkdir()
+    for k in range(70):
+        (folder / f"{k}.pcap").write_bytes(long_pcap("<", 2, seed=k))
+    places = [str(tmp_path / x) for x in ("packets", "numbers", "state")]
+    captures.ingest(spark, str(folder), *places)
+    assert [p.name for p in (tmp_path / "packets").iterdir()] == ["batch=0"]
+    assert captures.file_numbers(spark, places[1]).count() == 70
