@@ -147,10 +147,10 @@ def _captures(spark, sf):
     us = F.unix_micros("ts")
     length = hexed(F.length(frame) / 2, 8)
     record = F.concat(hexed(F.floor(us / 1_000_000), 8), hexed(us % 1_000_000, 8), length, length, frame)
-    rows = p.select(F.floor(F.col("seq") / 500).alias("number"), "seq", record.alias("record"))
-    files = rows.groupBy("number").agg(F.sort_array(F.collect_list(F.struct("seq", "record"))).alias("r"))
+    rows = p.select(F.floor(F.col("seq") / 500).alias("number"), "seq", us.alias("us"), record.alias("record"))
+    files = rows.groupBy("number").agg(F.min("us").alias("first_us"), F.sort_array(F.collect_list(F.struct("seq", "record"))).alias("r"))
     head = "a1b2c3d4" "00020004" "0000000000000000" "0000ffff" "00000065"
-    return files.select(F.col("number").cast("string").alias("path"), "number", F.unhex(
+    return files.select(F.col("number").cast("string").alias("path"), "number", "first_us", F.unhex(
         F.concat(F.lit(head), F.array_join(F.transform("r", lambda r: r["record"]), ""))).alias("content"))
 
 

@@ -65,11 +65,12 @@ SEEN = """seen AS (SELECT * REPLACE (proto = 6 AND syn AS syn, proto = 6 AND rst
 @query("stream_captures", "WITH RECURSIVE " + ",\n".join([v.PACKETS, SEEN, v.KEYED.replace("FROM packets", "FROM seen"), v.walk(), v.FLOWS])
        + FLOW_SQL.replace("flow_id, ", ""))
 def stream_captures(spark, sf):
-    """Capture files arrive in three loads; each time they are taken in, and the flows go on from their state."""
+    """Capture files arrive in three loads by the time of their first packet; each time they are taken in, and the flows
+    go on from their state."""
     folder, packets, numbers, taken, sink, state = (
         scratch(spark, f"captures-{x}") for x in ("files", "packets", "numbers", "taken", "flows", "state"))
     files = cut(_captures(spark, sf))
-    for load in _loads(files, by="number"):
+    for load in _loads(files, by="first_us"):
         if load.isEmpty():  # a small table fills fewer than three files
             continue
         load.mapInPandas(_write_files(folder), "number long").write.format("noop").mode("overwrite").save()

@@ -168,3 +168,15 @@ def test_many_small_captures_are_one_batch(spark, tmp_path):
     captures.ingest(spark, str(folder), *places)
     assert [p.name for p in (tmp_path / "packets").iterdir()] == ["batch=0"]
     assert captures.file_numbers(spark, places[1]).count() == 70
+
+
+def test_capture_loads_follow_time_where_numbers_do_not(spark, sf, tmp_path):
+    """Later numbers with the same times again: no packet of theirs is late."""
+    from packetloom.plans import queries_streams as q
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    again = events.withColumns({"event_id": F.col("event_id") + 1_000_000, "user_id": F.col("user_id") + 1_000_000})
+    events.unionByName(again).write.parquet(f"{tmp_path}/events.parquet")
+    packets = views.packets(spark, str(tmp_path)).filter("payload_len % 9 <> 0").withColumns(
+        {c: (F.col("proto") == 6) & F.col(c) for c in ("syn", "rst", "fin", "ack")})
+    whole = batch.build_flows(packets, views.IDLE_S, views.ACTIVE_S).count()
+    assert q.stream_captures(spark, str(tmp_path)).count() == whole
