@@ -116,6 +116,36 @@ def test_late_rows_are_counted(spark, tmp_path):
     assert [r[0] for r in found] == [1, 2, 4, 5]
 
 
+def test_state_is_read_and_written_by_groups_of_keys(spark, tmp_path):
+    """A state call costs more than many packets: there are no more of them than groups, however many keys are open."""
+    source, sink, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    arrive(spark, [packet(k, 0, port=k) for k in range(1, 5001)], source)
+    stream.advance(readers.packet_stream(spark, source), sink, state, 15, 120, "10 seconds")
+    assert spark.read.format("statestore").option("path", state).option("stateVarName", "flow").load().count() <= stream.BUCKETS
+    assert sorted(r["flow_id"] for r in stream.still_open(spark, state).collect()) == list(range(1, 5001))
+
+
+@pytest.mark.parametrize("order", ["time", "arrival"])
+def test_a_group_ends_the_flow_whose_limit_is_first(spark, tmp_path, monkeypatch, order):
+    """Keys of one group share a timer: it follows the earliest limit, also that of a late packet."""
+    monkeypatch.setattr(stream, "BUCKETS", 1)
+    source, sink, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    loads = [packet(1, 50), packet(2, 90, port=2000)], [packet(3, 35, port=3000), packet(4, 95, port=2000)], [packet(5, 103, port=2000)]
+    ended = []
+    for rows in loads:
+        arrive(spark, rows, source)
+        stream.advance(readers.packet_stream(spark, source), sink, state, 30, 600, "60 seconds", order)
+        ended.append(sorted(r["flow_id"] for r in written(spark, sink)))
+    # The watermark is a minute behind: 43 s at the end. No limit is passed; at 68 s that of the late packet (65 s) is.
+    assert ended == [[], [], []]
+    arrive(spark, [packet(6, 128, port=4000)], source)
+    stream.advance(readers.packet_stream(spark, source), sink, state, 30, 600, "60 seconds", order)
+    assert sorted(r["flow_id"] for r in written(spark, sink)) == [3]
+    assert sorted(r["flow_id"] for r in stream.still_open(spark, state).collect()) == [1, 2, 6]
+    everything = table(spark, [r for rows in loads for r in rows] + [packet(6, 128, port=4000)])
+    assert rows_of(stream.flushed(spark, sink, state)) == rows_of(batch.build_flows(everything, 30, 600, order=order))
+
+
 def test_packet_stream_has_the_packet_shape(spark, tmp_path):
     arrive(spark, [packet(1, 0)], str(tmp_path / "in"))
     assert readers.packet_stream(spark, str(tmp_path / "in")).schema == spark.createDataFrame([], schema.PACKET).schema
