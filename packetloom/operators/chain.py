@@ -26,6 +26,8 @@ GROUP_ROWS = 5_000
 # Distinct instants of one key that a throttle may gather: two numbers each, under a megabyte.
 FIRE_ROWS = 50_000
 POSITION = ("us", "seq")
+# Slices are sorted and joined by a hash of the key first: two keys are then told apart without reading their texts.
+SLICE = ("_hash", "key", "slice")
 
 
 def hot_keys(rows: DataFrame, limit: int = GROUP_ROWS) -> DataFrame | None:
@@ -44,7 +46,8 @@ def carry(rows: DataFrame, values: dict[str, tuple[Column, bool]], backward: boo
     columns key and slice; only one summary row per (key, slice) crosses slices.
     """
     by = [F.col(c).desc() if backward else F.col(c).asc() for c in order]
-    here = Window.partitionBy("key", "slice").orderBy(*by)
+    here = Window.partitionBy(*SLICE).orderBy(*by)
+    rows = rows.withColumn("_hash", F.xxhash64("key"))
     tmp = {n: f"_v_{n}" for n in values}
     rows = rows.withColumns({tmp[n]: v for n, (v, _) in values.items()})
     local = {}
@@ -53,27 +56,27 @@ def carry(rows: DataFrame, values: dict[str, tuple[Column, bool]], backward: boo
         local[n] = F.last(tmp[n], ignorenulls=True).over(frame)
     pick = F.min_by if backward else F.max_by
     place = F.struct(*order)
-    edges = rows.groupBy("key", "slice").agg(*[
+    edges = rows.groupBy(*SLICE).agg(*[
         pick(F.col(t), F.when(F.col(t).isNotNull(), place)).alias(t) for t in tmp.values()])
-    across = Window.partitionBy("key").orderBy(
+    across = Window.partitionBy("_hash", "key").orderBy(
         F.col("slice").desc() if backward else F.col("slice").asc()
     ).rowsBetween(Window.unboundedPreceding, -1)
-    edges = edges.select("key", "slice", *[
+    edges = edges.select(*SLICE, *[
         F.last(t, ignorenulls=True).over(across).alias(f"_e_{n}") for n, t in tmp.items()])
-    out = rows.withColumns(local).join(edges, ["key", "slice"], "left")
+    out = rows.withColumns(local).join(edges, list(SLICE), "left")
     return (out.withColumns({n: F.coalesce(F.col(n), F.col(f"_e_{n}")) for n in values})
-            .drop(*tmp.values(), *[f"_e_{n}" for n in values]))
+            .drop("_hash", *tmp.values(), *[f"_e_{n}" for n in values]))
 
 
 def running_max(rows: DataFrame, name: str, value: Column, own: bool = True,
                 order: tuple[str, ...] = POSITION) -> DataFrame:
     """Add the largest value up to each row of its key (or before it). Needs the columns key and slice, as `carry`."""
-    here = Window.partitionBy("key", "slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if own else -1)
-    across = Window.partitionBy("key").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_m", value)
-    edges = rows.groupBy("key", "slice").agg(F.max("_m").alias("_m")).select("key", "slice", F.max("_m").over(across).alias("_e"))
-    out = rows.withColumn("_m", F.max("_m").over(here)).join(edges, ["key", "slice"], "left")
-    return out.withColumn(name, F.greatest("_m", "_e")).drop("_m", "_e")
+    here = Window.partitionBy(*SLICE).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if own else -1)
+    across = Window.partitionBy("_hash", "key").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({"_m": value, "_hash": F.xxhash64("key")})
+    edges = rows.groupBy(*SLICE).agg(F.max("_m").alias("_m")).select(*SLICE, F.max("_m").over(across).alias("_e"))
+    out = rows.withColumn("_m", F.max("_m").over(here)).join(edges, list(SLICE), "left")
+    return out.withColumn(name, F.greatest("_m", "_e")).drop("_m", "_e", "_hash")
 
 
 def reachable(heads: DataFrame, jumps: DataFrame) -> DataFrame:
@@ -92,20 +95,24 @@ def segments(rows: DataFrame, idle_us: int, active_us: int, slice_us: int | None
     """Add `start` = struct(us, seq, tag) of the row that opens each row's segment.
 
     `tag` is the opening row's value of the optional column tag.
+
+    Every step reads its rows twice, for the values and for the slices' edges, so the rows are written between steps:
+    else each step would compute all those before it twice over.
     """
     width = slice_us or active_us
     if "tag" not in rows.columns:
         rows = rows.withColumn("tag", F.lit(None).cast("boolean"))
-    rows = rows.withColumn("slice", F.floor(F.col("clock") / F.lit(width)).cast("long"))
+    rows = cut(rows.withColumn("slice", F.floor(F.col("clock") / F.lit(width)).cast("long")))
     at = F.struct(*POSITION)
     rows = carry(rows, {"prev": (F.struct("us", "closes"), False)})
-    rows = rows.withColumn(
+    rows = cut(rows.withColumn(
         "hard", F.col("prev").isNull() | F.col("prev.closes")
-        | (F.col("clock") - F.col("prev.us") >= idle_us)).drop("prev")
+        | (F.col("clock") - F.col("prev.us") >= idle_us)).drop("prev"))
     ahead = {"to_hard": (F.when(F.col("hard"), at), False)}
     if teardown:
         ahead["succ"] = (at, False)
-    rows = carry(rows, ahead, backward=True)
+    timed = _first_at(rows, active_us, width)
+    rows = cut(carry(rows, ahead, backward=True))
     candidates = []
     if teardown:
         rows = carry(rows, {
@@ -114,7 +121,6 @@ def segments(rows: DataFrame, idle_us: int, active_us: int, slice_us: int | None
         }, backward=True)
         candidates.append(F.when(F.col("end_a").isNotNull() & F.col("end_b").isNotNull(),
                                  F.greatest("end_a", "end_b")["succ"]))
-    timed = _first_at(rows, active_us, width)
     rows = rows.join(timed, ["key", "seq"], "left")
     if teardown:
         # A tracker's clock may be past the limit of a late packet already: the next row starts anew.
@@ -125,10 +131,10 @@ def segments(rows: DataFrame, idle_us: int, active_us: int, slice_us: int | None
     soft = F.col("to_any").isNotNull() & (F.col("to_hard").isNull() | (F.col("to_any") < F.col("to_hard")))
     jumps = rows.filter(soft).select("key", "seq", F.col("to_any.seq").alias("nxt"))
     opened = reachable(rows.filter("hard").select("key", "seq"), jumps)
-    rows = rows.join(opened.withColumn("opens", F.lit(True)), ["key", "seq"], "left")
+    rows = cut(rows.drop("to_hard", "to_any", "hard").join(opened.withColumn("opens", F.lit(True)), ["key", "seq"], "left"))
     mine = F.struct("us", "seq", "tag")
     rows = carry(rows, {"start": (F.when(F.col("opens"), mine), True)})
-    return rows.drop("slice", "hard", "to_hard", "to_any", "opens")
+    return rows.drop("slice", "opens")
 
 
 def _first_at(rows: DataFrame, active_us: int, width: int) -> DataFrame:

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions import net, numeric
+from ..session import cut
 from . import chain
 from .joins import bounded
 
@@ -85,6 +86,8 @@ def build_flows(packets: DataFrame, idle_s: float = fixed.IDLE_S, active_s: floa
     idle, active = int(round(idle_s * 1e6)), int(round(active_s * 1e6))
     rows = keyed(admit(packets), mode, tracker, order).select(
         "key", "us", "seq", "clock", "from_lo", "payload_len", "syn", "rst", "fin", "ack")
+    if mode == "tracker" and group_rows is not None:
+        rows = cut(rows)  # the tracker's clock is found once, not for each of the readers below
     heavy = None if group_rows is None else chain.hot_keys(rows, group_rows)
     if heavy is None:
         return shape(_fold(rows, idle, active, order))

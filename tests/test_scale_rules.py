@@ -110,3 +110,20 @@ def test_both_halves_of_a_stream_of_alerts_share_the_throttle(spark, tmp_path):
         detect.append_batches(stream, f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
     found = sorted((r.id, r.trigger) for r in spark.read.schema(stream.schema).parquet(f"{tmp_path}/out").collect())
     assert found == batch == [(1, "new-technique"), (3, "corroborated"), (4, "corroborated"), (5, "new-technique"), (6, "corroborated")]
+
+
+def test_no_step_of_a_chain_computes_the_steps_before_it_over_again(spark, sf, monkeypatch):
+    """Each step reads its rows for the values and for the edges; written between steps, the readers do not multiply."""
+    from packetloom.operators import chain, flows
+    from packetloom.plans import views
+    leaves, write = [], chain.cut
+
+    def noted(rows):
+        leaves.append(rows._jdf.queryExecution().optimizedPlan().collectLeaves().size())
+        return write(rows)
+    monkeypatch.setattr(chain, "cut", noted)
+    monkeypatch.setattr(flows, "cut", noted, raising=False)
+    built = flows.build_flows(views.late_packets(spark, sf), views.IDLE_S, views.ACTIVE_S, mode="tracker", group_rows=20, order="arrival")
+    assert built.count() == flows.build_flows(views.late_packets(spark, sf), views.IDLE_S, views.ACTIVE_S, mode="tracker",
+                                              group_rows=None, order="arrival").count()
+    assert max(leaves) <= 6, leaves
