@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from .. import fixed
 from ..functions import numeric, text
 from ..session import cut
-from .joins import bounded
+from .joins import bounded, is_small
 
 CONTEXT_FIELDS = [
     "id", "cnn_verdict", "cnn_confidence", "attack_family", "technique_id", "technique_name",
@@ -89,7 +89,8 @@ def search(index: DataFrame, doc_table: DataFrame, queries: DataFrame, k: int =
     best score of a query by its strongest word alone is one that its k-th hit reaches.
     Words that cannot reach it together, by the largest weight each of them has, bring
     no hit of their own: their postings are looked up for documents that other words
-    have found. The result is that of scoring all postings.
+    have found, and of these only for such as can still pass the k-th best sum found.
+    The result is that of scoring all postings.
 
     The side of the words is broadcast when it is counted small; otherwise terms are
     salted, so a word that stands in a third of all documents is spread over tasks.
@@ -98,13 +99,22 @@ def search(index: DataFrame, doc_table: DataFrame, queries: DataFrame, k: int =
     """
     weighted, strong, weak = plan(index, doc_table, queries, k, broadcast_terms)
     part = F.floor(F.col("w") * F.col("repeats") * UNITS)
-    found = _join_terms(weighted, strong, broadcast_terms).groupBy("query_id", "doc_id").agg(
-        F.sum(part).alias("s"), F.first("goal").alias("goal"), F.first("weak").alias("weak"))
-    found = cut(found.filter(F.col("s") + F.col("weak") >= F.col("goal")))
+    limits = bounded(strong.select("query_id", "goal", "weak").distinct())
+    found = _join_terms(weighted, strong.drop("goal", "weak"), broadcast_terms).groupBy("query_id", "doc_id").agg(F.sum(part).alias("s"))
+    found = cut(found.join(limits, "query_id").filter(F.col("s") + F.col("weak") >= F.col("goal")).drop("goal"))
+    # The k-th best sum of the strong words is a score that the k-th hit reaches too, and a far better one.
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("s").desc(), "doc_id"))
+    reached = bounded(found.withColumn("nth", nth).filter(F.col("nth") == k).select("query_id", F.col("s").alias("reached")))
+    found = cut(found.join(reached, "query_id", "left").filter(
+        F.col("s") + F.col("weak") >= F.coalesce("reached", F.lit(0))).drop("reached"))
     words = bounded(weak.select("query_id", "term", "repeats"), broadcast_terms)
-    asked = found.filter("weak > 0").select("query_id", "doc_id").join(words, "query_id")
-    added = asked.join(weighted.join(words.select("term").distinct(), "term", "left_semi"), ["doc_id", "term"]).groupBy(
-        "query_id", "doc_id").agg(F.sum(part).alias("more"))
+    open_docs = found.filter("weak > 0")
+    asked = open_docs.select("query_id", "doc_id").join(words, "query_id")
+    looked_up = weighted.join(words.select("term").distinct(), "term", "left_semi")
+    near = cut(open_docs.select("doc_id").distinct())
+    if is_small(near):
+        looked_up = looked_up.join(F.broadcast(near), "doc_id", "left_semi")
+    added = asked.join(looked_up, ["doc_id", "term"]).groupBy("query_id", "doc_id").agg(F.sum(part).alias("more"))
     summed = found.join(added, ["query_id", "doc_id"], "left").withColumn(
         "s", F.col("s") + F.coalesce("more", F.lit(0))).filter("s > 0")
     best = Window.partitionBy("query_id").orderBy(F.col("s").desc(), "doc_id")
@@ -168,7 +178,9 @@ def search_text(docs: DataFrame, queries: DataFrame, k: int = fixed.TOP_K,
     """Search without a stored index: the index is derived, pruned to the query terms.
 
     The texts are read and taken apart once; words and index are written, since frequencies and scores both read them.
+    So are the queries, which may be derived from a large table.
     """
+    queries = cut(queries)
     terms = query_terms(queries)
     few = terms if _small(terms, broadcast_terms) else None
     words = cut(tokenized(docs))

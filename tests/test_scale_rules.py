@@ -127,3 +127,20 @@ def test_no_step_of_a_chain_computes_the_steps_before_it_over_again(spark, sf, m
     assert built.count() == flows.build_flows(views.late_packets(spark, sf), views.IDLE_S, views.ACTIVE_S, mode="tracker",
                                               group_rows=None, order="arrival").count()
     assert max(leaves) <= 6, leaves
+
+
+def test_a_search_looks_up_only_what_can_win_and_makes_its_queries_once(spark, sf, tmp_path, monkeypatch):
+    looked_up, made = [], str(tmp_path / "made")
+    monkeypatch.setattr(retrieval, "is_small", lambda rows: looked_up.append(rows.count()) or True, raising=False)
+
+    def noted(text):
+        with open(made, "a") as out:
+            out.write("once\n")
+        return text
+    docs = views.table(spark, sf, "documents").select("doc_id", "text")
+    asked = views.table(spark, sf, "benchmark").filter("text is not null").select(F.col("item_id").alias("query_id"), "text").limit(1)
+    asked = asked.withColumn("text", F.udf(noted, "string")("text"))
+    best = retrieval.search_text(docs, asked, k=1).collect()
+    assert best and open(made).read() == "once\n"
+    assert looked_up and looked_up[0] < docs.count() // 4
+    assert best == retrieval.search_text(docs, asked, k=500).filter("rank = 1").collect()
