@@ -114,7 +114,8 @@ def _completed(spark, sf):
 
 
 def _stage(spark, sf):
-    dims = views.geo(spark, sf), views.scored(spark, sf), views.counted(spark, sf)
+    # Written once: every micro-batch joins them, and each join counts them first.
+    dims = (cut(d) for d in (views.geo(spark, sf), views.scored(spark, sf), views.counted(spark, sf)))
     return detect.two_stage(views.formula_gate, views.formula_families, views.FAMILIES, *dims)
 
 
@@ -126,8 +127,9 @@ def stream_detections(spark, sf):
     made = lambda rows: rows.select(
         F.col("flow_id").alias("id"), "cnn_verdict", "cnn_confidence", "country",
         F.coalesce("technique_id", F.lit("none")).alias("technique"), F.col("rep.source").alias("rep_source"))
+    stage = _stage(spark, sf)
     for arrived in _arriving(spark, _completed(spark, sf), "detections"):
-        detect.run_to_sinks(arrived, state, {"detections": (sink, made)}, stage=_stage(spark, sf)).awaitTermination()
+        detect.run_to_sinks(arrived, state, {"detections": (sink, made)}, stage=stage).awaitTermination()
     return spark.read.parquet(sink).drop("batch")
 
 

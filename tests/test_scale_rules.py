@@ -144,3 +144,11 @@ def test_a_search_looks_up_only_what_can_win_and_makes_its_queries_once(spark, s
     assert best and open(made).read() == "once\n"
     assert looked_up and looked_up[0] < docs.count() // 4
     assert best == retrieval.search_text(docs, asked, k=500).filter("rank = 1").collect()
+
+
+def test_a_stream_of_detections_makes_its_lookup_tables_once(spark, sf, monkeypatch):
+    from packetloom.plans import queries_streams
+    given = []
+    monkeypatch.setattr(detect, "two_stage", lambda gate, attributor, classes, *tables, **kw: given.extend(tables))
+    queries_streams._stage(spark, sf)
+    assert len(given) == 3 and not any("customer" in f for t in given for f in t.inputFiles())
