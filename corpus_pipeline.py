@@ -6,7 +6,7 @@ from packetloom.llm.jaccard_join import one_of_each
 from packetloom.llm.language import recognised
 from packetloom.llm.mixing import mixed_rows
 from packetloom.llm.sharding import assigned
-from packetloom.session import cut
+from packetloom.session import passing
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,9 +46,14 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def _written(spark: SparkSession, sf_dir: str, stages: list) -> DataFrame:
+    """What the last of these stages gives; what the others gave, and all that the stages wrote on the way, is deleted."""
+    if not stages:
+        return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    with passing(spark) as kept:
+        return kept(stages[-1][1](spark, _written(spark, sf_dir, stages[:-1]), sf_dir))
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each reads what the one before wrote to the shared folder."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+    return STAGES[-1][1](spark, _written(spark, sf_dir, STAGES[:-1]), sf_dir)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from ..operators.joins import lookup
-from ..session import cut
+from ..session import cut, passing
 from .common import fresh, keep_ids, shingle_sets, slices, small_batches
 from .graph import components
 
@@ -26,6 +26,8 @@ FREQUENT = 1_000_000
 LARGEST_SMALL = 39
 # Shingles of a component's texts that one task compares with each other; larger components are cut into blocks.
 BLOCK = 300_000
+# Bytes of sketches that one task compares with each other, of components above BLOCK.
+SKETCHED = 8_000_000
 
 
 class Threshold:
@@ -216,7 +218,9 @@ def candidates(found: DataFrame, classes: DataFrame, at: Threshold) -> DataFrame
              .select(F.col("hub.node").alias("a"), F.col("node").alias("b")))
     bits = [f"b{k}" for k in range(SPOTS // 64)]
     listed = found.filter("c = 0").select("key", "node", "n", F.explode(F.array(at.step("n"), at.step("n") + 1)).alias("step"))
-    shared = listed.groupBy("key", "step").agg(F.min("node").alias("x"), F.max("node").alias("y")).filter("x <> y").select("key", "step")
+    # where all rows of a part are of the step below, they have met in the part of that step
+    shared = (listed.groupBy("key", "step").agg(F.min("node").alias("x"), F.max("node").alias("y"), F.max(at.step("n")).alias("own"))
+              .filter("x <> y and own = step").select("key", "step"))
     listed = cut(listed.join(shared, ["key", "step"], "left_semi"))
     usual = listed.filter(F.col("n") <= LARGE).join(classes.select("node", *bits), "node")
     large = listed.filter(F.col("n") >= at.least(LARGE + 1)).join(classes.select("node", *bits, "spread"), "node")
@@ -235,16 +239,74 @@ def candidates(found: DataFrame, classes: DataFrame, at: Threshold) -> DataFrame
         apart = F.aggregate(F.zip_with(p, q, lambda x, y: F.abs(x.cast("int") - y)), F.lit(0), lambda a, x: a + x)
         return near(l, r) & (F.greatest(m, n) > LARGE) & (apart * (at.num + at.den) <= (m + n) * (at.den - at.num))
 
-    tied = None
+    tied = []
     for rows, test in ((usual, near), (large, close)):
         same = (F.col("l.key") == F.col("r.key")) & (F.col("l.step") == F.col("r.step"))
         some = rows.alias("l").join(rows.alias("r"), same & test("l", "r"), "left_semi").select("key", "step", "node")
-        tied = some if tied is None else tied.unionByName(some)
-    tied = cut(tied.distinct())
+        tied.append(cut(some))  # one after the other, so that the shuffles of both are not there at one time
+    tied = cut(tied[0].unionByName(tied[1]).distinct())
     first = tied.groupBy("key", "step").agg(F.min("node").alias("a"))
     return tied.join(first, ["key", "step"]).filter("a <> node").select("a", F.col("node").alias("b")).unionByName(stars).distinct()
 
 
+def _parities(found: np.ndarray) -> bytes:
+    """The set's elements counted by hash in as many places as a power of two of its size, as parities; at least 64 places."""
+    places = 1 << max(6, len(found).bit_length() + 1)
+    counts = np.bincount((found >> np.uint64(7) & np.uint64(places - 1)).astype(np.int64), minlength=places)
+    return np.packbits(counts & 1, bitorder="little").tobytes()
+
+
+def _near(group: pd.DataFrame, at: Threshold) -> pd.DataFrame:
+    """Of one block pair (i, j) of a part: edges of a spanning forest of the sets that may link by their sketches."""
+    i, j = int(group.i.iloc[0]), int(group.j.iloc[0])
+    group = group.sort_values(["n", "node"])
+    least = group.bits.map(len).min()
+    # a sketch of more places, folded, is the one of fewer
+    bits = np.stack([np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, least // 8), axis=0) for x in group.bits])
+    sizes, nodes, block = group.n.to_numpy(np.int64), group.node.to_numpy(), group.block.to_numpy()
+    rows, others = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    theirs, parent, edges = bits[others], list(range(len(sizes))), []
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for x in rows:
+        first = np.searchsorted(others, x + 1) if i == j else np.searchsorted(sizes[others], at.least(sizes[x]))
+        last = np.searchsorted(sizes[others], sizes[x] * at.den // at.num, "right")
+        near = others[first:last]
+        differ = np.bitwise_count(theirs[first:last] ^ bits[x]).sum(axis=1, dtype=np.int64)
+        for y in near[differ * (at.num + at.den) <= (sizes[x] + sizes[near]) * (at.den - at.num)].tolist():
+            if (p := root(x)) != (q := root(y)):
+                parent[q] = p
+                edges.append((nodes[x], nodes[y]))
+    return pd.DataFrame(edges, columns=["a", "b"]).astype("int64")
+
+
+def refined(members: DataFrame, texts: DataFrame, width: int, at: Threshold) -> DataFrame:
+    """(node, label) of the sets that may link by sketches as fine as the sets are large, in components of these.
+
+    A list ties sets that are near to others than each other, so with many texts most large sets are tied into one component,
+    whose texts would all meet. Sketches have a few hundredths of the texts' bytes. They are compared in parts by steps of size.
+    members: pick, node, label. texts: pick, t.
+    """
+    def sketched(batches):
+        for batch in batches:
+            sets = shingle_sets(batch.t, width)
+            yield batch[["node", "label"]].assign(n=np.array([len(x) for x in sets], np.int32), bits=[_parities(x) for x in sets])
+
+    sketches = cut(texts.join(members.select("pick", "node", "label"), "pick").select("node", "label", "t")
+                   .mapInPandas(sketched, "node long, label long, n int, bits binary"))
+    parts = sketches.select("*", at.step("n").alias("own"), F.explode(F.array(at.step("n"), at.step("n") + 1)).alias("step"))
+    weight = (parts.groupBy("label", "step").agg(F.ceil(F.sum(F.length("bits")) / SKETCHED).cast("int").alias("blocks"), F.max("own").alias("top"), F.count(F.lit(1)).alias("k"))
+              .filter("top = step and k > 1").drop("top", "k"))
+    parts = parts.join(weight, ["label", "step"]).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    parts = parts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    parts = parts.select("label", "step", "node", "n", "bits", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    return components(parts.groupBy("label", "step", "i", "j").applyInPandas(lambda g: _near(g, at), "a long, b long"))
+
+
 def _verified(group: pd.DataFrame, width: int, at: Threshold) -> pd.DataFrame:
     """Of one block pair (i, j) of a component: edges of a spanning forest, and each set's links weighted by copies."""
     i, j = int(group.i.iloc[0]), int(group.j.iloc[0])
@@ -303,38 +365,51 @@ def jaccard_groups(docs: DataFrame, width: int = 3, num: int = 90, den: int = 10
 def _grouped(docs: DataFrame, width: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, pick, n, component_id, n_links, keep); keep is the pick of the row with the component's smallest doc_id, nulls
     last, and of equal ones that with the smallest node. Rows with an empty set keep themselves."""
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     at = Threshold(num, den)
     rows = cut(describe(docs, width, at, id_col, text_col))
     sketches = [*[f"b{k}" for k in range(SPOTS // 64)], "spread"]
-    classes = cut(rows.filter("n > 0").groupBy("node").agg(
-        F.min("doc_id").alias("first"), F.min("pick").alias("pick"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "pick")).alias("best"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), *[F.first(b).alias(b) for b in sketches]))
-    total = rows.agg(F.sum("n")).first()[0] or 0
-    sizes = {r["n"]: r["count"] for r in classes.filter(F.col("n") <= LARGEST_SMALL).groupBy("n").count().collect()}
-    most = boundary(sizes, at)
-    found = cut(keys(docs, width, at, most, common_order(docs, width, at, total, text_col), text_col))
-    tied = components(candidates(found, classes, at))
-
-    members = tied.join(classes.select("node", "pick", "copies", "n"), "node")
-    weight = members.groupBy("label").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
-    members = cut(members.join(weight, "label").select(
-        "pick", "node", "label", "copies", "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block")))
-    # the text of each class, from one of its rows
-    texts = docs.select(picked(id_col, text_col).alias("pick"), F.col(text_col).cast("string").alias("t"))
-    texts = keep_ids(texts, members.select("pick"), on="pick")
-    if not rows.filter("n > 0").groupBy("pick").count().filter("count > 1").isEmpty():
-        texts = texts.dropDuplicates(["pick"])
-    texts = texts.join(members, "pick").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    texts = texts.select("label", "node", "copies", "block", "t", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    checked = cut(texts.groupBy("label", "i", "j").applyInPandas(lambda g: _verified(g, width, at), "a long, b long, links long"))
-
-    joined = components(checked.filter("a <> b"))
-    counts = checked.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
-    named = classes.select("node", "first", "best", "copies").join(joined, "node", "left").join(counts, "node", "left")
-    named = cut(named.withColumn("label", F.coalesce("label", "node")))
-    least = named.groupBy("label").agg(F.min("first").alias("component_id"), F.min(F.struct("best.col1", "best.doc_id", "node", "best.pick")).alias("keep"))
-    answer = cut(named.join(least, "label").select(
-        "node", "component_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.col("keep.pick").alias("keep")))
+    with passing(spark) as kept:
+        classes = cut(rows.filter("n > 0").groupBy("node").agg(
+            F.min("doc_id").alias("first"), F.min("pick").alias("pick"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "pick")).alias("best"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), *[F.first(b).alias(b) for b in sketches]))
+        total = rows.agg(F.sum("n")).first()[0] or 0
+        sizes = {r["n"]: r["count"] for r in classes.filter(F.col("n") <= LARGEST_SMALL).groupBy("n").count().collect()}
+        most = boundary(sizes, at)
+        with passing(spark) as tables:
+            found = cut(keys(docs, width, at, most, common_order(docs, width, at, total, text_col), text_col))
+            tied = tables(components(candidates(found, classes, at)))
+
+        repeated = not rows.filter("n > 0").groupBy("pick").count().filter("count > 1").isEmpty()
+
+        def texts_of(members: DataFrame) -> DataFrame:
+            """The text of each class, from one of its rows."""
+            texts = docs.select(picked(id_col, text_col).alias("pick"), F.col(text_col).cast("string").alias("t"))
+            texts = keep_ids(texts, members.select("pick"), on="pick")
+            return texts.dropDuplicates(["pick"]) if repeated else texts
+
+        members = tied.join(classes.select("node", "pick", "copies", "n"), "node")
+        above = cut(members.groupBy("label").agg(F.sum("n").alias("weight")).filter(F.col("weight") > BLOCK).select("label"))
+        if not above.isEmpty():
+            with passing(spark) as tables:
+                large = cut(keep_ids(members, above, on="label", made=True).select("pick", "node", "label"))
+                finer = refined(large, texts_of(large), width, at).join(large.select("node", "pick"), "node")
+                finer = tables(finer.join(classes.select("node", "copies", "n"), "node").select(*members.columns))
+            members = keep_ids(members, above, "left_anti", on="label", made=True).unionByName(finer.select(*members.columns))
+        weight = members.groupBy("label").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
+        members = cut(members.join(weight, "label").select(
+            "pick", "node", "label", "copies", "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block")))
+        texts = texts_of(members).join(members, "pick").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        texts = texts.select("label", "node", "copies", "block", "t", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+        checked = cut(texts.groupBy("label", "i", "j").applyInPandas(lambda g: _verified(g, width, at), "a long, b long, links long"))
+
+        joined = components(checked.filter("a <> b"))
+        counts = checked.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
+        named = classes.select("node", "first", "best", "copies").join(joined, "node", "left").join(counts, "node", "left")
+        named = cut(named.withColumn("label", F.coalesce("label", "node")))
+        least = named.groupBy("label").agg(F.min("first").alias("component_id"), F.min(F.struct("best.col1", "best.doc_id", "node", "best.pick")).alias("keep"))
+        answer = kept(named.join(least, "label").select(
+            "node", "component_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.col("keep.pick").alias("keep")))
     filled = lookup(rows.filter("n > 0").select("doc_id", "pick", "n", "node"), answer, "node").drop("node")
     empty = rows.filter("n = 0").select("doc_id", "pick", "n", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"),
                                         F.col("pick").alias("keep"))
@@ -347,7 +422,8 @@ def one_of_each(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100)
 
     Rows without words are linked with nothing and stay, each as often as its doc_id and text differ. Columns are kept.
     """
-    groups = cut(_grouped(docs, width, num, den, "doc_id", "text").select("pick", "keep"))
+    with passing(docs.sparkSession) as kept:
+        groups = kept(_grouped(docs, width, num, den, "doc_id", "text").select("pick", "keep"))
     gone = groups.filter("pick <> keep").select("pick").distinct()
     name = fresh(docs.columns, "pick")
     stay = keep_ids(docs.withColumn(name, picked()), gone.withColumnRenamed("pick", name), "left_anti", on=name)

@@ -2,7 +2,9 @@
 import os
 import re
 import tempfile
+import threading
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,7 +54,10 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 def clear_scratch(spark: SparkSession) -> int:
     """Delete the scratch tables of this session, once nothing reads them any more."""
-    paths = _scratch.pop(spark.sparkContext.applicationId, [])
+    return _delete(spark, _scratch.pop(spark.sparkContext.applicationId, []))
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> int:
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for path in paths:
         where = jvm.org.apache.hadoop.fs.Path(path)
@@ -68,5 +73,41 @@ def cut(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch(spark, "cut")
+    if getattr(_scopes, "open", None):
+        _scopes.open[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_scopes = threading.local()
+# Spark drops the shuffle files of a query as soon as it ends, not when the driver happens to collect its garbage.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def passing(spark: SparkSession):
+    """What `cut` writes in this block, in this thread, is deleted at the block's end, and a query's shuffle files at the query's.
+
+    Gives a function that writes rows as `cut` does, but outlives the block. No other table of the block may be read after it.
+    """
+    scopes = _scopes.__dict__.setdefault("open", [])
+    own: list[str] = []
+    scopes.append(own)
+
+    def kept(df: DataFrame) -> DataFrame:
+        scopes.pop()
+        try:
+            return cut(df)
+        finally:
+            scopes.append(own)
+
+    usual = spark.conf.get(FREE_SHUFFLES, "false")
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        yield kept
+    finally:
+        spark.conf.set(FREE_SHUFFLES, usual)
+        scopes.pop()
+        held = _scratch.get(spark.sparkContext.applicationId, [])
+        held[:] = [path for path in held if path not in own]
+        _delete(spark, own)

@@ -8,6 +8,7 @@ from corpus_fixture import brute_groups, edited, no_documents, odd_documents, pl
 from packetloom.llm import jaccard_join as J
 from packetloom.llm.common import shingle_sets, word_hashes
 from packetloom.llm.graph import components
+from packetloom.session import _scratch, cut
 
 
 def order(rows):
@@ -40,6 +41,41 @@ def test_groups_of_many_sizes(spark, monkeypatch):
     assert order(J.jaccard_groups(docs, 3, 90, 100).collect()) == order(brute_groups(rows, 3, 90, 100))
 
 
+def tied_texts(rng):
+    """60 unlinked texts of 200 words, each with a near copy, that share a passage with the next one; and 30 that grow by 4 %, each linked with the next."""
+    passages = [[f"p{rng.randrange(10**6)}" for _ in range(40)] for _ in range(61)]
+    bases = [[*passages[k], *[f"w{rng.randrange(10**6)}" for _ in range(120)], *passages[k + 1]] for k in range(60)]
+    texts = [t for b in bases for t in (b, [*b[:100], "x", *b[101:]])]
+    growing = passages[0] + [f"g{k}" for k in range(60)]
+    for k in range(30):
+        texts.append(growing)
+        growing = growing + [f"h{k}_{m}" for m in range(len(growing) // 25)]
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    rng.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("sketched", [1000, 8_000_000])
+def test_texts_tied_by_chance_do_not_all_meet(spark, monkeypatch, sketched):
+    """The texts of a component that lists alone tie are not copied for its every two blocks."""
+    monkeypatch.setattr(J, "BLOCK", 2000)
+    monkeypatch.setattr(J, "SKETCHED", sketched, raising=False)
+    seen = []
+    monkeypatch.setattr(J, "cut", lambda df: (out := cut(df), "blocks" in df.columns and seen.extend(r["blocks"] for r in out.collect()))[0])
+    rows = tied_texts(random.Random(8))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert order(J.jaccard_groups(docs, 3, 90, 100).collect()) == order(brute_groups(rows, 3, 90, 100))
+    assert len(seen) == 150 and seen.count(1) == 120
+
+
+def test_written_tables_go_once_they_are_used(spark):
+    docs = spark.createDataFrame(tied_texts(random.Random(9)), "doc_id long, text string")
+    held = _scratch.setdefault(spark.sparkContext.applicationId, [])
+    before = len(held)
+    assert J.one_of_each(docs, 3, 90, 100).count() == 61
+    assert len(held) - before <= 5
+
+
 def test_odd_rows(spark):
     docs = odd_documents(spark)
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
