@@ -11,6 +11,12 @@ def finite(x: Column) -> Column:
     return F.when(F.isnan(d) | (F.abs(d) == float("inf")) | d.isNull(), 0.0).otherwise(d)
 
 
+def rounded(x: Column) -> Column:
+    """A double to a whole one, half away from zero, as round() gives it, but without a decimal number on the way."""
+    near = F.rint(x)
+    return F.when(F.abs(x - near) == 0.5, x + F.signum(x) * 0.5).otherwise(near)
+
+
 def share(part: Column, whole: Column, digits: int = 4) -> Column:
     """part / whole, rounded half to even; 0 where the whole is 0."""
     return F.bround(F.when(whole > 0, part.cast("double") / whole.cast("double")).otherwise(0.0), digits)

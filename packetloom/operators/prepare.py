@@ -36,18 +36,29 @@ def prepared(raw: DataFrame) -> DataFrame:
 
 def reconstructable() -> Column:
     """There are packets, and bytes only where there are packets to carry them."""
-    fp, bp = F.bround("fwd_packets"), F.bround("bwd_packets")
+    fp, bp = F.rint("fwd_packets"), F.rint("bwd_packets")
     return ((fp + bp > 0) & ~((F.col("fwd_bytes") > 0) & (fp == 0))
             & ~((F.col("bwd_bytes") > 0) & (bp == 0)))
 
 
 def replay_safe(idle_s: float = fixed.IDLE_S, max_packets: int = 2000, max_duration_s: float = 100.0) -> Column:
     """Rows that one tracker would give back as exactly one flow."""
-    fp, bp = F.bround("fwd_packets"), F.bround("bwd_packets")
+    fp, bp = F.rint("fwd_packets"), F.rint("bwd_packets")
     packets = fp + bp
     gap = F.when(packets > 1, F.col("duration_s") / (packets - 1)).otherwise(0.0)
     return (reconstructable() & (fp > 0) & (packets <= max_packets) & (F.col("duration_s") < max_duration_s)
-            & (gap < idle_s * 0.8) & F.bround("protocol").isin(6, 17))
+            & (gap < idle_s * 0.8) & F.rint("protocol").isin(6, 17))
+
+
+def where(rows: DataFrame, condition: Column) -> DataFrame:
+    """rows.filter(condition), with each column of rows computed once a row.
+
+    Spark moves a filter below the columns that it names and computes each anew wherever it is named, but not below row numbers.
+    """
+    name = "_row"
+    while name in [c.lower() for c in rows.columns]:
+        name = f"_{name}"
+    return rows.withColumn(name, F.monotonically_increasing_id()).filter(condition & (F.col(name) >= 0)).drop(name)
 
 
 def families(rows: DataFrame, label: str = fixed.LABEL_COLUMN) -> DataFrame:

@@ -433,7 +433,7 @@ def train_serve_agreement(spark, sf):
 
     A single packet cannot carry a duration, so such rows are left out.
     """
-    rows = _prepared(spark, sf).filter(prepare.replay_safe() & (
+    rows = prepare.where(_prepared(spark, sf), prepare.replay_safe() & (
         (F.col("duration_s") == 0) | (F.col("fwd_packets") + F.col("bwd_packets") > 1)))
     # written once, so that the numbers stay as they are
     rows = cut(rows.distinct().withColumn("flow_id", F.monotonically_increasing_id()))
@@ -444,8 +444,8 @@ def train_serve_agreement(spark, sf):
         "src_port": (1024 + F.floor(n / 16777216) % 60000).cast("int"), "dst_ip": F.lit(views.SERVER),
         "dst_port": (1 + F.floor(n / 16777216 / 60000) % 60000).cast("int"), "proto": F.col("protocol").cast("int")})
     packets = flows.expand_to_packets(as_flows).withColumn("seq", F.col("flow_id") * 4096 + F.col("nth"))
-    # Every row has a key of its own and, being safe, 2000 packets at most.
-    built = flows.feature_columns(flows.build_flows(packets.drop("flow_id", "nth"), group_rows=None))
+    # Every row has a key of its own and, being safe, 2000 packets at most, which make one flow.
+    built = flows.feature_columns(flows.build_flows(packets.drop("flow_id", "nth"), group_rows=None, whole=True))
     live = built.withColumn("flow_id", F.floor(F.col("flow_id") / 4096))
     score = lambda r: evaluate.decided(train.gate_probability(model, r), 0.5)
     out = train.agreement(score(rows), score(live))

@@ -79,6 +79,47 @@ def test_one_order_where_time_and_number_disagree(spark, mode, path):
     assert (f.flow_id, f.src_ip, f.duration_s, f.fwd_packets, f.bwd_packets) == (2, A, 1.0, 1, 1)
 
 
+def keys_of_any_kind(rng):
+    """Packets of 400 keys: gaps at both limits, closes, ties, times against numbers, rows twice, nulls, times before 1970."""
+    rows = []
+    for key in range(400):
+        t = rng.choice([0, 7.3, 119.999999, -3e9, 86399.5]) + rng.random()
+        proto, kind = rng.choice([6, 17]), rng.randrange(8)
+        for _ in range(rng.randrange(1, 14)):
+            t += rng.choice([0, 0.1, 1.875, 3, 9, 14.999999, 15, 15.000001]) if kind else rng.choice([0, 1, 2.5, 11.9])
+            seq = len(rows) if kind != 1 else 100_000 - len(rows)
+            flags = "".join(f for f in "srfa" if rng.random() < (0.1 if kind in (2, 3) else 0.3 if f in "sa" else 0))
+            way = {} if rng.random() < 0.6 else dict(src=B, dst=A, dport=1000 + key)
+            row = list(packet(seq, t, **({"sport": 1000 + key} | ({} if not way else {"sport": 80}) | way), proto=proto, size=rng.randrange(1500), flags=flags))
+            if kind == 4 and rng.random() < 0.2:
+                row[rng.choice([0, 1, 7, 8, 9, 10, 11])] = None
+            rows += [tuple(row)] * (2 if kind == 5 and rng.random() < 0.3 else 1)
+    rng.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("limits", [(15.0, 120.0), (0.000003, 120.0), (20.0, 10.0), (86400.0, 345600.0)])
+def test_keys_summed_up_whole_give_the_flows_of_the_fold(spark, monkeypatch, limits):
+    packets = frame(spark, keys_of_any_kind(random.Random(21)))
+    expected, folded, fold = flows.build_flows(packets, *limits, group_rows=None), [], flows._fold
+    monkeypatch.setattr(flows, "_fold", lambda rows, *a: folded.append(rows.select("key").distinct().count()) or fold(rows, *a))
+    found = flows.build_flows(packets, *limits, group_rows=None, whole=True)
+    assert found.exceptAll(expected).isEmpty() and expected.exceptAll(found).isEmpty()
+    assert 0 < folded[0] < 400
+
+
+def test_steady_keys_are_summed_up_whole(spark, monkeypatch):
+    """Gaps below 0.8 of the idle limit and spans below 100 s are always told; no packet is folded."""
+    monkeypatch.setattr(flows, "_fold", None)
+    rng, rows = random.Random(22), []
+    for key in range(300):
+        t = rng.random() * 1e4
+        for k in range(9):
+            rows.append(packet(len(rows), t, sport=1000 + key, proto=rng.choice([6]), flags="a"))
+            t += 11.999 if key % 2 else rng.random() * 11.9
+    assert flows.build_flows(frame(spark, rows), whole=True, group_rows=None).count() == 300
+
+
 def test_admission(spark):
     rows = frame(spark, [packet(1, 1), packet(2, 1, proto=1), packet(3, 1, src="::1"), packet(4, 1, proto=17)])
     assert flows.admission_counts(rows).first().asDict() == {"packets_read": 4, "admitted": 2, "ignored": 2}

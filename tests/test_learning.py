@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from packetloom import fixed
-from packetloom.operators import evaluate, prepare, train
+from packetloom.functions import numeric
+from packetloom.operators import evaluate, flows, prepare, train
 from packetloom.plans import queries_learning as q
 from packetloom.session import cut
 from packetloom.sources import sinks
@@ -177,3 +178,26 @@ def test_the_served_model_is_fitted_on_merged_rows(spark, sf, monkeypatch):
     (row,) = q.train_serve_agreement(spark, sf).collect()
     assert row["unmatched"] == row["over_tolerance"] == row["verdict_mismatches"] == 0
     assert read[0].count() < row["rows"] == read[0].agg(F.sum("copies")).first()[0]
+
+
+def test_rows_played_as_packets_are_summed_up_not_sorted(spark, sf, monkeypatch):
+    """Safe rows give back one flow each, so no packet is dealt out and folded."""
+    folded, fold = [], flows._fold
+    monkeypatch.setattr(flows, "_fold", lambda *a: folded.append(a) or fold(*a))
+    (row,) = q.train_serve_agreement(spark, sf).collect()
+    assert row["rows"] > 0 and row["unmatched"] == row["over_tolerance"] == row["verdict_mismatches"] == 0 and not folded
+
+
+def test_a_condition_reads_columns_that_are_computed_once(spark):
+    raw = spark.range(20).withColumn("_row", F.col("id") % 3)
+    rows = raw.withColumn("x", F.sqrt("id") + F.col("_row"))
+    safe = (F.col("x") > 1) & (F.col("x") != 3) & (F.col("x") < 5)
+    kept = prepare.where(rows, safe)
+    assert kept.columns == rows.columns and sorted(kept.collect()) == sorted(rows.filter(safe).collect())
+    assert [df._jdf.queryExecution().optimizedPlan().toString().count("SQRT") for df in (kept, rows.filter(safe))] == [1, 4]
+
+
+def test_whole_numbers_are_rounded_as_round_does(spark):
+    values = [0.0, -0.0, 0.49999999999999994, 0.5, 1.5, 2.5, -0.5, -1.5, -2.5, 1234567.5, 4503599627370495.5, 1e15, 99999999.4999999, 3.0000000000000004, None]
+    rows = spark.createDataFrame([(x,) for x in values], "x double").select(numeric.rounded(F.col("x")).alias("a"), F.round("x").alias("b"))
+    assert rows.filter("not a <=> b").isEmpty()
